@@ -1,0 +1,3 @@
+"""Queries over the driver's tables, one per operator."""
+
+QUERIES: dict = {}
