@@ -21,7 +21,7 @@ def odd_docs(spark):
         (9, "same text here", "en", "b", 9),
         (10, "same text here", "en", "c", 9),
         (None, "same text here", "en", "c", 9),
-        (12, "﷐mark﷐ token=abcdefg", "en", "c", 9),
+        (12, "\ufdd0mark\ufdd0 token=abcdefg", "en", "c", 9),
     ]
     wide = [r + ("s", 1, "k", 2) for r in rows]
     return spark.createDataFrame(wide, DOCS + ", spans string, size int, key string, score int").repartition(3)

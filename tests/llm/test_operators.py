@@ -1,0 +1,416 @@
+"""Top-k, URL filter, mixing, licence scan, quality, near duplicates, media and packing against brute force."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from postmill.llm import licenses, media, mixing, neardup, packing, quality, shingles, topk, urls
+from postmill.llm.common import read
+from postmill.llm.queries import QUERIES, tokenizer
+
+
+def texts_of(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in read(spark, sf, "documents").collect()}
+
+
+# top-k
+
+
+def brute_topk(vectors, queries, k):
+    out = []
+    for q, qv in queries:
+        scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in vectors if i != q)  # noqa: B905
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_topk_query(spark, sf):
+    rows = [(r["vec_id"], [int(np.floor(1024 * float(x))) for x in r["embedding"]]) for r in read(spark, sf, "embeddings").collect()]
+    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in QUERIES["op1_exact_topk"](spark, sf).collect())
+    assert got == brute_topk(rows, [r for r in rows if r[0] % 100 == 0], 10)
+
+
+def test_topk_blocks_ties_and_sparse_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    pick = np.random.default_rng(1)
+    rows = [(int(i), [int(x) for x in pick.integers(-3, 4, 6) * pick.integers(0, 2, 6)]) for i in range(200)] + [(200, [1] * 6)] * 30 + [(300, [1, 1]), (301, [])]
+    df = spark.createDataFrame(rows + [(None, [1] * 6)], "vec_id bigint, weights array<bigint>")
+    asked = df.where("vec_id % 20 = 0 and vec_id < 200")
+    got = sorted(tuple(r) for r in topk.top_k(df, asked, 7).collect())
+    want = brute_topk(rows, [r for r in rows if r[0] % 20 == 0 and r[0] < 200], 7)
+    assert [(q, r, s) for q, r, _, s in got] == [(q, r, s) for q, r, _, s in want] and got == want
+    assert topk.top_k(df.limit(0), asked.limit(0), 7).count() == 0
+
+
+def test_topk_ignores_vectors_that_are_not_finite(spark):
+    rows = [(1, [1.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [float("inf"), 0.0]), (5, [0.5, -0.25]), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").where(topk.finite(F.col("embedding")))
+    assert {r["vec_id"]: r["w"] for r in df.select("vec_id", topk.quantised(F.col("embedding")).alias("w")).collect()} == {5: [512, -256], 6: []}
+
+
+# URL filter
+
+
+def brute_url(url):
+    if not url or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    m = re.match(r"([^/?#]*)([^?#]*)", rest, re.S)
+    host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
+    fits = [r for _, r in urls.RULES if (host == (h := r.split("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_urls_and_rules(spark, sf):
+    odd = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://net/de", "x://net/de/", "x://sub.net/de/1", "x://badnet/de/1", "x://example.net/de/80", "x://example.net:80/de/80", "a://b://c/d", "x://Org/es/#a", "x://É.org/es/", "x://h\n/a\nb?c"]
+    pages = spark.createDataFrame([(i, u, None, 1) for i, u in enumerate(odd)] + [(1, odd[5], "", 1)], "page_id bigint, url string, html string, trust int")
+    table = read(spark, sf, "pages")
+    for df in (pages, table):
+        want = sorted((r["page_id"], *[x or "" for x in brute_url(r["url"])]) for r in df.collect())
+        rows = urls.filter_urls(df).collect()
+        assert sorted((r["page_id"], r["host"], r["path"], r["rule"] or "") for r in rows) == want
+        actions = {r: a for a, r in urls.RULES}
+        assert all(r["verdict"] == actions[r["rule"]] for r in rows if r["rule"])
+        assert all(r["verdict"] in ("allow", "block") for r in rows)
+    assert urls.filter_urls(pages.limit(0)).count() == 0
+
+
+def brute_rank(seed, edges, steps):
+    out, mass = defaultdict(set), {h: 0.15 * s for h, s in seed.items()}
+    for a, b in edges:
+        out[a].add(b)
+    for _ in range(steps):
+        new = defaultdict(float, {h: 0.15 * s for h, s in seed.items()})
+        for h, m in mass.items():
+            for b in out[h]:
+                new[b] += 0.85 * m / len(out[h])
+        mass = new
+    return mass
+
+
+def test_trust_and_distrust_over_links(spark):
+    links = {"good.org": ["a.com", "b.com"], "a.com": ["c.com", "a.com"], "c.com": ["a.com"], "d.com": ["bad.org", "e.com"], "e.com": ["d.com"], "lone.com": []}
+    html = lambda own: "".join(f'<a class=x HREF = "http://{h.upper()}/p?q">x</a><a href="/local">y</a>' for h in own)
+    rows = [(i, f"http://{h}/x", html(own)) for i, (h, own) in enumerate(links.items())] + [(10, "http://good.org/ok", ""), (11, "http://bad.org/no", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in urls.filter_urls(df, (("allow", "good.org/ok"), ("block", "bad.org/no"))).collect()}
+    edges = {(a, b) for a, own in links.items() for b in own if a != b}
+    trust = brute_rank({"good.org": 0.5}, edges, 12)
+    distrust = brute_rank({"bad.org": 1.0}, {(b, a) for a, b in edges}, 12)
+    for i, (h, _) in enumerate(links.items()):
+        assert got[i]["trust"] == pytest.approx(trust.get(h, 0), abs=1e-9) and got[i]["distrust"] == pytest.approx(distrust.get(h, 0), abs=1e-9)
+        assert got[i]["verdict"] == ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow")
+    assert got[3]["verdict"] == got[4]["verdict"] == "block" and got[1]["verdict"] == got[5]["verdict"] == "allow"
+
+
+# mixing
+
+
+def brute_targets(sizes, total=1.5, weights=(3, 1, 2)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    full: set = set()
+    while True:
+        rest = total * sum(sizes.values()) - sum(2 * sizes[s] for s in full)
+        open_ = sum(w[s] for s in names if s not in full)
+        now = {s: 2.0 * sizes[s] if s in full else rest * w[s] / open_ for s in names}
+        over = {s for s in names if s not in full and now[s] > 2 * sizes[s]}
+        if not over:
+            return now
+        full |= over
+
+
+def check_mix(rows, sources):
+    by, taken, longest = Counter(), Counter(), Counter()
+    for r in rows:
+        s = sources[r["doc_id"]]
+        by[s] += r["size"]
+        taken[s] += r["taken"]
+        longest[s] = max(longest[s], r["size"])
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    want = brute_targets(dict(by))
+    for r in rows:
+        s = sources[r["doc_id"]]
+        assert r["source_size"] == by[s] and r["target"] == pytest.approx(want[s], rel=1e-9)
+    return {s: (taken[s], want[s], longest[s]) for s in by}
+
+
+def test_mix_reaches_targets(spark, sf):
+    docs = {r["doc_id"]: r for r in read(spark, sf, "documents").collect()}
+    rows = QUERIES["op4_source_mix"](spark, sf).collect()
+    assert {r["doc_id"]: r["size"] for r in rows} == {i: len(re.findall("[^\x20\x09-\x0d]+", d["text"] or "")) for i, d in docs.items()}
+    for taken, target, longest in check_mix(rows, {i: d["source"] for i, d in docs.items()}).values():
+        assert abs(taken - target) <= longest / 2 + 1
+    assert sorted(map(tuple, QUERIES["op4_source_mix"](spark.newSession(), sf).collect())) == sorted(map(tuple, rows))
+
+
+def test_mix_of_odd_documents(spark, odd_docs, no_docs):
+    core = mixing.sized(odd_docs.select("doc_id", "text", "source"))
+    rows = core.select("doc_id", "source", "key", "hash", F.col("size"))
+    got = mixing.mixed(rows, mixing.plan(rows.drop("doc_id"))).withColumn("taken", F.col("copies") * F.col("size")).collect()
+    check_mix(got, {r["doc_id"]: r["source"] for r in odd_docs.collect()})
+    assert mixing.mix(no_docs).count() == 0
+    out = mixing.mix(odd_docs)
+    assert out.columns == odd_docs.columns
+    assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd_docs.collect()}
+
+
+def test_many_small_documents_come_near(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 11)).alias("source"))
+    rows = mixing.sized(docs).select("doc_id", "source", "key", "hash", "size")
+    got = mixing.mixed(rows, mixing.plan(rows.drop("doc_id"))).withColumn("taken", F.col("copies") * F.col("size")).collect()
+    for taken, target, _ in check_mix(got, {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}).values():
+        assert abs(taken - target) <= 6
+
+
+# licences
+
+
+def brute_license(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    places = [(i, label) for phrase, label in licenses.PHRASES for p in [phrase.split()] for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_base(spark, sf, odd_docs, no_docs):
+    more = spark.createDataFrame([(50, "CC BY cc-by, ccby cc by"), (51, "general public license general\npublic LICENSE x"), (52, "all rights reserved all rights reserved"), (53, "allé rights"), (54, "İ K cc by É"), (55, "!!!")], "doc_id bigint, text string")
+    for df in (odd_docs.unionByName(more, allowMissingColumns=True), read(spark, sf, "documents")):
+        want = sorted(str((r["doc_id"], *brute_license(r["text"] or ""))) for r in df.collect())
+        rows = licenses.scan(df).collect()
+        assert sorted(str((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in rows) == want
+        for r in rows:
+            assert 0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+    assert licenses.scan(no_docs).count() == 0
+
+
+def test_license_templates(spark):
+    pad = "lorem ipsum " * 50
+    rows = [(1, pad + "Released under the MIT License. " + pad), (2, "Licensed under the Apache License, Version 2.0."), (3, "the public was licensed to rest"), (4, pad), (5, "license mit the under released"), (6, "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation")] + [(10 + i, "free software license license") for i in range(30)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["labels"] == "mit" and got[2]["labels"] == "apache-2.0" and got[6]["labels"] == "gpl" and got[6]["score"] > 0.9
+    assert got[3]["labels"] == got[4]["labels"] == got[5]["labels"] == got[12]["labels"] == ""
+
+
+# quality
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, sf).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in read(spark, sf, "labels").collect()}
+    held = [i for i in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in rows)
+    good, bad = [rows[i]["score"] for i in held if labels[i]], [rows[i]["score"] for i in held if not labels[i]]
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    right = np.mean([rows[i]["predicted"] == labels[i] for i in held])
+    assert auc > 0.97 and right > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
+
+
+def test_quality_learns_from_other_folds_only(spark, sf, odd_docs, no_docs):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    model = quality.learn(docs, labels)
+    assert model == quality.learn(docs, flipped)
+    out = quality.score(odd_docs, model)
+    assert out.count() == odd_docs.count() and sorted(out.columns) == sorted([*odd_docs.columns, "predicted"])
+    assert all(0 <= r["score"] <= 1 for r in out.collect())
+    nothing = quality.learn(docs, labels.limit(0))
+    assert {r["p"] for r in quality.score(docs.select("doc_id", "text"), nothing).select(F.col("score").alias("p")).collect()} == {0.5}
+    assert quality.score(no_docs, model).count() == 0
+
+
+# near duplicates
+
+
+def brute_sets(texts, size):
+    out = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        out[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    return out
+
+
+def brute_components(texts, size):
+    sets = brute_sets(texts, size)
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)):
+                common = len(x & y)
+                if 100 * common >= 80 * (len(x) + len(y) - common):
+                    p, q = root(a), root(b)
+                    parent[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_of_table(spark, sf, size):
+    texts = texts_of(spark, sf)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(read(spark, sf, "documents"), size).collect()}
+    assert got == brute_components(texts, size)
+
+
+def test_near_duplicates_in_small_blocks(spark):
+    """Chains, near copies around the limit and short texts, with blocks so small that groups span many."""
+    pick = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [str(w) for w in pick.choice(words, 120)]
+    texts = {}
+    for i in range(150):
+        own = list(base)
+        for at in pick.choice(len(own), pick.integers(0, 14), replace=False):
+            own[at] = f"x{i}y{at}"
+        texts[i] = " ".join(own)
+    for i in range(150, 190):  # a chain: each shares all but a few words with the one before
+        texts[i] = " ".join(f"c{k}" for k in range(i * 3, i * 3 + 40))
+    for i in range(190, 260):
+        texts[i] = " ".join(pick.choice(words[:9], pick.integers(1, 8)))
+    texts |= {260: "", 261: "  ", 262: texts[3], 263: texts[3], 264: texts[3].upper()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2, block=12).collect()}
+    assert got == brute_components(texts, 2)
+
+
+def test_near_duplicates_of_odd_documents(spark, odd_docs, no_docs):
+    rows = neardup.near_duplicates(odd_docs, 2).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    assert len(rows) == odd_docs.count()
+    assert by[8][0]["component_id"] == 7 and not by[8][0]["kept"] and by[10][0]["component_id"] == 9
+    assert by[None][0]["component_id"] is None and by[None][0]["kept"]
+    assert [by[i][0]["n_shingles"] for i in (1, 2, 3)] == [0, 0, 0] and all(by[i][0]["kept"] for i in (1, 2, 3))
+    kept = neardup.deduplicated(odd_docs, 2)
+    assert kept.columns == odd_docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, 9, None, 12]))
+    assert neardup.near_duplicates(no_docs, 2).count() == 0 and neardup.deduplicated(no_docs).count() == 0
+
+
+def test_registers_estimate_jaccard():
+    pick = np.random.default_rng(5)
+    errors = []
+    for _ in range(60):
+        both, own = pick.integers(200, 2000), pick.integers(10, 800)
+        hashes = pick.integers(0, 2**64, both + 2 * own, dtype=np.uint64)
+        a, b = np.unique(hashes[: both + own]), np.unique(np.concatenate([hashes[:both], hashes[both + own :]]))
+        x, y = shingles.registers(a), shingles.registers(b)
+        errors.append(shingles.estimated(x[None], y[None], len(a), len(b))[0] - both / (both + 2 * own))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+# media
+
+
+def test_media_round_trip(spark, sf, odd_docs):
+    docs = read(spark, sf, "documents").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    rows = media.sniff(media.store_text(docs), "media").withColumn("payload", media.samples()).collect()
+    texts = sorted((r["text"] or "").encode() for r in docs.collect())
+    assert sorted(bytes(r["payload"])[: r["n_bytes"]] for r in rows) == texts
+    for r in rows:
+        n = r["n_bytes"]
+        assert r["type"] == "audio/wav" and len(r["payload"]) == max(64, -(-n // 64) * 64) and not any(r["payload"][n:])
+        assert bytes(r["media"]) == media.to_wav(bytes(r["payload"])[:n])
+
+
+def test_media_query(spark, sf):
+    texts = texts_of(spark, sf)
+    for r in QUERIES["op9_media"](spark, sf).collect():
+        raw = texts[r["doc_id"]].encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r["media_sha256"] == hashlib.sha256(media.to_wav(raw)).hexdigest() and r["media_bytes"] == len(padded) + 44
+
+
+def png():
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\7")) + chunk(b"IEND", b"")
+
+
+def test_signatures(spark):
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00" + b"\x3b"
+    gz = zlib.compressobj(wbits=31)
+    zipped = gz.compress(b"hello") + gz.flush()
+    cases = [(1, png(), "image/png", "image/gif"), (2, gif, "image/gif", None), (3, zipped, "application/gzip", "x"), (4, b"BM plain words", media.UNKNOWN, media.UNKNOWN), (5, b"", media.UNKNOWN, "a"), (6, media.to_wav(b"abc" + png()), "audio/wav", "audio/wav"), (7, None, None, "a"), (8, png()[:-3], media.UNKNOWN, None), (9, b"%PDF-1.4 x %%EOF", "application/pdf", None)]
+    df = spark.createDataFrame([(i, b, d, "t") for i, b, _, d in cases], "id int, payload binary, said string, type string")
+    got = {r["id"]: r for r in media.sniff(df, "payload", "said").collect()}
+    for i, data, kind, said in cases:
+        assert got[i]["type"] == kind, i
+        assert got[i]["corrected"] == (None if data is None else said is not None and said != kind)
+    assert [tuple(e) for e in got[6]["embedded"]] == [("image/png", 47, len(png()))] and got[1]["length"] == len(png())
+    assert media.sniff(df.limit(0), "payload").count() == 0
+
+
+# packing
+
+
+def test_first_fit_decreasing():
+    pick = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = sorted((int(x) for x in pick.integers(1, 101, pick.integers(1, 120))), reverse=True)
+        free, want = [], []
+        for s in sizes:
+            at = next((i for i, f in enumerate(free) if f >= s), len(free))
+            if at == len(free):
+                free.append(100)
+            want.append((at, 100 - free[at]))
+            free[at] -= s
+        assert list(zip(*packing.first_fit_decreasing(sizes, 100), strict=True)) == want
+
+
+def check_packed(rows, ids_of, sequence=4096):
+    by_seq, by_doc = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        by_doc[r["doc_id"]].append(r)
+    for own in by_seq.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= sequence
+    for doc, ids in ids_of.items():
+        at = 0
+        for r in sorted(by_doc[doc], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    return sum(r["length"] for r in rows) / (sequence * len(by_seq))
+
+
+def test_packing_query(spark, sf):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer())
+    ids = {i: own.encode(t, add_special_tokens=False).ids + [2] for i, t in texts_of(spark, sf).items()}
+    assert check_packed(QUERIES["op10_packing"](spark, sf).collect(), ids) > 0.97
+
+
+def test_packing_of_odd_documents(spark, odd_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer())
+    tricky = ["it's<|endoftext|>we'll 12 345", "a\u00a0b\u2003c\x1cd\x85e\u0301 \u0301f", "<|startoftext|> \x0b x\x0cy", "ΣΑΣ ΣΑΣ. İstanbul 😀😀 \ufdd0", "x" * 20_000]
+    docs = odd_docs.where("doc_id not in (9)").select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(tricky)], "doc_id bigint, text string"))
+    rows = packing.pack(docs, tokenizer()).withColumn("ids_crc32", F.crc32("ids")).collect()
+    check_packed(rows, {r["doc_id"]: own.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in docs.collect()})
+    assert packing.pack(no_docs, tokenizer()).count() == 0
+    many = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("one two three").alias("text"))
+    assert packing.pack(many, tokenizer(), group_pieces=500).agg(F.sum("length")).first()[0] == 5000 * len(own.encode("one two three", add_special_tokens=False).ids + [2])
