@@ -37,6 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; beyond that Spark shuffles both sides of its join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.common import SPACES, stored, whole_text
+from postmill.llm.common import SPACES, small_side, stored, whole_text
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -27,6 +27,8 @@ MOST = 2
 BITS = 10
 LEVELS = 6
 SMALL = 8
+#: Tables of one row per source are broadcast up to so many sources (about 100 bytes each).
+MOST_SOURCES = 50_000
 
 
 def n_words(text: Column) -> Column:
@@ -87,13 +89,14 @@ def _crossing(rows: DataFrame, low: int) -> DataFrame:
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """key, budget, below, edge, held: rows (key, size, hash) of a key with hash < edge sum to below <= budget; with
     those at edge, which hold so much, they exceed it. No edge: all fit. Refines only boundary buckets."""
-    bounds = stored(_crossing(rows.join(budgets, "key").withColumn("base", F.lit(0).cast("bigint")), 60 - BITS), "mix")
+    bounds = stored(_crossing(rows.join(small_side(budgets, MOST_SOURCES), "key").withColumn("base", F.lit(0).cast("bigint")), 60 - BITS), "mix")
     for level in range(1, LEVELS):
         split = F.coalesce(F.col("edge") < F.col("last"), F.lit(False))
         if bounds.where(split).isEmpty():
             break
         low = 60 - (level + 1) * BITS
-        inside = rows.join(bounds.where(split).select("key", "budget", F.col("below").alias("base"), "own"), "key").where(F.shiftright("hash", low + BITS) == F.col("own"))
+        edges = bounds.where(split).select("key", "budget", F.col("below").alias("base"), "own")
+        inside = rows.join(small_side(edges, MOST_SOURCES), "key").where(F.shiftright("hash", low + BITS) == F.col("own"))
         bounds = stored(bounds.where(~split).unionByName(_crossing(inside, low)), "mix")
     return bounds.select("key", "budget", "below", "edge", "held")
 
@@ -111,7 +114,8 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     first = thresholds(core, goals.select("key", "budget")).withColumn("gap", F.col("budget") - F.col("below")).drop("budget", "below")
     small = F.when(F.col("edge").isNotNull(), F.floor(F.col("gap") / SMALL).cast("bigint"))
     goals = goals.join(first, "key", "left").withColumn("small", small)
-    rest = core.join(goals.select("key", "edge", "small"), "key").where((F.col("hash") > F.col("edge")) & (F.col("size") <= F.col("small"))).select("key", "size", "hash")
+    goals = stored(goals, "mix-goals")
+    rest = core.join(small_side(goals.select("key", "edge", "small"), MOST_SOURCES), "key").where((F.col("hash") > F.col("edge")) & (F.col("size") <= F.col("small"))).select("key", "size", "hash")
     second = thresholds(rest, goals.select("key", F.col("gap").alias("budget"))).select("key", F.col("below").alias("fill"), F.col("edge").alias("edge2"), F.col("held").alias("held2"))
     left = F.col("gap") - F.coalesce("fill", F.lit(0))
     over = F.col("held2") - left
@@ -128,7 +132,7 @@ def mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     below = edge.isNull() | (at < edge) | (F.col("with_edge") & (at == edge))
     filling = ~F.col("with_edge") & (at > edge) & (F.col("size") <= F.col("small")) & (edge2.isNull() | (at < edge2) | (F.col("with_edge2") & (at == edge2)))
     more = (below | F.coalesce(filling, F.lit(False))) & (F.col("whole") < MOST)
-    return rows.join(plan, "key").withColumn("copies", F.col("whole") + more.cast("bigint")).drop("key", "hash", "whole", "edge", "small", "edge2", "with_edge", "with_edge2")
+    return rows.join(small_side(plan, MOST_SOURCES), "key").withColumn("copies", F.col("whole") + more.cast("bigint")).drop("key", "hash", "whole", "edge", "small", "edge2", "with_edge", "with_edge2")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import stored, whole_text
+from postmill.llm.common import small_side, stored, whole_text
 
 BLOCK = 256
 #: Ids of at most so many documents (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
 
     # the full sets of the nodes in buckets, from one document each
     wanted = labels.join(nodes, "node").select(F.col("first_doc").alias("doc_id")).distinct()
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    ids = small_side(wanted, BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     again = _signed(texts, size, True).dropDuplicates(["node"]).join(labels.select("node"), "node", "left_semi")
     sets = stored(again.select("node", "n", "registers", "hashes"), "dup-sets")
@@ -223,7 +223,7 @@ def deduplicated(docs: DataFrame, size: int = 5, limit: float = 0.8) -> DataFram
     dropped = judged.where("not kept").select("doc_id").distinct()
     several = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     gone = stored(dropped.unionByName(several).distinct(), "dup-gone")
-    ids = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    ids = small_side(gone, BROADCAST_IDS)
     once = docs.join(ids, "doc_id", "left_anti")
     if several.isEmpty():
         return once

@@ -14,6 +14,7 @@ something Spark can read again in the same order (a table or file), as every sta
 from __future__ import annotations
 
 import os
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 2048
 #: Chunks of text whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
+#: Bytes of text that are encoded at once.
+SLAB = 2_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, row bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -46,43 +49,79 @@ class _Chunks(dict):
 
 class Coder:
     """ids of texts. White space is dropped by the tokenizer and no token reaches over it, so the ids of a text are
-    those of its chunks between ASCII white space, each encoded once and then remembered."""
+    those of its chunks between ASCII white space, each encoded once and then remembered.
+
+    A new chunk of Latin characters only is lower-cased and split as the tokenizer's own normaliser and
+    splitter would do, and the tokenizer's model is asked for the parts not seen before; any other chunk goes through the whole tokenizer.
+    """
+
+    #: Characters below U+0250 that NFC leaves alone and lower() maps one to one; no white space, no start of a special token.
+    PLAIN = "^[!-;=-~\u00a1-\u012f\u0131-\u024f]+$"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            steps = json.load(f)
+        split = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        ours = [x.get("type") for x in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        self.plain = regex.compile(self.PLAIN if ours else "(?!)").match
+        self.parts = regex.compile(split[0]["pattern"]["Regex"] if ours else "(?!)").findall
+        # byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
         self.forget()
 
     def forget(self) -> None:
         import numpy as np
 
-        self.chunks, self.starts, self.flat = _Chunks(), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.chunks, self.known, self.starts, self.flat = _Chunks(), {}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.known.get(part)
+        if ids is None:
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.known[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+        return ids
 
     def _learn(self) -> None:
         import numpy as np
 
-        found = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in self.chunks.fresh], add_special_tokens=False)]
-        ends = self.starts[-1] + np.cumsum([len(x) for x in found])
+        found = []
+        for chunk in self.chunks.fresh:
+            text = chunk.decode()
+            if self.plain(text):
+                found.append(b"".join(map(self._part, self.parts(text.lower()))))
+            else:
+                found.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+        ends = self.starts[-1] + np.cumsum([len(x) // 4 for x in found])
         self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
         self.chunks.fresh = []
 
-    def encode(self, text: str):
+    def encode(self, texts: list[bytes]) -> list:
+        """One array of ids per text."""
         import numpy as np
 
         if len(self.chunks) > REMEMBERED:
             self.forget()
-        words = text.encode().split()
-        codes = np.fromiter(map(self.chunks.__getitem__, words), np.int64, len(words))
+        words = [t.split() for t in texts]
+        codes = [np.fromiter(map(self.chunks.__getitem__, w), np.int64, len(w)) for w in words]
         if self.chunks.fresh:
             self._learn()
-        first = self.starts[codes]
-        sizes = self.starts[codes + 1] - first
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
+        out = []
+        for own in codes:
+            first = self.starts[own]
+            sizes = self.starts[own + 1] - first
+            ends = np.cumsum(sizes)
+            out.append(self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)])
+        return out
 
 
 def coder(path: str) -> Coder:
@@ -102,19 +141,22 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "row"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            held = 0
-            for doc_id, text, row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
-                ids = np.append(own.encode(text), np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), sequence):
-                    piece = ids[start : start + sequence]
-                    for column, value in zip(out, (doc_id, start, len(piece), piece.tobytes(), len(ids), row), strict=True):
-                        column.append(value)
-                    held += len(piece)
-                if held > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-                    out, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+            at = 0
+            while at < batch.num_rows:
+                texts, held = [], 0
+                while at + len(texts) < batch.num_rows and (held < SLAB or not texts):
+                    texts.append(batch.column(1)[at + len(texts)].as_buffer().to_pybytes())
+                    held += len(texts[-1])
+                own_rows = zip(batch.column(0).slice(at, len(texts)).to_pylist(), batch.column(2).slice(at, len(texts)).to_pylist(), own.encode(texts), strict=True)
+                out: list[list] = [[] for _ in names]
+                for doc_id, row, ids in own_rows:
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(ids), sequence):
+                        piece = ids[start : start + sequence]
+                        for column, value in zip(out, (doc_id, start, len(piece), piece.tobytes(), len(ids), row), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+                at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(cut, PIECES)
