@@ -1,3 +1,5 @@
-"""The same queries in DuckDB's SQL."""
+"""The queries in DuckDB's SQL."""
 
-ORACLES: dict = {}
+from postmill.queries import ORACLES
+
+__all__ = ["ORACLES"]

@@ -1,3 +1,913 @@
-"""Queries over the driver's tables, one per operator."""
+"""Queries over the driver's tables, one or more per operator, each with the same query in DuckDB's SQL where that can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postmill import values as V
+from postmill import views as W
+from postmill.functions import coerce, dates, hashing, text, urls, vectors, weights
+from postmill.operators import dedup, filters, ranking, render, state, verdict, viability
+from postmill.sources import ats, feeds, files, local
 
 QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def matches(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {quoted(pattern)})"
+
+
+def strip_sql(column: str) -> str:
+    return f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+
+
+J, FL, C, U = f"WITH {W.JOBS_SQL} ", f"WITH {W.FLAGGED_SQL} ", f"WITH {W.CALLS_SQL} ", f"WITH {W.USERS_SQL} "
+NOW = f"TIMESTAMP '{W.NOW}'"
+
+
+def embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+# filters
+
+LOW = "lower(coalesce(title, ''))"
+SENIOR, ROLE = matches("lower(title)", filters.SENIOR), matches("lower(title)", V.anywhere(V.ROLE_PATTERNS))
+INTERN = f"{matches("lower(coalesce(title, 'none'))", r"\bintern\b")} AND {matches("lower(coalesce(title, 'none'))", V.anywhere(V.INTERN_BLOCKERS))}"
+LOCKED = f"{matches("lower(coalesce(location, 'none'))", V.words(V.LOCKED_PLACES, ''))} AND NOT contains(lower(coalesce(location, 'none')), 'remote') AND NOT contains(lower(coalesce(title, 'none')), 'remote')"
+CJK = matches("coalesce(title, '')", "[一-鿿぀-ヿ가-힯]")
+
+
+@query(f"{J} SELECT ord, title FROM jobs WHERE NOT coalesce({SENIOR}, false)")
+def seniority_filter(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(~filters.senior(F.col("title"))).select("ord", "title")
+
+
+@query(f"{J} SELECT ord, title FROM jobs WHERE coalesce({ROLE}, false)")
+def role_whitelist(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(filters.tech_role(F.col("title"))).select("ord", "title")
+
+
+@query(f"{J} SELECT ord, title FROM jobs WHERE NOT ({INTERN})")
+def intern_blocker(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(~filters.blocked_intern(F.col("title"))).select("ord", "title")
+
+
+@query(f"{J} SELECT ord, location FROM jobs WHERE NOT ({LOCKED})")
+def location_lock(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(~filters.location_locked(F.col("title"), F.col("location"))).select("ord", "location")
+
+
+@query(f"{J} SELECT ord, title FROM jobs WHERE NOT {CJK}")
+def cjk_title(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(~filters.cjk(F.col("title"))).select("ord", "title")
+
+
+@query(f"{J} SELECT ord FROM jobs WHERE coalesce({matches('lower(title)', V.anywhere(V.FEED_ROLE_WORDS))}, false) AND posted >= {NOW} - INTERVAL 24 HOURS * 9000")
+def feed_recency(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir)
+    raw = F.when(F.col("ord") % 2 == 0, F.unix_timestamp(F.col("posted").cast("timestamp")).cast("string")).otherwise(F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss"))
+    return filters.filter_feed(jobs.withColumn("date_posted", raw), W.now(), 24 * 9000).select("ord")
+
+
+@query()
+def description_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", filters.english_description(F.col("text")).alias("english"), filters.language(F.col("text")).alias("guess"))
+
+
+FIRST_URL = "SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1"
+BARE = lambda c: f"lower({strip_sql(f"regexp_replace(coalesce({c}, 'none'), '\\s*\\(.*?\\)', '', 'g')")})"
+FIRST_TITLE = f"SELECT * FROM first_url QUALIFY row_number() OVER (PARTITION BY {BARE('title')}, {BARE('company')} ORDER BY ord) = 1"
+
+
+@query(f"{J} SELECT ord, job_url FROM ({FIRST_URL})")
+def url_dedup_keep_first(spark, sf_dir):
+    return dedup.first_by_url(W.jobs(spark, sf_dir)).select("ord", "job_url")
+
+
+@query(f"{J}, first_url AS ({FIRST_URL}) SELECT ord, title, company FROM ({FIRST_TITLE})")
+def title_company_dedup(spark, sf_dir):
+    return dedup.first_by_title(dedup.first_by_url(W.jobs(spark, sf_dir))).select("ord", "title", "company")
+
+
+@query(f"{FL} SELECT ord, coalesce(low, false) AS pre_flagged_low_quality, coalesce(good, false) AS pre_flagged_trusted FROM flagged")
+def reputation_flags(spark, sf_dir):
+    return W.flagged(spark, sf_dir).select("ord", "pre_flagged_low_quality", "pre_flagged_trusted")
+
+
+SEEN_SQL = "seen AS (SELECT DISTINCT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, concat('https://jobs.example.com/jobs/', CAST(event_id % 4000 AS STRING)) AS job_url FROM events)"
+
+
+def seen(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id"), F.concat(F.lit("https://jobs.example.com/jobs/"), (F.col("event_id") % 4000).cast("string")).alias("job_url"), F.col("ts").cast("timestamp").alias("evaluated_at"))
+
+
+@query(f"WITH {W.JOBS_SQL}, {SEEN_SQL} SELECT j.ord FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = j.user_id AND s.job_url = j.job_url)")
+def seen_anti_join(spark, sf_dir):
+    return dedup.unseen(W.jobs(spark, sf_dir), seen(spark, sf_dir)).select("ord")
+
+
+@query(f"WITH {W.JOBS_SQL}, {SEEN_SQL} SELECT user_id, job_url, count(*) AS n FROM (SELECT user_id, job_url FROM seen UNION SELECT user_id, job_url FROM jobs) GROUP BY 1, 2")
+def seen_upsert_donothing(spark, sf_dir):
+    old = seen(spark, sf_dir).groupBy("user_id", "job_url").agg(F.min("evaluated_at").alias("evaluated_at"))
+    new = W.jobs(spark, sf_dir).select("user_id", "job_url", W.now().alias("evaluated_at")).dropDuplicates(["user_id", "job_url"])
+    return state.insert_new(old, new, ["user_id", "job_url"]).groupBy("user_id", "job_url").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {W.FLAGGED_SQL}, first_url AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1), kept AS ({FIRST_TITLE})
+SELECT ord, title FROM kept WHERE NOT {CJK} AND NOT ({LOCKED}) AND NOT coalesce({SENIOR}, false) AND coalesce({ROLE}, false) AND NOT ({INTERN}) AND length(coalesce(title, '')) < 30
+AND (length(coalesce(description, '')) < 100 OR NOT contains(coalesce(description, ''), 'zzzz'))""")
+def filter_chain(spark, sf_dir):
+    return filters.filter_postings(W.jobs(spark, sf_dir)).where(F.length(F.coalesce("title", F.lit(""))) < 30).select("ord", "title")
+
+
+# viability
+
+
+def _other_sql(at: str, length: str) -> str:
+    first = f"greatest({at} - 14, 1)"
+    return matches(f"substr(d, CAST({first} AS BIGINT), CAST({at} + {length} + 12 - {first} AS BIGINT))", viability.OTHER_YEARS)
+
+
+def _requirement_sql() -> str:
+    out = []
+    grab = lambda p: f"regexp_extract(d, {quoted(p)})"
+    for p in (viability.YEARS_RANGE, *viability.REQUIRED_YEARS):
+        m = grab(p)
+        high = f"AND CAST(regexp_extract(d, {quoted(p)}, 1) AS INTEGER) >= 5 " if p == viability.YEARS_RANGE else ""
+        out.append(f"CASE WHEN {m} <> '' {high}AND NOT {_other_sql(f'strpos(d, {m})', f'length({m})')} THEN {m} END")
+    out += [f"nullif({grab(p)}, '')" for p in viability.SENIOR_TITLES]
+    return "coalesce(" + ", ".join(out) + ")"
+
+
+GEO_LOCK = viability.GEO_LOCK.replace("(?U)", "")
+PLACE = viability.PLACE_LOCK.replace("(?iU)", "(?i)"), viability.PLACE_REMOTE.replace("(?iU)", "(?i)")
+REASON = (
+    "CASE WHEN coalesce(low, false) THEN 'blacklisted by reputation list' "
+    + " ".join(f"WHEN contains(t, '{s}') THEN 'non-tech role signal in title ({s.strip()})'" for s in V.NON_TECH_SIGNALS)
+    + " WHEN NOT (b IN ('', 'nan', 'none', 'null') OR length(b) < 20 OR starts_with(s, 'ddg_') OR s IN ('telegram', 'jobs_ps') OR o = 'local' OR starts_with(t, 'linkedin post:') OR contains(d, '[no description') OR contains(d, '[description truncated')) AND length(b) < 150 THEN concat('description too short (', length(b), ' chars)')"
+    + " WHEN need IS NOT NULL THEN concat('senior experience requirement in description (', need, ')') "
+    + " ".join(f"WHEN {matches('d', p)} THEN {quoted('hard disqualifier: ' + r)}" for p, r in viability.DISQUALIFIERS)
+    + f" WHEN {matches('d', GEO_LOCK)} THEN concat('hard disqualifier: geo-locked (', trim(substr(regexp_extract(d, {quoted(GEO_LOCK)}), 1, 60)), ')')"
+    + f" WHEN {matches('place', PLACE[0])} OR {matches('place', PLACE[1])} THEN concat('location geo-locked (', substr(place, 1, 60), ')') END"
+)
+
+
+@query(f"""{FL}, parts AS (SELECT ord, low, lower(coalesce(title, '')) AS t, lower(coalesce(description, '')) AS d, trim(lower(coalesce(description, ''))) AS b, lower(coalesce(source, '')) AS s, lower(coalesce(origin, '')) AS o, trim(coalesce(location, '')) AS place FROM flagged),
+needs AS (SELECT *, trim({_requirement_sql()}) AS need FROM parts) SELECT ord, {REASON} AS skip_reason FROM needs""")
+def viability_reason(spark, sf_dir):
+    return viability.gate(W.flagged(spark, sf_dir)).select("ord", "skip_reason")
+
+
+@query(f"WITH d AS (SELECT ord, lower(coalesce(description, '')) AS d FROM ({W.select_sql(W.JOB, 'orders')})) SELECT ord, {_requirement_sql()} AS phrase FROM d")
+def senior_requirement(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", viability.senior_requirement(F.lower(F.coalesce("description", F.lit("")))).alias("phrase"))
+
+
+@query(f"WITH d AS (SELECT ord, lower(coalesce(description, '')) AS d FROM ({W.select_sql(W.JOB, 'orders')})) SELECT ord, {W.any_of('d', V.WEB_TRIGGERS)} OR ({W.any_of('d', V.WEB_AMBIGUOUS)} AND NOT {W.any_of('d', V.WEB_GLOBAL)}) AS wanted FROM d")
+def web_search_trigger(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", viability.wants_web_search(F.col("description")).alias("wanted"))
+
+
+# weights and ranking
+
+REGION_TEXT = "concat(coalesce(location, ''), ' ', coalesce(title, ''), ' ', coalesce(company, ''), ' ', substr(coalesce(description, ''), 1, 1200))"
+_names = lambda n: V.words(V.REGION_NAMES[n], "(?i)").replace(r"(?<!new\s+)", "").replace(r"(?<!new\s)", "")
+REGION = "CASE " + " ".join(f"WHEN {matches(REGION_TEXT, _names(n))} THEN '{n}'" for n in ("heavily_deweighted", "highly_preferred", "preferred", "deweighted")) + " ELSE 'neutral' END"
+REGION_WEIGHT = f"CASE {REGION} " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in V.REGION_WEIGHTS.items()) + " END"
+TIER = f"CASE WHEN trim(coalesce(title, '')) = '' THEN 'other' WHEN {matches('title', V.words(V.AI_ROLES, '(?i)'))} THEN 'ai' WHEN {matches('title', V.words(V.SOFTWARE_ROLES, '(?i)'))} THEN 'swe' ELSE 'other' END"
+ROLE_WEIGHT = f"CASE {TIER} WHEN 'ai' THEN 1.2 WHEN 'swe' THEN 1.1 ELSE 1.0 END"
+TRUST = "CASE WHEN coalesce(good, false) THEN 1.25 ELSE 1.0 END"
+COMBINED = f"CAST({REGION_WEIGHT} AS DOUBLE) * CAST({TRUST} AS DOUBLE) * CAST({ROLE_WEIGHT} AS DOUBLE)"
+
+
+@query(f"{J} SELECT ord, {REGION} AS region, CAST({REGION_WEIGHT} AS DOUBLE) AS weight FROM jobs")
+def region_weight(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", weights.region().alias("region"), weights.region_weight().alias("weight"))
+
+
+@query(f"{J} SELECT ord, {TIER} AS tier, CAST({ROLE_WEIGHT} AS DOUBLE) AS weight FROM jobs")
+def role_weight(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", weights.role_tier(F.col("title")).alias("tier"), weights.role_weight(F.col("title")).alias("weight"))
+
+
+CHOSEN = ("backend", "mobile", "data_engineering", "unheard_of")
+
+
+@query(f"{J} SELECT ord, CAST(CASE WHEN {' OR '.join(matches("coalesce(title, '')", V.words(V.PATHS[p], '(?i)')) for p in CHOSEN[:3])} THEN 1.2 ELSE 1.0 END AS DOUBLE) AS weight FROM jobs")
+def path_weight(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", weights.role_weight(F.col("title"), F.array(*map(F.lit, CHOSEN))).alias("weight"))
+
+
+@query(f"{FL} SELECT ord, round({COMBINED}, 6) AS weight FROM flagged")
+def combined_weight(spark, sf_dir):
+    return W.flagged(spark, sf_dir).select("ord", F.round(weights.combined_weight(F.col("title"), F.col("pre_flagged_trusted")), 6).alias("weight"))
+
+
+@query("SELECT n_nationkey, 'Data Science, Ai Ml, Devops' AS labels, 'data_science,devops' AS known FROM nation")
+def path_labels(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    paths = F.array(*map(F.lit, ("data_science", "ai_ml", "devops")))
+    odd = F.array(*map(F.lit, ("data_science", "nothing", "data_science", "devops")))
+    return nation.select("n_nationkey", weights.path_labels(paths).alias("labels"), F.array_join(weights.known_paths(odd), ",").alias("known"))
+
+
+VECTOR_SQL = "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings), cv AS (SELECT e AS c FROM vectors WHERE vec_id = 0)"
+
+
+def scored(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    n = e.count()
+    own = W.flagged(spark, sf_dir).drop("similarity").withColumn("vec_id", F.when(F.col("ord") % 17 > 0, F.col("ord") % n))
+    vectors_ = own.select("job_url", "ord", "vec_id").join(e.select("vec_id", "embedding"), "vec_id", "left").select("ord", "embedding")
+    profile = e.where("vec_id = 0").first()["embedding"]
+    cv = F.array(*[F.lit(float(x)) for x in profile])
+    with_vector = own.join(vectors_, "ord")
+    return with_vector.withColumn("similarity", vectors.cosine(F.col("embedding"), cv)).withColumn("weighted_score", F.col("similarity") * weights.combined_weight(F.col("title"), F.col("pre_flagged_trusted")))
+
+
+SCORED_SQL = f"{W.FLAGGED_SQL}, {VECTOR_SQL}, scored AS (SELECT f.* EXCLUDE (similarity), v.e, CASE WHEN v.e IS NULL THEN 0.0 ELSE list_cosine_similarity(v.e, (SELECT c FROM cv)) END AS similarity, CASE WHEN v.e IS NULL THEN 0.0 ELSE list_cosine_similarity(v.e, (SELECT c FROM cv)) END * {COMBINED} AS weighted_score FROM flagged f LEFT JOIN vectors v ON v.vec_id = CASE WHEN f.ord % 17 > 0 THEN f.ord % (SELECT max(n) FROM vectors) END)"
+
+
+@query(f"""WITH {SCORED_SQL}, first_url AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1), kept AS ({FIRST_TITLE})
+SELECT user_id, CAST(rank AS INT) AS rank, ord, round(weighted_score, 6) AS weighted_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weighted_score, 9) DESC, ord) AS rank FROM kept WHERE NOT ({LOCKED}) AND NOT coalesce({SENIOR}, false) AND coalesce({ROLE}, false) AND NOT ({INTERN})) WHERE rank <= 10""")
+def flagship_rank_topn(spark, sf_dir):
+    jobs = dedup.first_by_title(dedup.first_by_url(scored(spark, sf_dir)))
+    title = F.col("title")
+    kept = jobs.where(~filters.location_locked(title, F.col("location")) & ~filters.senior(title) & filters.tech_role(title) & ~filters.blocked_intern(title))
+    return dedup.ranked(kept, ["user_id"], [F.round("weighted_score", 9).desc(), F.asc("ord")], 10).select("user_id", "rank", "ord", F.round("weighted_score", 6).alias("weighted_score"))
+
+
+@query(f"WITH {SCORED_SQL} SELECT ord FROM scored WHERE NOT (e IS NOT NULL AND similarity < 0.1 AND coalesce(lower(origin), '') <> 'local')")
+def similarity_floor(spark, sf_dir):
+    return scored(spark, sf_dir).where(filters.above_floor(F.col("embedding").isNotNull(), F.col("similarity"), F.col("origin"), 0.1)).select("ord")
+
+
+SPLIT_SQL = """placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(similarity, 0) DESC, ord) AS place FROM jobs), drawn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (place <= 55)::INT, sha256(concat('42:', coalesce(job_url, ''))), ord) AS draw FROM placed),
+named AS (SELECT *, CASE WHEN place <= 55 THEN 'top' WHEN draw <= 5 THEN 'wildcard' ELSE 'lower' END AS part FROM drawn), ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY coalesce(similarity, 0) DESC, ord) AS rank FROM named)"""
+
+
+@query(f"WITH {W.JOBS_SQL}, {SPLIT_SQL} SELECT user_id, part, CAST(rank AS INT) AS rank, ord FROM ranked WHERE part <> 'lower' OR rank <= 25")
+def topn_wildcard_split(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir).withColumn("weighted_score", F.coalesce(F.col("similarity").cast("double"), F.lit(0.0)))
+    return ranking.top_and_wildcards(jobs, ["user_id"]).select("user_id", "part", "rank", "ord")
+
+
+NUMBER = "TRY_CAST(regexp_replace(match_text, '%$', '') AS DOUBLE)"
+
+
+@query(f"{FL} SELECT user_id, CAST(rank AS INT) AS rank, ord FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce({NUMBER}, -1) DESC, coalesce(similarity, 0) DESC, ord) AS rank FROM flagged WHERE NOT coalesce(low, false) AND NOT suspicious AND NOT scam) WHERE rank <= 15")
+def lower_ranked_shown(spark, sf_dir):
+    jobs = W.flagged(spark, sf_dir).withColumns({"match_percentage": F.col("match_text"), "weighted_score": F.lit(None).cast("double"), "similarity": F.col("similarity").cast("double")})
+    return ranking.lower_ranked_shown(jobs, ["user_id"]).select("user_id", "rank", "ord")
+
+
+@query(f"{J} SELECT ord, CAST(row_number() OVER (ORDER BY coalesce({NUMBER}, -1) DESC, tech_fit DESC, ord) AS INT) AS place FROM jobs WHERE ord % 20 = 0 ORDER BY place LIMIT 100")
+def match_sort_top(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir).where("ord % 20 = 0").withColumn("match_percentage", F.col("match_text"))
+    best = ranking.sort_by_match(jobs).limit(100)
+    match = F.coalesce(coerce.match_number(F.col("match_percentage")), F.lit(-1.0))
+    return dedup.ranked(best, [], [match.desc(), F.desc("tech_fit"), F.asc("ord")], 100, "place").select("ord", "place")
+
+
+@query(f"{J} SELECT ord FROM jobs WHERE {NUMBER} IS NULL OR {NUMBER} < 0 OR {NUMBER} >= 55")
+def display_floor(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(ranking.shown(F.col("match_text"))).select("ord")
+
+
+@query(f"{J} SELECT ord FROM jobs WHERE ord % 60 <= 0 OR coalesce({NUMBER}, 0) >= ord % 60")
+def minimum_match(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(ranking.meets_minimum(F.col("match_text"), F.col("ord") % 60)).select("ord")
+
+
+@query(f"{J} SELECT user_id, count(*) FILTER (WHERE intern) AS internships, count(*) FILTER (WHERE NOT intern) AS others FROM (SELECT user_id, contains({LOW}, 'intern') OR job_type = 'internship' AS intern FROM jobs WHERE {NUMBER} IS NULL OR {NUMBER} < 0 OR {NUMBER} >= 55) GROUP BY user_id")
+def internship_split(spark, sf_dir):
+    shown = W.jobs(spark, sf_dir).where(ranking.shown(F.col("match_text"))).select("user_id", ranking.is_internship(F.col("title"), F.col("job_type")).alias("i"))
+    return shown.groupBy("user_id").agg(F.count_if("i").alias("internships"), F.count_if(~F.col("i")).alias("others"))
+
+
+PAIR = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def _postings(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    scaled = e.where("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    both = e.select("vec_id", "embedding").unionByName(scaled.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")))
+    return both.select(F.col("vec_id").cast("string").alias("job_url"), F.when(F.col("vec_id") % 37 > 0, F.col("embedding")).alias("embedding"))
+
+
+POSTINGS = "posts AS (SELECT CAST(vec_id AS STRING) AS job_url, CASE WHEN vec_id % 37 > 0 THEN e END AS embedding FROM (SELECT vec_id, embedding AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x * 2) FROM embeddings WHERE vec_id % 10 = 0))"
+
+
+def _semantic_sql(threshold: float) -> str:
+    return f"WITH {POSTINGS}, past AS (SELECT CAST(vec_id AS STRING) AS job_url, embedding FROM embeddings WHERE vec_id % 2 = 0) SELECT a.job_url FROM posts a WHERE NOT EXISTS (SELECT 1 FROM past b WHERE a.embedding IS NOT NULL AND a.job_url <> b.job_url AND {PAIR} >= {threshold})"
+
+
+def _semantic(spark, sf_dir, threshold):
+    past = embeddings(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
+    return dedup.drop_similar(_postings(spark, sf_dir), past, threshold).select("job_url")
+
+
+@query(_semantic_sql(0.97))
+def semantic_dedup(spark, sf_dir):
+    return _semantic(spark, sf_dir, 0.97)
+
+
+@query(_semantic_sql(0.45))
+def semantic_dedup_low_threshold(spark, sf_dir):
+    return _semantic(spark, sf_dir, 0.45)
+
+
+@query()
+def semantic_dedup_lsh(spark, sf_dir):
+    past = embeddings(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
+    return dedup.drop_similar_lsh(_postings(spark, sf_dir), past).select("job_url")
+
+
+@query("""WITH q AS (SELECT label, vec_id AS ord, embedding FROM embeddings WHERE vec_id % 5 = 0), f AS (SELECT label, vec_id AS entry, embedding FROM embeddings WHERE vec_id % 5 > 0)
+SELECT * FROM (SELECT a.label, a.ord, CAST(row_number() OVER (PARTITION BY a.label, a.ord ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.entry) AS INT) AS rank, b.entry FROM q a JOIN f b USING (label)) WHERE rank <= 5""")
+def feedback_topk(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    jobs = e.where("vec_id % 5 = 0").select("label", F.col("vec_id").alias("ord"), "embedding")
+    log = e.where("vec_id % 5 > 0").select("label", F.col("vec_id").alias("entry"), "embedding")
+    return ranking.relevant_feedback(jobs, log, ["label"]).select("label", "ord", "rank", "entry")
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding[1:10]::DOUBLE[], embedding[2:11]::DOUBLE[]), 6) AS shifted, 0.0::DOUBLE AS zero, 0.0::DOUBLE AS nothing FROM embeddings")
+def cosine_cases(spark, sf_dir):
+    e = F.col("embedding")
+    zero = F.array_repeat(F.lit(0.0), 64)
+    return embeddings(spark, sf_dir).select("vec_id", F.round(vectors.cosine(F.slice(e, 1, 10), F.slice(e, 2, 10)), 6).alias("shifted"), vectors.cosine(e, zero).alias("zero"), vectors.cosine(e, F.lit(None).cast("array<double>")).alias("nothing"))
+
+
+@query("SELECT vec_id, 64::INT AS n FROM embeddings")
+def vector_codec(spark, sf_dir):
+    back = vectors.from_literal(vectors.to_literal(F.col("embedding").cast("array<double>")))
+    return embeddings(spark, sf_dir).where(back == F.col("embedding").cast("array<double>")).select("vec_id", F.size(back).alias("n"))
+
+
+# usage, schedules, retention
+
+
+@query(f"""{C}, daily AS (SELECT *, CAST(timezone('Asia/Jerusalem', timezone('UTC', ts)) AS DATE) AS day FROM calls),
+peaks AS (SELECT user_id, provider, model, day, max(n) AS peak_rpm FROM (SELECT *, count(*) OVER (PARTITION BY user_id, provider, model, day ORDER BY date_trunc('second', ts) RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM daily) GROUP BY 1, 2, 3, 4)
+SELECT user_id, provider, model, CAST(day AS STRING) AS day, count(*) AS requests, count(*) FILTER (WHERE NOT ok) AS requests_failed, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(max(peak_rpm) AS BIGINT) AS peak_rpm FROM daily JOIN peaks USING (user_id, provider, model, day) GROUP BY 1, 2, 3, 4""")
+def usage_daily(spark, sf_dir):
+    return state.usage(W.calls(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"{C} SELECT provider, CAST(max(n) AS BIGINT) AS peak_rpm FROM (SELECT provider, count(*) OVER (PARTITION BY provider ORDER BY date_trunc('second', ts) RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM calls) GROUP BY 1")
+def peak_rpm(spark, sf_dir):
+    return state.peak_per_minute(W.calls(spark, sf_dir), ["provider"])
+
+
+@query(f"{C} SELECT user_id, provider, model, CAST(CAST(timezone('Asia/Jerusalem', timezone('UTC', ts)) AS DATE) AS STRING) AS day, CAST(2 * count(*) AS BIGINT) AS requests, CAST(2 * sum(tokens) AS BIGINT) AS tokens FROM calls GROUP BY 1, 2, 3, 4")
+def usage_merge(spark, sf_dir):
+    own = state.usage(W.calls(spark, sf_dir))
+    return state.add_usage(own, own).select("user_id", "provider", "model", F.col("day").cast("string").alias("day"), "requests", "tokens")
+
+
+@query(f"""{C}, n AS (SELECT provider, ord, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS asked, row_number() OVER (PARTITION BY provider ORDER BY date_trunc('second', ts), ord) - 1 AS i FROM calls)
+SELECT provider, ord, round(i * 13.2 + max(asked - i * 13.2) OVER (PARTITION BY provider ORDER BY i), 3) AS start FROM n""")
+def rate_limit_schedule(spark, sf_dir):
+    calls = W.calls(spark, sf_dir).select("provider", "ord", F.unix_timestamp("ts").cast("double").alias("at"))
+    return state.rate_limited(calls, ["provider"], state.min_interval(5, 1.1)).select("provider", "ord", F.round("start", 3).alias("start"))
+
+
+@query(f"{C} SELECT provider, ord, CAST((row_number() OVER (PARTITION BY provider ORDER BY ord) - 1) % 3 AS INT) AS account FROM calls")
+def round_robin(spark, sf_dir):
+    return state.round_robin(W.calls(spark, sf_dir), ["provider"], 3).select("provider", "ord", "account")
+
+
+@query("""SELECT o_orderkey, CAST(CASE WHEN a + s > n THEN a + s ELSE a + s * (floor((n - a) / s) + 1) END AS BIGINT) AS next_run FROM (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS a, greatest(1, o_orderkey % 50) * 3600 AS s, CAST(epoch(TIMESTAMP '2024-01-20 12:34:56') AS BIGINT) AS n FROM orders)""")
+def next_run_anchored(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", F.unix_timestamp(dates.next_anchored(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 50, W.now())).alias("next_run"))
+
+
+@query("SELECT event_id, CAST(CAST(timezone('Asia/Jerusalem', timezone('UTC', ts)) AS DATE) AS STRING) AS day, CAST(epoch(timezone('Asia/Jerusalem', date_trunc('day', timezone('Asia/Jerusalem', timezone('UTC', ts))))) AS BIGINT) AS day_start FROM events")
+def budget_day(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.select("event_id", dates.budget_day(F.col("ts")).cast("string").alias("day"), F.unix_timestamp(dates.budget_day_start(F.col("ts"))).alias("day_start"))
+
+
+@query(f"WITH {W.USERS_SQL}, {W.CALLS_SQL}, used AS (SELECT user_id, count(*) AS n FROM calls WHERE ts >= TIMESTAMP '2024-01-19 22:00:00' GROUP BY 1) SELECT user_id, coalesce(n, 0) AS used, is_admin OR coalesce(n, 0) < 2 AS allowed FROM users LEFT JOIN used USING (user_id)")
+def runs_used_today(spark, sf_dir):
+    runs = W.calls(spark, sf_dir).select("user_id", F.col("ts").alias("started_at"))
+    return state.may_run(W.users(spark, sf_dir), runs, W.now()).select("user_id", "used", "allowed")
+
+
+@query(f"""WITH {W.USERS_SQL}, q AS (SELECT concat('u', CAST(o_custkey AS STRING)) AS user_id, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)
+SELECT user_id, CAST(n AS INT) AS queries FROM users JOIN q USING (user_id) WHERE is_active AND frequency_hours <= 12 AND is_whitelisted AND trim(cv_text) <> ''""")
+def due_users(spark, sf_dir):
+    users = W.users(spark, sf_dir)
+    preferences = users.select("user_id", "is_active", (W.now() + F.make_dt_interval(hours=(F.col("frequency_hours") - 12).cast("int"))).alias("next_run_at"))
+    searches = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), F.col("o_orderpriority").alias("search_term"), F.col("o_orderstatus").alias("location"), (F.col("o_orderkey") % 3 != 0).alias("is_active"))
+    return state.due_users(preferences, users.select("user_id", "is_whitelisted", "cv_text"), searches, W.now()).select("user_id", F.size("queries").alias("queries"))
+
+
+@query(f"{U}, d AS (SELECT user_id, max(o_orderdate) AS last FROM users LEFT JOIN orders ON user_id = concat('u', CAST(o_custkey AS STRING)) GROUP BY 1) SELECT user_id FROM d WHERE last IS NULL OR last < TIMESTAMP '1998-01-06 00:00:00' - INTERVAL 5 DAYS")
+def digest_due(spark, sf_dir):
+    last = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id")).agg(F.max(F.col("o_orderdate").cast("timestamp")).alias("last_digest_at"))
+    return state.digest_due(W.users(spark, sf_dir).select("user_id").join(last, "user_id", "left"), F.lit("1998-01-06").cast("timestamp")).select("user_id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderdate < TIMESTAMP '1996-06-01 00:00:00' - INTERVAL 90 DAYS AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3))")
+def retention_results(spark, sf_dir):
+    results = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    marks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 3").select(F.col("l_orderkey").alias("job_result_id"))
+    return state.purge_results(results, marks, F.lit("1996-06-01").cast("timestamp")).select("id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAYS")
+def retention_seen(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return state.purge(events, "ts", F.lit("2024-04-15").cast("timestamp"), V.LOOKBACK_DAYS["seen_purge"]).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:34:56' - INTERVAL 14 DAYS ORDER BY ts DESC, event_id LIMIT 50")
+def ttl_cap_cache(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return state.newest(state.prune_history(events, W.now(), at="ts"), [F.desc("ts"), F.asc("event_id")], 50).select("event_id")
+
+
+@query("""WITH e AS (SELECT sha256(CAST(event_id % 3000 AS STRING)) AS hash, ts, event_id FROM events), old AS (SELECT hash, min(ts) AS ts FROM e WHERE event_id % 2 = 0 GROUP BY 1), new AS (SELECT hash, max(ts) AS ts FROM e WHERE event_id % 2 = 1 GROUP BY 1),
+merged AS (SELECT coalesce(o.hash, n.hash) AS hash, coalesce(o.ts, n.ts) AS ts FROM old o FULL JOIN new n USING (hash)) SELECT hash FROM merged WHERE ts >= TIMESTAMP '2024-01-20 12:34:56' - INTERVAL 14 DAYS ORDER BY ts DESC, hash LIMIT 600""")
+def text_cache(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.sha2((F.col("event_id") % 3000).cast("string"), 256).alias("hash"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    old = e.where("event_id % 2 = 0").groupBy("hash").agg(F.min("ts").alias("ts"))
+    new = e.where("event_id % 2 = 1").groupBy("hash").agg(F.max("ts").alias("ts"))
+    return state.text_cache(old, new, W.now(), 600).select("hash")
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.text = documents.text AND b.doc_id % 4 = 0)")
+def embedding_cache_misses(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cache = docs.where("doc_id % 4 = 0").select(F.sha2("text", 256).alias("hash")).distinct()
+    missed = state.missing_texts(docs, cache)
+    return missed.join(docs.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id")), "hash").select("doc_id", "hash")
+
+
+@query(f"{J} SELECT user_id, job_url, max(ord) AS ord FROM jobs GROUP BY 1, 2")
+def history_upsert(spark, sf_dir):
+    j = W.jobs(spark, sf_dir).select("user_id", "job_url", "ord")
+    return state.upsert_latest(j.where("ord % 2 = 0"), j.where("ord % 2 = 1"), ["user_id", "job_url"], "ord")
+
+
+# feedback
+
+
+@query("SELECT conv_id, count(*) AS n, string_agg(concat(role, ': ', length(text)), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def digest_input(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return state.digest_input(talk, F.concat(F.col("role"), F.lit(": "), F.length("text").cast("string")), ["conv_id"], "turn").withColumn("n", F.col("n").cast("bigint"))
+
+
+KINDS = "CASE turn % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'block_company' WHEN 2 THEN 'nonsense' ELSE 'other' END"
+
+
+def entries(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return talk.select("conv_id", "turn", F.expr(KINDS).alias("feedback_type"), F.expr("CASE WHEN conv_id % 6 = 0 THEN ' ' ELSE concat('https://x/', CAST(conv_id AS STRING)) END").alias("job_url"), F.expr("concat('Firm ', CAST(conv_id % 20 AS STRING))").alias("company"), F.col("role").alias("title"), F.lit(None).cast("string").alias("location"), F.col("text").alias("note"), F.lit("2024-01-01").alias("date"))
+
+
+ENTRIES = f"entries AS (SELECT conv_id, turn, {KINDS} AS feedback_type, CASE WHEN conv_id % 6 = 0 THEN ' ' ELSE concat('https://x/', CAST(conv_id AS STRING)) END AS job_url, concat('Firm ', CAST(conv_id % 20 AS STRING)) AS company, role AS title, text AS note FROM conversations)"
+
+
+@query(f"WITH {ENTRIES} SELECT feedback_type, company, count(*) AS n, CAST(sum(least(length(note), 1000)) AS BIGINT) AS length FROM entries WHERE feedback_type IN ('applied', 'block_company', 'other') AND trim(job_url) <> '' GROUP BY 1, 2")
+def feedback_sanitised(spark, sf_dir):
+    return state.sanitised(entries(spark, sf_dir)).groupBy("feedback_type", "company").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("note")).cast("bigint").alias("length"))
+
+
+@query(f"WITH {ENTRIES} SELECT DISTINCT lower(company) AS pattern FROM entries WHERE feedback_type = 'block_company' UNION SELECT 'firm 1' UNION SELECT 'acme'")
+def blocked_companies(spark, sf_dir):
+    old = spark.createDataFrame([("firm 1",), ("acme",)], "pattern string")
+    return state.blocked_companies(old, entries(spark, sf_dir))
+
+
+@query("SELECT doc_id AS feedback_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def feedback_needs_vector(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("feedback_id"))
+    return state.needing_vectors(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("feedback_id")))
+
+
+@query("SELECT conv_id AS user_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS position, CAST(turn AS STRING) AS entry FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 2")
+def feedback_missing_suffix(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    log = talk.groupBy(F.col("conv_id").alias("user_id")).agg(F.transform(F.sort_array(F.collect_list("turn")), lambda t: t.cast("string")).alias("entries")).withColumn("vectors", F.slice("entries", 1, 2))
+    return state.missing_suffix(log)
+
+
+@query("SELECT conv_id AS user_id, count(*) AS n FROM conversations GROUP BY 1")
+def feedback_counts(spark, sf_dir):
+    return state.feedback_counts(spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("conv_id", "user_id"))
+
+
+@query(f"WITH {ENTRIES} SELECT conv_id, turn, concat_ws(' | ', concat('type: ', feedback_type), concat('title: ', title), concat('company: ', company)) AS line FROM entries")
+def feedback_line(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return e.select("conv_id", "turn", text.feedback_text(F.col("feedback_type"), F.col("title"), F.col("company"), F.lit(None).cast("string"), F.col("location")).alias("line"))
+
+
+# statistics
+
+
+@query(f"{J} SELECT user_id, count(*) AS scraped, count(*) FILTER (WHERE ord % 2 = 0) AS filtered, count(*) FILTER (WHERE ord % 4 = 0) AS ai_evaluated, count(*) FILTER (WHERE ord % 8 = 0) AS approved, count(*) FILTER (WHERE ord % 4 = 2) AS lower_ranked FROM jobs GROUP BY 1")
+def run_stats(spark, sf_dir):
+    k = F.col("ord")
+    return state.run_stats(W.jobs(spark, sf_dir).withColumns({"filtered": k % 2 == 0, "ai_evaluated": k % 4 == 0, "approved": k % 8 == 0, "lower_ranked": k % 4 == 2}), ["user_id"])
+
+
+@query(f"{J} SELECT user_id, CAST(min(similarity) AS DOUBLE) AS least, CAST(max(similarity) AS DOUBLE) AS most, round(CAST(median(similarity) AS DOUBLE), 6) AS middle FROM jobs GROUP BY 1")
+def similarity_summary(spark, sf_dir):
+    return state.similarity_summary(W.jobs(spark, sf_dir).withColumn("similarity", F.col("similarity").cast("double")), ["user_id"]).withColumn("middle", F.round("middle", 6))
+
+
+@query(f"{J} SELECT source, count(*) AS n FROM jobs GROUP BY 1")
+def source_counts(spark, sf_dir):
+    return local.source_counts(W.jobs(spark, sf_dir))
+
+
+@query(f"{J} SELECT ord FROM jobs WHERE NOT coalesce(starts_with(source, 'ats_') AND posted < TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 60 DAYS, false)")
+def stale_ats(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir)
+    return jobs.where(~filters.stale(F.col("source"), F.col("posted").cast("timestamp"), F.lit("1996-01-01").cast("timestamp"))).select("ord")
+
+
+@query(f"{J} SELECT ord FROM jobs WHERE NOT (coalesce(starts_with(source, 'ddg_'), false) AND ord % 4000 % 3 = 0)")
+def dead_urls(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir)
+    n = F.regexp_extract("job_url", r"(\d+)$", 1).cast("int")
+    probes = jobs.select("job_url").distinct().where(n % 2 >= 0).select("job_url", F.when(n % 3 == 0, F.when(n % 2 == 0, 404).otherwise(200)).otherwise(200).alias("status"), F.when((n % 3 == 0) & (n % 2 == 1), "https://x/position-closed").otherwise(F.col("job_url")).alias("final_url"))
+    return filters.drop_dead(jobs, probes).select("ord")
+
+
+# coercion and verdicts
+
+SCORE = "least(100, greatest(0, coalesce(CAST(trunc(TRY_CAST(nullif(regexp_extract(coalesce(match_text, ''), '^\\s*(-?\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE)) AS INT), 0)))"
+
+
+@query(f"{J} SELECT ord, CAST({SCORE} AS INT) AS score FROM jobs")
+def score_coercion(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", coerce.score(F.col("match_text")).cast("int").alias("score"))
+
+
+@query(f"{J} SELECT ord, CASE WHEN lower(coalesce(origin, '')) IN ('global', 'local') THEN lower(origin) ELSE 'global' END AS origin, CASE WHEN lower(job_type) IN ('low', 'medium', 'high') THEN job_type ELSE 'unknown' END AS effort, CASE WHEN trim(coalesce(title, '')) <> '' THEN trim(title) END AS title, round(similarity, 3) AS similarity FROM jobs")
+def db_coercions(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", coerce.origin(F.col("origin")).alias("origin"), coerce.effort(F.col("job_type")).alias("effort"), coerce.optional_text(F.col("title")).alias("title"), F.round(coerce.similarity(F.col("similarity")), 3).alias("similarity"))
+
+
+def _verdicts(spark, sf_dir):
+    jobs = W.flagged(spark, sf_dir)
+    value = F.concat(F.lit('{"verdict": "a {good} \\"fit\\"", "is_valid": "yes", "tech_fit": '), F.col("tech_fit").cast("string"), F.lit(', "match_percentage": "'), F.coalesce("match_text", F.lit("")), F.lit('", "suspicious": '), F.col("suspicious").cast("string"), F.lit("}"))
+    shape = F.when(F.col("ord") % 3 == 0, value).when(F.col("ord") % 3 == 1, F.concat(F.lit("```json\n"), value, F.lit("\n```"))).otherwise(F.concat(F.lit("Here you are: "), value, F.lit(" {so} it is")))
+    return jobs.withColumn("answer", shape)
+
+
+BLACK = "coalesce(low, false)"
+CAPPED = f"CASE WHEN {BLACK} OR suspicious THEN least(55, {SCORE}) ELSE {SCORE} END"
+
+
+@query(f"{FL} SELECT ord, CAST({CAPPED} AS INT) AS match, concat(CASE WHEN {BLACK} THEN '[BLACKLISTED] ' WHEN suspicious AND {SCORE} > 55 THEN '[SUSPICIOUS] ' ELSE '' END, 'a {{good}} \"fit\"') AS verdict, suspicious OR {BLACK} AS suspicious, true AS is_valid, CAST(tech_fit AS INT) AS tech_fit FROM flagged".replace("tech_fit AS INT) AS tech_fit", "least(100, tech_fit) AS INT) AS tech_fit"))
+def verdict_caps(spark, sf_dir):
+    return verdict.judged(_verdicts(spark, sf_dir), F.col("answer")).select("ord", F.col("verdict").alias("v")).select("ord", F.col("v.match_percentage").alias("match"), "v.verdict", "v.suspicious", "v.is_valid", "v.tech_fit")
+
+
+NESTED = '{"a": "}{\\\\\\" x", "b": {"c": 1}}'
+
+
+@query(f"{J} SELECT ord, {quoted(NESTED)} AS found FROM jobs")
+def balanced_json(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", verdict.balanced_object(F.concat(F.lit("noise ] "), F.lit(NESTED), F.lit(" tail } {"), F.col("ord").cast("string"))).alias("found"))
+
+
+@query(f"{J} SELECT ord, CAST(round(tech_fit * 0.5 + 10 * 0.3 + 20 * 0.2, 6) AS DOUBLE) AS composite FROM jobs")
+def composite_score(spark, sf_dir):
+    v = F.struct(F.col("tech_fit").alias("tech_fit"), F.lit(10).alias("experience_fit"), F.lit(20).alias("logistics_fit"))
+    return W.jobs(spark, sf_dir).select("ord", F.round(verdict.composite(v).cast("double"), 6).alias("composite"))
+
+
+@query()
+def model_scoring(spark, sf_dir):
+    def model(prompts):
+        import pandas as pd
+
+        return pd.Series(['{"is_valid": true, "verdict": "ok", "match_percentage": %d}' % (len(p) % 100) for p in prompts])
+
+    gated = viability.gate(W.flagged(spark, sf_dir))
+    return verdict.evaluate(gated, model, verdict.prompt(F.lit("profile"))).select("ord", "verdict.match_percentage", "verdict.verdict")
+
+
+@query(f"{J} SELECT ord, {W.any_of("lower(concat(coalesce(location, ''), ' ', coalesce(company, '')))", V.INDIA_SIGNALS)} AS india, false AS scam FROM jobs")
+def india_scam_signals(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir)
+    return jobs.select("ord", text.has_any(F.concat_ws(" ", F.coalesce("location", F.lit("")), F.coalesce("company", F.lit(""))), V.INDIA_SIGNALS).alias("india"), (text.scam_hits(F.col("description"), V.SCAM_WORDS) >= 2).alias("scam"))
+
+
+# text, addresses, hashes
+
+
+def _html_sql(c: str) -> str:
+    out = c
+    for tag in ("script", "style", "noscript", "svg"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for name, sign in text.ENTITIES:
+        out = f"replace({out}, '{name}', {quoted(sign)})"
+    out = f"replace(replace({out}, '&#39;', ''''), '&#34;', '\"')"
+    return strip_sql(f"regexp_replace({out}, '\\s+', ' ', 'g')")
+
+
+@query(f"SELECT page_id, md5({_html_sql('html')}) AS text_md5 FROM pages")
+def html_to_text(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.html_to_text(F.col("html"))).alias("text_md5"))
+
+
+URL = "concat(CASE page_id % 6 WHEN 0 THEN replace(url, '/en/', '/jobs/') WHEN 1 THEN concat(url, '/careers/') WHEN 2 THEN replace(url, '/en/', '/blog/jobs/') WHEN 3 THEN 'https://www.linkedin.com/posts/acme_hiring-activity-7397512345678901234' WHEN 4 THEN concat(url, '/jobs/engineer-12') ELSE url END, '')"
+
+
+@query(f"""WITH u AS (SELECT page_id, {URL} AS u FROM pages), l AS (SELECT *, CASE WHEN {matches('u', urls.OTHER)} THEN contains(lower(u), 'linkedin.com/posts/') ELSE {matches('u', urls.JOB)} END AS job_like FROM u)
+SELECT page_id, job_like, job_like AND NOT {matches("regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)", urls.LANDING)} AS specific FROM l""")
+def url_shape(spark, sf_dir):
+    u = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.expr(URL).alias("u"))
+    return u.select("page_id", urls.job_like(F.col("u")).alias("job_like"), urls.specific_job_like(F.col("u")).alias("specific"))
+
+
+@query("SELECT page_id, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '') AS domain FROM pages")
+def extract_domain(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+@query("SELECT page_id, concat('acme-', page_id % 7) AS handle, page_id % 7 = 3 AS fits FROM pages")
+def linkedin_handle(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.col("page_id") % 7).cast("string").alias("k"))
+    url = F.concat(F.lit("https://www.LinkedIn.com/company/Acme-"), F.col("k"), F.lit("/jobs?x=1"))
+    company = F.when(F.col("k") == "3", "The Acme Group").otherwise("AB Zu 12")
+    return p.select("page_id", urls.linkedin_handle(url).alias("handle"), urls.handle_matches(urls.linkedin_handle(url), company).alias("fits"))
+
+
+@query(f"{J} SELECT ord, CAST(epoch(posted) AS BIGINT) * 1000 AS ms FROM jobs WHERE posted >= TIMESTAMP '1993-01-01 00:00:00'")
+def snowflake_date(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir).where("posted >= timestamp_ntz'1993-01-01'")
+    made = F.shiftleft(F.unix_timestamp(F.col("posted").cast("timestamp")) * 1000, 22) + F.col("ord") % 4096
+    url = F.concat(F.lit("https://www.linkedin.com/posts/acme_x-activity-"), made.cast("string"), F.lit("-abcd"))
+    return jobs.select("ord", F.unix_millis(dates.linkedin_posted(url)).alias("ms"))
+
+
+@query(f"{U} SELECT user_id, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 65), lambda i: (strpos('0123456789abcdef', substr(sha256(user_id), i, 1)) - 1)::BIGINT)), lambda a, d: (a * 16 + d) % 7) AS BIGINT) AS shard FROM users")
+def user_shard(spark, sf_dir):
+    return W.users(spark, sf_dir).select("user_id", hashing.shard(F.col("user_id"), 7).alias("shard"))
+
+
+@query(f"{U} SELECT user_id, sha256(user_id) AS hash, substr(sha256(coalesce(cv_text, '')), 1, 16) AS cv_key FROM users")
+def token_hash(spark, sf_dir):
+    return W.users(spark, sf_dir).select("user_id", hashing.token_hash(F.col("user_id")).alias("hash"), hashing.cv_key(F.col("cv_text")).alias("cv_key"))
+
+
+@query("SELECT r_regionkey, 'b,e' AS own, 'a,b' AS keys FROM region")
+def shard_slice(spark, sf_dir):
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    return region.select("r_regionkey", F.array_join(hashing.strided(F.lit("a, b,c ,d,e,"), 1, 3), ",").alias("own"), F.array_join(hashing.key_list(F.lit("a,b, a,,b")), ",").alias("keys"))
+
+
+@query(f"{U} SELECT user_id, concat(substr(user_id, 1, 1), '***@example.com') AS email, 'owner/name' AS repo FROM users")
+def redaction(spark, sf_dir):
+    u = W.users(spark, sf_dir)
+    return u.select("user_id", text.redact_email(F.concat("user_id", F.lit("@example.com"))).alias("email"), text.normalize_repo(F.lit(" https://github.com/owner/name.git ")).alias("repo"))
+
+
+# digests
+
+
+def _digest_rows(spark, sf_dir):
+    jobs = W.flagged(spark, sf_dir).withColumns({"match_percentage": F.col("match_text"), "verdict": F.lit("MATCH: fine <b>")})
+    return dedup.ranked(jobs, ["user_id"], [F.asc("ord")], 12)
+
+
+CELL = f"CASE WHEN {NUMBER} IS NULL OR {NUMBER} < 0 THEN 'N/A' ELSE concat(CAST(trunc({NUMBER}) AS INT), '%') END"
+FLAG = f"concat(CASE WHEN scam THEN '[SCAM] ' WHEN {BLACK} THEN '[BLACKLISTED] ' WHEN suspicious THEN '[SUSPICIOUS] ' ELSE '' END, coalesce(title, ''))"
+RANKED12 = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS rank FROM flagged QUALIFY rank <= 12)"
+ESC = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+COLOR = f"CASE WHEN {NUMBER} >= 85 THEN '#16a34a' WHEN {NUMBER} >= 70 THEN '#ca8a04' WHEN {NUMBER} >= 0 THEN '#6b7280' ELSE '#9ca3af' END"
+HTML = f"concat('<tr><td><span style=\"color:', {COLOR}, '\">', {CELL}, '</span></td><td><a href=\"', job_url, '\">', {ESC(FLAG)}, '</a></td><td>', {ESC('company')}, '</td><td>', {ESC('location')}, '</td><td><strong>MATCH:</strong> fine &lt;b&gt;</td></tr>')"
+
+
+@query(f"{FL}, {RANKED12} SELECT user_id, md5(concat({quoted(render.FORMATS['html'][1])}, string_agg({HTML}, '' ORDER BY rank), '</table>')) AS document FROM r GROUP BY 1")
+def digest_html(spark, sf_dir):
+    return render.digest(_digest_rows(spark, sf_dir), ["user_id"], "html").select("user_id", F.md5("document").alias("document"))
+
+
+BAR = lambda c: f"replace(coalesce({c}, ''), '|', '\\|')"
+
+
+@query(f"{FL}, {RANKED12} SELECT user_id, md5(concat({quoted(render.FORMATS['markdown'][1])}, string_agg(concat('| ', {CELL}, ' | [', {BAR(FLAG)}, '](', job_url, ') | ', {BAR('company')}, ' | ', {BAR('location')}, ' | **MATCH:** fine <b> |'), chr(10) ORDER BY rank), chr(10))) AS document FROM r GROUP BY 1")
+def digest_markdown(spark, sf_dir):
+    return render.digest(_digest_rows(spark, sf_dir), ["user_id"], "markdown").select("user_id", F.md5("document").alias("document"))
+
+
+@query(f"{FL}, {RANKED12} SELECT user_id, md5(concat(string_agg(concat('- ', {CELL}, ' ', {FLAG}, ' (', coalesce(company, ''), ', ', coalesce(location, ''), ') ', job_url), chr(10) ORDER BY rank), chr(10))) AS document FROM r GROUP BY 1")
+def digest_text(spark, sf_dir):
+    return render.digest(_digest_rows(spark, sf_dir), ["user_id"], "text").select("user_id", F.md5("document").alias("document"))
+
+
+@query("SELECT n_nationkey, concat(CASE n_nationkey WHEN 0 THEN 'No new matches' WHEN 1 THEN '1 new match' ELSE concat(n_nationkey, ' new matches') END, ' - Jan 20') AS subject FROM nation")
+def email_subject(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nation.select("n_nationkey", render.subject(F.col("n_nationkey"), W.now()).alias("subject"))
+
+
+@query(f"{J} SELECT ord, CASE WHEN similarity IS NULL THEN '—' ELSE concat(CAST(CAST(round_even(similarity::DOUBLE * 100, 0) AS INT) AS STRING), '%') END AS shown FROM jobs")
+def score_percent(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", coerce.percent(F.col("similarity").cast("double")).alias("shown"))
+
+
+# sets
+
+
+@query(f"{J} SELECT ord, title, NULL::STRING AS extra FROM jobs WHERE ord % 2 = 0 UNION ALL SELECT ord, NULL, job_url FROM jobs WHERE ord % 3 = 0")
+def union_widening(spark, sf_dir):
+    j = W.jobs(spark, sf_dir)
+    return files.union_all(j.where("ord % 2 = 0").select("ord", "title"), j.where("ord % 3 = 0").select("ord", F.col("job_url").alias("extra"))).select("ord.ord", "title", "extra")
+
+
+@query(f"{J} SELECT user_id, job_url, ord FROM (SELECT user_id, job_url, max(ord) AS ord FROM jobs WHERE ord % 2 = 0 GROUP BY 1, 2) a WHERE NOT EXISTS (SELECT 1 FROM jobs b WHERE b.ord % 5 = 0 AND b.user_id = a.user_id AND b.job_url = a.job_url) UNION ALL SELECT user_id, job_url, max(ord) FROM jobs WHERE ord % 5 = 0 GROUP BY 1, 2")
+def keyed_overwrite(spark, sf_dir):
+    j = W.jobs(spark, sf_dir)
+    part = lambda n: j.where(f"ord % {n} = 0").groupBy("user_id", "job_url").agg(F.max("ord").alias("ord"))
+    return files.replace_keyed(part(2), part(5), ["user_id", "job_url"])
+
+
+# payloads: rows become a payload, and parsing it gives the rows again
+
+
+def _payloads(spark, sf_dir, item, field=None, extra=()):
+    rows = W.jobs(spark, sf_dir).where("ord % 4 = 0 and title is not null")
+    body = F.collect_list(item)
+    return rows.groupBy((F.col("ord") % 97).alias("g"), *extra).agg(F.to_json(F.struct(body.alias(field)) if field else body).alias("payload"))
+
+
+NAMES = "title, company, location, job_url"
+ROWS = f"{J} SELECT coalesce(title, '') AS title, coalesce(company, '') AS company, {{place}} AS location, job_url FROM jobs WHERE ord % 4 = 0 AND title IS NOT NULL"
+PLAIN, REMOTE = ROWS.format(place="coalesce(location, '')"), ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' ELSE location END")
+
+
+def _four(df):
+    return df.select("title", "company", "location", "job_url")
+
+
+def _s(**names):
+    return F.struct(*[c.alias(n) for n, c in names.items()])
+
+
+@query(ROWS.format(place="coalesce(location, 'Remote')"))
+def parse_remotive(spark, sf_dir):
+    item = _s(title=F.col("title"), company_name=F.col("company"), candidate_required_location=F.col("location"), url=F.col("job_url"))
+    return _four(feeds.remotive(_payloads(spark, sf_dir, item, "jobs")))
+
+
+@query(ROWS.format(place="'Remote'") + " AND ord % 3 = 0")
+def parse_arbeitnow(spark, sf_dir):
+    item = _s(title=F.col("title"), company_name=F.col("company"), remote=F.col("ord") % 3 == 0, url=F.col("job_url"), created_at=F.col("ord"))
+    return _four(feeds.arbeitnow(_payloads(spark, sf_dir, item, "data")))
+
+
+@query(ROWS.format(place="coalesce(location, 'Remote')") + " AND ord % 3 <> 1")
+def parse_jobicy(spark, sf_dir):
+    industry = F.when(F.col("ord") % 3 == 0, F.array(F.lit("Software"))).when(F.col("ord") % 3 == 1, F.array(F.lit("Retail"))).otherwise(F.array().cast("array<string>"))
+    item = _s(jobTitle=F.col("title"), companyName=F.col("company"), jobGeo=F.col("location"), url=F.col("job_url"), jobIndustry=industry)
+    return _four(feeds.jobicy(_payloads(spark, sf_dir, item, "jobs")))
+
+
+@query(REMOTE + " AND ord % 3 <> 0")
+def parse_remoteok(spark, sf_dir):
+    item = _s(position=F.col("title"), company=F.col("company"), location=F.col("location"), url=F.col("job_url"), legal=F.when(F.col("ord") % 3 == 0, "terms"))
+    return _four(feeds.remoteok(_payloads(spark, sf_dir, item)))
+
+
+@query(ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' WHEN ord % 8 = 0 THEN concat(location, ', EU') ELSE location END"))
+def parse_himalayas(spark, sf_dir):
+    rows = W.jobs(spark, sf_dir).where("ord % 4 = 0 and title is not null")
+    item = lambda place: F.to_json(_s(title=F.col("title"), companyName=F.col("company"), locationRestrictions=place, guid=F.col("job_url"), applicationLink=F.lit("")))
+    some = F.coalesce("location", F.lit("")) != ""
+    one = F.when((F.col("ord") % 8 == 0) & some, item(F.array(F.col("location"), F.lit("EU")))).otherwise(item(F.col("location")))
+    payloads = rows.groupBy(F.col("ord") % 97).agg(F.concat(F.lit('{"jobs": ['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("payload"))
+    return _four(feeds.himalayas(payloads))
+
+
+@query(REMOTE)
+def parse_themuse(spark, sf_dir):
+    item = _s(name=F.col("title"), company=_s(name=F.col("company")), locations=F.array(_s(name=F.col("location"))), refs=_s(landing_page=F.col("job_url")))
+    return _four(feeds.themuse(_payloads(spark, sf_dir, item, "results")))
+
+
+@query(ROWS.format(place="'Remote'").replace("coalesce(title, '') AS title", "CASE WHEN contains(title, ': ') AND ord % 8 = 0 THEN title ELSE title END AS title").replace("coalesce(company, '') AS company", "trim(company) AS company"))
+def parse_weworkremotely(spark, sf_dir):
+    rows = W.jobs(spark, sf_dir).where("ord % 4 = 0 and title is not null")
+    return _four(feeds.weworkremotely(rows.select(F.concat("company", F.lit(": "), "title").alias("title"), F.col("job_url").alias("link"))))
+
+
+def _ats(spark, sf_dir, system, item, field=None, token=""):
+    p = _payloads(spark, sf_dir, item, field, ["company"]).withColumns({"token": F.lit(token), "system": F.lit(system)})
+    return _four(ats.dispatch(p))
+
+
+@query(PLAIN)
+def parse_greenhouse(spark, sf_dir):
+    return _ats(spark, sf_dir, "greenhouse", _s(title=F.col("title"), absolute_url=F.col("job_url"), location=_s(name=F.col("location")), content=F.lit("&lt;p&gt;x")), "jobs")
+
+
+@query(PLAIN)
+def parse_lever(spark, sf_dir):
+    return _ats(spark, sf_dir, "lever", _s(text=F.col("title"), hostedUrl=F.col("job_url"), categories=_s(location=F.col("location")), createdAt=F.lit(1700000000000)))
+
+
+@query(ROWS.format(place="concat_ws(', ', nullif(location, ''), 'Earth')").replace("job_url FROM", "concat('https://apply.workable.com/acme/j/', ord, '/') AS job_url FROM"))
+def parse_workable(spark, sf_dir):
+    return _ats(spark, sf_dir, "workable", _s(title=F.col("title"), shortcode=F.col("ord").cast("string"), city=F.col("location"), location=_s(city=F.col("location"), country=F.lit("Earth"))), "jobs", "acme")
+
+
+@query(PLAIN)
+def parse_ashby(spark, sf_dir):
+    return _ats(spark, sf_dir, "ashby", _s(title=F.col("title"), jobUrl=F.col("job_url"), location=F.col("location"), employmentType=F.lit("Intern")), "jobs")
+
+
+@query(PLAIN.replace("job_url FROM", "concat('https://t.wd5.myworkdayjobs.com/site/job/', ord) AS job_url FROM"))
+def parse_workday(spark, sf_dir):
+    return _ats(spark, sf_dir, "workday", _s(title=F.col("title"), externalPath=F.concat(F.lit("/job/"), F.col("ord").cast("string")), locationsText=F.col("location")), "jobPostings", "t|wd5|site")
+
+
+@query(PLAIN)
+def parse_factorialhr(spark, sf_dir):
+    return _ats(spark, sf_dir, "factorialhr", _s(title=F.col("title"), url=F.col("job_url"), location=F.col("location")), "data", "acme")
+
+
+HINT = "CASE page_id % 5 WHEN 0 THEN 'https://boards.greenhouse.io/acme' WHEN 1 THEN 'https://Acme.WD5.myworkdayjobs.com/en-US/Careers' WHEN 2 THEN 'https://jobs.lever.co/acme-co' WHEN 3 THEN 'https://acme.bamboohr.com/x' ELSE '' END"
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'workday' WHEN 2 THEN 'lever' WHEN 3 THEN 'bamboohr' END AS system, CASE page_id % 5 WHEN 0 THEN 'acme' WHEN 1 THEN 'acme|wd5|Careers' WHEN 2 THEN 'acme-co' WHEN 3 THEN 'acme' END AS token FROM pages")
+def detect_ats(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", ats.detect(F.concat("html", F.expr(HINT))).alias("d"))
+    return p.select("page_id", "d.system", "d.token")
+
+
+@query("SELECT page_id, concat('Role ', page_id) AS title, 'Acme' AS company, CASE WHEN page_id % 3 = 0 THEN 'Ramallah, PS' ELSE '' END AS location FROM pages WHERE page_id % 4 <> 3")
+def parse_json_ld(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    own = _s(**{"@type": F.lit("JobPosting"), "title": F.concat(F.lit(" Role "), F.col("page_id").cast("string")), "hiringOrganization": _s(name=F.lit("Acme")), "url": F.col("page_id").cast("string"), "datePosted": F.when(F.col("page_id") % 4 == 3, "2023-12-01").otherwise("2024-01-19"), "jobLocation": F.when(F.col("page_id") % 3 == 0, _s(address=_s(addressLocality=F.lit("Ramallah"), addressCountry=F.lit("PS"))))})
+    shaped = F.when(F.col("page_id") % 3 == 0, F.to_json(own)).when(F.col("page_id") % 3 == 1, F.to_json(F.array(own))).otherwise(F.to_json(_s(**{"@graph": F.array(own)})))
+    pages = p.select("page_id", F.concat("html", F.lit('<script type="application/ld+json">'), shaped, F.lit("</script>")).alias("html"), F.lit("x").alias("url"))
+    return local.json_ld(pages, W.now()).select(F.col("job_url").cast("bigint").alias("page_id"), "title", "company", "location")
+
+
+@query("SELECT page_id, 'Backend role at Acme' AS title, concat('https://acme.example/', page_id) AS job_url FROM pages WHERE page_id % 3 = 0")
+def parse_telegram(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    n = F.col("page_id").cast("string")
+    body = F.when(F.col("page_id") % 3 == 2, "hello").otherwise(F.concat(F.lit('#1<br/>Backend role at Acme<br>We are hiring <a href="https://t.me/x">c</a> <a href="https://acme.example/'), n, F.lit('">apply</a>')))
+    day = F.when(F.col("page_id") % 3 == 1, "2023-12-01T00:00:00+00:00").otherwise("2024-01-18T10:00:00+00:00")
+    html = F.concat(F.lit('<div data-post="chan/'), n, F.lit('"><div class="js message_text">'), body, F.lit('</div><time datetime="'), day, F.lit('"></time></div>'))
+    rows = local.telegram(p.select(n.alias("channel"), html.alias("html")), W.now())
+    return rows.select(F.col("company").cast("bigint").alias("page_id"), "title", "job_url")
+
+
+@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*/[^\"]+)\"', 1))) AS INT) AS links FROM pages")
+def detail_links(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", F.size(local.detail_links(F.col("html"), r'href="([^"]*/[^"]+)"', 1000)).alias("links"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'first' ELSE 'second' END AS provider FROM nation")
+def search_fallback(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    return local.first_provider(nation.where("n_nationkey % 3 = 0").withColumn("provider", F.lit("first")), nation.withColumn("provider", F.lit("second")), ["n_nationkey"])
+
+
+@query(f"{J} SELECT ord, CASE WHEN length(trim(coalesce(description, ''))) >= 100 THEN description WHEN ord % 4000 % 2 = 0 THEN 'page' ELSE '[NO DESCRIPTION AVAILABLE - SCRAPING BLOCKED]' END AS description FROM jobs")
+def description_backfill(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir)
+    pages = jobs.select("job_url").distinct().where(F.regexp_extract("job_url", r"(\d+)$", 1).cast("int") % 2 == 0).withColumn("text", F.lit("page"))
+    return local.described(jobs, pages).select("ord", "description")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE contains(lower(a.n_name), substr(lower(b.n_name), 1, 3)) OR contains(substr(lower(b.n_name), 1, 3), lower(a.n_name))")
+def company_name_match(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    a, b = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), nation.select(F.col("n_nationkey").alias("b"), F.substring("n_name", 1, 3).alias("y"))
+    return a.join(F.broadcast(b), urls.names_match(F.col("x"), F.col("y"))).select("a", "b")
