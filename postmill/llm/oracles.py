@@ -1,3 +1,81 @@
-"""SQL of those corpus queries that DuckDB can express."""
+"""SQL of those corpus queries that DuckDB can express; the others are tested against brute force."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from postmill.llm.common import UPPER
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
+
+MIX = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS BIGINT) AS size,
+         CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS STRING), '')), 1, 15)) AS BIGINT) AS h
+  FROM documents
+), by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM by_source
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place FROM weighed
+), filled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM ordered
+), lam AS (SELECT arg_min(level, place) AS l FROM filled WHERE level * weight <= 2 * source_size),
+goals AS (
+  SELECT source, source_size, CASE WHEN (SELECT l FROM lam) IS NULL THEN 2.0::DOUBLE * source_size ELSE least((SELECT l FROM lam) * weight, 2.0::DOUBLE * source_size) END AS target
+  FROM filled
+), budgets AS (
+  SELECT *, target - whole * source_size AS budget FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goals)
+), steps AS (
+  SELECT source, h, held, sum(held) OVER (PARTITION BY source ORDER BY h) AS upto FROM (SELECT source, h, sum(size) AS held FROM d GROUP BY source, h)
+), edges AS (
+  SELECT b.source, min(s.h) AS edge, arg_min(s.held, s.h) AS held, arg_min(s.upto - s.held, s.h) AS below
+  FROM budgets b JOIN steps s ON s.source IS NOT DISTINCT FROM b.source AND s.upto > b.budget GROUP BY b.source
+), one AS (
+  SELECT b.*, e.edge, e.held, b.budget - e.below AS gap, CAST(floor((b.budget - e.below) / 8) AS BIGINT) AS small
+  FROM budgets b LEFT JOIN edges e ON e.source IS NOT DISTINCT FROM b.source
+), rest AS (
+  SELECT source, h, held, sum(held) OVER (PARTITION BY source ORDER BY h) AS upto FROM (
+    SELECT d.source, d.h, sum(d.size) AS held FROM d JOIN one o ON o.source IS NOT DISTINCT FROM d.source AND d.h > o.edge AND d.size <= o.small GROUP BY d.source, d.h)
+), edges2 AS (
+  SELECT o.source, min(r.h) AS edge2, arg_min(r.held, r.h) AS held2, arg_min(r.upto - r.held, r.h) AS fill
+  FROM one o JOIN rest r ON r.source IS NOT DISTINCT FROM o.source AND r.upto > o.gap GROUP BY o.source
+), totals AS (SELECT source, max(upto) AS total FROM rest GROUP BY source),
+two AS (
+  SELECT o.*, e.edge2, e.held2, o.gap - coalesce(e.fill, t.total, 0) AS missing
+  FROM one o LEFT JOIN edges2 e ON e.source IS NOT DISTINCT FROM o.source LEFT JOIN totals t ON t.source IS NOT DISTINCT FROM o.source
+), chosen AS (
+  SELECT *, coalesce(held2 - missing < missing, false) AS with_edge2,
+         coalesce(held - gap < CASE WHEN held2 - missing < missing THEN held2 - missing ELSE missing END, false) AS with_edge
+  FROM two
+)
+SELECT d.doc_id, d.size, c.source_size, c.target,
+  CAST(d.size * (c.whole + CASE WHEN c.whole < 2 AND (c.edge IS NULL OR d.h < c.edge OR (c.with_edge AND d.h = c.edge)
+    OR coalesce(NOT c.with_edge AND d.h > c.edge AND d.size <= c.small AND (c.edge2 IS NULL OR d.h < c.edge2 OR (c.with_edge2 AND d.h = c.edge2)), false)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN chosen c ON c.source IS NOT DISTINCT FROM d.source"""
+
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORDS}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) END AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+rows AS (SELECT doc_id, n, unnest(s) AS s FROM sets JOIN n USING (doc_id)),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM rows a JOIN rows b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY 1, 2, 3, 4 HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (SELECT a AS u, b AS v FROM common UNION ALL SELECT b, a FROM common),
+reached AS (SELECT doc_id AS u, doc_id AS r FROM n UNION SELECT l.u, x.r FROM reached x JOIN links l ON l.v = x.u)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM n JOIN reached ON u = doc_id GROUP BY doc_id, n"""
+
+ORACLES: dict[str, str] = {"op1_exact_topk": TOPK, "op4_source_mix": MIX, "op8_near_duplicates": NEAR}
