@@ -33,8 +33,20 @@ def effort(value: Column) -> Column:
 
 
 def origin(value: Column) -> Column:
-    o = F.lower(strip(F.coalesce(value.cast("string"), F.lit(""))))
-    return F.when(o.isin("global", "local"), o).otherwise("global")
+    o = F.lower(strip(value.cast("string")))
+    return F.when(o.isin("global", "local"), o)
+
+
+def stored_effort(value: Column) -> Column:
+    """As the results table takes it: null if it is none of the four."""
+    e = F.lower(strip(value.cast("string")))
+    return F.when(e.isin("low", "medium", "high", "unknown"), e)
+
+
+def stored_int(value: Column) -> Column:
+    """0 to 100, decimals cut off; null for what is no number."""
+    n = value.cast("string").try_cast("double")
+    return F.when(n.isNotNull() & ~F.isnan(n), F.least(F.greatest(n, F.lit(0.0)), F.lit(100.0)).cast("int"))
 
 
 def similarity(value: Column) -> Column:

@@ -24,7 +24,7 @@ def millis(raw: Column) -> Column:
 
 def linkedin_posted(url: Column) -> Column:
     """Time in the activity id of a post's address: its upper bits are milliseconds."""
-    n = F.regexp_extract(url, r"activity[-:](\d{15,20})", 1).try_cast("bigint")
+    n = F.regexp_extract(url, r"activity-(\d+)", 1).try_cast("bigint")
     return F.timestamp_millis(F.shiftright(n, 22))
 
 

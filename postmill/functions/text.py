@@ -11,6 +11,10 @@ from postmill.values import words
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 
+#: Markers that are set in bold.
+MARKERS = ("MATCH:", "REMOTE:", "GAP:", r"CLOSING[\s-]REASON:", "CLOSING:", "REASON:")
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -55,19 +59,21 @@ def split_wwr_title(raw: Column) -> tuple[Column, Column]:
 
 
 def redact_email(email: Column) -> Column:
-    """First character of the local part, stars, and the domain."""
+    """First and last character of the local part (of short ones the first), and the domain."""
     at = F.instr(email, "@")
-    return F.when(at > 1, F.concat(F.substring(email, 1, 1), F.lit("***"), F.substring(email, at, F.length(email)))).otherwise(F.lit("***"))
+    last = F.when(at > 3, F.substring(email, at - 1, F.lit(1))).otherwise(F.lit(""))
+    return F.when(at > 0, F.concat(F.substring(email, F.lit(1), F.least(at - 1, F.lit(1))), F.lit("***"), last, F.substring(email, at, F.length(email)))).otherwise(F.lit("<invalid>"))
 
 
 def normalize_repo(repo: Column) -> Column:
-    """owner/name of a repository given by its address or short form."""
-    text = F.regexp_replace(strip(F.coalesce(repo, F.lit(""))), r"(?i)^(https?://)?(www\.)?github\.com/", "")
-    return F.regexp_replace(F.regexp_replace(text, r"/+$", ""), r"(?i)\.git$", "")
+    """owner/name of a repository given by its address or short form; null if nothing is left."""
+    text = F.regexp_replace(strip(F.coalesce(repo, F.lit(""))), r"/+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"^https?://", ""), r"^(www\.)?github\.com/", "")
+    return F.nullif(F.regexp_replace(text, r"\.git$", ""), F.lit(""))
 
 
 def bold_markers(verdict: Column, before: str = "<strong>", after: str = "</strong>") -> Column:
-    return F.regexp_replace(verdict, r"(?i)\b(MATCH:|GAPS?:|VERDICT:|RISKS?:)", f"{before}$1{after}")
+    return F.regexp_replace(verdict, "(?i)\\b(" + "|".join(MARKERS) + ")", f"{before}$1{after}")
 
 
 def scam_hits(text: Column, keywords) -> Column:
@@ -81,10 +87,12 @@ def has_any(text: Column, signals) -> Column:
 
 
 def feedback_text(kind: Column, title: Column, company: Column, note: Column, location: Column | None = None) -> Column:
-    """One line for a feedback entry, leaving out what is missing."""
-    some = lambda label, c: F.when(strip(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(label), strip(c)))
-    parts = [some("type: ", kind), some("title: ", title), some("company: ", company)] + ([some("location: ", location)] if location is not None else []) + [some("note: ", note)]
-    return F.concat_ws(" | ", *parts)
+    """One line for a feedback entry; place and note only where there are any."""
+    given = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    some = lambda before, c, after="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after)))
+    parts = [F.concat(F.lit("["), given(kind, "unknown"), F.lit("]")), F.concat(given(title, "?"), F.lit(" @ "), given(company, "?"))]
+    parts += [some("(", location, ")")] if location is not None else []
+    return F.concat_ws(" ", *parts, some("— note: ", note))
 
 
 def location_locked(title: Column, location: Column, places) -> Column:

@@ -29,11 +29,15 @@ def specific_job_like(url: Column) -> Column:
 
 def domain(url: Column) -> Column:
     """Authority of an address without any "www."; an address without scheme has none."""
-    return F.replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("www."), F.lit(""))
+    return F.replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("www."), F.lit(""))
 
 
 def linkedin_handle(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)linkedin\.com/(?:company|school|in)/([^/?#]+)", 1)), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)linkedin\.com/(?:company|in|school)/([a-zA-Z0-9_.-]+?)(?:/|$)", 1), F.lit(""))
+
+
+def linkedin_poster(url: Column) -> Column:
+    return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"linkedin\.com/posts/([a-z0-9-]+?)(?:_|/)", 1)
 
 
 def handle_matches(handle: Column, company: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions.text import row_text, strip
-from postmill.values import AI_ROLES, PATH_WEIGHT, PATHS, REGION_NAMES, REGION_WEIGHTS, ROLE_WEIGHTS, SOFTWARE_ROLES, TRUSTED_WEIGHT, words
+from postmill.values import AI_ROLES, PATH_LABELS, PATH_WEIGHT, PATHS, REGION_NAMES, REGION_WEIGHTS, ROLE_WEIGHTS, SOFTWARE_ROLES, TRUSTED_WEIGHT, words
 
 
 def region(text: Column | None = None) -> Column:
@@ -57,7 +57,8 @@ def combined_weight(title: Column, trusted: Column, paths: Column | None = None,
 
 
 def path_labels(paths: Column) -> Column:
-    return F.array_join(F.transform(paths, lambda p: F.initcap(F.replace(p, F.lit("_"), F.lit(" ")))), ", ")
+    known = F.create_map(*[F.lit(x) for item in PATH_LABELS.items() for x in item])
+    return F.array_join(F.transform(paths, lambda p: F.coalesce(F.try_element_at(known, p), F.initcap(F.replace(p, F.lit("_"), F.lit(" "))))), ", ")
 
 
 def known_paths(paths: Column, most: int = 5) -> Column:

@@ -18,7 +18,7 @@ def escaped(text: Column) -> Column:
 
 def badge_color(match: Column) -> Column:
     p = coerce.match_number(match)
-    return F.when(p >= 85, "#16a34a").when(p >= 70, "#ca8a04").when(p >= 0, "#6b7280").otherwise("#9ca3af")
+    return F.when(p >= 85, "#22c55e").when(p >= 70, "#eab308").when(p >= 0, "#ef4444").otherwise("#9ca3af")
 
 
 def match_cell(match: Column) -> Column:
@@ -28,7 +28,7 @@ def match_cell(match: Column) -> Column:
 
 def flagged_title(title: Column, scam: Column, blacklisted: Column, suspicious: Column) -> Column:
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return F.concat(F.when(yes(scam), "[SCAM] ").when(yes(blacklisted), "[BLACKLISTED] ").when(yes(suspicious), "[SUSPICIOUS] ").otherwise(""), F.coalesce(title, F.lit("")))
+    return F.concat(F.when(yes(scam), "🚨 ").when(yes(blacklisted), "🚫 ").when(yes(suspicious), "⚠️ ").otherwise(""), F.coalesce(title, F.lit("")))
 
 
 def _title() -> Column:
@@ -68,4 +68,4 @@ def digest(jobs: DataFrame, keys: list[str], kind: str, rank: str = "rank") -> D
 
 def subject(n: Column, day: Column) -> Column:
     stamp = F.date_format(day, "MMM dd")
-    return F.when(n == 0, F.concat(F.lit("No new matches - "), stamp)).when(n == 1, F.concat(F.lit("1 new match - "), stamp)).otherwise(F.concat(n.cast("string"), F.lit(" new matches - "), stamp))
+    return F.concat(F.when(n <= 0, "No strong matches today").when(n == 1, "1 job matches your CV").otherwise(F.concat(n.cast("string"), F.lit(" jobs match your CV"))), F.lit(" ("), stamp, F.lit(")"))

@@ -207,8 +207,8 @@ def result_rows(jobs: DataFrame, run_id: str, evaluated: bool) -> DataFrame:
         *[coerce.optional_text(F.col(c)).alias(c) for c in ("title", "company", "location", "job_url")],
         coerce.origin(F.col("origin")).alias("origin"),
         coerce.similarity(F.col("similarity")).alias("similarity"),
-        *[verdict[c].alias(c) for c in ("tech_fit", "experience_fit", "logistics_fit", "match_percentage")],
-        coerce.effort(verdict["effort"]).alias("effort"),
+        *[coerce.stored_int(verdict[c]).alias(c) for c in ("tech_fit", "experience_fit", "logistics_fit", "match_percentage")],
+        coerce.stored_effort(verdict["effort"]).alias("effort"),
         (verdict["verdict"] if evaluated else F.lit(None).cast("string")).alias("ai_verdict"),
         (verdict["is_valid"] if evaluated else F.lit(None).cast("boolean")).alias("is_valid"),
         F.lit(evaluated).alias("ai_evaluated"),

@@ -61,7 +61,7 @@ def normalised(raw: Column) -> Column:
         coerce.text_or(raw["compensation"], "Not stated").alias("compensation"),
         coerce.effort(raw["effort"]).alias("effort"),
         coerce.flag(raw["suspicious"]).alias("suspicious"),
-        F.lit(False).alias("scam"),
+        coerce.flag(raw["scam"]).alias("scam"),
     )
 
 
@@ -77,10 +77,11 @@ def capped(verdict: Column, blacklisted: Column) -> Column:
     limit = F.lit(CARD_LIMITS["flagged"])
     black = F.coalesce(blacklisted, F.lit(False))
     doubt = ~black & verdict["suspicious"] & (verdict["match_percentage"] > limit)
-    prefix = F.when(black, "[BLACKLISTED] ").when(doubt, "[SUSPICIOUS] ").otherwise("")
-    words = F.when(verdict["verdict"].startswith(prefix), verdict["verdict"]).otherwise(F.concat(prefix, verdict["verdict"]))
+    told = verdict["verdict"]
+    marked = F.exists(F.array(*[F.lit(f"[{m}]") for m in ("BLACKLISTED", "SCAM", "AI-SUSPICIOUS")]), lambda m: told.startswith(m))
+    words = F.when(black & ~told.startswith("[BLACKLISTED]"), F.concat(F.lit("[BLACKLISTED] "), told)).when(doubt & ~marked, F.concat(F.lit("[AI-SUSPICIOUS] "), told)).otherwise(told)
     match = F.when(black | doubt, F.least(limit, verdict["match_percentage"])).otherwise(verdict["match_percentage"])
-    return verdict.withField("match_percentage", match).withField("verdict", words).withField("suspicious", verdict["suspicious"] | black)
+    return verdict.withField("match_percentage", match).withField("verdict", words)
 
 
 def scam_checked(verdict: Column, location: Column, company: Column, snippets: Column) -> Column:
@@ -88,7 +89,7 @@ def scam_checked(verdict: Column, location: Column, company: Column, snippets: C
     hit = verdict["suspicious"] & has_any(F.concat_ws(" ", location, company), INDIA_SIGNALS) & (scam_hits(snippets, SCAM_WORDS) >= 2)
     words = F.when(hit & ~verdict["verdict"].startswith("[SCAM]"), F.concat(F.lit("[SCAM] "), verdict["verdict"])).otherwise(verdict["verdict"])
     match = F.when(hit, F.least(F.lit(CARD_LIMITS["scam"]), verdict["match_percentage"])).otherwise(verdict["match_percentage"])
-    return verdict.withField("match_percentage", match).withField("verdict", words).withField("scam", verdict["scam"] | hit)
+    return verdict.withField("match_percentage", match).withField("verdict", words).withField("scam", verdict["scam"] | hit).withField("is_valid", verdict["is_valid"] & ~hit)
 
 
 def composite(verdict: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postmill import values as V
 from postmill import views as W
 from postmill.functions import coerce, dates, hashing, text, urls, vectors, weights
-from postmill.operators import dedup, filters, ranking, render, state, verdict, viability
+from postmill.operators import careers, dedup, filters, preferences, ranking, render, state, verdict, viability
 from postmill.sources import ats, feeds, files, local
 
 QUERIES: dict = {}
@@ -221,10 +221,10 @@ def combined_weight(spark, sf_dir):
     return W.flagged(spark, sf_dir).select("ord", F.round(weights.combined_weight(F.col("title"), F.col("pre_flagged_trusted")), 6).alias("weight"))
 
 
-@query("SELECT n_nationkey, 'Data Science, Ai Ml, Devops' AS labels, 'data_science,devops' AS known FROM nation")
+@query("SELECT n_nationkey, 'Data Science, AI/ML, Odd Path' AS labels, 'data_science,devops' AS known FROM nation")
 def path_labels(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    paths = F.array(*map(F.lit, ("data_science", "ai_ml", "devops")))
+    paths = F.array(*map(F.lit, ("data_science", "ai_ml", "odd_path")))
     odd = F.array(*map(F.lit, ("data_science", "nothing", "data_science", "devops")))
     return nation.select("n_nationkey", weights.path_labels(paths).alias("labels"), F.array_join(weights.known_paths(odd), ",").alias("known"))
 
@@ -520,7 +520,7 @@ def feedback_counts(spark, sf_dir):
     return state.feedback_counts(spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("conv_id", "user_id"))
 
 
-@query(f"WITH {ENTRIES} SELECT conv_id, turn, concat_ws(' | ', concat('type: ', feedback_type), concat('title: ', title), concat('company: ', company)) AS line FROM entries")
+@query(f"WITH {ENTRIES} SELECT conv_id, turn, concat('[', feedback_type, '] ', title, ' @ ', company) AS line FROM entries")
 def feedback_line(spark, sf_dir):
     e = entries(spark, sf_dir)
     return e.select("conv_id", "turn", text.feedback_text(F.col("feedback_type"), F.col("title"), F.col("company"), F.lit(None).cast("string"), F.col("location")).alias("line"))
@@ -569,7 +569,7 @@ def score_coercion(spark, sf_dir):
     return W.jobs(spark, sf_dir).select("ord", coerce.score(F.col("match_text")).cast("int").alias("score"))
 
 
-@query(f"{J} SELECT ord, CASE WHEN lower(coalesce(origin, '')) IN ('global', 'local') THEN lower(origin) ELSE 'global' END AS origin, CASE WHEN lower(job_type) IN ('low', 'medium', 'high') THEN job_type ELSE 'unknown' END AS effort, CASE WHEN trim(coalesce(title, '')) <> '' THEN trim(title) END AS title, round(similarity, 3) AS similarity FROM jobs")
+@query(f"{J} SELECT ord, lower(origin) AS origin, CASE WHEN lower(job_type) IN ('low', 'medium', 'high') THEN job_type ELSE 'unknown' END AS effort, CASE WHEN trim(coalesce(title, '')) <> '' THEN trim(title) END AS title, round(similarity, 3) AS similarity FROM jobs")
 def db_coercions(spark, sf_dir):
     return W.jobs(spark, sf_dir).select("ord", coerce.origin(F.col("origin")).alias("origin"), coerce.effort(F.col("job_type")).alias("effort"), coerce.optional_text(F.col("title")).alias("title"), F.round(coerce.similarity(F.col("similarity")), 3).alias("similarity"))
 
@@ -585,7 +585,7 @@ BLACK = "coalesce(low, false)"
 CAPPED = f"CASE WHEN {BLACK} OR suspicious THEN least(55, {SCORE}) ELSE {SCORE} END"
 
 
-@query(f"{FL} SELECT ord, CAST({CAPPED} AS INT) AS match, concat(CASE WHEN {BLACK} THEN '[BLACKLISTED] ' WHEN suspicious AND {SCORE} > 55 THEN '[SUSPICIOUS] ' ELSE '' END, 'a {{good}} \"fit\"') AS verdict, suspicious OR {BLACK} AS suspicious, true AS is_valid, CAST(tech_fit AS INT) AS tech_fit FROM flagged".replace("tech_fit AS INT) AS tech_fit", "least(100, tech_fit) AS INT) AS tech_fit"))
+@query(f"{FL} SELECT ord, CAST({CAPPED} AS INT) AS match, concat(CASE WHEN {BLACK} THEN '[BLACKLISTED] ' WHEN suspicious AND {SCORE} > 55 THEN '[AI-SUSPICIOUS] ' ELSE '' END, 'a {{good}} \"fit\"') AS verdict, suspicious, true AS is_valid, CAST(tech_fit AS INT) AS tech_fit FROM flagged".replace("tech_fit AS INT) AS tech_fit", "least(100, tech_fit) AS INT) AS tech_fit"))
 def verdict_caps(spark, sf_dir):
     return verdict.judged(_verdicts(spark, sf_dir), F.col("answer")).select("ord", F.col("verdict").alias("v")).select("ord", F.col("v.match_percentage").alias("match"), "v.verdict", "v.suspicious", "v.is_valid", "v.tech_fit")
 
@@ -650,15 +650,15 @@ def url_shape(spark, sf_dir):
     return u.select("page_id", urls.job_like(F.col("u")).alias("job_like"), urls.specific_job_like(F.col("u")).alias("specific"))
 
 
-@query("SELECT page_id, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '') AS domain FROM pages")
+@query("SELECT page_id, replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'www.', '') AS domain FROM pages")
 def extract_domain(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.domain(F.col("url")).alias("domain"))
 
 
-@query("SELECT page_id, concat('acme-', page_id % 7) AS handle, page_id % 7 = 3 AS fits FROM pages")
+@query("SELECT page_id, concat('Acme-', page_id % 7) AS handle, page_id % 7 = 3 AS fits FROM pages")
 def linkedin_handle(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.col("page_id") % 7).cast("string").alias("k"))
-    url = F.concat(F.lit("https://www.LinkedIn.com/company/Acme-"), F.col("k"), F.lit("/jobs?x=1"))
+    url = F.concat(F.lit("https://www.LinkedIn.com/company/Acme-"), F.col("k"), F.lit("/jobs"))
     company = F.when(F.col("k") == "3", "The Acme Group").otherwise("AB Zu 12")
     return p.select("page_id", urls.linkedin_handle(url).alias("handle"), urls.handle_matches(urls.linkedin_handle(url), company).alias("fits"))
 
@@ -687,7 +687,7 @@ def shard_slice(spark, sf_dir):
     return region.select("r_regionkey", F.array_join(hashing.strided(F.lit("a, b,c ,d,e,"), 1, 3), ",").alias("own"), F.array_join(hashing.key_list(F.lit("a,b, a,,b")), ",").alias("keys"))
 
 
-@query(f"{U} SELECT user_id, concat(substr(user_id, 1, 1), '***@example.com') AS email, 'owner/name' AS repo FROM users")
+@query(f"{U} SELECT user_id, concat(substr(user_id, 1, 1), '***', CASE WHEN length(user_id) > 2 THEN right(user_id, 1) ELSE '' END, '@example.com') AS email, 'owner/name' AS repo FROM users")
 def redaction(spark, sf_dir):
     u = W.users(spark, sf_dir)
     return u.select("user_id", text.redact_email(F.concat("user_id", F.lit("@example.com"))).alias("email"), text.normalize_repo(F.lit(" https://github.com/owner/name.git ")).alias("repo"))
@@ -702,10 +702,10 @@ def _digest_rows(spark, sf_dir):
 
 
 CELL = f"CASE WHEN {NUMBER} IS NULL OR {NUMBER} < 0 THEN 'N/A' ELSE concat(CAST(trunc({NUMBER}) AS INT), '%') END"
-FLAG = f"concat(CASE WHEN scam THEN '[SCAM] ' WHEN {BLACK} THEN '[BLACKLISTED] ' WHEN suspicious THEN '[SUSPICIOUS] ' ELSE '' END, coalesce(title, ''))"
+FLAG = f"concat(CASE WHEN scam THEN '🚨 ' WHEN {BLACK} THEN '🚫 ' WHEN suspicious THEN '⚠️ ' ELSE '' END, coalesce(title, ''))"
 RANKED12 = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord) AS rank FROM flagged QUALIFY rank <= 12)"
 ESC = lambda c: f"replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-COLOR = f"CASE WHEN {NUMBER} >= 85 THEN '#16a34a' WHEN {NUMBER} >= 70 THEN '#ca8a04' WHEN {NUMBER} >= 0 THEN '#6b7280' ELSE '#9ca3af' END"
+COLOR = f"CASE WHEN {NUMBER} >= 85 THEN '#22c55e' WHEN {NUMBER} >= 70 THEN '#eab308' WHEN {NUMBER} >= 0 THEN '#ef4444' ELSE '#9ca3af' END"
 HTML = f"concat('<tr><td><span style=\"color:', {COLOR}, '\">', {CELL}, '</span></td><td><a href=\"', job_url, '\">', {ESC(FLAG)}, '</a></td><td>', {ESC('company')}, '</td><td>', {ESC('location')}, '</td><td><strong>MATCH:</strong> fine &lt;b&gt;</td></tr>')"
 
 
@@ -727,7 +727,7 @@ def digest_text(spark, sf_dir):
     return render.digest(_digest_rows(spark, sf_dir), ["user_id"], "text").select("user_id", F.md5("document").alias("document"))
 
 
-@query("SELECT n_nationkey, concat(CASE n_nationkey WHEN 0 THEN 'No new matches' WHEN 1 THEN '1 new match' ELSE concat(n_nationkey, ' new matches') END, ' - Jan 20') AS subject FROM nation")
+@query("SELECT n_nationkey, concat(CASE n_nationkey WHEN 0 THEN 'No strong matches today' WHEN 1 THEN '1 job matches your CV' ELSE concat(n_nationkey, ' jobs match your CV') END, ' (Jan 20)') AS subject FROM nation")
 def email_subject(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     return nation.select("n_nationkey", render.subject(F.col("n_nationkey"), W.now()).alias("subject"))
@@ -765,7 +765,7 @@ def _payloads(spark, sf_dir, item, field=None, extra=()):
 
 NAMES = "title, company, location, job_url"
 ROWS = f"{J} SELECT coalesce(title, '') AS title, coalesce(company, '') AS company, {{place}} AS location, job_url FROM jobs WHERE ord % 4 = 0 AND title IS NOT NULL"
-PLAIN, REMOTE = ROWS.format(place="coalesce(location, '')"), ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' ELSE location END")
+PLAIN, REMOTE = ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote/Unspecified' ELSE location END"), ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' ELSE location END")
 
 
 def _four(df):
@@ -790,12 +790,12 @@ def parse_arbeitnow(spark, sf_dir):
 
 @query(ROWS.format(place="coalesce(location, 'Remote')") + " AND ord % 3 <> 1")
 def parse_jobicy(spark, sf_dir):
-    industry = F.when(F.col("ord") % 3 == 0, F.array(F.lit("Software"))).when(F.col("ord") % 3 == 1, F.array(F.lit("Retail"))).otherwise(F.array().cast("array<string>"))
+    industry = F.when(F.col("ord") % 3 == 0, F.array(F.lit("Software"))).when(F.col("ord") % 3 == 1, F.array(F.lit("Hotels"))).otherwise(F.array().cast("array<string>"))
     item = _s(jobTitle=F.col("title"), companyName=F.col("company"), jobGeo=F.col("location"), url=F.col("job_url"), jobIndustry=industry)
     return _four(feeds.jobicy(_payloads(spark, sf_dir, item, "jobs")))
 
 
-@query(REMOTE + " AND ord % 3 <> 0")
+@query(ROWS.format(place="coalesce(location, 'Remote')") + " AND ord % 3 <> 0")
 def parse_remoteok(spark, sf_dir):
     item = _s(position=F.col("title"), company=F.col("company"), location=F.col("location"), url=F.col("job_url"), legal=F.when(F.col("ord") % 3 == 0, "terms"))
     return _four(feeds.remoteok(_payloads(spark, sf_dir, item)))
@@ -811,7 +811,7 @@ def parse_himalayas(spark, sf_dir):
     return _four(feeds.himalayas(payloads))
 
 
-@query(REMOTE)
+@query(PLAIN)
 def parse_themuse(spark, sf_dir):
     item = _s(name=F.col("title"), company=_s(name=F.col("company")), locations=F.array(_s(name=F.col("location"))), refs=_s(landing_page=F.col("job_url")))
     return _four(feeds.themuse(_payloads(spark, sf_dir, item, "results")))
@@ -911,3 +911,73 @@ def company_name_match(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     a, b = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), nation.select(F.col("n_nationkey").alias("b"), F.substring("n_name", 1, 3).alias("y"))
     return a.join(F.broadcast(b), urls.names_match(F.col("x"), F.col("y"))).select("a", "b")
+
+
+@query(f"""WITH c AS (SELECT page_id, {HINT} AS hint, page_id % 3 = 0 AS cached, page_id % 6 = 0 AS miss, page_id % 9 = 0 AS old FROM pages)
+SELECT page_id, CASE WHEN cached AND NOT old AND miss THEN 'page' WHEN cached AND NOT old THEN 'fetch' WHEN page_id % 5 IN (0, 1, 2) THEN 'fetch' WHEN page_id % 5 = 3 THEN 'none' ELSE 'page' END AS route, NOT (cached AND NOT old) AS fresh FROM c""")
+def company_routes(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("html", F.expr(HINT)).alias("html"))
+    name = F.col("page_id").cast("string")
+    own = p.select(name.alias("company"), F.concat(F.lit("https://"), name).alias("url"))
+    cache = p.where("page_id % 3 = 0").select(name.alias("company"), F.when(F.col("page_id") % 6 > 0, "lever").alias("system"), F.when(F.col("page_id") % 6 > 0, "x").alias("token"), F.when(F.col("page_id") % 9 == 0, "2023-01-01").otherwise("2024-01-10").cast("timestamp").alias("ts"))
+    pages = p.select(F.concat(F.lit("https://"), name).alias("url"), "html")
+    return careers.routes(own, cache, pages, W.now()).select(F.col("company").cast("bigint").alias("page_id"), "route", "fresh")
+
+
+@query(f"SELECT page_id, CASE WHEN length({_html_sql('html')}) >= 500 THEN 'text' ELSE 'rendered' END AS tier, CASE WHEN length({_html_sql('html')}) >= 500 THEN md5({_html_sql('html')}) WHEN page_id % 2 = 0 THEN md5('markdown') ELSE md5('') END AS text_md5 FROM pages")
+def careers_tiers(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("url"), "html")
+    return careers.tiers(p, p.where("url % 2 = 0").select("url", F.lit("markdown").alias("text"))).select(F.col("url").alias("page_id"), "tier", F.md5("text").alias("text_md5"))
+
+
+MESSAGE = "CASE event_id % 5 WHEN 0 THEN 'HTTP 503 oops' WHEN 1 THEN 'invalid key' WHEN 2 THEN 'Request too large' WHEN 3 THEN 'error 429' ELSE NULL END"
+
+
+@query("SELECT event_id, event_id % 5 IN (0, 3) AS retry, event_id % 5 = 2 AS too_large FROM events")
+def error_kinds(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(MESSAGE).alias("m"))
+    return e.select("event_id", careers.retryable(F.col("m")).alias("retry"), careers.too_large(F.col("m")).alias("too_large"))
+
+
+@query(f"{U} SELECT user_id, CASE WHEN minimum >= 50 THEN 'rag' ELSE 'digest' END AS mode, concat('Typical of the chosen paths, unless what follows says otherwise:', chr(10), '- Backend', chr(10), chr(10), CASE WHEN is_admin THEN concat('The candidate''s own words, which weigh most:', chr(10), 'note', chr(10), chr(10)) ELSE '' END, 'D', CASE WHEN minimum >= 50 THEN concat(chr(10), chr(10), 'Past reactions to similar postings:', chr(10), 'one', chr(10), 'two') ELSE '' END) AS preferences FROM users")
+def preference_context(spark, sf_dir):
+    u = W.users(spark, sf_dir)
+    users = u.select("user_id", F.col("minimum").alias("entries"), F.lit("D").alias("digest"), F.when(F.col("is_admin"), " note ").alias("note"), F.array(F.lit("backend"), F.lit("zzz")).alias("paths"))
+    jobs = u.select("user_id", F.lit(1).alias("ord"))
+    lines = jobs.select("user_id", "ord", F.explode(F.array(F.struct(F.lit(2).alias("rank"), F.lit("two").alias("line")), F.struct(F.lit(1).alias("rank"), F.lit("one").alias("line")))).alias("x")).select("user_id", "ord", "x.*")
+    return preferences.context(jobs, users, lines).select("user_id", "mode", "preferences")
+
+
+@query(f"{U} SELECT user_id, sha256(concat('s', user_id)) AS token_hash FROM users")
+def feedback_tokens(spark, sf_dir):
+    runs = W.users(spark, sf_dir).select("user_id", F.lit("r").alias("run_id"))
+    made = preferences.feedback_tokens(runs, F.concat(F.lit("s"), F.col("user_id")), W.now())
+    return preferences.valid_tokens(made, W.now()).select("user_id", "token_hash")
+
+
+@query(f"{J} SELECT ord, lower(origin) AS origin, CASE WHEN length(trim(coalesce(title, ''))) > 0 THEN trim(title) END AS title, CAST(least(100, tech_fit) AS INT) AS tech_fit, NULL::STRING AS ai_verdict, false AS ai_evaluated FROM jobs")
+def result_rows(spark, sf_dir):
+    v = F.struct(*[F.col("tech_fit").alias(n) for n in ("tech_fit", "experience_fit", "logistics_fit", "match_percentage")], F.lit("ok").alias("verdict"), F.lit(True).alias("is_valid"), F.lit("high").alias("effort"))
+    jobs = W.jobs(spark, sf_dir).withColumns({"verdict": v, "run_id": F.lit("r"), "job_url": F.col("ord").cast("string")})
+    return state.result_rows(jobs, "r", False).select(F.col("job_url").cast("bigint").alias("ord"), "origin", "title", "tech_fit", "ai_verdict", "ai_evaluated")
+
+
+@query(f"{J} SELECT user_id, count(*) AS shown FROM jobs WHERE {NUMBER} IS NULL OR {NUMBER} < 0 OR {NUMBER} >= 55 GROUP BY user_id")
+def displayed_matches(spark, sf_dir):
+    return W.jobs(spark, sf_dir).where(ranking.shown(F.col("match_text"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("shown"))
+
+
+@query(f"WITH {W.FLAGGED_SQL} SELECT ord, CAST(CASE WHEN suspicious AND {W.any_of("lower(concat(coalesce(location, ''), ' ', coalesce(company, '')))", V.INDIA_SIGNALS)} AND ord % 3 = 0 THEN least(30, tech_fit) ELSE tech_fit END AS BIGINT) AS match, suspicious AND {W.any_of("lower(concat(coalesce(location, ''), ' ', coalesce(company, '')))", V.INDIA_SIGNALS)} AND ord % 3 = 0 AS scam FROM flagged")
+def scam_confirmation(spark, sf_dir):
+    jobs = W.flagged(spark, sf_dir).drop("scam")
+    v = F.struct(F.col("tech_fit").alias("match_percentage"), F.lit("v").alias("verdict"), F.col("suspicious"), F.lit(False).alias("scam"), F.lit(True).alias("is_valid"))
+    snippets = F.when(F.col("ord") % 3 == 0, "A known fraud: they did not pay").otherwise("a scam?")
+    out = jobs.select("ord", verdict.scam_checked(v, F.coalesce("location", F.lit("")), F.coalesce("company", F.lit("")), snippets).alias("v"))
+    return out.select("ord", F.col("v.match_percentage").cast("bigint").alias("match"), F.col("v.scam").alias("scam"))
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS INT) AS place FROM customer ORDER BY place LIMIT 50")
+def cv_cache_cap(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+    kept = state.newest(c, [F.desc("c_acctbal"), F.asc("c_custkey")], V.CV_TEXTS)
+    return dedup.ranked(kept, [], [F.desc("c_acctbal"), F.asc("c_custkey")], V.CV_TEXTS, "place").select("c_custkey", "place")

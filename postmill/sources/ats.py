@@ -24,6 +24,9 @@ SYSTEMS = (
 )
 
 
+UNKNOWN_PLACE = "Remote/Unspecified"
+
+
 def detect(html: Column) -> Column:
     """struct<system, token> of a page; null if it names none."""
     h = F.coalesce(html, F.lit(""))
@@ -72,7 +75,7 @@ def ashby(payloads: DataFrame) -> DataFrame:
     """The location is a text or an object with a name."""
     j = _elements(payloads, "$.jobs")
     kind = F.when(F.contains(F.lower(text(v("$.employmentType"))), F.lit("intern")), "internship").otherwise("fulltime")
-    return raw(j, text(v("$.title")), F.col("company"), first_of(v("$.location.name"), F.when(~F.schema_of_variant(F.coalesce(v("$.location", "variant"), F.parse_json(F.lit("null")))).startswith("OBJECT"), v("$.location"))), text(v("$.jobUrl")), first_of(v("$.descriptionPlain"), v("$.descriptionHtml")), first_of(v("$.publishedAt"), v("$.updatedAt")), kind)
+    return raw(j, text(v("$.title")), F.col("company"), first_of(v("$.location.name"), F.when(~F.schema_of_variant(F.coalesce(v("$.location", "variant"), F.parse_json(F.lit("null")))).startswith("OBJECT"), v("$.location"))), first_of(v("$.jobUrl"), v("$.applyUrl")), first_of(v("$.descriptionPlain"), v("$.descriptionHtml")), first_of(v("$.publishedAt"), v("$.updatedAt")), kind)
 
 
 def workday(payloads: DataFrame) -> DataFrame:
@@ -84,14 +87,18 @@ def workday(payloads: DataFrame) -> DataFrame:
 
 
 def factorialhr(payloads: DataFrame) -> DataFrame:
-    """The payload is a list or holds one as jobs or data; a location is a list, an object or a text."""
+    """The payload is a list or holds one as jobs or data; the place (locations, location or city) is a list of objects or texts, an object, or a text."""
     j = _elements(payloads, "$", "$.jobs", "$.data")
-    place = lambda at: first_of(v(f"{at}.name"), F.array_join(F.filter(F.array(v(f"{at}.city"), v(f"{at}.country")), lambda x: F.coalesce(x, F.lit("")) != ""), ", "))
-    kind = F.schema_of_variant(F.coalesce(v("$.location", "variant"), F.parse_json(F.lit("null"))))
-    where = F.when(kind.startswith("OBJECT"), place("$.location")).when(kind.startswith("ARRAY"), first_of(place("$.location[0]"), v("$.location[0]"))).otherwise(text(v("$.location")))
-    slug = text(v("$.slug"))
-    url = first_of(v("$.url"), F.when(slug != "", F.concat(F.lit("https://"), F.col("token"), F.lit(".factorialhr.com/job_posting/"), slug)))
-    return raw(j, first_of(v("$.title"), v("$.name")), F.col("company"), where, url, html_to_text(text(v("$.description"))), first_of(v("$.published_at"), v("$.created_at")))
+    named = lambda x: first_of(F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$.city", "string"), F.when(~F.schema_of_variant(x).startswith("OBJECT"), F.try_variant_get(x, "$", "string")))
+    places = [v(f"$.{n}", "variant") for n in ("locations", "location", "city")]
+    given = lambda x: x.isNotNull() & ~F.is_variant_null(x) & ~F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("-")).isin("", "[]")
+    j = j.withColumn("p", F.coalesce(*[F.when(given(x), x) for x in places]))
+    many = F.try_variant_get("p", "$", "array<variant>")
+    where = F.when(many.isNotNull(), F.array_join(F.filter(F.transform(many, named), lambda x: x != ""), ", ")).when(F.col("p").isNotNull(), named(F.col("p"))).otherwise("")
+    slug = first_of(v("$.slug"), v("$.id"))
+    url = first_of(v("$.url"), v("$.apply_url"), F.when((slug != "") & (F.col("token") != ""), F.concat(F.lit("https://"), F.col("token"), F.lit(".factorialhr.com/job_posting/"), slug)))
+    kind = F.when(F.contains(F.lower(first_of(v("$.employment_type"), v("$.contract_type"))), F.lit("intern")), "internship").otherwise("fulltime")
+    return raw(j, first_of(v("$.title"), v("$.name")), F.col("company"), where, url, first_of(v("$.description"), v("$.description_plain")), first_of(v("$.published_at"), v("$.created_at")), kind)
 
 
 SYSTEM_PARSERS = {"greenhouse": greenhouse, "lever": lever, "workable": workable, "ashby": ashby, "workday": workday, "factorialhr": factorialhr}
@@ -101,7 +108,8 @@ def dispatch(payloads: DataFrame) -> DataFrame:
     """RAW of payloads (system, company, token, payload) of any known system; others give no rows. Each system's rows
     go through its own parser in one plan."""
     out = None
+    somewhere = F.when(F.col("location") == "", UNKNOWN_PLACE).otherwise(F.col("location"))
     for system, parse in SYSTEM_PARSERS.items():
-        own = parse(payloads.where(F.col("system") == system)).withColumn("source", F.lit("ats_api"))
+        own = parse(payloads.where(F.col("system") == system)).withColumns({"source": F.lit("ats_api"), "location": somewhere, "job_type": F.when(F.col("job_type") == "", "fulltime").otherwise(F.col("job_type"))})
         out = own if out is None else out.unionByName(own)
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postmill.functions.text import split_wwr_title, strip
 
 # Words by which a board's industry counts as technical.
-TECH_INDUSTRIES = ("engineering", "software", "dev", "data", "tech", "programming", "it")
+TECH_INDUSTRIES = ("tech", "engineer", "software", "data", "ai", "develop", "it ", "information")
 
 
 def text(path: Column) -> Column:
@@ -63,7 +63,7 @@ def jobicy(payloads: DataFrame) -> DataFrame:
 
 def remoteok(payloads: DataFrame) -> DataFrame:
     j = items(payloads, "array<struct<position:string,company:string,location:string,url:string,description:string,date:string,legal:string>>").where("j.legal is null")
-    return raw(j, text(F.col("j.position")), text(F.col("j.company")), first_of(F.col("j.location"), F.lit("Remote")), text(F.col("j.url")), text(F.col("j.description")), text(F.col("j.date")))
+    return raw(j, text(F.col("j.position")), text(F.col("j.company")), F.coalesce("j.location", F.lit("Remote")), text(F.col("j.url")), text(F.col("j.description")), text(F.col("j.date")))
 
 
 def himalayas(payloads: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def himalayas(payloads: DataFrame) -> DataFrame:
 def themuse(payloads: DataFrame) -> DataFrame:
     j = items(payloads, "array<struct<name:string,company:struct<name:string>,locations:array<struct<name:string>>,refs:struct<landing_page:string>,publication_date:string,contents:string>>", "results")
     places = F.array_join(F.filter(F.transform("j.locations", lambda x: x["name"]), lambda n: n.isNotNull() & (n != "")), ", ")
-    return raw(j, text(F.col("j.name")), text(F.col("j.company.name")), first_of(places, F.lit("Remote")), text(F.col("j.refs.landing_page")), text(F.col("j.contents")), text(F.col("j.publication_date")))
+    return raw(j, text(F.col("j.name")), text(F.col("j.company.name")), first_of(places, F.lit("Remote/Unspecified")), text(F.col("j.refs.landing_page")), text(F.col("j.contents")), text(F.col("j.publication_date")))
 
 
 def weworkremotely(entries: DataFrame) -> DataFrame:

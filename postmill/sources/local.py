@@ -60,7 +60,7 @@ def search_results(results: DataFrame, companies: DataFrame, now: Column, days:
     id is recent, and pages of the company's own domain that are about one posting. companies: company, website, linkedin."""
     r = results.join(companies, "company")
     posted = dates.linkedin_posted(F.col("href"))
-    handle = F.regexp_extract("href", r"linkedin\.com/(?:posts|company)/([^/_?#]+)", 1)
+    handle = urls.linkedin_poster(F.col("href"))
     post = (F.col("mode") == "linkedin") & F.contains("href", F.lit("linkedin.com/posts/")) & urls.handle_matches(handle, F.col("company")) & (posted >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
     page = (F.col("mode") == "website") & ~urls.linkedin_only(F.col("website")) & F.contains(urls.domain(F.col("href")), urls.domain(F.col("website"))) & urls.specific_job_like(F.col("href"))
     r = r.where(post | page)

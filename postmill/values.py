@@ -86,7 +86,21 @@ PATHS = {
     "data_analysis": ("data analyst", "analytics", "business intelligence", "bi (?:analyst|developer)"),
     "data_engineering": ("data engineer", "etl", "data pipelines?", "(?:data )?warehouse", "spark"),
     "devops": ("devops", "sre", "site reliability", "platform engineer", "cloud engineer", "infrastructure engineer", "kubernetes"),
+    "qa": ("qa", "quality assurance", "test (?:engineer|automation)", "sdet", "automation engineer"),
+    "security": ("security (?:engineer|analyst)", "appsec", "infosec", "penetration tester", r"cyber\s*security"),
+    "embedded": ("embedded", "firmware", "rtos", "hardware engineer"),
+    "game": ("game (?:developer|engineer|programmer)", "unity", "unreal", "gameplay"),
 }
+PATH_LABELS = {
+    "backend": "Backend", "frontend": "Frontend", "fullstack": "Full-Stack", "mobile": "Mobile", "ai_ml": "AI/ML", "data_science": "Data Science", "data_analysis": "Data Analysis", "data_engineering": "Data Engineering",
+    "devops": "DevOps/SRE", "qa": "QA/Test", "security": "Security", "embedded": "Embedded", "game": "Game Dev",
+}
+RETRYABLE = (
+    "500", "502", "503", "504", "UNAVAILABLE", "INTERNAL", "BAD_GATEWAY", "GATEWAY_TIMEOUT", "timeout", "Timeout", "TIMEOUT", "ConnectionError", "ConnectError", "connection error",
+    "rate limit", "Rate limit", "rate_limit", "RATE_LIMIT", "429", "overloaded", "Overloaded", "OVERLOADED", "service unavailable", "Service Unavailable",
+)
+TOO_LARGE = ("413", "request too large", "tokens per minute", "reduce your message")
+USEFUL_TEXT, RETRIEVAL_FROM, TOKEN_DAYS, CV_TEXTS = 500, 50, 30, 50
 JOB_PATHS = ("jobs?", "career", "careers", "position", "positions", "vacanc[yi]e?s?", "apply", "openings?", "role", "roles", "job[-_]posting", "job[-_]post", "posting", "postings", "employment", "hire", "work-with-us", "join-us", "we[-_]are[-_]hiring")
 OTHER_PATHS = (
     "blog", "blogs", "news", "press", "press-release", "press[-_]releases", "article", "articles", "posts?", "whitepapers?", "case-stud[yi]e?s?", "insight", "insights", "event", "events", "research", "about", "contact", "team",
