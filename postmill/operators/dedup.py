@@ -32,15 +32,38 @@ def unseen(jobs: DataFrame, seen: DataFrame, keys=("user_id", "job_url")) -> Dat
     return jobs.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def drop_similar(jobs: DataFrame, history: DataFrame, threshold: float = SAME_POSTING, blocks: int = 8, key: str = "job_url") -> DataFrame:
+def _units(vectors: pd.Series, width: int) -> np.ndarray:
+    """Rows of length 1, or 0 for zero vectors; shorter vectors end in zeros, which is what a common prefix means."""
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def drop_similar(jobs: DataFrame, history: DataFrame, threshold: float = SAME_POSTING, block: int = 4096, key: str = "job_url") -> DataFrame:
     """jobs without those whose embedding has cosine >= threshold with another posting of history; rows without a
-    vector stay. Exact: history is dealt into blocks, each posting meets each block once, and no pair is emitted but
-    those at the threshold. jobs and history: key, embedding.
+    vector stay. Exact: both sides are dealt into blocks, each pair of blocks is one matrix product in one task, and only keys
+    that are hit come out. jobs and history: key, embedding.
     """
-    past = history.where(F.col("embedding").isNotNull()).select(F.col(key).alias("_past"), F.col("embedding").alias("_old"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"))
-    own = jobs.where(F.col("embedding").isNotNull()).select(key, "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"))
-    same = own.join(past, "_block").where((F.col(key) != F.col("_past")) & (cosine(F.col("embedding"), F.col("_old")) >= threshold)).select(key).distinct()
-    return jobs.join(same, key, "left_anti")
+    new = jobs.where(F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    old = history.where(F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    n, m = (max(1, -(-df.count() // block)) for df in (new, old))
+    spread = lambda name, blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias(name)
+    deal = lambda name, blocks: F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).alias(name)
+
+    def hits(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"k": pd.Series([], dtype=str)})
+        width = max(a["v"].map(len).max(), b["v"].map(len).max())
+        near = _units(a["v"], width) @ _units(b["v"], width).T >= threshold - 1e-12
+        near &= a["k"].to_numpy()[:, None] != b["k"].to_numpy()[None, :]
+        return pd.DataFrame({"k": a["k"][near.any(axis=1)].unique()})
+
+    left = new.select("k", "v", deal("a", n), spread("b", m)).groupBy("a", "b")
+    right = old.select("k", "v", spread("a", n), deal("b", m)).groupBy("a", "b")
+    found = left.cogroup(right).applyInPandas(hits, "k string").distinct()
+    return jobs.join(found.withColumnRenamed("k", "_hit"), F.col(key).cast("string") == F.col("_hit"), "left_anti")
 
 
 def drop_similar_lsh(jobs: DataFrame, history: DataFrame, threshold: float = SAME_POSTING, key: str = "job_url", planes: int = 16, tables: int = 12, seed: int = 7) -> DataFrame:

@@ -179,6 +179,12 @@ def blocked_companies(blacklist: DataFrame, entries: DataFrame) -> DataFrame:
     return insert_new(blacklist, more, ["pattern"])
 
 
+def drained(inbox: DataFrame, blacklist: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an inbox of entries adds: the clean entries for the log, the addresses applied to for the seen table, and the blacklist with blocked companies."""
+    log = sanitised(inbox)
+    return log, log.where("feedback_type = 'applied'").select("job_url").distinct(), blocked_companies(blacklist, log)
+
+
 def needing_vectors(feedback: DataFrame, vectors: DataFrame) -> DataFrame:
     return feedback.join(vectors.select("feedback_id"), "feedback_id", "left_anti")
 

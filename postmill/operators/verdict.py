@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from postmill.functions import coerce
 from postmill.functions.text import has_any, scam_hits
-from postmill.schemas import VERDICT
 from postmill.values import CARD_LIMITS, INDIA_SIGNALS, SCAM_WORDS
 
 SCORES = ("tech_fit", "experience_fit", "logistics_fit", "match_percentage")
@@ -105,10 +105,17 @@ def judged(jobs: DataFrame, answer: Column) -> DataFrame:
 def evaluate(jobs: DataFrame, model: Callable, prompt: Column) -> DataFrame:
     """jobs with verdict: gated ones are skipped, the others go to the model in Arrow batches (a pandas function from a
     series of prompts to a series of answers); its answer is parsed, normalised and capped."""
-    ask = F.pandas_udf(model, StringType())
-    asked = judged(jobs.where("viable").withColumn("_answer", ask(prompt)), F.col("_answer")).drop("_answer")
-    rest = jobs.where("not viable").withColumn("verdict", skipped(F.col("skip_reason")))
-    return asked.unionByName(rest.withColumn("verdict", F.col("verdict").cast(f"struct<{VERDICT.replace(' ', ':').replace(',:', ',')}>")))
+    def answers(prompts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+        some = prompts.notna()
+        if some.any():
+            out[some] = model(prompts[some]).to_numpy()
+        return out
+
+    # one pass: gated rows reach the function without a prompt and never the model
+    ask = F.pandas_udf(answers, StringType())
+    asked = judged(jobs.withColumn("_answer", ask(F.when(F.col("viable"), prompt))), F.col("_answer")).drop("_answer")
+    return asked.withColumn("verdict", F.when(F.col("viable"), F.col("verdict")).otherwise(skipped(F.col("skip_reason"))))
 
 
 def prompt(profile: Column) -> Column:

@@ -9,6 +9,7 @@ from postmill import views as W
 from postmill.functions import coerce, dates, hashing, text, urls, vectors, weights
 from postmill.operators import careers, dedup, filters, preferences, ranking, render, state, verdict, viability
 from postmill.sources import ats, feeds, files, local
+from postmill.streaming import state as streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -981,3 +982,44 @@ def cv_cache_cap(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
     kept = state.newest(c, [F.desc("c_acctbal"), F.asc("c_custkey")], V.CV_TEXTS)
     return dedup.ranked(kept, [], [F.desc("c_acctbal"), F.asc("c_custkey")], V.CV_TEXTS, "place").select("c_custkey", "place")
+
+
+@query("SELECT event_id, CAST(epoch(timezone('Asia/Jerusalem', date_trunc('day', timezone('Asia/Jerusalem', timezone('UTC', ts))))) AS BIGINT) + 86400 AS budget_next, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + greatest(1, event_id % 50) * 3600 AS run_next, CAST(epoch(date_trunc('second', ts)) AS BIGINT) + 7200 AS retry_at FROM events")
+def schedule_steps(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    return e.select("event_id", F.unix_timestamp(dates.next_budget_day(F.col("t"))).alias("budget_next"), F.unix_timestamp(dates.next_run(F.col("t"), F.col("event_id") % 50)).alias("run_next"), F.unix_timestamp(dates.retry(F.col("t"))).alias("retry_at"))
+
+
+@query(f"{J} SELECT source, count(*) AS n FROM jobs WHERE NOT (coalesce(starts_with(source, 'ats_'), false) AND posted < TIMESTAMP '1996-01-01 00:00:00' - INTERVAL 60 DAYS) AND NOT (coalesce(starts_with(source, 'ddg_'), false) AND ord % 4000 % 3 = 0) GROUP BY 1")
+def local_collection(spark, sf_dir):
+    jobs = W.jobs(spark, sf_dir).withColumn("date_posted", F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss"))
+    n = F.regexp_extract("job_url", r"(\d+)$", 1).cast("int")
+    probes = jobs.select("job_url").distinct().select("job_url", F.when(n % 3 == 0, 404).otherwise(200).alias("status"), F.col("job_url").alias("final_url"))
+    parts = [jobs.where(F.coalesce("source", F.lit("none")) == s) for s in ("ats_api", "ddg_website", "telegram", "jobs_ps", "remotive", "none")]
+    return local.source_counts(local.collect(parts, probes, F.lit("1996-01-01").cast("timestamp")))
+
+
+@query(f"WITH {ENTRIES}, e AS (SELECT * FROM entries WHERE feedback_type IN ('applied', 'block_company', 'other') AND trim(job_url) <> '') SELECT 'log' AS part, count(*) AS n FROM e UNION ALL SELECT 'seen', count(DISTINCT job_url) FROM e WHERE feedback_type = 'applied' UNION ALL SELECT 'blacklist', count(DISTINCT lower(company)) FROM e WHERE feedback_type = 'block_company'")
+def feedback_drain(spark, sf_dir):
+    log, applied, blocked = state.drained(entries(spark, sf_dir), spark.createDataFrame([], "pattern string"))
+    n = lambda part, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
+    return n("log", log).unionByName(n("seen", applied)).unionByName(n("blacklist", blocked))
+
+
+def _streamed(spark, sf_dir, make, name, mode):
+    """Runs a stream over all of events to its end and gives what its sink has."""
+    source = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").parquet(f"{sf_dir}/events*.parquet")
+    calls = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id"), (F.col("event_id") % 400).cast("string").alias("job_url"))
+    q = make(calls).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT DISTINCT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url FROM events")
+def stream_unseen(spark, sf_dir):
+    return _streamed(spark, sf_dir, streams.unseen, "stream_unseen", "append").select("user_id", "job_url")
+
+
+@query("SELECT user_id, CAST(max(n) AS BIGINT) AS peak FROM (SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, count(*) OVER (PARTITION BY user_id % 40 ORDER BY date_trunc('second', ts) RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1")
+def stream_peaks(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda c: streams.peaks(c, "user_id"), "stream_peaks", "update")

@@ -91,3 +91,13 @@ def described(jobs: DataFrame, pages: DataFrame, least: int = 100, blocked: str
 
 def source_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def collect(parts: list[DataFrame], probes: DataFrame, now: Column) -> DataFrame:
+    """All local sources in one frame, without stale postings of tracking systems and dead search results."""
+    from postmill.operators.filters import drop_dead, stale
+
+    out = None
+    for df in parts:
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return drop_dead(out.where(~stale(F.col("source"), dates.posted(F.col("date_posted")), now)), probes)
