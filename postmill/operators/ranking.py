@@ -26,16 +26,33 @@ def by_score(ties: str = "ord") -> list[Column]:
 def top_and_wildcards(jobs: DataFrame, keys: list[str], n: int = TOP_N, wildcards: int = WILDCARDS, lower: int = LOWER_RANKED, seed: int = 42) -> DataFrame:
     """part (top, wildcard, lower) and rank of the rows chosen per key: the n best; a sample of the others by a seeded
     hash of the address (the same in any partitioning); the best of what is then left."""
-    w = lambda *order: (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-    placed = jobs.withColumn("_place", F.row_number().over(w(*by_score())))
     draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce("job_url", F.lit(""))), 256)
-    drawn = placed.withColumn("_draw", F.row_number().over(w((F.col("_place") <= n).asc(), draw.asc(), F.asc("ord"))))
+    if not keys:
+        return _chosen_of_all(jobs, draw, n, wildcards, lower)
+    w = Window.partitionBy(*keys)
+    placed = jobs.withColumn("_place", F.row_number().over(w.orderBy(*by_score())))
+    drawn = placed.withColumn("_draw", F.row_number().over(w.orderBy((F.col("_place") <= n).asc(), draw.asc(), F.asc("ord"))))
     part = F.when(F.col("_place") <= n, "top").when(F.col("_draw") <= wildcards, "wildcard").otherwise("lower")
     named = drawn.withColumn("part", part)
     own = Window.partitionBy(*keys, "part").orderBy(*by_score())
     return named.withColumn("rank", F.row_number().over(own)).where((F.col("part") != "lower") | (F.col("rank") <= lower)).drop("_place", "_draw")
 
 
+def _chosen_of_all(jobs: DataFrame, draw: Column, n: int, wildcards: int, lower: int) -> DataFrame:
+    """The same over one set of rows: each part is a limit, of which every task keeps its own best only. Whatever is
+    chosen before is at most n + wildcards rows, so the next limit takes that many more and drops them."""
+    best = jobs.orderBy(*by_score()).limit(n + wildcards + lower)
+    first = jobs.orderBy(*by_score()).limit(n)
+    top = first.select("ord")
+    some = jobs.orderBy(draw.asc(), F.asc("ord")).limit(n + wildcards)
+    wild = some.join(F.broadcast(top), "ord", "left_anti").orderBy(draw.asc(), F.asc("ord")).limit(wildcards)
+    taken = F.broadcast(top.unionByName(wild.select("ord")))
+    rest = best.join(taken, "ord", "left_anti").orderBy(*by_score()).limit(lower)
+    out = first.withColumn("part", F.lit("top")).unionByName(wild.withColumn("part", F.lit("wildcard"))).unionByName(rest.withColumn("part", F.lit("lower")))
+    # at most n + wildcards + lower rows are numbered
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*by_score())))
+
+
 def sort_by_match(df: DataFrame) -> DataFrame:
     match, tech = F.coalesce(coerce.match_number(F.col("match_percentage")), F.lit(-1.0)), F.coalesce(F.col("tech_fit").cast("string").try_cast("double"), F.lit(0.0))
     return df.orderBy(match.desc(), tech.desc(), F.asc("ord"))

@@ -59,6 +59,10 @@ def test_choice_per_user(spark):
     again = ranking.top_and_wildcards(jobs.repartition(7), ["user_id"], 10, 5, 20)
     assert sorted(map(tuple, out.select("ord", "part").collect())) == sorted(map(tuple, again.select("ord", "part").collect()))
 
+    one = jobs.where("user_id = 0")
+    keyed = {(r["ord"], r["part"], r["rank"]) for r in ranking.top_and_wildcards(one, ["user_id"], 10, 5, 20).collect()}
+    assert {(r["ord"], r["part"], r["rank"]) for r in ranking.top_and_wildcards(one, [], 10, 5, 20).collect()} == keyed
+
 
 def test_rate_limit_equals_stepping(spark):
     asked = [0.0, 0.1, 0.2, 30.0, 30.0, 31.0, 100.0]
