@@ -147,18 +147,19 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = stored(edges.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).where("u <> v").distinct(), "links")
     if pairs.isEmpty():
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: a node's larger neighbours move to its least neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: a node and its smaller neighbours move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small, "links")
-        changed = not (after.exceptAll(pairs).isEmpty() and pairs.exceptAll(after).isEmpty())
-        pairs = after
-        if not changed:
+        pairs = stored(small, "links")
+        # distinct pairs: their number and the exclusive or of their hashes tell whether the turn has changed any
+        before, state = state, tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+        if before == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
