@@ -37,8 +37,11 @@ DIGITS = r"\(?[0-9](?:[\x20().-]{0,3}[0-9]){6,}+"
 GENERATORS = ("mail", "digits")
 CONTEXT = 24
 CUES = (r"(?i)(card|visa|credit|account|iban)", r"(?i)(phone|tel|call|mobile|fax)", r"(?i)(mail|contact|write)", r"(?i)(\bip\b|host|server|address)")
-FEATURES = {"source": 2, "digits": 6, "groups": 4, "plus": 2, "at": 2, "dots": 4, "luhn": 2, "spaced": 2, "cue": 5}
+# the plus of a phone number is no feature: it would only teach the base rule itself
+FEATURES = {"source": 2, "digits": 6, "groups": 4, "at": 2, "dots": 4, "luhn": 2, "spaced": 2, "cue": 5}
 ROUNDS, DEPTH, RATE = 24, 3, 0.3
+#: A split needs so many candidates on each side, so a few odd ones share the score of those they look like.
+LEAST_SIDE = 20
 PRECISION = 0.98
 
 
@@ -85,7 +88,6 @@ def _features(span: Column, before: Column, source: int) -> Column:
         "source": F.lit(source),
         "digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 10, 2).when(n < 12, 3).when(n < 16, 4).otherwise(5),
         "groups": F.least(groups - 1, F.lit(3)),
-        "plus": before.endswith("+").cast("int"),
         "at": m.contains("@").cast("int"),
         "dots": F.least(dots, F.lit(3)),
         "luhn": F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
@@ -140,6 +142,9 @@ def boosted(cells: list[tuple[list[int], float, float]], rounds: int = ROUNDS, d
         if left:
             for j, values in enumerate(FEATURES.values()):
                 for cut in range(values - 1):
+                    on_left = sum(cells[i][1] for i in own if cells[i][0][j] <= cut)
+                    if min(on_left, sum(cells[i][1] for i in own) - on_left) < LEAST_SIDE:
+                        continue
                     lg = sum(g[i] for i in own if cells[i][0][j] <= cut)
                     lh = sum(h[i] for i in own if cells[i][0][j] <= cut)
                     gain = lg * lg / (lh + 1) + (sg - lg) ** 2 / (sh - lh + 1) - sg * sg / (sh + 1)

@@ -103,3 +103,23 @@ def test_redaction(spark, odd_docs):
 
     rows = {r["doc_id"]: r["t"] for r in secrets.scan(odd_docs).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert rows[4] == 'x [SECRET]" y [SECRET] ümlaut [SECRET]' and rows[9] == "same text here" and rows[1] is None
+
+
+def test_boosting_adds_what_looks_alike(spark):
+    """Numbers written like the many base phones, but without their plus, are added; other digits are left alone."""
+    rows = [(i, f"tel +1 (7{i % 90 + 10}) 555-{i % 9000 + 1000}") for i in range(300)]
+    rows += [(1000 + i, f"serial {4000000000000001 + 10 * i} end") for i in range(300) if not luhn(str(4000000000000001 + 10 * i))]
+    rows += [(5000 + i, f"tel 1 (743) 555-38{i}4") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.scan(docs)).collect()}
+    assert all(got[5000 + i] == "digits:4:20" for i in range(4))
+    assert all(v == "" for k, v in got.items() if 1000 <= k < 5000)
+    assert all(v.startswith("phone:") and v.count(":") == 2 for k, v in got.items() if k < 1000)
+
+
+def test_trees_fit_cells():
+    first = list(pii.FEATURES).index("luhn")
+    cells = [([0] * first + [v] + [0] * (len(pii.FEATURES) - first - 1), 50.0, 45.0 if v else 2.0) for v in (0, 1)]
+    trees = pii.boosted(cells, rounds=10)
+    low, high = (sum(pii.value(t, c[0]) for t in trees) for c in cells)
+    assert low < 0 < high
