@@ -280,9 +280,9 @@ def lower_ranked_shown(spark, sf_dir):
     return ranking.lower_ranked_shown(jobs, ["user_id"]).select("user_id", "rank", "ord")
 
 
-@query(f"{J} SELECT ord, CAST(row_number() OVER (ORDER BY coalesce({NUMBER}, -1) DESC, tech_fit DESC, ord) AS INT) AS place FROM jobs WHERE ord % 20 = 0 ORDER BY place LIMIT 100")
+@query(f"{J} SELECT ord, CAST(row_number() OVER (ORDER BY coalesce({NUMBER}, -1) DESC, tech_fit DESC, ord) AS INT) AS place FROM jobs ORDER BY place LIMIT 100")
 def match_sort_top(spark, sf_dir):
-    jobs = W.jobs(spark, sf_dir).where("ord % 20 = 0").withColumn("match_percentage", F.col("match_text"))
+    jobs = W.jobs(spark, sf_dir).withColumn("match_percentage", F.col("match_text"))
     best = ranking.sort_by_match(jobs).limit(100)
     match = F.coalesce(coerce.match_number(F.col("match_percentage")), F.lit(-1.0))
     return dedup.ranked(best, [], [match.desc(), F.desc("tech_fit"), F.asc("ord")], 100, "place").select("ord", "place")
@@ -309,20 +309,20 @@ PAIR = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 def _postings(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    scaled = e.where("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
+    scaled = e.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"))
     both = e.select("vec_id", "embedding").unionByName(scaled.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")))
     return both.select(F.col("vec_id").cast("string").alias("job_url"), F.when(F.col("vec_id") % 37 > 0, F.col("embedding")).alias("embedding"))
 
 
-POSTINGS = "posts AS (SELECT CAST(vec_id AS STRING) AS job_url, CASE WHEN vec_id % 37 > 0 THEN e END AS embedding FROM (SELECT vec_id, embedding AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x * 2) FROM embeddings WHERE vec_id % 10 = 0))"
+POSTINGS = "posts AS (SELECT CAST(vec_id AS STRING) AS job_url, CASE WHEN vec_id % 37 > 0 THEN e END AS embedding FROM (SELECT vec_id, embedding AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x * 2) FROM embeddings))"
 
 
 def _semantic_sql(threshold: float) -> str:
-    return f"WITH {POSTINGS}, past AS (SELECT CAST(vec_id AS STRING) AS job_url, embedding FROM embeddings WHERE vec_id % 2 = 0) SELECT a.job_url FROM posts a WHERE NOT EXISTS (SELECT 1 FROM past b WHERE a.embedding IS NOT NULL AND a.job_url <> b.job_url AND {PAIR} >= {threshold})"
+    return f"WITH {POSTINGS}, past AS (SELECT CAST(vec_id AS STRING) AS job_url, embedding FROM embeddings) SELECT a.job_url FROM posts a WHERE NOT EXISTS (SELECT 1 FROM past b WHERE a.embedding IS NOT NULL AND a.job_url <> b.job_url AND {PAIR} >= {threshold})"
 
 
 def _semantic(spark, sf_dir, threshold):
-    past = embeddings(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
+    past = embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
     return dedup.drop_similar(_postings(spark, sf_dir), past, threshold).select("job_url")
 
 
@@ -338,16 +338,16 @@ def semantic_dedup_low_threshold(spark, sf_dir):
 
 @query()
 def semantic_dedup_lsh(spark, sf_dir):
-    past = embeddings(spark, sf_dir).where("vec_id % 2 = 0").select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
+    past = embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
     return dedup.drop_similar_lsh(_postings(spark, sf_dir), past).select("job_url")
 
 
-@query("""WITH q AS (SELECT label, vec_id AS ord, embedding FROM embeddings WHERE vec_id % 5 = 0), f AS (SELECT label, vec_id AS entry, embedding FROM embeddings WHERE vec_id % 5 > 0)
+@query("""WITH q AS (SELECT label, vec_id AS ord, embedding FROM embeddings), f AS (SELECT label, vec_id AS entry, embedding FROM embeddings)
 SELECT * FROM (SELECT a.label, a.ord, CAST(row_number() OVER (PARTITION BY a.label, a.ord ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.entry) AS INT) AS rank, b.entry FROM q a JOIN f b USING (label)) WHERE rank <= 5""")
 def feedback_topk(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    jobs = e.where("vec_id % 5 = 0").select("label", F.col("vec_id").alias("ord"), "embedding")
-    log = e.where("vec_id % 5 > 0").select("label", F.col("vec_id").alias("entry"), "embedding")
+    jobs = e.select("label", F.col("vec_id").alias("ord"), "embedding")
+    log = e.select("label", F.col("vec_id").alias("entry"), "embedding")
     return ranking.relevant_feedback(jobs, log, ["label"]).select("label", "ord", "rank", "entry")
 
 
@@ -458,11 +458,11 @@ def text_cache(spark, sf_dir):
     return state.text_cache(old, new, W.now(), 600).select("hash")
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.text = documents.text AND b.doc_id % 4 = 0)")
+@query("SELECT doc_id, sha256(text) AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.text = documents.text AND b.lang = 'de')")
 def embedding_cache_misses(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cache = docs.where("doc_id % 4 = 0").select(F.sha2("text", 256).alias("hash")).distinct()
-    missed = state.missing_texts(docs, cache)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    cache = docs.where("lang = 'de'").select(F.sha2("text", 256).alias("hash")).distinct()
+    missed = state.missing_texts(docs.select("text"), cache)
     return missed.join(docs.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id")), "hash").select("doc_id", "hash")
 
 
@@ -742,30 +742,31 @@ def score_percent(spark, sf_dir):
 # sets
 
 
-@query(f"{J} SELECT ord, title, NULL::STRING AS extra FROM jobs WHERE ord % 2 = 0 UNION ALL SELECT ord, NULL, job_url FROM jobs WHERE ord % 3 = 0")
+@query(f"{J} SELECT ord, title, NULL::STRING AS extra FROM jobs UNION ALL SELECT ord, NULL, job_url FROM jobs")
 def union_widening(spark, sf_dir):
     j = W.jobs(spark, sf_dir)
-    return files.union_all(j.where("ord % 2 = 0").select("ord", "title"), j.where("ord % 3 = 0").select("ord", F.col("job_url").alias("extra"))).select("ord.ord", "title", "extra")
+    return files.union_all(j.select("ord", "title"), j.select("ord", F.col("job_url").alias("extra"))).select("ord.ord", "title", "extra")
 
 
-@query(f"{J} SELECT user_id, job_url, ord FROM (SELECT user_id, job_url, max(ord) AS ord FROM jobs WHERE ord % 2 = 0 GROUP BY 1, 2) a WHERE NOT EXISTS (SELECT 1 FROM jobs b WHERE b.ord % 5 = 0 AND b.user_id = a.user_id AND b.job_url = a.job_url) UNION ALL SELECT user_id, job_url, max(ord) FROM jobs WHERE ord % 5 = 0 GROUP BY 1, 2")
+@query(f"{J} SELECT user_id, job_url, ord FROM (SELECT user_id, job_url, max(ord) AS ord FROM jobs GROUP BY 1, 2) a WHERE NOT EXISTS (SELECT 1 FROM jobs b WHERE b.origin = 'local' AND b.user_id = a.user_id AND b.job_url = a.job_url) UNION ALL SELECT user_id, job_url, min(ord) FROM jobs WHERE origin = 'local' GROUP BY 1, 2")
 def keyed_overwrite(spark, sf_dir):
     j = W.jobs(spark, sf_dir)
-    part = lambda n: j.where(f"ord % {n} = 0").groupBy("user_id", "job_url").agg(F.max("ord").alias("ord"))
-    return files.replace_keyed(part(2), part(5), ["user_id", "job_url"])
+    old = j.groupBy("user_id", "job_url").agg(F.max("ord").alias("ord"))
+    new = j.where("origin = 'local'").groupBy("user_id", "job_url").agg(F.min("ord").alias("ord"))
+    return files.replace_keyed(old, new, ["user_id", "job_url"])
 
 
 # payloads: rows become a payload, and parsing it gives the rows again
 
 
 def _payloads(spark, sf_dir, item, field=None, extra=()):
-    rows = W.jobs(spark, sf_dir).where("ord % 4 = 0 and title is not null")
+    rows = W.jobs(spark, sf_dir).where("title is not null")
     body = F.collect_list(item)
     return rows.groupBy((F.col("ord") % 97).alias("g"), *extra).agg(F.to_json(F.struct(body.alias(field)) if field else body).alias("payload"))
 
 
 NAMES = "title, company, location, job_url"
-ROWS = f"{J} SELECT coalesce(title, '') AS title, coalesce(company, '') AS company, {{place}} AS location, job_url FROM jobs WHERE ord % 4 = 0 AND title IS NOT NULL"
+ROWS = f"{J} SELECT coalesce(title, '') AS title, coalesce(company, '') AS company, {{place}} AS location, job_url FROM jobs WHERE title IS NOT NULL"
 PLAIN, REMOTE = ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote/Unspecified' ELSE location END"), ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' ELSE location END")
 
 
@@ -804,7 +805,7 @@ def parse_remoteok(spark, sf_dir):
 
 @query(ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' WHEN ord % 8 = 0 THEN concat(location, ', EU') ELSE location END"))
 def parse_himalayas(spark, sf_dir):
-    rows = W.jobs(spark, sf_dir).where("ord % 4 = 0 and title is not null")
+    rows = W.jobs(spark, sf_dir).where("title is not null")
     item = lambda place: F.to_json(_s(title=F.col("title"), companyName=F.col("company"), locationRestrictions=place, guid=F.col("job_url"), applicationLink=F.lit("")))
     some = F.coalesce("location", F.lit("")) != ""
     one = F.when((F.col("ord") % 8 == 0) & some, item(F.array(F.col("location"), F.lit("EU")))).otherwise(item(F.col("location")))
@@ -820,7 +821,7 @@ def parse_themuse(spark, sf_dir):
 
 @query(ROWS.format(place="'Remote'").replace("coalesce(title, '') AS title", "CASE WHEN contains(title, ': ') AND ord % 8 = 0 THEN title ELSE title END AS title").replace("coalesce(company, '') AS company", "trim(company) AS company"))
 def parse_weworkremotely(spark, sf_dir):
-    rows = W.jobs(spark, sf_dir).where("ord % 4 = 0 and title is not null")
+    rows = W.jobs(spark, sf_dir).where("title is not null")
     return _four(feeds.weworkremotely(rows.select(F.concat("company", F.lit(": "), "title").alias("title"), F.col("job_url").alias("link"))))
 
 
