@@ -42,6 +42,17 @@ def small_side(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def settled() -> None:
+    """At the end of a task in a Python worker: gives unused Arrow memory back, since idle workers stay for a while
+    beside those of the next stage."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import small_side, stored, whole_text
+from postmill.llm.common import settled, small_side, stored, whole_text
 
 BLOCK = 256
 #: Ids of at most so many documents (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -46,9 +46,8 @@ def _signed(docs: DataFrame, size: int, with_sets: bool) -> DataFrame:
         from postmill.llm import shingles
 
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
             n, nodes, registers, sets = [], [], [], []
-            for own in shingles.shingle_sets(texts, size):
+            for own in shingles.shingle_sets((x.as_buffer().to_pybytes() for x in batch.column(1)), size):
                 raw = own.tobytes()
                 n.append(len(own))
                 nodes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
@@ -57,6 +56,7 @@ def _signed(docs: DataFrame, size: int, with_sets: bool) -> DataFrame:
             names = ["doc_id", "n", "node", "registers"] + ["hashes"] * with_sets
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(registers, pa.binary())] + [pa.array(sets, pa.binary())] * with_sets
             yield pa.RecordBatch.from_arrays(columns, names)
+        settled()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(sign, SIGNED + ", hashes binary" * with_sets)
@@ -77,6 +77,7 @@ def _banded(nodes: DataFrame) -> DataFrame:
                 keys = shingles.band_keys(np.frombuffer(raw, np.uint16).reshape(-1, shingles.REGISTERS))
                 node = np.repeat(batch.column(0).to_numpy(), shingles.BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
+        settled()
 
     return nodes.select("node", "registers").mapInArrow(band, "key bigint, node bigint")
 
@@ -140,7 +141,8 @@ def links_of(table, limit: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for each node of edges (node, other), by turns of large and small stars.
+    """node, component (its least node) for each node of edges (node, other) that is not the least of its component,
+    by turns of large and small stars.
 
     Each turn is one aggregation and join by node, and is written, so no lineage grows and a lost executor costs a turn's tasks.
     """
@@ -210,9 +212,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
     if not second.isEmpty():
         found = stored(components(first.unionByName(second)), "dup-components")
 
-    every = nodes.join(found, "node", "left").select("node", "first_doc", "copies", F.coalesce("component", "node").alias("component"))
-    least = every.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = stored(every.join(least, "component").select("node", "component_id", "copies"), "dup-named")
+    # only nodes with links have a component to look up; all others are their own
+    whole_stars = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = stored(whole_stars.join(nodes.select("node", "first_doc"), "node"), "dup-linked")
+    least = stored(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")), "dup-least")
+    renamed = linked.join(small_side(least, BROADCAST_IDS), "component").select("node", "component_id")
+    named = stored(nodes.join(renamed, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"), "copies"), "dup-named")
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(F.when(F.col("n") > 0, F.col("copies")), F.lit(1).cast("bigint")).alias("copies"))

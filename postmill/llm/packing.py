@@ -19,13 +19,13 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import whole_text
+from postmill.llm.common import settled, whole_text
 
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 2048
 #: Chunks of text whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once.
 SLAB = 2_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, row bigint"
@@ -70,6 +70,7 @@ class Coder:
             steps = json.load(f)
         split = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         ours = [x.get("type") for x in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        self.lowers = ours
         self.plain = regex.compile(self.PLAIN if ours else "(?!)").match
         self.parts = regex.compile(split[0]["pattern"]["Regex"] if ours else "(?!)").findall
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on
@@ -111,7 +112,8 @@ class Coder:
 
         if len(self.chunks) > REMEMBERED:
             self.forget()
-        words = [t.split() for t in texts]
+        # the tokenizer lower-cases, so case makes no other chunk, but for what may be a special token
+        words = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
         codes = [np.fromiter(map(self.chunks.__getitem__, w), np.int64, len(w)) for w in words]
         if self.chunks.fresh:
             self._learn()
@@ -157,6 +159,9 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
                 at += len(texts)
+        # the worker may go on to other stages: most of a task's chunks are its own
+        own.forget()
+        settled()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(cut, PIECES)

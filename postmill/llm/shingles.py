@@ -7,7 +7,7 @@ MANTISSA = 10
 BANDS = 32
 _M1, _M2, _P, _Q = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes of text that are hashed at once.
-SLAB = 2_000_000
+SLAB = 500_000
 
 _cache: dict = {}
 
@@ -48,36 +48,41 @@ def word_hashes(data: bytes):
     return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_Q)), starts
 
 
-def shingle_sets(texts: list[bytes], size: int):
+def shingle_sets(texts, size: int):
     """The sorted distinct shingle hashes of each text: of size words, or of all words where there are fewer."""
-    import numpy as np
-
     slab, held = [], 0
-    for n, text in enumerate(texts):
+    for text in texts:
         slab.append(text)
         held += len(text) + 1
-        if held < SLAB and n + 1 < len(texts):
-            continue
-        hashes, starts = word_hashes(b" ".join(slab))
-        begins = np.cumsum([0] + [len(t) + 1 for t in slab])
-        edges = np.searchsorted(starts, begins)
-        rolled = hashes
-        if size > 1 and len(hashes) >= size:
-            rolled = hashes[: len(hashes) - size + 1] * np.uint64(_M2 | 1)
-            for k in range(1, size):
-                rolled = _mixed(rolled + np.uint64(_Q) * np.uint64(k)) * np.uint64(_M1) + hashes[k : len(hashes) - size + 1 + k]
-            rolled = _mixed(rolled)
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            if z - a >= size:
-                yield np.unique(rolled[a : z - size + 1])
-            elif z > a:
-                whole = np.full(1, z - a, np.uint64)
-                for k in range(a, z):
-                    whole = _mixed(whole * np.uint64(_Q) + hashes[k : k + 1])
-                yield whole
-            else:
-                yield np.zeros(0, np.uint64)
-        slab, held = [], 0
+        if held >= SLAB:
+            yield from _slab_sets(slab, size)
+            slab, held = [], 0
+    if slab:
+        yield from _slab_sets(slab, size)
+
+
+def _slab_sets(slab: list[bytes], size: int):
+    import numpy as np
+
+    hashes, starts = word_hashes(b" ".join(slab))
+    begins = np.cumsum([0] + [len(t) + 1 for t in slab])
+    edges = np.searchsorted(starts, begins)
+    rolled = hashes
+    if size > 1 and len(hashes) >= size:
+        rolled = hashes[: len(hashes) - size + 1] * np.uint64(_M2 | 1)
+        for k in range(1, size):
+            rolled = _mixed(rolled + np.uint64(_Q * k % 2**64)) * np.uint64(_M1) + hashes[k : len(hashes) - size + 1 + k]
+        rolled = _mixed(rolled)
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        if z - a >= size:
+            yield np.unique(rolled[a : z - size + 1])
+        elif z > a:
+            whole = np.full(1, z - a, np.uint64)
+            for k in range(a, z):
+                whole = _mixed(whole * np.uint64(_Q) + hashes[k : k + 1])
+            yield whole
+        else:
+            yield np.zeros(0, np.uint64)
 
 
 def _probes():
