@@ -142,15 +142,13 @@ def links_of(table, limit: float):
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for each node of edges (node, other) that is not the least of its component,
-    by turns of large and small stars.
+    by turns of large and small stars, until each component is one star.
 
     Each turn is one aggregation and join by node, and is written, so no lineage grows and a lost executor costs a turn's tasks.
+    The result is read from the last turn's table.
     """
     pairs = stored(edges.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).where("u <> v").distinct(), "links")
-    if pairs.isEmpty():
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    state = None
-    while True:
+    while not _are_stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: a node's larger neighbours move to its least neighbour
@@ -159,10 +157,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         pairs = stored(small, "links")
-        # distinct pairs: their number and the exclusive or of their hashes tell whether the turn has changed any
-        before, state = state, tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
-        if before == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each node of pairs (u, v), u > v, is either a centre or has one pair to a centre."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or (out > 0 and in > 0)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -172,17 +173,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
     usable = signed.where("doc_id is not null and n > 0")
     nodes = stored(usable.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "dup-nodes")
 
-    buckets = stored(_banded(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "pivot"), "dup-buckets")
+    buckets = _banded(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "pivot")
     members = stored(_banded(nodes).join(buckets, "key").select("key", "node", "pivot"), "dup-members")
-    labels = stored(members.groupBy("node").agg(F.min("pivot").alias("label")), "dup-labels")
+    labels = members.groupBy("node").agg(F.min("pivot").alias("label"))
     sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
     blocks = stored(labels.join(sizes, "label").select("node", "label", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), "parts")).alias("block")), "dup-blocks")
 
     # the full sets of the nodes in buckets, from one document each
-    wanted = labels.join(nodes, "node").select(F.col("first_doc").alias("doc_id")).distinct()
+    wanted = blocks.join(nodes, "node").select(F.col("first_doc").alias("doc_id")).distinct()
     ids = small_side(wanted, BROADCAST_IDS)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    again = _signed(texts, size, True).dropDuplicates(["node"]).join(labels.select("node"), "node", "left_semi")
+    again = _signed(texts, size, True).dropDuplicates(["node"]).join(blocks.select("node"), "node", "left_semi")
     sets = stored(again.select("node", "n", "registers", "hashes"), "dup-sets")
 
     schema = "node bigint, other bigint"
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
     placed = alone.unionByName(blocks.select("block", F.col("label").alias("node")).distinct()).distinct()
     own = placed.join(sets, "node").withColumns({"component": F.col("node"), "side": F.lit(0)})
     first = stored(own.groupBy("block").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
-    found = stored(components(first), "dup-components")
+    found = components(first)
 
     home = stored(blocks.join(found, "node", "left").select("node", "block", F.coalesce("component", "node").alias("component")), "dup-homes")
     mixed = (
@@ -210,11 +211,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
     full = sided.join(home, "block").join(sets, "node").select("a", "b", "side", "node", "component", "n", "registers", "hashes")
     second = stored(full.groupBy("a", "b").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
     if not second.isEmpty():
-        found = stored(components(first.unionByName(second)), "dup-components")
+        found = components(first.unionByName(second))
 
     # only nodes with links have a component to look up; all others are their own
     whole_stars = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    linked = stored(whole_stars.join(nodes.select("node", "first_doc"), "node"), "dup-linked")
+    linked = whole_stars.join(nodes.select("node", "first_doc"), "node")
     least = stored(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")), "dup-least")
     renamed = linked.join(small_side(least, BROADCAST_IDS), "component").select("node", "component_id")
     named = stored(nodes.join(renamed, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"), "copies"), "dup-named")
