@@ -1,10 +1,12 @@
 """License scans.
 
 Positional rare-token index. Templates are short licence notices; their words form the index: word to (template,
-position). Of the licence words of a file, the RARE ones with the highest IDF over all files are looked up; each hit
-votes for (template, file position - template position), so a notice shows as many votes for one offset however it
-is placed. A template whose share of IDF at its best offset reaches LEAST and whose mandatory key phrase stands in the file gives
-its label. Base phrases, found where their words stand consecutively, give labels of their own.
+position). Each licence word of a file votes with its IDF over all files for (template, file position - template
+position), so a notice shows as many votes for one offset however it is placed. Only offsets that one of the template's
+own rarest words proposes are scored, on all words that stand there: the rarest words are taken until the others alone
+cannot reach LEAST, so no offset that could reach it is left out, whatever else stands in the file. A template whose share of IDF at its
+best offset reaches LEAST and whose mandatory key phrase stands in the file gives its label. Base phrases, found where
+their words stand consecutively, give labels of their own.
 
 Contract. Null text: empty. Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters; positions
 count words from 0. Repeated rows are files of their own; an empty table gives no rows. The score is the best template's share, 0
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import lower_ascii, stored, whole_text
@@ -46,7 +48,6 @@ TEMPLATES = (
 )
 #: Words of the templates that any text has; they are not indexed.
 COMMON = frozenset("the is of to a any and this with you may not for as by it or under at in an on use be must above list following free file files charge person work terms into no 0 1 2 3 4 v".split())
-RARE = 12
 LEAST = 0.6
 
 
@@ -60,6 +61,20 @@ def index(templates=TEMPLATES) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def proposing(idf: dict[str, float], templates=TEMPLATES, least: float = LEAST) -> set[tuple[int, int]]:
+    """(template, position) of the rarest words of each template, so many that the others weigh less than least of it."""
+    found = set()
+    for t, (_, _, notice) in enumerate(templates):
+        own = sorted((-idf[w], position) for position, w in enumerate(notice.split()) if w not in COMMON)
+        others = total = -sum(weight for weight, _ in own)
+        for weight, position in own:
+            if others < least * total - 1e-9:
+                break
+            found.add((t, position))
+            others += weight
+    return found
+
+
 def _spaced(text: Column) -> Column:
     """The words of text, with one space before each and one after the last; one space if there is none."""
     return F.regexp_replace(F.concat(F.lit(" "), lower_ascii(text), F.lit(" ")), BREAK, " ")
@@ -98,7 +113,7 @@ def facts(files: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, templates=TEMPLATES, phrases=PHRASES, rare: int = RARE, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: float = LEAST) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each file."""
     known = stored(facts(files, templates, phrases), "license-facts")
     words = known.where("size(hits) > 0").select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.position")
@@ -109,15 +124,14 @@ def scan(files: DataFrame, templates=TEMPLATES, phrases=PHRASES, rare: int = RAR
     df = {r["word"]: r["df"] for r in in_files}
     idf = {w: float(round(math.log((total + 1) / (df.get(w, 0) + 0.5)), 6)) for w in postings}
     weights = [sum(idf[w] for w in notice.split() if w not in COMMON) for _, _, notice in templates]
-    rows = [(w, t, p, idf[w]) for w, own in postings.items() for t, p in own]
-    table = files.sparkSession.createDataFrame(rows, "word string, template int, at bigint, idf double")
-    by_word = words.groupBy("row", "word").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table.select("word", "idf").distinct()), "word")
-    rarest = by_word.withColumn("r", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("r") <= rare).select("row", "word")
+    proposes = proposing(idf, templates, least)
+    rows = [(w, t, p, idf[w], (t, p) in proposes) for w, own in postings.items() for t, p in own]
+    table = files.sparkSession.createDataFrame(rows, "word string, template int, at bigint, idf double, proposes boolean")
     votes = (
-        words.join(rarest, ["row", "word"])
-        .join(F.broadcast(table), "word")
+        words.join(F.broadcast(table), "word")
         .groupBy("row", "template", (F.col("position") - F.col("at")).alias("offset"))
-        .agg(F.sum("idf").alias("mass"))
+        .agg(F.sum("idf").alias("mass"), F.max("proposes").alias("proposed"))
+        .where("proposed")
     )
     label = F.element_at(F.array(*[F.lit(x[0]) for x in templates]), F.col("template") + 1)
     key = F.element_at(F.array(*[F.lit(x[1]) for x in templates]), F.col("template") + 1)

@@ -199,6 +199,17 @@ def test_license_templates(spark):
     assert got[3]["labels"] == got[4]["labels"] == got[5]["labels"] == got[12]["labels"] == ""
 
 
+def test_license_notices_beside_others(spark):
+    """Each verbatim notice of a file counts, however many rarer licence words stand elsewhere in it."""
+    notices = [n for _, _, n in licenses.TEMPLATES]
+    pad = " lorem ipsum " * 30
+    crowd = "creative commons attribution international affero mozilla universal unencumbered lesser redistributions disclaimer sublicense cc0 cc obtaining granted conditions"
+    rows = [(1, pad.join(notices)), (2, crowd + pad + "released under the MIT License" + pad), (3, crowd + pad)] + [(10 + i, "released under the mit license") for i in range(30)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES})) and got[1]["score"] == 1
+    assert got[2]["labels"] == "mit" and got[2]["score"] == 1 and got[3]["labels"] == ""
+
+
 # quality
 
 
