@@ -17,13 +17,13 @@ second round. With 32 bands of 4 registers a pair at the limit of 0.8 shares no
 Contract. A-Z are lower-cased and words lie between ASCII white space. Texts with fewer words than a shingle are one
 shingle; texts without words have none and are linked with nothing, as are rows whose id is null (their component is
 null and they are kept). Repeated rows are copies; rows that share an id and no text share a component only through
-links. Texts of any length are used whole. An empty table gives no rows; extra columns are left out, whatever their
+links, and deduplicated() decides on each row by its own text's component. Texts of any length are used whole. An empty table gives no rows; extra columns are left out, whatever their
 names. Nodes and shingles are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import settled, small_side, stored, whole_text
@@ -34,8 +34,14 @@ BROADCAST_IDS = 500_000
 SIGNED = "doc_id bigint, n bigint, node bigint, registers binary"
 
 
-def _signed(docs: DataFrame, size: int, with_sets: bool) -> DataFrame:
-    """Per document its number of shingles, node and registers; with_sets: the sorted hashes of its set too."""
+def _row_key() -> Column:
+    """A row's id and text as one hash; equal for repeated rows."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), whole_text())
+
+
+def _signed(docs: DataFrame, size: int, with_sets: bool, with_key: bool = False) -> DataFrame:
+    """Per document its number of shingles, node and registers; with_sets: the sorted hashes of its set too; with_key: the
+    row's key too."""
 
     def sign(batches):
         import hashlib
@@ -53,13 +59,14 @@ def _signed(docs: DataFrame, size: int, with_sets: bool) -> DataFrame:
                 nodes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
                 registers.append(shingles.registers(own).tobytes() if len(own) else None)
                 sets.append(raw if with_sets else None)
-            names = ["doc_id", "n", "node", "registers"] + ["hashes"] * with_sets
+            names = ["doc_id", "n", "node", "registers"] + ["hashes"] * with_sets + ["row_key"] * with_key
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(registers, pa.binary())] + [pa.array(sets, pa.binary())] * with_sets
+            columns += [batch.column(2)] if with_key else []
             yield pa.RecordBatch.from_arrays(columns, names)
         settled()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(sign, SIGNED + ", hashes binary" * with_sets)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), *[_row_key().alias("row_key")] * with_key)
+    return rows.mapInArrow(sign, SIGNED + ", hashes binary" * with_sets + ", row_key bigint" * with_key)
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
@@ -168,8 +175,12 @@ def _are_stars(pairs: DataFrame) -> bool:
 
 def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, copies (documents of the node) of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    signed = stored(_signed(docs, size, False), "dup-signed")
+    return _judged(docs, size, limit, block, False)
+
+
+def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool) -> DataFrame:
+    """near_duplicates(); with_key: also row_key, and root: the least node of the row's component, or the row's key if it has no shingles."""
+    signed = stored(_signed(docs, size, False, with_key), "dup-signed")
     usable = signed.where("doc_id is not null and n > 0")
     nodes = stored(usable.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers")), "dup-nodes")
 
@@ -217,24 +228,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
     whole_stars = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     linked = whole_stars.join(nodes.select("node", "first_doc"), "node")
     least = stored(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")), "dup-least")
-    renamed = linked.join(small_side(least, BROADCAST_IDS), "component").select("node", "component_id")
-    named = stored(nodes.join(renamed, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"), "copies"), "dup-named")
-    out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    renamed = linked.join(small_side(least, BROADCAST_IDS), "component").select("node", "component_id", "component")
+    root = [F.coalesce("component", "node").alias("root")] * with_key
+    named = stored(nodes.join(renamed, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"), "copies", *root), "dup-named")
+    own = ["row_key"] * with_key
+    out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), *own).join(named, "node", "left")
+    own += [F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("row_key")).alias("root")] if with_key else []
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(F.when(F.col("n") > 0, F.col("copies")), F.lit(1).cast("bigint")).alias("copies"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(F.when(F.col("n") > 0, F.col("copies")), F.lit(1).cast("bigint")).alias("copies"), *own)
 
 
 def deduplicated(docs: DataFrame, size: int = 5, limit: float = 0.8) -> DataFrame:
-    """docs without all but one row of each component; rows with a null id stay."""
-    judged = stored(near_duplicates(docs, size, limit), "dup-judged")
-    dropped = judged.where("not kept").select("doc_id").distinct()
-    several = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    gone = stored(dropped.unionByName(several).distinct(), "dup-gone")
-    ids = small_side(gone, BROADCAST_IDS)
-    once = docs.join(ids, "doc_id", "left_anti")
+    """docs without all but one row of each component; rows with a null id stay. Each row is decided on by its own text:
+    an id may stand on rows of several components."""
+    judged = stored(_judged(docs, size, limit, BLOCK, True).where("doc_id is not null").select("row_key", "root", "kept"), "dup-judged")
+    several = stored(judged.where("kept").groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root"), "dup-several")
+    # the rows among which the least one stays: they share a component and its id
+    ties = stored(judged.where("kept").join(several, "root", "left_semi").select("row_key", "root").distinct(), "dup-ties")
+    gone = stored(judged.where("not kept").select("row_key").unionByName(ties.select("row_key")).distinct(), "dup-gone")
+    once = docs.join(small_side(gone, BROADCAST_IDS), _row_key() == gone["row_key"], "left_anti")
     if several.isEmpty():
         return once
-    # repeated rows under a kept id: the least of them stays
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    one = docs.select(row.alias("row"), _row_key().alias("row_key")).join(ties, "row_key").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return once.unionByName(one)

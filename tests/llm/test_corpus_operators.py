@@ -314,6 +314,17 @@ def test_near_duplicates_of_odd_documents(spark, odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs, 2).count() == 0 and neardup.deduplicated(no_docs).count() == 0
 
 
+def test_deduplicated_decides_by_row(spark):
+    """An id on several rows: each of its texts stays or goes with its own group."""
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (3, text("b") + " end"), (7, text("c")), (7, text("d")), (7, text("d")), (8, text("e")), (8, text("e") + " end"), (9, text("e")), (10, ""), (10, ""), (10, text("f")), (11, ""), (None, text("g"))]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, _dup_key int").repartition(3)
+    kept = neardup.deduplicated(df, 5)
+    assert kept.columns == df.columns
+    want = [(1, text("a")), (2, text("b")), (7, text("c")), (7, text("d")), (8, text("e")), (10, ""), (10, text("f")), (11, ""), (None, text("g"))]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(i), t) for i, t in want)
+
+
 def test_registers_estimate_jaccard():
     pick = np.random.default_rng(5)
     errors = []
