@@ -98,6 +98,17 @@ def test_method_adds_and_suppresses(spark):
     assert got[1] == "entropy:4:40" and got[2] == got[3] == got[4] == ""
 
 
+def test_keys_beside_allowed_and_base_spans(spark):
+    key, letters = "dGhpXyBpc0zBhIHNlY3Jl8dCBrZXkg9MTIzX", "qzxwvkjpfhgtbnmdrcyxlsqkwz"
+    texts = [f"EXAMPLE_SERVICE_KEY={key}", f"docs/example/{key} end", f"{key}AAAAAAAAA{key}", f"{'0123456789abcdef' * 2}-{key}", letters, f"service/{letters}", "example_example_example_example", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", f"{'0123456789abcdef' * 2}-short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in secrets.scan(docs).select("doc_id", "spans", secrets.redacted(secrets.F.col("text"), secrets.F.col("spans")).alias("t")).collect()}
+    for i in range(6):
+        assert key not in rows[i]["t"] and letters not in rows[i]["t"], i
+    assert [(s["kind"], s["start"], s["end"]) for s in rows[3]["spans"]] == [("hex", 0, 32), ("entropy", 32, 33 + len(key))]
+    assert rows[6]["spans"] == rows[7]["spans"] == [] and [s["kind"] for s in rows[8]["spans"]] == ["hex"]
+
+
 def test_redaction(spark, odd_docs):
     from pyspark.sql import functions as F
 
