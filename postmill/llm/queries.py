@@ -20,7 +20,7 @@ def op1_exact_topk(spark, sf_dir):
 
 
 def op2_url_filter(spark, sf_dir):
-    return urls.filter_urls(read(spark, sf_dir, "pages"))
+    return urls.filter_urls(read(spark, sf_dir, "pages"), converge=True)
 
 
 def op3_secret_scan(spark, sf_dir):

@@ -110,6 +110,27 @@ def test_trust_and_distrust_over_links(spark):
     assert got[3]["verdict"] == got[4]["verdict"] == "block" and got[1]["verdict"] == got[5]["verdict"] == "allow"
 
 
+def test_trust_and_distrust_run_to_convergence(spark, tmp_path):
+    """The query's walk ends neither at a far host of a chain nor before its cycles have settled."""
+    links = {f"h{i}.com": [f"h{i + 1}.com"] for i in range(30)} | {"h30.com": ["bad.com"], "loop.org": ["h5.com", "back.org"], "back.org": ["loop.org"], "good.org": ["loop.org"]}
+    own = {h: "".join(f'<a href="http://{x}/">x</a>' for x in to) for h, to in links.items()} | {"bad.com": ""}
+    rules = {"good.org": "http://example.com/en/7", "bad.com": "http://sub.com/en/"}
+    names = {"good.org": "example.com", "bad.com": "sub.com"}
+    html = lambda text: text.replace("//bad.com/", "//sub.com/")
+    rows = [(i, rules.get(h, f"http://{h}/x"), html(text)) for i, (h, text) in enumerate(own.items())]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["host"]: r for r in QUERIES["op2_url_filter"](spark, str(tmp_path)).collect()}
+    edges = {(names.get(a, a), names.get(b, b)) for a, to in links.items() for b in to}
+    trust = brute_rank({"example.com": 1.0}, edges, 2000)
+    distrust = brute_rank({"sub.com": 1.0}, {(b, a) for a, b in edges}, 2000)
+    assert len(got) == len(own)
+    for h, r in got.items():
+        assert r["trust"] == pytest.approx(trust.get(h, 0), abs=1e-5) and r["distrust"] == pytest.approx(distrust.get(h, 0), abs=1e-5)
+        if not r["rule"]:
+            assert r["verdict"] == ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow")
+    assert got["h0.com"]["verdict"] == "block" and got["h0.com"]["distrust"] > 0
+
+
 # mixing
 
 
