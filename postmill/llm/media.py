@@ -2,7 +2,8 @@
 
 One Aho-Corasick pass over a payload locates the magic bytes of all known formats; a validator per format then
 confirms structure and length. What stands at offset 0 is the payload's true type and corrects the declared one;
-what stands further in is an embedded file that can be carved out.
+what stands further in is an embedded file, which carve() cuts out. Signatures are looked up in the one payload; its
+bytes are copied for none of them.
 
 Contract. A null payload has no type, length or embedded files. An empty payload, or one that no validator confirms,
 has type application/octet-stream and its own length. Of signatures that overlap inside another confirmed file, all
@@ -18,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import whole_text
+from postmill.llm.common import in_small_batches, whole_text
 
 BLOCK = 64
 RATE = 8000
@@ -81,8 +82,8 @@ def _jpeg(data: memoryview, at: int) -> int:
             return 0
         place += 2 + size
         if kind == 0xDA:
-            end = bytes(data[place:]).find(b"\xff\xd9")
-            return place + end + 2 - at if end >= 0 else 0
+            end = data.obj.find(b"\xff\xd9", place)
+            return end + 2 - at if end >= 0 else 0
     return 0
 
 
@@ -116,14 +117,32 @@ def _bmp(data: memoryview, at: int) -> int:
     return size if header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= pixels <= size <= len(data) - at and planes == 1 else 0
 
 
-def _to_end(mark: bytes, after: int):
-    """A format that ends at the last of its end marks and so many bytes after it."""
-
-    def length(data: memoryview, at: int) -> int:
-        place = bytes(data[at:]).rfind(mark)
-        return min(place + len(mark) + after, len(data) - at) if place > 0 else 0
-
-    return length
+def _pdf(data: memoryview, at: int) -> int:
+    """A version after the mark, and up to the next file of that kind the last end mark, with a place of the cross-reference before it."""
+    raw = data.obj
+    if not raw[at + 5 : at + 6].isdigit():
+        return 0
+    after = raw.find(b"%PDF-", at + 5)
+    end = raw.rfind(b"%%EOF", at, after if after >= 0 else len(raw))
+    start = raw.rfind(b"startxref", max(at, end - 64), max(end, 0))
+    if end < 0 or start < 0 or not raw[start + 9 : end].strip().isdigit():
+        return 0
+    return end + 5 - at
+
+
+def _zip(data: memoryview, at: int) -> int:
+    """The first end record after it whose central directory lies right before it and begins where it says."""
+    raw = data.obj
+    end = raw.find(b"PK\x05\x06", at)
+    while 0 <= end and end + 22 <= len(raw):
+        size, first = struct.unpack_from("<II", raw, end + 12)
+        comment = struct.unpack_from("<H", raw, end + 20)[0]
+        if at + first + size == end and (not size or raw.startswith(b"PK\x01\x02", at + first)):
+            return min(end + 22 + comment, len(raw)) - at
+        if raw.find(b"PK\x03\x04", at + 4, end) >= 0:
+            return 0  # the record is that of a later file
+        end = raw.find(b"PK\x05\x06", end + 4)
+    return 0
 
 
 def _gzip(data: memoryview, at: int) -> int:
@@ -164,13 +183,15 @@ def _mp4(data: memoryview, at: int) -> int:
         size, name = struct.unpack_from(">I4s", data, place)
         if size < 8 or size > len(data) - place or not name.isalnum():
             break
+        if place == at and (size < 16 or size % 4 or not bytes(data[at + 8 : at + 12]).isascii()):
+            return 0  # a brand, its version, and further brands of four letters
         place += size
     return place - at
 
 
 VALIDATORS = {
-    "audio/wav": _wav, "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "application/pdf": _to_end(b"%%EOF", 0),
-    "application/zip": _to_end(b"PK\x05\x06", 18), "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4,
+    "audio/wav": _wav, "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "application/pdf": _pdf,
+    "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4,
 }
 
 _automaton: list = []
@@ -232,7 +253,17 @@ def sniff(df: DataFrame, payload: str, declared: str | None = None) -> DataFrame
             new = [("type", pa.array(kinds, pa.string())), ("declared", batch.column(said)), ("corrected", pa.array(fixed, pa.bool_())), ("length", pa.array(lengths, pa.int64())), ("embedded", pa.array(embedded, inner))]
             yield pa.RecordBatch.from_arrays([x for _, x in rest + new], [n for n, _ in rest + new])
 
-    return base.mapInArrow(look, schema)
+    return in_small_batches(base).mapInArrow(look, schema)
+
+
+def carve(sniffed: DataFrame, payload: str) -> DataFrame:
+    """One row for each embedded file of sniff()'s rows: their columns, and carved_type, carved_offset and carved, its bytes.
+    Rows without embedded files give none."""
+    names = ("carved_type", "carved_offset", "carved")
+    rest = [F.col(f"`{c}`") for c in sniffed.columns if c not in names]
+    each = sniffed.select(*rest, F.explode("embedded").alias("_file"))
+    cut = F.substring(F.col(f"`{payload}`"), (F.col("_file.offset") + 1).cast("int"), F.col("_file.length").cast("int"))
+    return each.withColumns(dict(zip(names, (F.col("_file.type"), F.col("_file.offset"), cut), strict=True))).drop("_file")
 
 
 def to_wav(data: bytes) -> bytes:
@@ -252,7 +283,7 @@ def store_text(docs: DataFrame) -> DataFrame:
             texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([to_wav(x) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary")
+    return in_small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))).mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary")
 
 
 def samples(media: str = "media", length: str = "length"):

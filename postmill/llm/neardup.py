@@ -3,16 +3,19 @@
 1. One pass over the texts hashes each document's set of word shingles, and keeps HyperMinHash registers (leading
    zeros and some mantissa bits of the least hash per bucket). Equal sets become one node at once.
 2. Registers are banded; nodes with an equal band share a bucket. A node's label is the least node of its buckets,
-   and the nodes of a label are dealt into blocks of about BLOCK, each with the label's own node added.
+   and the nodes of a label are dealt into blocks of about BLOCK nodes and BLOCK_SHINGLES shingles, each with the
+   label's own node added.
 3. In each block, pairs that share a bucket are estimated from their registers (Jaccard, corrected for chance
    collisions), those clearly below the limit go, and the others, best first, are verified on their full sets
    unless they are connected already; only links that connect something are emitted.
-4. Connected components of these links. Where a bucket's nodes lie in several blocks and several components are left,
-   the blocks meet in pairs and step 3 is done across them; then components again.
+4. Connected components of these links. In a bucket that still holds several components, the largest one is done with
+   itself: a pair that is left has at least one node outside it. Those outside nodes are dealt into blocks, each of which
+   meets, block by block, the nodes that share such a bucket with it, and step 3 is done across; then components again.
 
-So no group is ever expanded into pairs of rows: a task holds two blocks at most and emits fewer links than it has
-nodes, copies cost one row each, and a large group of near copies that its label's node connects meets no
-second round. With 32 bands of 4 registers a pair at the limit of 0.8 shares no bucket with a chance of 5e-8.
+So no group is ever expanded into pairs of rows: a task holds two blocks at most, bounded in bytes unless one text alone
+is larger, and emits fewer links than it has nodes; copies cost one row each, and what a large group costs beyond one pass
+grows with its nodes times those outside its largest component. With 32 bands of 4 registers a pair at the
+limit of 0.8 shares no bucket with a chance of 5e-8.
 
 Contract. A-Z are lower-cased and words lie between ASCII white space. Texts with fewer words than a shingle are one
 shingle; texts without words have none and are linked with nothing, as are rows whose id is null (their component is
@@ -26,9 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import settled, small_side, stored, whole_text
+from postmill.llm.common import in_small_batches, settled, small_side, stored, whole_text
 
 BLOCK = 256
+#: Shingles of the nodes of one block, 8 bytes each.
+BLOCK_SHINGLES = 400_000
 #: Ids of at most so many documents (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 SIGNED = "doc_id bigint, n bigint, node bigint, registers binary"
@@ -66,7 +71,7 @@ def _signed(docs: DataFrame, size: int, with_sets: bool, with_key: bool = False)
         settled()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), *[_row_key().alias("row_key")] * with_key)
-    return rows.mapInArrow(sign, SIGNED + ", hashes binary" * with_sets + ", row_key bigint" * with_key)
+    return in_small_batches(rows).mapInArrow(sign, SIGNED + ", hashes binary" * with_sets + ", row_key bigint" * with_key)
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
@@ -99,12 +104,15 @@ def links_of(table, limit: float):
 
     from postmill.llm import shingles
 
-    table = table.sort_by([("side", "ascending"), ("node", "ascending")])
-    nodes, sides, n = (table.column(c).to_numpy() for c in ("node", "side", "n"))
-    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, shingles.REGISTERS)
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
+    order = np.lexsort((node, side))
+    nodes, sides, n = node[order], side[order], table.column("n").to_numpy()[order]
+    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, shingles.REGISTERS)[order]
+    # views of the sets, not copies: they are nearly all that a block weighs
+    views = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("hashes").chunks for x in chunk]
+    sets = [views[i] for i in order]
     keys = shingles.band_keys(registers)
-    _, component = np.unique(table.column("component").to_numpy(), return_inverse=True)
+    _, component = np.unique(table.column("component").to_numpy()[order], return_inverse=True)
     across = sides.max(initial=0) > 0
     second = int(np.searchsorted(sides, 1))
     first_, second_, estimates = [], [], []
@@ -178,6 +186,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: float = 0.8, block: i
     return _judged(docs, size, limit, block, False)
 
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows (node, label, n and others) with block: each label's nodes in blocks of about so many nodes and BLOCK_SHINGLES."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = rows.groupBy("label").agg(parts.alias("parts"))
+    return rows.join(sizes, "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), "parts")))
+
+
 def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool) -> DataFrame:
     """near_duplicates(); with_key: also row_key, and root: the least node of the row's component, or the row's key if it has no shingles."""
     signed = stored(_signed(docs, size, False, with_key), "dup-signed")
@@ -187,8 +202,7 @@ def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool
     buckets = _banded(nodes).groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "pivot")
     members = stored(_banded(nodes).join(buckets, "key").select("key", "node", "pivot"), "dup-members")
     labels = members.groupBy("node").agg(F.min("pivot").alias("label"))
-    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    blocks = stored(labels.join(sizes, "label").select("node", "label", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), "parts")).alias("block")), "dup-blocks")
+    blocks = stored(_dealt(labels.join(nodes.select("node", "n"), "node"), block).select("node", "label", "block"), "dup-blocks")
 
     # the full sets of the nodes in buckets, from one document each
     wanted = blocks.join(nodes, "node").select(F.col("first_doc").alias("doc_id")).distinct()
@@ -205,24 +219,22 @@ def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool
     first = stored(own.groupBy("block").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
     found = components(first)
 
-    home = stored(blocks.join(found, "node", "left").select("node", "block", F.coalesce("component", "node").alias("component")), "dup-homes")
-    mixed = (
-        members.join(home, "node")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_set("block")).alias("blocks"), F.min("component").alias("a"), F.max("component").alias("b"))
-        .where("a <> b and size(blocks) > 1")
-    )
-    met = F.flatten(F.transform("blocks", lambda x, i: F.transform(F.slice("blocks", i + 2, F.size("blocks")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = mixed.select(F.explode(met).alias("p")).select("p.a", "p.b").distinct()
-    whole = home.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = whole.select(F.col("block").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    right = whole.select(F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    open_ = stored(pairs.join(left, "a").join(right, "b").where("not (low_a = high_a and low_b = high_b and low_a = low_b)").select("a", "b"), "dup-pairs")
-    sided = open_.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(open_.select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
-    full = sided.join(home, "block").join(sets, "node").select("a", "b", "side", "node", "component", "n", "registers", "hashes")
-    second = stored(full.groupBy("a", "b").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
-    if not second.isEmpty():
-        found = components(first.unionByName(second))
+    home = blocks.join(found, "node", "left").select("node", "label", "block", F.coalesce("component", "node").alias("component"))
+    placed = members.select("key", "node").join(home, "node")
+    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = per.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    # the nodes of buckets that still hold several components; outside: not of the bucket's largest
+    still = stored(placed.join(main, "key").select("key", "node", "label", "block", "component", (F.col("component") != F.col("main")).alias("outside")), "dup-open")
+    if not still.isEmpty():
+        outer = still.where("outside").select("node", "label", "component").distinct().join(nodes.select("node", "n"), "node")
+        outer = stored(_dealt(outer, block).select("node", "component", F.col("block").alias("rest")), "dup-outside")
+        asks = still.where("outside").select("key", "node").join(outer.select("node", "rest"), "node").select("key", "rest").distinct()
+        asked = asks.join(still.select("key", "node", "block", "component"), "key").select("rest", "block", "node", "component").distinct()
+        meets = asked.select("rest", "block").distinct().join(outer, "rest").select("rest", "block", "node", "component", F.lit(0).alias("side"))
+        full = meets.unionByName(asked.withColumn("side", F.lit(1))).join(sets, "node").select("rest", "block", "side", "node", "component", "n", "registers", "hashes")
+        second = stored(full.groupBy("rest", "block").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
+        if not second.isEmpty():
+            found = components(first.unionByName(second))
 
     # only nodes with links have a component to look up; all others are their own
     whole_stars = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
@@ -242,13 +254,19 @@ def deduplicated(docs: DataFrame, size: int = 5, limit: float = 0.8) -> DataFram
     """docs without all but one row of each component; rows with a null id stay. Each row is decided on by its own text:
     an id may stand on rows of several components."""
     judged = stored(_judged(docs, size, limit, BLOCK, True).where("doc_id is not null").select("row_key", "root", "kept"), "dup-judged")
-    several = stored(judged.where("kept").groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root"), "dup-several")
+    gone = judged.where("not kept").select("row_key")
+    several = judged.where("kept").groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root")
+    if several.isEmpty():
+        return _without(docs, gone)
     # the rows among which the least one stays: they share a component and its id
     ties = stored(judged.where("kept").join(several, "root", "left_semi").select("row_key", "root").distinct(), "dup-ties")
-    gone = stored(judged.where("not kept").select("row_key").unionByName(ties.select("row_key")).distinct(), "dup-gone")
-    once = docs.join(small_side(gone, BROADCAST_IDS), _row_key() == gone["row_key"], "left_anti")
-    if several.isEmpty():
-        return once
+    once = _without(docs, gone.unionByName(ties.select("row_key")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     one = docs.select(row.alias("row"), _row_key().alias("row_key")).join(ties, "row_key").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return once.unionByName(one)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key is among gone (row_key)."""
+    gone = gone.distinct()
+    return docs.join(small_side(gone, BROADCAST_IDS), _row_key() == gone["row_key"], "left_anti")

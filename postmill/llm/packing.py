@@ -19,15 +19,15 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import settled, whole_text
+from postmill.llm.common import in_small_batches, settled, whole_text
 
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 2048
 #: Chunks of text whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Bytes of text that are encoded at once.
-SLAB = 2_000_000
+SLAB = 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, row bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -159,12 +159,11 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
                 at += len(texts)
-        # the worker may go on to other stages: most of a task's chunks are its own
-        own.forget()
+        # what is remembered serves the worker's next task, up to REMEMBERED
         settled()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(cut, PIECES)
+    return in_small_batches(rows).mapInArrow(cut, PIECES)
 
 
 def first_fit_decreasing(lengths, room: int) -> tuple[list[int], list[int]]:

@@ -5,10 +5,12 @@ its features, and the weights minimise the logistic loss of feature differences
 is the quantile of the training scores that leaves as large a share below it as the labels call bad.
 
 Contract. Null text: empty, scored like any other. Labels: rows (doc_id, quality) with quality 0 or 1; others are left
-out. Only rows whose crc32 of the id mod FOLDS is not 0 are learnt from, at most MAX_LABELLED of them (those whose
-hash is smallest, with ties by id), a documented bound. With no labels, or of one kind only, all documents score
-0.5. Repeated labels count as often as they stand there; repeated documents get equal scores. An empty table gives no
-rows. Columns other than doc_id and text are no inputs of a score; they stay, but for those named score or predicted.
+out. Only rows whose crc32 of the id mod FOLDS is not 0 are learnt from. The fit has three documented bounds, whatever the
+size of the tables: MAX_LABELLED labels (those whose hash is smallest, with ties by id), twice as many documents of
+them where ids repeat, and PAIRS preference pairs drawn from these with a fixed seed; every document is scored. With no
+labels, or of one kind only, all documents score 0.5. Repeated labels count as often as they stand there; repeated
+documents get equal scores, and equal scores lie on one side of the threshold. Texts of any length are read whole, in one pass
+for each feature. An empty table gives no rows. Columns other than doc_id and text are no inputs of a score; they stay, but for those named score or predicted.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def _times(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+
 def _kept(text: Column, others: str) -> Column:
     """Number of characters of text that are not of the pattern others."""
     return F.length(F.regexp_replace(text, others, ""))
@@ -39,8 +45,7 @@ def _kept(text: Column, others: str) -> Column:
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with x, an array<double> of FEATURES, each between 0 and about 1."""
     t = F.col(text)
-    words = F.split(F.regexp_replace(F.regexp_replace(t, f"^[{SPACES}]+|[{SPACES}]+$", ""), f"[{SPACES}]+", " "), " ")
-    step = docs.withColumn("_words", F.when(t == "", F.array().cast("array<string>")).otherwise(words))
+    step = docs.withColumn("_words", F.array_remove(F.split(t, f"[{SPACES}]+"), ""))
     w, n = F.col("_words"), F.greatest(F.size("_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
     short = F.size(F.filter(w, lambda x: F.length(x) <= 3))
@@ -52,12 +57,12 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         _kept(t, "[^\\p{Lu}]+") / chars,
         _kept(t, "[^0-9]+") / chars,
         F.least(_kept(t, "[^#$%&*@^~<>=+_\\\\{}\\[\\]]+") / n, F.lit(3.0)) / 3.0,
-        F.least(_kept(t, "[^|]+") / n, F.lit(1.0)),
-        F.least(_kept(t, "[^!?]+") / n, F.lit(2.0)) / 2.0,
+        F.least(_times(t, "|") / n, F.lit(1.0)),
+        F.least((_times(t, "!") + _times(t, "?")) / n, F.lit(2.0)) / 2.0,
         F.size(F.array_distinct(w)) / F.pow(n, F.lit(0.8)) / 4.0,
         same / n,
         short / n,
-        F.least(_kept(t, "[^\\n]+") / n, F.lit(1.0)),
+        F.least(_times(t, "\n") / n, F.lit(1.0)),
     ]
     return step.withColumn("x", F.array(*[v.cast("double") for v in values])).drop("_words")
 

@@ -20,7 +20,7 @@ def op1_exact_topk(spark, sf_dir):
 
 
 def op2_url_filter(spark, sf_dir):
-    return urls.filter_urls(read(spark, sf_dir, "pages"), converge=True)
+    return urls.filter_urls(read(spark, sf_dir, "pages"))
 
 
 def op3_secret_scan(spark, sf_dir):
@@ -28,7 +28,7 @@ def op3_secret_scan(spark, sf_dir):
 
 
 def op4_source_mix(spark, sf_dir):
-    rows = stored(mixing.sized(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "key", "hash", "size"), "mix-sizes")
+    rows = stored(mixing.sized(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "key", "hash", "own", "size"), "mix-sizes")
     taken = mixing.mixed(rows, mixing.plan(rows.drop("doc_id")))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 

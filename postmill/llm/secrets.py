@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. The method adds candidate strings, long runs of key-like characters, whose
 Shannon entropy in some window reaches the limit of their character class. The window slides one character at a time:
-its counts per character change by one that enters and one that leaves, and the sum of c * log2(c) with them. What is on
+its counts per character, packed twelve to a 64-bit number, change by one that enters and one that leaves, and the sum of
+c * log2(c) with them, so a candidate takes time in proportion to its length. What is on
 the allow-list (well-known examples, alphabets, long runs of one kind) counts as FILL in these windows, so a window that
 lies on it stays below the limit and the windows beside it count. A candidate that is on the list as a whole (a path of words,
 digits) is suppressed. A candidate is cut at base spans, and each part is tested by itself.
@@ -32,9 +33,13 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# a run is entered at its beginning only
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 20
+#: Counts of a window's characters, up to 31, stand in so many bits each and so many to a number.
+COUNT_BITS, PACKED = 5, 12
 #: class of a candidate: its pattern, and the least entropy in bits that some window must have.
 CLASSES = (("hex", "^[0-9a-fA-F]+$", 3.0), ("letters", "^[a-z/_=-]+$|^[A-Z/_=-]+$", 4.1), ("word", "^[A-Z]?[a-z/_=-]+$", 4.1), ("key", "^", 3.6))
 #: Strings that look like secrets and are none.
@@ -47,40 +52,63 @@ FOLLOWING = "aabcdegilmnoprstuvy beloy cahiot daeilotuw eabcdeghilmnopqrstuvz fa
 UNCOMMON, LEAST_BITS = 8, 3.2
 
 
-def best_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The largest entropy in bits of a window of text; 0 if it is shorter."""
-    gain = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    zeros = F.array_repeat(F.lit(0), len(SYMBOLS))
+def _bound(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def walked(text: Column, window: int = WINDOW) -> Column:
+    """struct<best: the largest entropy in bits of a window of text (0 if it is shorter), odd: whether some window has
+    UNCOMMON pairs of letters that are rare in words, and no few letters only>. window: at most 31."""
+    gain = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    often = {own[0]: own[1:] for own in FOLLOWING}
+    seldom = F.array(*[F.lit("".join(c for c in LETTERS if c not in often[a])) for a in LETTERS])
+    none = F.lit(0).cast("bigint")
+
+    def rare(a: Column, b: Column) -> Column:
+        # null where a is no letter
+        return F.coalesce(F.contains(F.get(seldom, F.instr(F.lit(LETTERS), F.lower(a)) - 1), F.lower(b)), F.lit(False)).cast("int")
 
-    def at(i: Column) -> Column:
-        return F.instr(F.lit(SYMBOLS), F.substring(text, i, F.lit(1)))
+    def described(chars: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            code = F.instr(F.lit(SYMBOLS), c) - 1
+            bits = F.pmod(code, F.lit(PACKED)) * COUNT_BITS
+            unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
+            return F.struct((code / PACKED).cast("int").alias("word"), bits.alias("bits"), unit.alias("unit"), F.when(i > 0, rare(F.get(chars, i - 1), c)).otherwise(F.lit(0)).alias("pair"))
 
-    def step(s: Column, i: Column) -> Column:
-        new, old = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(0))
-        # one enters and one leaves: only their two counts and terms of the sum change
-        c_new, c_old = F.element_at(s["counts"], new), F.element_at(s["counts"], F.greatest(old, F.lit(1)))
-        out = F.when(old > 0, F.element_at(gain, F.greatest(c_old, F.lit(1))) - F.element_at(gain, c_old + 1)).otherwise(F.lit(0.0))
-        moved = F.element_at(gain, c_new + 2) - F.element_at(gain, c_new + 1) + out
-        sums = s["sum"] + F.when(new == old, F.lit(0.0)).otherwise(moved)
-        counts = F.transform(s["counts"], lambda c, k: c + (k + 1 == new).cast("int") - (k + 1 == old).cast("int"))
-        best = F.when(i >= window, F.greatest(s["best"], F.lit(math.log2(window)) - sums / window)).otherwise(s["best"])
-        return F.struct(counts.alias("counts"), sums.alias("sum"), best.alias("best"))
+        return _bound(F.transform(chars, one), slid)
 
-    start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.when(F.length(text) >= window, F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s["best"])).otherwise(F.lit(0.0))
+    def slid(own: Column) -> Column:
+        def held(counts: Column, x: Column) -> Column:
+            return F.call_function("shiftright", F.get(counts, x["word"]), x["bits"]).bitwiseAND(F.lit(31).cast("bigint")).cast("int")
 
+        def step(s: Column, x: Column) -> Column:
+            # null before the window is full
+            old = F.get(own, s["at"] - window)
+            pairs = s["pairs"] + x["pair"] - F.coalesce(F.get(own, s["at"] - window + 1)["pair"], F.lit(0))
+            c_new, c_old = held(s["counts"], x), held(s["counts"], old)
+            # one enters and one leaves: only their two counts and terms of the sum change
+            out = F.coalesce(F.get(gain, c_old - 1) - F.get(gain, c_old), F.lit(0.0))
+            same = F.coalesce((x["word"] == old["word"]) & (x["bits"] == old["bits"]), F.lit(False))
+            sums = s["sum"] + F.when(same, F.lit(0.0)).otherwise(F.get(gain, c_new + 1) - F.get(gain, c_new) + out)
+            counts = F.transform(s["counts"], lambda w, j: w + F.when(j == x["word"], x["unit"]).otherwise(none) - F.when(j == old["word"], old["unit"]).otherwise(none))
+            return F.struct((s["at"] + 1).alias("at"), counts.alias("counts"), sums.alias("sum"), pairs.alias("pairs"), s["best"].alias("best"), s["odd"].alias("odd"))
 
-def random_letters(text: Column, window: int = WINDOW) -> Column:
-    """Whether some window of text has UNCOMMON pairs of letters that are rare in words, and no few letters only."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    pairs = "|".join(f"{own[0]}(?=[{''.join(c for c in letters if c not in own[1:])}])" for own in FOLLOWING)
-    low = F.lower(text)
+        def judged(s: Column) -> Column:
+            now = F.when(s["at"] >= window, F.lit(math.log2(window)) - s["sum"] / window).otherwise(F.lit(0.0))
+            return s.withField("best", F.greatest(s["best"], now)).withField("odd", s["odd"] | ((s["pairs"] >= UNCOMMON) & (now >= LEAST_BITS)))
 
-    def odd(i: Column) -> Column:
-        own = F.substring(low, i, F.lit(window))
-        return (F.length(own) - F.length(F.regexp_replace(own, pairs, "")) >= UNCOMMON) & (best_entropy(own, window) >= LEAST_BITS)
+        counts = F.array_repeat(none, -(-len(SYMBOLS) // PACKED))
+        start = F.struct(F.lit(0).alias("at"), counts.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("pairs"), F.lit(0.0).alias("best"), F.lit(False).alias("odd"))
+        return F.aggregate(own, start, lambda s, x: _bound(step(s, x), judged), lambda s: F.struct(s["best"].alias("best"), s["odd"].alias("odd")))
 
-    return F.when(F.length(text) >= window, F.exists(F.sequence(F.lit(1), F.length(text) - window + 1), odd)).otherwise(F.lit(False))
+    nothing = F.struct(F.lit(0.0).alias("best"), F.lit(False).alias("odd"))
+    return F.when(F.length(text) >= window, _bound(F.split(text, ""), described)).otherwise(nothing)
+
+
+def best_entropy(text: Column, window: int = WINDOW) -> Column:
+    """The largest entropy in bits of a window of text; 0 if it is shorter."""
+    return walked(text, window)["best"]
 
 
 def suspicious(text: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> Column:
@@ -99,7 +127,8 @@ def suspicious(text: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLO
     # a path of words is known, but not one with random letters in it
     path = text.rlike("^[A-Za-z/_=-]+$")
     # the cheap tests first: windows are walked only for what they leave
-    return F.when(F.length(text) < window, F.lit(False)).when(known, path & random_letters(rest, window)).otherwise((best_entropy(rest, window) >= limit) | (lettered & random_letters(rest, window)))
+    found = _bound(walked(rest, window), lambda x: F.when(known, x["odd"]).otherwise((x["best"] >= limit) | (lettered & x["odd"])))
+    return F.when((F.length(text) < window) | (known & ~path), F.lit(False)).otherwise(found)
 
 
 def outside(span: Column, base: Column) -> Column:
@@ -126,10 +155,10 @@ def scan(docs: DataFrame, window: int = WINDOW, allowed=ALLOWED) -> DataFrame:
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), unmarked(whole_text()).alias("t"))
     parts = kept.select(
         "row",
-        marked_parts(F.col("t"), ASSIGN).alias("p_assign"),
-        marked_parts(F.col("t"), ACCESS).alias("p_access"),
-        marked_parts(F.col("t"), HEX).alias("p_hex"),
-        marked_parts(F.col("t"), CANDIDATE).alias("p_more"),
+        marked_parts(F.col("t"), ASSIGN, F.col("t").rlike("[:=]")).alias("p_assign"),
+        marked_parts(F.col("t"), ACCESS, F.col("t").contains("AKIA")).alias("p_access"),
+        marked_parts(F.col("t"), HEX, F.col("t").rlike("[0-9a-f]{24}")).alias("p_hex"),
+        marked_parts(F.col("t"), CANDIDATE, F.col("t").rlike(CANDIDATE)).alias("p_more"),
     )
     yes = F.lit(True)
     found = parts.select(

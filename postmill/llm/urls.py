@@ -2,13 +2,13 @@
 
 Each URL is judged by the longest rule that fits its host and path. URLs that no rule fits get their host's verdict:
 personalised PageRank spreads trust from hosts with allowed pages along links, and distrust from hosts with blocked
-pages against them (who links to a blocked host is suspect); a host is blocked where distrust exceeds trust. The query runs
-the walk until it has converged; filter_urls() by itself stops after ROUNDS * STEPS links, unless converge is set.
+pages against them (who links to a blocked host is suspect); a host is blocked where distrust exceeds trust. The walk goes on
+until it has converged, however long the chains of links are.
 
 Contract. A url that is null or has no :// has an empty host and path, is fitted by no rule and allowed; the empty
 host takes part in no link. Null html has no links. Links inside a host are no edges; several links between two hosts
 are one edge. A host with neither trust nor distrust is allowed, as is a tie. Mass of hosts without
-links leaves the graph. Repeated rows are judged alike; they weigh in their host's seed as often as they stand there. An
+links leaves the graph. Html of any length is read whole. Repeated rows are judged alike; they weigh in their host's seed as often as they stand there. An
 empty table gives no rows. Extra columns of the input are left out, whatever their names.
 """
 
@@ -22,8 +22,9 @@ from postmill.llm.common import lower_ascii, stored
 #: The rules of the query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 DAMPING = 0.85
-ROUNDS = 3
+#: Links of a walk between two written tables.
 STEPS = 4
+#: Largest change of all mass at which verdicts are looked at; it goes on where one could still change.
 TOLERANCE = 1e-6
 #: Share of all mass that is below the precision of its sums.
 REST = 1e-14
@@ -63,35 +64,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("host").alias("src"), F.explode(links).alias("link")).select("src", to.alias("dst")).where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, steps: int = STEPS) -> DataFrame:
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
     """host, kind, mass: personalised PageRank of kind t (along edges) and d (against them).
 
-    seeds: host, kind, seed. The mass goes rounds times steps links far, or until no mass moves more than TOLERANCE;
-    it is written after each round, so no lineage grows. With rounds None it goes on until it has reached every host
-    that links lead to, and what is still to come over all hosts together can change no verdict, or is less than
-    REST of all mass.
+    seeds: host, kind, seed. The mass is written after each round of so many links, so no lineage grows and a lost
+    executor costs a round's tasks. Rounds go on until they have reached every host that links lead to, and what is still
+    to come over all hosts together can change no verdict, or is less than REST of all mass.
     """
     both = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("t").alias("kind")).unionByName(edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit("d").alias("kind")))
     out = both.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("links"))
     graph = stored(both.join(out, ["host", "kind"]), "url-graph")
     seeds = stored(seeds.select("host", "kind", "seed"), "url-seeds")
-    mass = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("mass"))
-    done = 0
-    while rounds is None or done < rounds:
-        done += 1
+    kept = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("mass"))
+    mass = kept
+    while True:
         before = mass
         for _ in range(steps):
             moved = graph.join(mass, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("mass") / F.col("links") * damping).alias("mass"))
-            kept = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("mass"))
             mass = moved.unionByName(kept).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
         mass = stored(mass, "url-mass")
         change = mass.join(before.withColumnRenamed("mass", "was"), ["host", "kind"], "left").select("mass", "was", F.abs(F.col("mass") - F.coalesce("was", F.lit(0.0))).alias("change"))
-        if rounds is None:
-            if _converged(mass, change, damping**steps):
-                break
-        elif change.where(F.col("change") > TOLERANCE).isEmpty():
-            break
-    return mass
+        if _converged(mass, change, damping**steps):
+            return mass
 
 
 def _converged(mass: DataFrame, change: DataFrame, factor: float) -> bool:
@@ -112,13 +106,12 @@ def _converged(mass: DataFrame, change: DataFrame, factor: float) -> bool:
     return mass.groupBy("host").agg(gap.alias("gap"), F.count(F.lit(1)).alias("kinds")).where((F.col("kinds") > 1) & (F.col("gap") <= rest)).isEmpty()
 
 
-def filter_urls(pages: DataFrame, rules=RULES, converge: bool = False) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of each page; converge: with the mass of all links, however
-    many a walk has, instead of ROUNDS * STEPS."""
+def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust of each page."""
     known = judged(pages, rules)
     counts = known.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("good"), F.count(F.when(F.col("verdict") == "block", 1)).alias("bad"))
     seeds = counts.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), (F.col("good") / F.col("n")).alias("seed")), F.struct(F.lit("d").alias("kind"), (F.col("bad") / F.col("n")).alias("seed")))).alias("x")).select("host", "x.*").where("seed > 0")
-    mass = propagated(seeds, host_edges(known), rounds=None if converge else ROUNDS)
+    mass = propagated(seeds, host_edges(known))
     hosts = stored(mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("mass"))).alias("distrust")), "url-hosts")
     nothing = F.lit(0.0)
     own = F.when(F.coalesce("distrust", nothing) > F.coalesce("trust", nothing), "block").otherwise("allow")
