@@ -3,6 +3,12 @@
 quality: rows that the classifier rejects go. near_duplicates: one row of each group of near copies stays. secrets:
 secrets in the texts are masked. mixing: rows are repeated or dropped to reach the sources' target weights. packing:
 what is left is tokenised and packed into sequences.
+
+Odd rows. Null texts and empty ones are scored like any other text; those that stay are linked with nothing, hold no secret, count no
+words (the mix takes them as its thresholds fall) and are packed as one end id. A null id stays through all stages. Repeated
+rows share their score, and one of them stays; the mix may repeat rows again. Ties are broken by each operator as its
+module says. Texts of any length are read whole. Empty tables give empty tables. Of extra columns of documents, whatever
+their names, none is passed on: each stage returns DOCUMENTS, and packing its pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import mixing, neardup, packing, quality, secrets
-from postmill.llm.common import read, shared_dir
+from postmill.llm.common import read, removed, scratch, shared_dir
 from postmill.llm.queries import tokenizer
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,11 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each result is written to the shared folder and read again."""
+    """STAGES applied to documents; each result is written to the shared folder and read again. Tables that a stage wrote for
+    itself go at its end, and its input once its result stands."""
     docs = read(spark, sf_dir, "documents")
     place = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for n, (name, stage) in enumerate(STAGES):
         path = f"{place}/{n}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)
+        last = path
     return docs
