@@ -52,6 +52,13 @@ def embed_text(title: Column, description: Column) -> Column:
     return strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.substring(F.coalesce(description, F.lit("")), 1, 7000)))
 
 
+def retrieval_text(title: Column, company: Column, location: Column, description: Column, most: int = 1500) -> Column:
+    """The short text of a posting by which past feedback is looked up."""
+    own = lambda c: strip(F.coalesce(c, F.lit("")))
+    place = F.when(own(location) != "", F.concat(F.lit(" ("), own(location), F.lit(")"))).otherwise(F.lit(""))
+    return strip(F.concat(own(title), F.lit(" @ "), own(company), place, F.lit("\n\n"), F.substring(own(description), 1, most)))
+
+
 def split_wwr_title(raw: Column) -> tuple[Column, Column]:
     """Company and title of "Company: Title", cut at the first colon; without one the company is empty."""
     at = F.instr(raw, ":")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import html_to_text
+from postmill.functions.text import html_to_text, strip
 from postmill.sources.ats import SYSTEM_PARSERS, detect
 from postmill.values import LOOKBACK_DAYS, RETRYABLE, TOO_LARGE, USEFUL_TEXT
 
@@ -29,6 +29,25 @@ def tiers(pages: DataFrame, rendered: DataFrame) -> DataFrame:
     return both.select("url", F.when(enough, "text").otherwise("rendered").alias("tier"), F.when(enough, F.col("own")).otherwise(F.coalesce("other", F.lit(""))).alias("text"))
 
 
+def matched_names(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """Rows of left and right of whose names one contains the other, by trimmed lower case. A name's first three characters
+    stand somewhere in a name that contains it, so those are the key and pairs are then looked at; shorter names use as many as
+    they have. An empty name is in any other, which tells nothing: such rows are left out."""
+    one, two = strip(F.lower(F.coalesce(F.col(a), F.lit("")))), strip(F.lower(F.coalesce(F.col(b), F.lit(""))))
+    left, right = left.withColumn("_a", one).where("_a <> ''"), right.withColumn("_b", two).where("_b <> ''")
+
+    def grams(name: str):
+        places = F.sequence(F.lit(1), F.length(name))
+        each = F.transform(places, lambda i: F.array(*[F.substring(F.col(name), i, F.lit(n)) for n in (1, 2, 3)]))
+        return F.explode(F.array_distinct(F.flatten(each)))
+
+    def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        return short.withColumn("_key", F.substring(s, 1, 3)).join(long.withColumn("_key", grams(t)), "_key").where(F.contains(F.col(t), F.col(s))).drop("_key")
+
+    # equal names are found both ways: the second time they are left out
+    return inside(left, "_a", right, "_b").unionByName(inside(right, "_b", left, "_a").where("_a <> _b")).drop("_a", "_b")
+
+
 def retryable(message: Column) -> Column:
     return F.exists(F.array(*map(F.lit, RETRYABLE)), lambda m: F.contains(F.coalesce(message, F.lit("")), m))
 

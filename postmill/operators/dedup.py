@@ -20,12 +20,17 @@ def first_by(df: DataFrame, keys: list, order: str = "ord") -> DataFrame:
     return df.withColumns(named).groupBy(*named).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
 
 
+def users_of(df: DataFrame) -> list[str]:
+    """user_id, where df has it: each user's postings are a set of their own."""
+    return [c for c in ("user_id",) if c in df.columns]
+
+
 def first_by_url(jobs: DataFrame) -> DataFrame:
-    return first_by(jobs, [F.col("job_url")])
+    return first_by(jobs, [*map(F.col, users_of(jobs)), F.col("job_url")])
 
 
 def first_by_title(jobs: DataFrame) -> DataFrame:
-    return first_by(jobs, [bare_title(F.col("title")), bare_title(F.col("company"))])
+    return first_by(jobs, [*map(F.col, users_of(jobs)), bare_title(F.col("title")), bare_title(F.col("company"))])
 
 
 def unseen(jobs: DataFrame, seen: DataFrame, keys=("user_id", "job_url")) -> DataFrame:
@@ -41,36 +46,47 @@ def _units(vectors: pd.Series, width: int) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1.0)
 
 
-def drop_similar(jobs: DataFrame, history: DataFrame, threshold: float = SAME_POSTING, block: int = 4096, key: str = "job_url") -> DataFrame:
-    """jobs without those whose embedding has cosine >= threshold with another posting of history; rows without a
-    vector stay. Exact: both sides are dealt into blocks, each pair of blocks is one matrix product in one task, and only keys
-    that are hit come out. jobs and history: key, embedding.
+def drop_similar(jobs: DataFrame, history: DataFrame, threshold: float = SAME_POSTING, block: int = 4096, key: str = "job_url", within: tuple[str, ...] = ()) -> DataFrame:
+    """jobs without those whose embedding has cosine >= threshold with another posting of history (of the same values of
+    within, such as the user); rows without a vector stay. Exact: both sides are dealt into blocks, each pair of blocks is one matrix
+    product in one task, and only keys that are hit come out. jobs and history: key, embedding, and what is in within.
     """
-    new = jobs.where(F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
-    old = history.where(F.col("embedding").isNotNull()).select(F.col(key).cast("string").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
-    n, m = (max(1, -(-df.count() // block)) for df in (new, old))
-    spread = lambda name, blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias(name)
-    deal = lambda name, blocks: F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).alias(name)
+    names = [f"_w{i}" for i in range(len(within))]
+
+    def side(df: DataFrame) -> DataFrame:
+        own = [F.col(c).cast("string").alias(n) for c, n in zip(within, names, strict=True)]
+        return df.where(F.col("embedding").isNotNull()).select(*own, F.col(key).cast("string").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
 
     def hits(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"k": pd.Series([], dtype=str)})
+            return pd.DataFrame({"k": pd.Series([], dtype=str), **{n: pd.Series([], dtype=str) for n in names}})
         width = max(a["v"].map(len).max(), b["v"].map(len).max())
         near = _units(a["v"], width) @ _units(b["v"], width).T >= threshold - 1e-12
         near &= a["k"].to_numpy()[:, None] != b["k"].to_numpy()[None, :]
-        return pd.DataFrame({"k": a["k"][near.any(axis=1)].unique()})
-
-    left = new.select("k", "v", deal("a", n), spread("b", m)).groupBy("a", "b")
-    right = old.select("k", "v", spread("a", n), deal("b", m)).groupBy("a", "b")
-    found = left.cogroup(right).applyInPandas(hits, "k string").distinct()
-    return jobs.join(found.withColumnRenamed("k", "_hit"), F.col(key).cast("string") == F.col("_hit"), "left_anti")
+        return a.loc[near.any(axis=1), ["k", *names]].drop_duplicates()
+
+    new, old = side(jobs), side(history)
+    # one row per group; without groups one row in all
+    counts = blocks(new, "_n").join(blocks(old, "_m"), names) if names else blocks(new, "_n").crossJoin(blocks(old, "_m"))
+    met = lambda df: df.join(counts, names) if names else df.join(F.broadcast(counts))
+    spread = lambda most: F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col(most), F.lit(1)) - 1))
+    deal = lambda most: F.pmod(F.xxhash64("k", "v"), F.greatest(F.col(most), F.lit(1)))
+    left = met(new).select(*names, "k", "v", deal("_n").alias("a"), spread("_m").alias("b")).groupBy(*names, "a", "b")
+    right = met(old).select(*names, "k", "v", spread("_n").alias("a"), deal("_m").alias("b")).groupBy(*names, "a", "b")
+    found = left.cogroup(right).applyInPandas(hits, "k string" + "".join(f", {n} string" for n in names)).distinct().withColumnRenamed("k", "_hit")
+    same = F.col(key).cast("string") == F.col("_hit")
+    for c, n in zip(within, names, strict=True):
+        same = same & (F.col(c).cast("string") == F.col(n))
+    return jobs.join(found, same, "left_anti")
 
 
 def drop_similar_lsh(jobs: DataFrame, history: DataFrame, threshold: float = SAME_POSTING, key: str = "job_url", planes: int = 16, tables: int = 12, seed: int = 7) -> DataFrame:
-    """The same for large histories: only postings that share a bucket of random hyperplanes meet, then cosine decides.
-
-    At cosine 0.97 a pair lies on one side of a plane with probability 0.92, so in the same bucket of some table with
-    about 98 %.
+    """The same rows as drop_similar(), found in two passes. Most postings that have a near copy share a bucket of random
+    hyperplanes with it: each bucket keeps two postings of history, so a hot bucket costs two comparisons a row. Only what no
+    bucket has settled goes through the exact product of blocks.
     """
     first = history.where(F.col("embedding").isNotNull()).select("embedding").limit(1).collect()
     if not first:
@@ -89,8 +105,11 @@ def drop_similar_lsh(jobs: DataFrame, history: DataFrame, threshold: float = SAM
         some = df.where(F.col("embedding").isNotNull()).select(F.col(key).alias(name), F.col("embedding").alias(vector), codes("embedding").alias("_codes"))
         return some.select(name, vector, F.posexplode("_codes").alias("_table", "_code"))
 
-    met = keyed(jobs, key, "_new").join(keyed(history, "_past", "_old"), ["_table", "_code"]).where((F.col(key) != F.col("_past")) & (cosine(F.col("_new"), F.col("_old")) >= threshold))
-    return jobs.join(met.select(key).distinct(), key, "left_anti")
+    row = F.struct("_past", "_old")
+    kept = keyed(history, "_past", "_old").groupBy("_table", "_code").agg(F.array(F.min(row), F.max(row)).alias("_two"))
+    past = kept.select("_table", "_code", F.explode(F.array_distinct("_two")).alias("_x")).select("_table", "_code", "_x.*")
+    met = keyed(jobs, key, "_new").join(past, ["_table", "_code"]).where((F.col(key) != F.col("_past")) & (cosine(F.col("_new"), F.col("_old")) >= threshold))
+    return drop_similar(jobs.join(met.select(key).distinct(), key, "left_anti"), history, threshold, key=key)
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:

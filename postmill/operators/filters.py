@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, text, urls
-from postmill.operators.dedup import first_by_title, first_by_url
+from postmill.operators.dedup import first_by_title, first_by_url, users_of
 from postmill.values import DEAD_URLS, FEED_ROLE_WORDS, INTERN_BLOCKERS, LOCKED_PLACES, LOOKBACK_DAYS, ROLE_PATTERNS, SENIOR_CODES, SENIOR_WORDS, SIMILARITY_FLOOR, TERSE, anywhere, words
 
 SENIOR = r"\b(?:" + "|".join([*SENIOR_WORDS, *SENIOR_CODES]) + r")\b"
@@ -87,19 +87,20 @@ def flag_reputation(jobs: DataFrame, blacklist, trusted) -> DataFrame:
     return jobs.withColumns({"pre_flagged_low_quality": found(blacklist), "pre_flagged_trusted": found(trusted)})
 
 
-def filter_postings(jobs: DataFrame, seen: DataFrame | None = None, local: bool = False, level: str = "entry", blacklist=(), trusted=()) -> DataFrame:
+def filter_postings(jobs: DataFrame, seen: DataFrame | None = None, local: bool = False, level: str | Column = "entry", blacklist=(), trusted=()) -> DataFrame:
     """The whole chain: seen postings go before duplicates do, so the first unseen copy stays. Local postings skip the
-    tests of language, location, seniority and role."""
+    tests of language, location, seniority and role. Where jobs have a user_id, duplicates, and seen postings that have one
+    too, are those of the same user; level may be a column of jobs."""
     if seen is not None:
-        jobs = jobs.join(seen.select("job_url").distinct(), "job_url", "left_anti")
+        keys = [c for c in users_of(jobs) if c in seen.columns] + ["job_url"]
+        jobs = jobs.join(seen.select(*keys).distinct(), keys, "left_anti")
     jobs = first_by_title(first_by_url(jobs))
     jobs = flag_reputation(jobs, blacklist, trusted)
     if local:
         return jobs.where(~cjk(F.col("title")))
     title = F.col("title")
     jobs = jobs.where(~cjk(title) & english_title(title) & english_description(F.col("description")) & ~location_locked(title, F.col("location")))
-    if level not in ("mid", "senior"):
-        jobs = jobs.where(~senior(title))
+    jobs = jobs.where(wants_senior(F.lit(level) if isinstance(level, str) else level) | ~senior(title))
     return jobs.where(tech_role(title) & ~blocked_intern(title))
 
 

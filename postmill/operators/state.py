@@ -98,22 +98,97 @@ def tokens_of(response: Column) -> Column:
     return F.coalesce(F.try_variant_get(x, "$.usage.total_tokens", "bigint"), F.try_variant_get(x, "$.usage_metadata.total_token_count", "bigint"), F.lit(0))
 
 
-def rate_limited(calls: DataFrame, keys: list[str], interval: float, at: str = "at", order: str = "ord") -> DataFrame:
+def _numbered(calls: DataFrame, keys: list[str], order: list[str], chunk: Column) -> tuple[DataFrame, list[str]]:
+    """calls with _c (chunk) and _i, the number from 0 within key and chunk, and the names that make a chunk. A key's
+    calls are never one window: chunks are, and their summaries, one row each, carry on from chunk to chunk."""
+    own = [*keys, "_c"]
+    return calls.withColumn("_c", chunk).withColumn("_i", F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1), own
+
+
+def rate_limited(calls: DataFrame, keys: list[str], interval: float, at: str = "at", order: str = "ord", chunk_seconds: int = 3600) -> DataFrame:
     """start and wait of each call when a key's calls are at least interval apart: with i calls before it, a call starts
-    at i * interval + the largest of (asked - own number * interval) so far."""
-    w = Window.partitionBy(*keys).orderBy(at, order)
-    n = F.row_number().over(w) - 1
-    numbered = calls.withColumn("_n", n)
-    start = F.col("_n") * interval + F.max(F.col(at) - F.col("_n") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("start", start).withColumn("wait", F.col("start") - F.col(at)).drop("_n")
+    at i * interval + the largest of (asked - own number * interval) so far. Both are sums and maxima over what came
+    before, so chunks of time are numbered by themselves and what their predecessors add is carried over."""
+    numbered, own = _numbered(calls, keys, [at, order], F.floor(F.col(at) / chunk_seconds))
+    slack = F.col(at) - F.col("_i") * interval
+    upto = Window.partitionBy(*keys).orderBy("_c")
+    sums = numbered.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.max(slack).alias("_most"))
+    sums = sums.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    carried = F.max(F.col("_most") - F.col("_before") * interval).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_carried", carried).select(*own, "_before", "_carried")
+    within = F.max(slack).over(Window.partitionBy(*own).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = numbered.withColumn("_within", within).join(sums, own)
+    start = (F.col("_before") + F.col("_i")) * interval + F.greatest(F.col("_within") - F.col("_before") * interval, F.col("_carried"))
+    return joined.withColumn("start", start).withColumn("wait", F.col("start") - F.col(at)).drop("_c", "_i", "_within", "_before", "_carried")
 
 
 def min_interval(rpm: float, safety: float) -> float:
     return 60.0 / rpm * safety
 
 
-def round_robin(calls: DataFrame, keys: list[str], n: int, order: str = "ord") -> DataFrame:
-    return calls.withColumn("account", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) % n)
+def round_robin(calls: DataFrame, keys: list[str], n: int, order: str = "ord", chunk: int = 10_000) -> DataFrame:
+    """account of each call, in turn by the whole number order; chunks of it are numbered by themselves."""
+    numbered, own = _numbered(calls, keys, [order], F.floor(F.col(order) / chunk))
+    sums = numbered.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_n")
+    sums = sums.withColumn("_before", before).select(*own, "_before")
+    return numbered.join(sums, own).withColumn("account", F.pmod(F.col("_before") + F.col("_i"), F.lit(n)).cast("int")).drop("_c", "_i", "_before")
+
+
+# runs
+
+
+def started(runs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """runs (id, user_id, status, run_trigger, started_at, ended_at, error and counts), and a running row for each of wanted
+    (id, user_id, trigger). An unknown trigger counts as scheduled."""
+    known = F.when(F.col("trigger") == "manual", "manual").otherwise("scheduled")
+    new = wanted.select("id", "user_id", F.lit("running").alias("status"), known.alias("run_trigger"), now.alias("started_at"))
+    return runs.unionByName(new, allowMissingColumns=True)
+
+
+def finalised(runs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """runs with what outcomes (id, status, counts, error, email_status, email_error) say of them; errors are cut to length."""
+    cut = lambda c, n: F.substring(F.nullif(F.col(c), F.lit("")), 1, n)
+    told = outcomes.withColumns({"error": cut("error", 2000), "email_error": cut("email_error", 1000), "ended_at": now})
+    names = [c for c in told.columns if c != "id"]
+    both = runs.join(told.select("id", F.lit(True).alias("_told"), *[F.col(c).alias(f"_new_{c}") for c in names]), "id", "left")
+    # without an outcome of the mail its columns stay as they are
+    mail = lambda c: F.col("_told") & F.col("_new_email_status").isNotNull() if c.startswith("email_") else F.col("_told")
+    for c in names:
+        old = F.col(c) if c in runs.columns else F.lit(None).cast(told.schema[c].dataType)
+        both = both.withColumn(c, F.when(F.coalesce(mail(c), F.lit(False)), F.col(f"_new_{c}")).otherwise(old))
+    return both.drop("_told", *[f"_new_{c}" for c in names])
+
+
+def claimed(users: DataFrame, now: Column) -> DataFrame:
+    """users (frequency_hours, next_run_at, trigger) with the next run that a claim sets before the work starts, so that no
+    other tick picks them: a manual run parks it past the day's end, a scheduled one keeps the user's own hours."""
+    manual = F.greatest(dates.next_run(now, F.col("frequency_hours")), dates.next_budget_day(now))
+    kept = dates.next_anchored(F.coalesce("next_run_at", now), F.col("frequency_hours"), now)
+    return users.withColumn("next_run_at", F.when(F.col("trigger") == "manual", manual).otherwise(kept))
+
+
+def pulled_back(preferences: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
+    """preferences with a near retry for users whose run failed (user_id)."""
+    hit = preferences.join(failed.select("user_id", F.lit(True).alias("_failed")).distinct(), "user_id", "left")
+    return hit.withColumn("next_run_at", F.when(F.col("_failed"), dates.retry(now)).otherwise(F.col("next_run_at"))).drop("_failed")
+
+
+def digested(preferences: DataFrame, made: DataFrame, now: Column) -> DataFrame:
+    """preferences after a round of digests (user_id, summary): each user's time moves, the text only where there is a new one."""
+    told = made.select("user_id", F.nullif(strip(F.coalesce("summary", F.lit(""))), F.lit("")).alias("_summary"), F.lit(True).alias("_made"))
+    both = preferences.join(told, "user_id", "left")
+    return both.withColumns({"candidate_preferences": F.coalesce("_summary", "candidate_preferences"), "last_digest_at": F.when(F.col("_made"), now).otherwise(F.col("last_digest_at"))}).drop("_summary", "_made")
+
+
+def approved(evaluated: DataFrame) -> DataFrame:
+    """What the model calls valid, of the top and of the lower-ranked postings."""
+    return evaluated.where(F.coalesce(F.col("is_valid"), F.lit(False)))
+
+
+def delivered(embeddings: DataFrame, sent: DataFrame) -> DataFrame:
+    """The vectors (user_id, job_url, embedding) of postings that a digest showed: only these enter the history."""
+    return embeddings.join(sent.select("user_id", "job_url"), ["user_id", "job_url"], "left_semi")
 
 
 # schedule
@@ -125,6 +200,8 @@ def due_users(preferences: DataFrame, profiles: DataFrame, queries: DataFrame, n
     ready = F.col("is_active") & ((F.col("user_id") == only) if only is not None else (F.col("next_run_at") <= now))
     active = queries.where("is_active").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("search_term", "location"))).alias("queries"))
     known = profiles.where(F.col("is_whitelisted") & (strip(F.coalesce("cv_text", F.lit(""))) != ""))
+    if "github_summary" in profiles.columns:
+        known = known.withColumn("github_summary", F.coalesce("github_summary", F.lit("")))
     return preferences.where(ready).join(known, "user_id").join(active, "user_id")
 
 
@@ -194,6 +271,12 @@ def missing_suffix(log: DataFrame) -> DataFrame:
     return log.select("user_id", F.size("vectors").alias("_have"), F.posexplode("entries").alias("position", "entry")).where("position >= _have").drop("_have")
 
 
+def feedback_in_order(feedback: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Each user's entries that have a vector, with their place in time (ties by id)."""
+    both = feedback.join(vectors.select("feedback_id", "embedding"), "feedback_id")
+    return both.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("submitted_at", "feedback_id")))
+
+
 def feedback_counts(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postmill import values as V
 from postmill import views as W
 from postmill.functions import coerce, dates, hashing, text, urls, vectors, weights
-from postmill.operators import careers, dedup, filters, preferences, ranking, render, state, verdict, viability
+from postmill.operators import careers, dedup, filters, hooks, preferences, ranking, render, state, verdict, viability
+from postmill.plans.run import tick as run_tick
+from postmill.session import shared_dir
 from postmill.sources import ats, feeds, files, local
 from postmill.streaming import state as streams
 
@@ -86,15 +90,29 @@ def feed_recency(spark, sf_dir):
     return filters.filter_feed(jobs.withColumn("date_posted", raw), W.now(), 24 * 9000).select("ord")
 
 
-@query()
+def _language_sql(column: str) -> str:
+    tokens = f"regexp_split_to_array(lower(substr({column}, 1, 2000)), '[^\\p{{L}}]+')"
+    n = {k: f"len(list_filter({tokens}, lambda x: x IN ({', '.join(map(quoted, w))})))" for k, w in filters.STOP_WORDS.items()}
+    return f"CASE WHEN {n['en']} >= greatest({n['de']}, {n['fr']}, {n['es']}) THEN 'en' WHEN {n['fr']} >= greatest({n['de']}, {n['es']}) THEN 'fr' WHEN {n['es']} >= {n['de']} THEN 'es' ELSE 'de' END"
+
+
+def _english_sql(body: str) -> str:
+    """body: as BODY gives it."""
+    return f"(length({body}) < {V.TERSE} OR (len(regexp_extract_all(substr({body}, 1, 500), '[řůőŘŮŐ]')) < 3 AND {_language_sql(body)} = 'en'))"
+
+
+BODY = lambda c: strip_sql(f"regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, {_english_sql('body')} AS english, {_language_sql("coalesce(text, '')")} AS guess FROM (SELECT *, {BODY('text')} AS body FROM documents)")
 def description_language(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = W.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.select("doc_id", filters.english_description(F.col("text")).alias("english"), filters.language(F.col("text")).alias("guess"))
 
 
-FIRST_URL = "SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1"
+FIRST_URL = "SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY user_id, job_url ORDER BY ord) = 1"
 BARE = lambda c: f"lower({strip_sql(f"regexp_replace(coalesce({c}, 'none'), '\\s*\\(.*?\\)', '', 'g')")})"
-FIRST_TITLE = f"SELECT * FROM first_url QUALIFY row_number() OVER (PARTITION BY {BARE('title')}, {BARE('company')} ORDER BY ord) = 1"
+FIRST_TITLE = f"SELECT * FROM first_url QUALIFY row_number() OVER (PARTITION BY user_id, {BARE('title')}, {BARE('company')} ORDER BY ord) = 1"
 
 
 @query(f"{J} SELECT ord, job_url FROM ({FIRST_URL})")
@@ -132,11 +150,23 @@ def seen_upsert_donothing(spark, sf_dir):
     return state.insert_new(old, new, ["user_id", "job_url"]).groupBy("user_id", "job_url").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {W.FLAGGED_SQL}, first_url AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1), kept AS ({FIRST_TITLE})
-SELECT ord, title FROM kept WHERE NOT {CJK} AND NOT ({LOCKED}) AND NOT coalesce({SENIOR}, false) AND coalesce({ROLE}, false) AND NOT ({INTERN}) AND length(coalesce(title, '')) < 30
-AND (length(coalesce(description, '')) < 100 OR NOT contains(coalesce(description, ''), 'zzzz'))""")
+FIRST_FLAGGED = f"first_url AS ({FIRST_URL.replace('FROM jobs', 'FROM flagged')}), kept AS (SELECT *, {BODY('description')} AS body FROM ({FIRST_TITLE}))"
+CHAIN = f"NOT {CJK} AND (length(coalesce(title, '')) < 30 OR {_language_sql('title')} = 'en') AND {_english_sql('body')} AND NOT ({LOCKED}) AND coalesce({ROLE}, false) AND NOT ({INTERN})"
+
+
+@query(f"WITH {W.FLAGGED_SQL}, {FIRST_FLAGGED} SELECT ord, title FROM kept WHERE {CHAIN} AND NOT coalesce({SENIOR}, false)")
 def filter_chain(spark, sf_dir):
-    return filters.filter_postings(W.jobs(spark, sf_dir)).where(F.length(F.coalesce("title", F.lit(""))) < 30).select("ord", "title")
+    return filters.filter_postings(W.jobs(spark, sf_dir)).select("ord", "title")
+
+
+@query(f"WITH {W.FLAGGED_SQL}, {FIRST_FLAGGED} SELECT ord, title FROM kept WHERE NOT {CJK}")
+def filter_chain_local(spark, sf_dir):
+    return filters.filter_postings(W.jobs(spark, sf_dir), local=True).select("ord", "title")
+
+
+@query(f"{J} SELECT ord, length(coalesce(title, '')) < 30 OR {_language_sql('title')} = 'en' AS english FROM (SELECT ord, concat(coalesce(title, ''), ' ', description) AS title FROM jobs)")
+def title_language(spark, sf_dir):
+    return W.jobs(spark, sf_dir).select("ord", filters.english_title(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "description")).alias("english"))
 
 
 # viability
@@ -233,27 +263,29 @@ def path_labels(spark, sf_dir):
 VECTOR_SQL = "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings), cv AS (SELECT e AS c FROM vectors WHERE vec_id = 0)"
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, jobs=None):
     e = embeddings(spark, sf_dir)
     n = e.count()
-    own = W.flagged(spark, sf_dir).drop("similarity").withColumn("vec_id", F.when(F.col("ord") % 17 > 0, F.col("ord") % n))
-    vectors_ = own.select("job_url", "ord", "vec_id").join(e.select("vec_id", "embedding"), "vec_id", "left").select("ord", "embedding")
+    own = (W.flagged(spark, sf_dir) if jobs is None else jobs).drop("similarity").withColumn("vec_id", F.when(F.col("ord") % 17 > 0, F.col("ord") % n))
     profile = e.where("vec_id = 0").first()["embedding"]
     cv = F.array(*[F.lit(float(x)) for x in profile])
-    with_vector = own.join(vectors_, "ord")
+    with_vector = own.join(e.select("vec_id", "embedding"), "vec_id", "left")
     return with_vector.withColumn("similarity", vectors.cosine(F.col("embedding"), cv)).withColumn("weighted_score", F.col("similarity") * weights.combined_weight(F.col("title"), F.col("pre_flagged_trusted")))
 
 
 SCORED_SQL = f"{W.FLAGGED_SQL}, {VECTOR_SQL}, scored AS (SELECT f.* EXCLUDE (similarity), v.e, CASE WHEN v.e IS NULL THEN 0.0 ELSE list_cosine_similarity(v.e, (SELECT c FROM cv)) END AS similarity, CASE WHEN v.e IS NULL THEN 0.0 ELSE list_cosine_similarity(v.e, (SELECT c FROM cv)) END * {COMBINED} AS weighted_score FROM flagged f LEFT JOIN vectors v ON v.vec_id = CASE WHEN f.ord % 17 > 0 THEN f.ord % (SELECT max(n) FROM vectors) END)"
 
 
-@query(f"""WITH {SCORED_SQL}, first_url AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY job_url ORDER BY ord) = 1), kept AS ({FIRST_TITLE})
+@query(f"""WITH {SCORED_SQL}, first_url AS ({FIRST_URL.replace('FROM jobs', 'FROM scored')}), kept AS ({FIRST_TITLE})
 SELECT user_id, CAST(rank AS INT) AS rank, ord, round(weighted_score, 6) AS weighted_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weighted_score, 9) DESC, ord) AS rank FROM kept WHERE NOT ({LOCKED}) AND NOT coalesce({SENIOR}, false) AND coalesce({ROLE}, false) AND NOT ({INTERN})) WHERE rank <= 10""")
 def flagship_rank_topn(spark, sf_dir):
-    jobs = dedup.first_by_title(dedup.first_by_url(scored(spark, sf_dir)))
+    # duplicates and what the filters drop go first: only survivors meet their vectors and the region patterns
+    slim = W.flagged(spark, sf_dir).select("ord", "user_id", "title", "company", "location", "description", "job_url", "pre_flagged_trusted")
+    jobs = dedup.first_by_title(dedup.first_by_url(slim))
     title = F.col("title")
     kept = jobs.where(~filters.location_locked(title, F.col("location")) & ~filters.senior(title) & filters.tech_role(title) & ~filters.blocked_intern(title))
-    return dedup.ranked(kept, ["user_id"], [F.round("weighted_score", 9).desc(), F.asc("ord")], 10).select("user_id", "rank", "ord", F.round("weighted_score", 6).alias("weighted_score"))
+    best = scored(spark, sf_dir, kept)
+    return dedup.ranked(best, ["user_id"], [F.round("weighted_score", 9).desc(), F.asc("ord")], 10).select("user_id", "rank", "ord", F.round("weighted_score", 6).alias("weighted_score"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT ord FROM scored WHERE NOT (e IS NOT NULL AND similarity < 0.1 AND coalesce(lower(origin), '') <> 'local')")
@@ -336,7 +368,7 @@ def semantic_dedup_low_threshold(spark, sf_dir):
     return _semantic(spark, sf_dir, 0.45)
 
 
-@query()
+@query(_semantic_sql(0.97))
 def semantic_dedup_lsh(spark, sf_dir):
     past = embeddings(spark, sf_dir).select(F.col("vec_id").cast("string").alias("job_url"), "embedding")
     return dedup.drop_similar_lsh(_postings(spark, sf_dir), past).select("job_url")
@@ -912,7 +944,7 @@ def description_backfill(spark, sf_dir):
 def company_name_match(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     a, b = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), nation.select(F.col("n_nationkey").alias("b"), F.substring("n_name", 1, 3).alias("y"))
-    return a.join(F.broadcast(b), urls.names_match(F.col("x"), F.col("y"))).select("a", "b")
+    return careers.matched_names(a, "x", b, "y").select("a", "b")
 
 
 @query(f"""WITH c AS (SELECT page_id, {HINT} AS hint, page_id % 3 = 0 AS cached, page_id % 6 = 0 AS miss, page_id % 9 = 0 AS old FROM pages)
@@ -1007,20 +1039,198 @@ def feedback_drain(spark, sf_dir):
     return n("log", log).unionByName(n("seen", applied)).unionByName(n("blacklist", blocked))
 
 
-def _streamed(spark, sf_dir, make, name, mode):
-    """Runs a stream over all of events to its end and gives what its sink has."""
+def _events(spark, sf_dir):
     source = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").parquet(f"{sf_dir}/events*.parquet")
-    calls = source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id"), (F.col("event_id") % 400).cast("string").alias("job_url"))
-    q = make(calls).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id"), (F.col("event_id") % 400).cast("string").alias("job_url"))
+
+
+def _streamed(spark, sf_dir, make, mode, schema):
+    """Runs a stream over all of events to its end, into files of the shared folder, and reads them."""
+    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return spark.read.schema(schema).parquet(streams.written(make(_events(spark, sf_dir)), place, mode)).drop("batch")
 
 
 @query("SELECT DISTINCT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url FROM events")
 def stream_unseen(spark, sf_dir):
-    return _streamed(spark, sf_dir, streams.unseen, "stream_unseen", "append").select("user_id", "job_url")
+    return _streamed(spark, sf_dir, streams.unseen, "append", "user_id string, job_url string")
 
 
 @query("SELECT user_id, CAST(max(n) AS BIGINT) AS peak FROM (SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, count(*) OVER (PARTITION BY user_id % 40 ORDER BY date_trunc('second', ts) RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1")
 def stream_peaks(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda c: streams.peaks(c, "user_id"), "stream_peaks", "update")
+    rows = _streamed(spark, sf_dir, lambda c: streams.peaks(c, "user_id"), "update", "user_id string, peak bigint")
+    # an update for each batch that a user is in
+    return rows.groupBy("user_id").agg(F.max("peak").alias("peak"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t FROM events),
+m AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT m.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = m.user_id AND e.t > m.t + 64800) AS t FROM m WHERE m.t IS NOT NULL)
+SELECT user_id, t AS seconds FROM m WHERE t IS NOT NULL""")
+def stream_cache_misses(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda c: streams.cache_misses(c, "user_id"), "append", "user_id string, seconds bigint")
+
+
+@query("SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url, count(*) AS n FROM events WHERE event_id % 400 < 200 GROUP BY 1, 2")
+def stream_marks(spark, sf_dir):
+    """Micro-batches as ticks: what each evaluates enters the seen table."""
+    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    seen_path = f"{place}/seen"
+    own = _events(spark, sf_dir).withColumn("evaluated", F.col("job_url").cast("int") < 200)
+    streams.ticks(own, lambda batch, n: streams.mark_evaluated(batch, seen_path), f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(seen_path).groupBy("user_id", "job_url").agg(F.count(F.lit(1)).alias("n"))
+
+
+# all users of a tick in one plan
+
+
+def _tick_parts(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    n = e.count()
+    jobs = W.jobs(spark, sf_dir).drop("similarity")
+    per_url = spark.range(4000).select(F.concat(F.lit("https://jobs.example.com/jobs/"), F.col("id").cast("string")).alias("job_url"), F.when(F.col("id") % 17 > 0, F.col("id") % n).alias("vec_id"))
+    vectors_ = per_url.join(e.select("vec_id", "embedding"), "vec_id").select("job_url", "embedding")
+    number = F.substring("user_id", 2, 9).cast("bigint")
+    users = jobs.select("user_id").distinct().withColumn("vec_id", number)
+    profiles = users.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("user_id", "vector", F.when(F.col("vec_id") % 3 == 0, "senior").otherwise("entry").alias("level"), F.when(F.col("vec_id") % 4 == 0, F.array(F.lit("backend"), F.lit("mobile"))).alias("paths"))
+    # each user's history: one vector, under another address
+    past = users.join(e.select((F.col("vec_id") - 100).alias("vec_id"), "embedding"), "vec_id").select("user_id", F.concat(F.lit("past-"), "user_id").alias("job_url"), "embedding")
+    return jobs, vectors_, profiles, past
+
+
+TICK_PATHS = f"CASE WHEN k % 4 = 0 THEN CASE WHEN {' OR '.join(matches("coalesce(title, '')", V.words(V.PATHS[p], '(?i)')) for p in ('backend', 'mobile'))} THEN 1.2 ELSE 1.0 END ELSE {ROLE_WEIGHT} END"
+TICK_WEIGHT = f"CAST({REGION_WEIGHT} AS DOUBLE) * CAST({TRUST} AS DOUBLE) * CAST({TICK_PATHS} AS DOUBLE)"
+
+
+@query(f"""WITH {W.FLAGGED_SQL}, {SEEN_SQL}, vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings),
+fresh AS (SELECT * EXCLUDE (origin), CASE WHEN coalesce(origin, 'global') = 'local' THEN 'local' ELSE 'global' END AS origin, CAST(substr(user_id, 2) AS BIGINT) AS k FROM flagged f WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = f.user_id AND s.job_url = f.job_url)),
+first_url AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY origin, user_id, job_url ORDER BY ord) = 1),
+kept AS (SELECT *, {BODY('description')} AS body FROM first_url QUALIFY row_number() OVER (PARTITION BY origin, user_id, {BARE('title')}, {BARE('company')} ORDER BY ord) = 1),
+passed AS (SELECT * FROM kept WHERE CASE WHEN origin = 'local' THEN NOT {CJK} ELSE {CHAIN} AND (k % 3 = 0 OR NOT coalesce({SENIOR}, false)) END),
+placed AS (SELECT p.* EXCLUDE (similarity), v.e, CASE WHEN v.e IS NULL THEN 0.0 ELSE list_cosine_similarity(v.e, c.e) END AS similarity FROM passed p JOIN vectors c ON c.vec_id = p.k
+  LEFT JOIN vectors v ON v.vec_id = CASE WHEN (p.ord % 4000) % 17 > 0 THEN (p.ord % 4000) % (SELECT max(n) FROM vectors) END),
+novel AS (SELECT p.* FROM placed p JOIN vectors h ON h.vec_id = p.k + 100 WHERE p.e IS NULL OR list_cosine_similarity(p.e, h.e) < 0.97),
+scored AS (SELECT *, similarity * {TICK_WEIGHT} AS weighted_score FROM novel WHERE NOT (e IS NOT NULL AND similarity < {V.SIMILARITY_FLOOR} AND origin <> 'local')),
+top_ AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weighted_score DESC, ord) AS place FROM scored),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (place <= 55)::INT, sha256(concat('42:', coalesce(job_url, ''))), ord) AS draw FROM top_),
+named AS (SELECT *, CASE WHEN place <= 55 THEN 'top' WHEN draw <= 5 THEN 'wildcard' ELSE 'lower' END AS part FROM drawn),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY weighted_score DESC, ord) AS rank FROM named)
+SELECT user_id, part, CAST(rank AS INT) AS rank, ord FROM ranked WHERE part <> 'lower' OR rank <= 25""")
+def tick(spark, sf_dir):
+    jobs, vectors_, profiles, past = _tick_parts(spark, sf_dir)
+    local_ = F.coalesce("origin", F.lit("global")) == "local"
+    out = run_tick(jobs.where(~local_), jobs.where(local_), vectors_, profiles, past, seen(spark, sf_dir), blacklist=W.BLACKLIST, trusted=W.TRUSTED)
+    return out.select("user_id", "part", "rank", "ord")
+
+
+# runs, claims and digests
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'success' END ELSE 'running' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'manual' ELSE 'scheduled' END AS run_trigger,
+CASE WHEN o_orderkey % 6 = 0 THEN 'boom' END AS error, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 END AS scraped, CASE WHEN o_orderkey % 9 = 0 THEN 'sent' END AS email_status FROM orders""")
+def run_rows(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("user_id"))
+    k = F.col("id")
+    runs = state.started(spark.createDataFrame([], "id bigint, user_id string, status string, run_trigger string, started_at timestamp"), o.withColumn("trigger", F.when(k % 5 == 0, "manual").when(k % 5 == 1, "odd").otherwise("scheduled")), W.now())
+    told = o.where(k % 3 == 0).select("id", F.when(k % 2 == 0, "failed").otherwise("success").alias("status"), (k % 7).alias("scraped"), F.when(k % 2 == 0, "boom").otherwise("").alias("error"), F.when(k % 9 == 0, "sent").alias("email_status"), F.lit(None).cast("string").alias("email_error"))
+    return state.finalised(runs, told, W.now()).select("id", "status", "run_trigger", "error", "scraped", "email_status")
+
+
+@query(f"""WITH {W.USERS_SQL}, t AS (SELECT user_id, is_admin, greatest(1, frequency_hours) * 3600 AS s, CAST(epoch({NOW}) AS BIGINT) AS n, CAST(epoch({NOW}) AS BIGINT) - minimum * 3600 AS a FROM users)
+SELECT user_id, CAST(CASE WHEN is_admin THEN greatest(n + s, CAST(epoch(TIMESTAMP '2024-01-20 22:00:00') AS BIGINT)) WHEN a + s > n THEN a + s ELSE a + s * (floor((n - a) / s) + 1) END AS BIGINT) AS next_run FROM t""")
+def run_claims(spark, sf_dir):
+    u = W.users(spark, sf_dir).withColumns({"next_run_at": W.now() - F.make_dt_interval(hours=F.col("minimum").cast("int")), "trigger": F.when(F.col("is_admin"), "manual").otherwise("scheduled")})
+    return state.claimed(u, W.now()).select("user_id", F.unix_timestamp("next_run_at").alias("next_run"))
+
+
+@query(f"{U} SELECT user_id, CAST(CASE WHEN minimum % 4 = 0 THEN epoch({NOW}) + 7200 ELSE epoch({NOW}) + 86400 END AS BIGINT) AS next_run FROM users")
+def run_retries(spark, sf_dir):
+    u = W.users(spark, sf_dir)
+    own = u.select("user_id", (W.now() + F.expr("INTERVAL 1 DAY")).alias("next_run_at"))
+    return state.pulled_back(own, u.where("minimum % 4 = 0").select("user_id"), W.now()).select("user_id", F.unix_timestamp("next_run_at").alias("next_run"))
+
+
+@query(f"{U} SELECT user_id, CASE WHEN minimum % 3 = 0 AND NOT is_admin THEN concat('likes ', cv_text) ELSE 'old' END AS candidate_preferences, CASE WHEN minimum % 3 = 0 THEN CAST(epoch({NOW}) AS BIGINT) ELSE 0 END AS digest_at FROM users WHERE trim(cv_text) <> ''")
+def digest_persist(spark, sf_dir):
+    u = W.users(spark, sf_dir).where("trim(cv_text) <> ''")
+    old = u.select("user_id", F.lit("old").alias("candidate_preferences"), F.timestamp_seconds(F.lit(0)).alias("last_digest_at"))
+    made = u.where("minimum % 3 = 0").select("user_id", F.when(~F.col("is_admin"), F.concat(F.lit("likes "), "cv_text")).otherwise(" ").alias("summary"))
+    return state.digested(old, made, W.now()).select("user_id", "candidate_preferences", F.unix_timestamp("last_digest_at").alias("digest_at"))
+
+
+@query(f"{J} SELECT ord FROM jobs WHERE ord % 3 = 0")
+def approved_selection(spark, sf_dir):
+    return state.approved(W.jobs(spark, sf_dir).withColumn("is_valid", F.when(F.col("ord") % 3 == 0, True).when(F.col("ord") % 3 == 1, False))).select("ord")
+
+
+@query("SELECT a.vec_id FROM embeddings a WHERE a.vec_id % 3 = 0 AND a.label % 2 = 0")
+def delivered_vectors(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("user_id"), F.col("vec_id").cast("string").alias("job_url"), "embedding")
+    sent = e.where("vec_id % 3 = 0 and cast(user_id as int) % 2 = 0").select("user_id", "job_url")
+    return state.delivered(e, sent.unionByName(sent)).select("vec_id")
+
+
+@query("SELECT conv_id AS user_id, turn AS feedback_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn) AS position FROM conversations WHERE turn % 5 <> 4")
+def feedback_chronology(spark, sf_dir):
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = F.concat("conv_id", F.lit(":"), F.lpad(F.col("turn").cast("string"), 9, "0"))
+    log = talk.select(F.col("conv_id").alias("user_id"), key.alias("feedback_id"), "turn", (F.col("turn") % 3).alias("submitted_at"))
+    have = talk.where("turn % 5 <> 4").select(key.alias("feedback_id"), F.array(F.lit(1.0)).alias("embedding"))
+    return state.feedback_in_order(log, have).select("user_id", F.col("turn").alias("feedback_id"), F.col("position").cast("bigint").alias("position"))
+
+
+@query(f"{J} SELECT ord, md5({strip_sql(f"concat(trim(coalesce(title, '')), ' @ ', {strip_sql("coalesce(company, '')")}, CASE WHEN trim(coalesce(location, '')) <> '' THEN concat(' (', trim(location), ')') ELSE '' END, chr(10), chr(10), substr(coalesce(description, ''), 1, 1500))")}) AS retrieval, md5({strip_sql("concat(coalesce(title, ''), chr(10), chr(10), substr(coalesce(description, ''), 1, 7000))")}) AS embed FROM jobs")
+def posting_texts(spark, sf_dir):
+    c = F.col
+    return W.jobs(spark, sf_dir).select("ord", F.md5(text.retrieval_text(c("title"), c("company"), c("location"), c("description"))).alias("retrieval"), F.md5(text.embed_text(c("title"), c("description"))).alias("embed"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id % 900 WHEN event_id % 4 = 1 THEN event_id % 70 ELSE 0 END AS tokens FROM events")
+def token_counts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    k = F.col("event_id")
+    body = F.when(k % 4 == 0, F.format_string('{"usage": {"total_tokens": %d}}', k % 900)).when(k % 4 == 1, F.format_string('{"usage_metadata": {"total_token_count": %d}}', k % 70)).when(k % 4 == 2, F.lit("no json"))
+    return e.select("event_id", state.tokens_of(body).alias("tokens"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS only_linkedin, page_id % 3 = 0 AND page_id % 2 = 0 AS recent FROM pages")
+def company_websites(spark, sf_dir):
+    k = F.col("page_id")
+    day = F.when(k % 2 == 0, F.lit("2024-01-18")).otherwise(F.lit("2023-11-02")).cast("timestamp")
+    post = F.concat(F.lit("https://www.linkedin.com/posts/acme_x-activity-"), F.shiftleft(F.unix_timestamp(day) * 1000, 22).cast("string"), F.lit("-ab"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(k % 3 == 0, post).otherwise(F.col("url")).alias("u"))
+    recent = F.coalesce(dates.linkedin_posted(F.col("u")) >= W.now() - F.expr("INTERVAL 7 DAYS"), F.lit(False))
+    return p.select("page_id", urls.linkedin_only(F.col("u")).alias("only_linkedin"), recent.alias("recent"))
+
+
+@query(f"{J} SELECT title, company, location, job_url FROM (SELECT trim(coalesce(title, '')) AS title, {strip_sql("coalesce(company, '')")} AS company, coalesce(location, '') AS location, job_url FROM jobs) WHERE title <> ''")
+def parse_extracted(spark, sf_dir):
+    rows = W.jobs(spark, sf_dir)
+    item = _s(title=F.col("title"), location=F.col("location"), url=F.col("job_url"), description=F.lit("d"))
+    answers = rows.groupBy(F.trim("company").alias("company"), (F.col("ord") % 97).alias("g")).agg(F.concat(F.lit("Sure!\n```json\n"), F.to_json(F.struct(F.collect_list(item).alias("jobs"))), F.lit("\n```")).alias("payload"))
+    return _four(feeds.extracted(answers))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ddg_linkedin' ELSE 'ddg_website' END AS source FROM pages WHERE page_id % 2 = 1 OR page_id % 4 = 0")
+def parse_search_results(spark, sf_dir):
+    k = F.col("page_id")
+    day = F.when(k % 4 == 0, F.lit("2024-01-18")).otherwise(F.lit("2023-11-02")).cast("timestamp")
+    post = F.concat(F.lit("https://www.linkedin.com/posts/acme-labs_x-activity-"), F.shiftleft(F.unix_timestamp(day) * 1000, 22).cast("string"), F.lit("-ab"))
+    n = k.cast("string")
+    found = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("Acme "), n).alias("company"), F.when(k % 2 == 0, "linkedin").otherwise("website").alias("mode"), n.alias("title"), F.lit("body").alias("body"), F.when(k % 2 == 0, post).otherwise(F.concat(F.lit("https://acme.example/jobs/engineer-"), n)).alias("href"))
+    firms = found.select("company", F.lit("https://www.acme.example/").alias("website"), F.lit("").alias("linkedin")).distinct()
+    out = local.search_results(found, firms, W.now())
+    return out.select(F.substring("company", 6, 20).cast("bigint").alias("page_id"), "source")
+
+
+@query("SELECT n_name AS name, n_nationkey AS size, NULL::STRING AS site FROM nation UNION ALL SELECT r_name, NULL, 'https://x' FROM region")
+def company_lists(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias(" Name "), F.col("n_nationkey").alias("SIZE"))
+    b = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("NAME"), F.lit("https://x").alias("Site"))
+    return local.companies(a, b)
+
+
+@query(rf"""WITH w AS (SELECT ord, list_filter(regexp_split_to_array(lower(coalesce(description, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM ({W.select_sql(W.JOB, 'orders')}))
+SELECT ord, CASE WHEN len(w) > 0 THEN CAST(len(w) AS DOUBLE) END AS words FROM w""")
+def embedding_hook(spark, sf_dir):
+    """The offline stand-in for a model; its counts add up to the words."""
+    jobs = W.jobs(spark, sf_dir).select("ord", hooks.hashed_words(F.col("description")).alias("v"))
+    return jobs.select("ord", F.when(F.col("v").isNotNull(), F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("words"))

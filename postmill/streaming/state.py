@@ -44,11 +44,15 @@ def peaks(calls: DataFrame, key: str, at: str = "ts") -> DataFrame:
 
 
 def cache_misses(requests: DataFrame, key: str, at: str = "ts", ttl_seconds: int = 18 * 3600) -> DataFrame:
-    """key, ts of requests that a cache with this time to live does not answer; each of them renews its entry."""
+    """key, ts of requests that a cache with this time to live does not answer; each of them renews its entry. A key's state goes
+    when the watermark has passed its entry's end: a later request would be a miss anyway."""
 
     def step(own: tuple, batches: Iterator, state: GroupState):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get[0] if state.exists else None
         missed = []
         for t in sorted(x for batch in batches for x in batch["seconds"].tolist()):
@@ -56,10 +60,26 @@ def cache_misses(requests: DataFrame, key: str, at: str = "ts", ttl_seconds: int
                 missed.append(t)
                 held = t
         state.update((held,))
+        end = (held + ttl_seconds + 1) * 1000
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        else:
+            state.remove()
         yield pd.DataFrame({key: [own[0]] * len(missed), "seconds": missed})
 
-    seconds = requests.select(F.col(key).cast("string").alias(key), F.unix_timestamp(F.col(at).cast("timestamp")).alias("seconds"))
-    return seconds.groupBy(key).applyInPandasWithState(step, f"{key} string, seconds bigint", "held bigint", "append", GroupStateTimeout.NoTimeout)
+    marked = requests.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, f"{ttl_seconds} seconds")
+    seconds = marked.select(F.col(key).cast("string").alias(key), at, F.unix_timestamp(F.col(at)).alias("seconds"))
+    return seconds.groupBy(key).applyInPandasWithState(step, f"{key} string, seconds bigint", "held bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def written(stream: DataFrame, place: str, mode: str = "append") -> str:
+    """Runs a stream over all that has arrived, each micro-batch to a folder of its own below place (a batch that is run
+    again overwrites its own), and gives the path of the results. place: a folder that driver and executors share."""
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={n}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{place}/rows"
 
 
 def ticks(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str):

@@ -81,8 +81,14 @@ def select_sql(columns: dict[str, str], table: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + f" FROM {table}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores where its files give fewer splits than there are: small tables before long expressions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, columns: dict[str, str], table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*[F.expr(e).alias(n) for n, e in columns.items()])
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).select(*[F.expr(e).alias(n) for n, e in columns.items()])
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
