@@ -229,9 +229,11 @@ def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool
         outer = still.where("outside").select("node", "label", "component").distinct().join(nodes.select("node", "n"), "node")
         outer = stored(_dealt(outer, block).select("node", "component", F.col("block").alias("rest")), "dup-outside")
         asks = still.where("outside").select("key", "node").join(outer.select("node", "rest"), "node").select("key", "rest").distinct()
-        asked = asks.join(still.select("key", "node", "block", "component"), "key").select("rest", "block", "node", "component").distinct()
-        meets = asked.select("rest", "block").distinct().join(outer, "rest").select("rest", "block", "node", "component", F.lit(0).alias("side"))
-        full = meets.unionByName(asked.withColumn("side", F.lit(1))).join(sets, "node").select("rest", "block", "side", "node", "component", "n", "registers", "hashes")
+        # which blocks meet is told by their bucket keys, a row per block; only then come their nodes
+        meets = stored(asks.join(still.select("key", "block").distinct(), "key").select("rest", "block").distinct(), "dup-meets")
+        ours = meets.join(outer, "rest").select("rest", "block", "node", "component", F.lit(0).alias("side"))
+        theirs = meets.join(still.select("block", "node", "component").distinct(), "block").select("rest", "block", "node", "component", F.lit(1).alias("side"))
+        full = ours.unionByName(theirs).join(sets, "node").select("rest", "block", "side", "node", "component", "n", "registers", "hashes")
         second = stored(full.groupBy("rest", "block").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
         if not second.isEmpty():
             found = components(first.unionByName(second))
