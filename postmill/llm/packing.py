@@ -25,9 +25,9 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 2048
 #: Chunks of text whose ids a Python worker remembers; it starts anew beyond that.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at once.
-SLAB = 500_000
+SLAB = 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, row bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -73,6 +73,8 @@ class Coder:
         self.lowers = ours
         self.plain = regex.compile(self.PLAIN if ours else "(?!)").match
         self.parts = regex.compile(split[0]["pattern"]["Regex"] if ours else "(?!)").findall
+        # the splitter leaves a run of letters whole
+        self.letters = ours and "[\\p{L}]+" in split[0]["pattern"]["Regex"]
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -96,6 +98,9 @@ class Coder:
 
         found = []
         for chunk in self.chunks.fresh:
+            if self.letters and chunk.isalpha():
+                found.append(self._part(chunk.lower().decode()))
+                continue
             text = chunk.decode()
             if self.plain(text):
                 found.append(b"".join(map(self._part, self.parts(text.lower()))))
@@ -159,7 +164,8 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
                 at += len(texts)
-        # what is remembered serves the worker's next task, up to REMEMBERED
+        # the worker may go on to other stages: most of a task's chunks are its own
+        own.forget()
         settled()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))

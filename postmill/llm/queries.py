@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.llm import licenses, media, mixing, neardup, packing, pii, quality, secrets, topk, urls
-from postmill.llm.common import read, stored
+from postmill.llm.common import read, spread, stored
 
 
 def tokenizer() -> str:
@@ -24,7 +24,7 @@ def op2_url_filter(spark, sf_dir):
 
 
 def op3_secret_scan(spark, sf_dir):
-    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secrets.digest(secrets.scan(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op4_source_mix(spark, sf_dir):
@@ -34,17 +34,17 @@ def op4_source_mix(spark, sf_dir):
 
 
 def op5_license_scan(spark, sf_dir):
-    return licenses.scan(read(spark, sf_dir, "documents"))
+    return licenses.scan(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op6_quality(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op7_pii(spark, sf_dir):
-    return pii.digest(pii.scan(read(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return pii.digest(pii.scan(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"]))
 
 
 def op8_near_duplicates(spark, sf_dir):
