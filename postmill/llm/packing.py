@@ -34,24 +34,56 @@ PACKED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens big
 _coders: dict = {}
 
 
-class _Chunks(dict):
-    """Number of each chunk of text seen; new ones wait in fresh until they are encoded."""
+class _Numbers(dict):
+    """Number of each key seen; new ones wait in fresh until their ids are learnt."""
 
     def __init__(self):
         super().__init__()
-        self.fresh: list[bytes] = []
+        self.fresh: list = []
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = n = len(self)
-        self.fresh.append(chunk)
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
         return n
 
+    def of(self, keys: list):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
+class _Lists:
+    """Lists of ids by number, in one flat array."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.first, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, sizes, ids, order=None) -> None:
+        """Lists of these sizes, one behind the other in ids; order: the place of each among the new numbers."""
+        import numpy as np
+
+        first = len(self.flat) + np.cumsum(sizes) - sizes
+        if order is not None:
+            at = np.argsort(order)
+            first, sizes = first[at], sizes[at]
+        self.first, self.sizes, self.flat = np.concatenate([self.first, first]), np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def take(self, numbers):
+        """The ids of the lists with these numbers, one behind the other, and each list's size."""
+        import numpy as np
+
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.first[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
 
 class Coder:
     """ids of texts. White space is dropped by the tokenizer and no token reaches over it, so the ids of a text are
     those of its chunks between ASCII white space, each encoded once and then remembered.
 
-    A new chunk of Latin characters only is lower-cased and split as the tokenizer's own normaliser and
+    New chunks of Latin characters only are lower-cased and split as the tokenizer's own normaliser and
     splitter would do, and the tokenizer's model is asked for the parts not seen before; any other chunk goes through the whole tokenizer.
     """
 
@@ -73,8 +105,6 @@ class Coder:
         self.lowers = ours
         self.plain = regex.compile(self.PLAIN if ours else "(?!)").match
         self.parts = regex.compile(split[0]["pattern"]["Regex"] if ours else "(?!)").findall
-        # the splitter leaves a run of letters whole
-        self.letters = ours and "[\\p{L}]+" in split[0]["pattern"]["Regex"]
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -84,51 +114,80 @@ class Coder:
     def forget(self) -> None:
         import numpy as np
 
-        self.chunks, self.known, self.starts, self.flat = _Chunks(), {}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.chunks, self.ids, self.known, self.part_ids = _Numbers(), _Lists(), _Numbers(), _Lists()
+        # beside white space at the edges of a text Arrow's splitter leaves an empty chunk
+        self.chunks[""] = 0
+        self.ids.add(np.zeros(1, np.int64), np.zeros(0, np.uint32))
+
+    def _is_plain(self, chunk: str) -> bool:
+        # printable ASCII is told without the pattern
+        if self.lowers and chunk.isascii() and chunk.isprintable():
+            return "<" not in chunk
+        return self.plain(chunk) is not None
+
+    def _split(self, chunks: list[str]):
+        """The parts of plain chunks, all in one list, and each chunk's first part. The splitter's matches hold no white
+        space and leave out none but that, so it runs once over all chunks; lengths tell where a chunk begins."""
+        import numpy as np
 
-    def _part(self, part: str) -> bytes:
-        ids = self.known.get(part)
-        if ids is None:
-            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.known[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-        return ids
+        parts = self.parts("\n".join(chunks).lower())
+        begins = np.cumsum([0, *map(len, parts)])
+        wanted = np.cumsum([0, *map(len, chunks)])
+        firsts = np.searchsorted(begins, wanted)
+        if begins[-1] != wanted[-1] or (begins[firsts] != wanted).any():
+            raise ValueError("the splitter does not keep all but white space")
+        return parts, firsts[:-1]
+
+    def _learn_parts(self) -> None:
+        import numpy as np
+
+        ids, sizes = array("I"), []
+        tokenize = self.tokenizer.model.tokenize
+        for part in self.known.fresh:
+            own = [t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet))]
+            ids.extend(own)
+            sizes.append(len(own))
+        self.part_ids.add(np.array(sizes, np.int64), np.frombuffer(ids, np.uint32))
+        self.known.fresh = []
 
     def _learn(self) -> None:
         import numpy as np
 
-        found = []
-        for chunk in self.chunks.fresh:
-            if self.letters and chunk.isalpha():
-                found.append(self._part(chunk.lower().decode()))
-                continue
-            text = chunk.decode()
-            if self.plain(text):
-                found.append(b"".join(map(self._part, self.parts(text.lower()))))
-            else:
-                found.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-        ends = self.starts[-1] + np.cumsum([len(x) // 4 for x in found])
-        self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
+        chunks = self.chunks.fresh
+        plain = np.fromiter(map(self._is_plain, chunks), bool, len(chunks))
+        ours, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        found, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(ours):
+            parts, firsts = self._split([chunks[i] for i in ours])
+            numbers = self.known.of(parts)
+            if self.known.fresh:
+                self._learn_parts()
+            found, sizes = self.part_ids.take(numbers)
+            sizes = np.add.reduceat(sizes, firsts)
+        rest = [np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.uint32) for i in others]
+        self.ids.add(np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)]), np.concatenate([found, *rest]), np.concatenate([ours, others]))
         self.chunks.fresh = []
 
-    def encode(self, texts: list[bytes]) -> list:
-        """One array of ids per text."""
+    def encode(self, texts) -> list:
+        """One array of ids per text of an Arrow array of strings. Arrow splits all texts and numbers their distinct chunks;
+        only those are looked up one by one."""
         import numpy as np
+        import pyarrow.compute as pc
 
         if len(self.chunks) > REMEMBERED:
             self.forget()
         # the tokenizer lower-cases, so case makes no other chunk, but for what may be a special token
-        words = [(t.lower() if self.lowers and b"<|" not in t else t).split() for t in texts]
-        codes = [np.fromiter(map(self.chunks.__getitem__, w), np.int64, len(w)) for w in words]
+        if self.lowers:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        numbers = self.chunks.of(coded.dictionary.to_pylist())
         if self.chunks.fresh:
             self._learn()
-        out = []
-        for own in codes:
-            first = self.starts[own]
-            sizes = self.starts[own + 1] - first
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        ids, sizes = self.ids.take(numbers[coded.indices.to_numpy()])
+        begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        edges = begins[np.cumsum(np.concatenate([np.zeros(1, np.int64), pc.list_value_length(split).to_numpy()]))]
+        return [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def coder(path: str) -> Coder:
@@ -143,18 +202,16 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
     def cut(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         own = coder(tokenizer)
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "row"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
-            at = 0
+            at, ends = 0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
             while at < batch.num_rows:
-                texts, held = [], 0
-                while at + len(texts) < batch.num_rows and (held < SLAB or not texts):
-                    texts.append(batch.column(1)[at + len(texts)].as_buffer().to_pybytes())
-                    held += len(texts[-1])
-                own_rows = zip(batch.column(0).slice(at, len(texts)).to_pylist(), batch.column(2).slice(at, len(texts)).to_pylist(), own.encode(texts), strict=True)
+                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB)) - at)
+                own_rows = zip(batch.column(0).slice(at, n).to_pylist(), batch.column(2).slice(at, n).to_pylist(), own.encode(batch.column(1).slice(at, n)), strict=True)
                 out: list[list] = [[] for _ in names]
                 for doc_id, row, ids in own_rows:
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -163,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
                         for column, value in zip(out, (doc_id, start, len(piece), piece.tobytes(), len(ids), row), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-                at += len(texts)
+                at += n
         # the worker may go on to other stages: most of a task's chunks are its own
         own.forget()
         settled()
