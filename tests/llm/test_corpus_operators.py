@@ -504,3 +504,33 @@ def test_packing_of_odd_documents(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, tokenizer()).count() == 0
     many = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("one two three").alias("text"))
     assert packing.pack(many, tokenizer(), group_pieces=500).agg(F.sum("length")).first()[0] == 5000 * len(own.encode("one two three", add_special_tokens=False).ids + [2])
+
+
+def test_packing_of_rows_without_an_id_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "one two"), (None, "one two"), (None, None), (9, "three"), (9, "three"), (9, "other words here")], "doc_id bigint, text string")
+    rows = packing.pack(docs, tokenizer()).collect()
+    lengths = sorted((r["doc_id"] or -1, r["length"]) for r in rows)
+    assert [i for i, _ in lengths] == [-1, -1, -1, 9, 9, 9] and lengths[0] == (-1, 1)
+    assert all(r["start"] == 0 and r["doc_tokens"] == r["length"] for r in rows)
+    at = 0
+    for offset, length in sorted((r["offset"], r["length"]) for r in rows):
+        assert offset == at
+        at += length
+
+
+def test_ids_of_random_texts():
+    """Chunks learnt in bulk have the ids that the tokenizer gives whole texts."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, whole = packing.Coder(tokenizer()), Tokenizer.from_file(tokenizer())
+    pick = random.Random(5)
+    signs = "abcXYZ019'sStT.,<|>éÉßİıςΣẞ中́ \x00\x1f\x7f\x85-_ \t\n  😀ńŁǅ’ʰ"
+    texts = ["".join(pick.choices(signs, k=pick.randrange(40))) for _ in range(3000)] + ["", " ", "<|endoftext|> don't WE'LL it's'd"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # first learnt, then remembered
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == want
+    assert [x.tolist() for x in own.encode(pa.array(texts).slice(100, 50))] == want[100:150]
+    assert own.encode(pa.array([], pa.string())) == []
