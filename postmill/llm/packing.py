@@ -31,6 +31,10 @@ SLAB = 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, row bigint"
 PACKED = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
+#: Splitter, normaliser and model settings under which no token reaches over white space and the parts of a chunk can be told here.
+PROVED_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PROVED_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
 _coders: dict = {}
 
 
@@ -79,18 +83,42 @@ class _Lists:
         return self.flat[np.repeat(self.first[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
 
+def _proved(steps: dict) -> bool:
+    """Whether the tokenizer's file has the very steps that Coder knows: NFC, runs of white space to one blank, lower case; a
+    splitter whose matches hold no white space, of which everything else is removed; BPE without dropout, unknown or prefix
+    forms; special tokens that take no white space in."""
+    split = steps.get("pre_tokenizer") or {}
+    parts = split.get("pretokenizers") or [{}]
+    model = steps.get("model") or {}
+    return (
+        (steps.get("normalizer") or {}).get("normalizers") == PROVED_STEPS
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("pattern") == {"Regex": PROVED_SPLIT}
+        and parts[0].get("behavior") == "Removed"
+        and parts[0].get("invert") is True
+        and not parts[1].get("add_prefix_space")
+        and parts[1].get("use_regex") is False
+        and model.get("type") == "BPE"
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and all(t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in steps.get("added_tokens", []))
+        and not steps.get("post_processor")
+    )
+
+
 class Coder:
-    """ids of texts. White space is dropped by the tokenizer and no token reaches over it, so the ids of a text are
-    those of its chunks between ASCII white space, each encoded once and then remembered.
+    """ids of texts, as the tokenizer gives them without special tokens, truncation and padding.
 
-    New chunks of Latin characters only are lower-cased and split as the tokenizer's own normaliser and
-    splitter would do, and the tokenizer's model is asked for the parts not seen before; any other chunk goes through the whole tokenizer.
+    Where the tokenizer's file proves that no token reaches over white space, the ids of a text are those of its chunks
+    between ASCII white space, each encoded once and then remembered. New chunks of Latin characters only are looked up in a
+    lexicon, if there is one, or else lower-cased and split as the tokenizer's own normaliser and splitter would do, and the
+    tokenizer's model merges the parts not seen before; any other chunk goes through the whole tokenizer. With any other
+    file each text goes through the tokenizer as a whole.
     """
 
     #: Characters below U+0250 that NFC leaves alone and lower() maps one to one; no white space, no start of a special token.
     PLAIN = "^[!-;=-~\u00a1-\u012f\u0131-\u024f]+$"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lexicon=None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
 
@@ -98,13 +126,16 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         with open(path) as f:
             steps = json.load(f)
-        split = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        ours = [x.get("type") for x in (steps.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"]
-        self.lowers = ours
-        self.plain = regex.compile(self.PLAIN if ours else "(?!)").match
-        self.parts = regex.compile(split[0]["pattern"]["Regex"] if ours else "(?!)").findall
+        self.lowers = _proved(steps)
+        self.joins = steps.get("decoder") is None
+        self.tokens = None
+        self.lexicon = lexicon
+        self.plain = regex.compile(self.PLAIN).match
+        self.parts = regex.compile(PROVED_SPLIT).findall
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
@@ -119,13 +150,13 @@ class Coder:
         self.chunks[""] = 0
         self.ids.add(np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
-    def _is_plain(self, chunk: str) -> bool:
+    def is_plain(self, chunk: str) -> bool:
         # printable ASCII is told without the pattern
-        if self.lowers and chunk.isascii() and chunk.isprintable():
+        if chunk.isascii() and chunk.isprintable():
             return "<" not in chunk
         return self.plain(chunk) is not None
 
-    def _split(self, chunks: list[str]):
+    def _parts(self, chunks: list[str]):
         """The parts of plain chunks, all in one list, and each chunk's first part. The splitter's matches hold no white
         space and leave out none but that, so it runs once over all chunks; lengths tell where a chunk begins."""
         import numpy as np
@@ -154,32 +185,51 @@ class Coder:
         import numpy as np
 
         chunks = self.chunks.fresh
-        plain = np.fromiter(map(self._is_plain, chunks), bool, len(chunks))
-        ours, others = np.flatnonzero(plain), np.flatnonzero(~plain)
-        found, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        plain = np.fromiter(map(self.is_plain, chunks), bool, len(chunks))
+        # places among the new chunks, sizes and ids of each way by which chunks get their ids
+        ways = []
+        if self.lexicon is not None and plain.any():
+            at = np.flatnonzero(plain)
+            known, sizes, ids = self.lexicon.find([chunks[i].lower().encode() for i in at])
+            ways.append((at[known], sizes, ids))
+            ours = at[~known]
+        else:
+            ours = np.flatnonzero(plain)
         if len(ours):
-            parts, firsts = self._split([chunks[i] for i in ours])
+            parts, firsts = self._parts([chunks[i] for i in ours])
             numbers = self.known.of(parts)
             if self.known.fresh:
                 self._learn_parts()
             found, sizes = self.part_ids.take(numbers)
-            sizes = np.add.reduceat(sizes, firsts)
-        rest = [np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.uint32) for i in others]
-        self.ids.add(np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)]), np.concatenate([found, *rest]), np.concatenate([ours, others]))
+            ways.append((ours, np.add.reduceat(sizes, firsts), found))
+        others = np.flatnonzero(~plain)
+        if len(others):
+            rest = [np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.uint32) for i in others]
+            ways.append((others, np.array([len(x) for x in rest], np.int64), np.concatenate(rest)))
+        places, sizes, ids = (np.concatenate(x) for x in zip(*ways, strict=True))
+        self.ids.add(sizes, ids, places)
         self.chunks.fresh = []
 
+    def ids_of(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def split(self, texts):
+        """Lists of the chunks of an Arrow array of strings, in lower case but for texts that may hold a special token."""
+        import pyarrow.compute as pc
+
+        return pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+
     def encode(self, texts) -> list:
         """One array of ids per text of an Arrow array of strings. Arrow splits all texts and numbers their distinct chunks;
         only those are looked up one by one."""
         import numpy as np
         import pyarrow.compute as pc
 
+        if not self.lowers:
+            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
         if len(self.chunks) > REMEMBERED:
             self.forget()
-        # the tokenizer lower-cases, so case makes no other chunk, but for what may be a special token
-        if self.lowers:
-            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
-        split = pc.ascii_split_whitespace(texts)
+        split = self.split(texts)
         coded = split.flatten().dictionary_encode()
         numbers = self.chunks.of(coded.dictionary.to_pylist())
         if self.chunks.fresh:
@@ -189,10 +239,33 @@ class Coder:
         edges = begins[np.cumsum(np.concatenate([np.zeros(1, np.int64), pc.list_value_length(split).to_numpy()]))]
         return [ids[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
+    def decode(self, lists):
+        """Arrow array of the texts of an Arrow array of lists of ids. Without a decoder a text is its tokens with a blank between;
+        ids that are none are left out, as the tokenizer does."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.joins:
+            return pa.array(self.tokenizer.decode_batch(lists.to_pylist(), skip_special_tokens=False), pa.string())
+        if self.tokens is None:
+            own = [self.tokenizer.id_to_token(i) for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+            self.tokens = pa.array(own, pa.string())
+        ids = lists.flatten()
+        if len(ids) and (ids.null_count or pc.min(ids).as_py() < 0 or pc.max(ids).as_py() >= len(self.tokens)):
+            return pa.array([self.tokenizer.decode([i for i in x if i is not None and 0 <= i < len(self.tokens)], skip_special_tokens=False) for x in lists.to_pylist()], pa.string())
+        offsets = pc.cumulative_sum(pa.concat_arrays([pa.array([0], pa.int32()), pc.list_value_length(lists)]))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.tokens.take(ids)), " ")
+
+
+def cuts_at_white_space(path: str) -> bool:
+    return coder(path).lowers
+
 
-def coder(path: str) -> Coder:
+def coder(path: str, lexicon=None) -> Coder:
+    """The worker's coder for this file; it keeps the lexicon that it was given last."""
     if path not in _coders:
         _coders[path] = Coder(path)
+    _coders[path].lexicon = lexicon
     return _coders[path]
 
 
