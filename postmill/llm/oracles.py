@@ -17,6 +17,22 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10"""
 
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.w, c.w) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5"""
+
 MIX = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS BIGINT) AS size,
@@ -78,4 +94,4 @@ common AS (
 reached AS (SELECT doc_id AS u, doc_id AS r FROM n UNION SELECT l.u, x.r FROM reached x JOIN links l ON l.v = x.u)
 SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM n JOIN reached ON u = doc_id GROUP BY doc_id, n"""
 
-ORACLES: dict[str, str] = {"op1_exact_topk": TOPK, "op4_source_mix": MIX, "op8_near_duplicates": NEAR}
+ORACLES: dict[str, str] = {"op1_exact_topk": TOPK, "op4_source_mix": MIX, "op8_near_duplicates": NEAR, "op11_hard_negatives": NEGATIVES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, licenses, media, mixing, neardup, packing, pii, quality, secrets, topk, urls
+from postmill.llm import bpe, hardneg, licenses, media, mixing, neardup, packing, pii, quality, secrets, topk, urls
 from postmill.llm.common import read, spread, stored
 
 
@@ -68,6 +68,13 @@ def op10_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    usable = read(spark, sf_dir, "embeddings").where(topk.finite(F.col("embedding")) & F.col("label").isNotNull())
+    vectors = usable.select(F.col("vec_id").cast("bigint").alias("vec_id"), label.alias("label"), topk.quantised(F.col("embedding"), 256).alias("weights"))
+    return hardneg.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op13_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, tokenizer(), bpe.lexicon(docs, tokenizer())).select("doc_id", "ids")
@@ -76,4 +83,4 @@ def op13_bpe(spark, sf_dir):
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_secret_scan, op4_source_mix, op5_license_scan, op6_quality, op7_pii, op8_near_duplicates, op9_media, op10_packing, op13_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_secret_scan, op4_source_mix, op5_license_scan, op6_quality, op7_pii, op8_near_duplicates, op9_media, op10_packing, op11_hard_negatives, op13_bpe)}
