@@ -94,4 +94,50 @@ common AS (
 reached AS (SELECT doc_id AS u, doc_id AS r FROM n UNION SELECT l.u, x.r FROM reached x JOIN links l ON l.v = x.u)
 SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM n JOIN reached ON u = doc_id GROUP BY doc_id, n"""
 
-ORACLES: dict[str, str] = {"op1_exact_topk": TOPK, "op4_source_mix": MIX, "op8_near_duplicates": NEAR, "op11_hard_negatives": NEGATIVES}
+REPAIR = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda ch: ascii(ch)::BIGINT),
+      lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), 4294967295), 4294967295) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat_ws(':', length(role), role, text)), copy) AS place FROM damaged
+), faults AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM placed
+), by_conv AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND concat(before, initial) NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({'i': initial, 'r': role, 't': text, 'go': fault IN ('blank', 'duplicate'), 'more': CAST(fault = 'truncated' AS BIGINT)} ORDER BY place) AS rows
+  FROM faults GROUP BY conv_id
+), ways AS (
+  -- of each state (0 nothing, 1 system, 2 user, 3 assistant) the cheapest way, then the least edits; m: messages, each behind a line feed
+  SELECT * EXCLUDE (rows), list_reduce(rows, lambda acc, x:
+    list_filter(list_transform([0, 1, 2, 3], lambda k: list_min(list_filter(
+      flatten(list_transform(acc || list_transform(acc, lambda w: {'c': w.c + 2, 'e': w.e || 'I', 's': CASE WHEN w.s = 2 THEN 3 ELSE 2 END, 'm': concat(w.m, chr(10), CASE WHEN w.s = 2 THEN 'assistant:' ELSE 'user:' END)}),
+        lambda w: [
+          {'c': w.c + 3, 'e': w.e || 'D', 's': w.s, 'm': w.m},
+          CASE WHEN NOT x.go AND (x.i = 's' AND w.s = 0 OR x.i = 'u' AND w.s <> 2 OR x.i = 'a' AND w.s = 2)
+            THEN {'c': w.c + x.more, 'e': w.e || 'K', 's': CASE x.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'm': concat(w.m, chr(10), x.r, ':', x.t)} END,
+          CASE WHEN NOT x.go THEN {'c': w.c + 2 + x.more, 'e': w.e || 'R', 's': CASE WHEN w.s = 2 THEN 3 ELSE 2 END, 'm': concat(w.m, chr(10), CASE WHEN w.s = 2 THEN 'assistant:' ELSE 'user:' END, x.t)} END
+        ])), lambda w: w IS NOT NULL AND w.s = k))), lambda w: w IS NOT NULL),
+    [{'c': 0::BIGINT, 'e': '', 's': 0, 'm': ''}]) AS ways
+  FROM by_conv
+), best AS (
+  SELECT * EXCLUDE (ways), list_min(list_transform(ways, lambda w: CASE w.s
+      WHEN 1 THEN {'c': w.c + 4, 'e': w.e || 'II', 's': 3, 'm': concat(w.m, chr(10), 'user:', chr(10), 'assistant:')}
+      WHEN 2 THEN {'c': w.c + 2, 'e': w.e || 'I', 's': 3, 'm': concat(w.m, chr(10), 'assistant:')} ELSE w END)) AS way
+  FROM ways
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(way.c, 0) AS cost, coalesce(way.e, '') AS audit, sha256(coalesce(substr(way.m, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+ORACLES: dict[str, str] = {"op1_exact_topk": TOPK, "op4_source_mix": MIX, "op8_near_duplicates": NEAR, "op11_hard_negatives": NEGATIVES, "op12_conversation_repair": REPAIR}

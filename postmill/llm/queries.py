@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, hardneg, licenses, media, mixing, neardup, packing, pii, quality, secrets, topk, urls
+from postmill.llm import bpe, conversations, hardneg, licenses, media, mixing, neardup, packing, pii, quality, secrets, topk, urls
 from postmill.llm.common import read, spread, stored
 
 
@@ -75,6 +75,18 @@ def op11_hard_negatives(spark, sf_dir):
     return hardneg.mine(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    # damage drops all rows of a turn or none, so turns tell the gaps and which conversations there were
+    turns = rows.select(F.col("conv_id").cast("bigint").alias("own"), F.col("turn").cast("bigint").alias("turn"), (conversations.damage_kind() != 0).alias("stays"))
+    turns = turns.groupBy("own", "turn").agg(F.max("stays").alias("stays")).withColumn("turn", F.when(F.col("stays"), F.col("turn")))
+    every = turns.groupBy("own").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).alias("gaps"))
+    repaired = conversations.summary(conversations.repair(conversations.damage(rows)))
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    audit, sha = F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.join(repaired, F.col("own").eqNullSafe(F.col("conv_id")), "left").select(F.col("own").alias("conv_id"), "gaps", *numbers, audit, sha)
+
+
 def op13_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, tokenizer(), bpe.lexicon(docs, tokenizer())).select("doc_id", "ids")
@@ -83,4 +95,4 @@ def op13_bpe(spark, sf_dir):
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_secret_scan, op4_source_mix, op5_license_scan, op6_quality, op7_pii, op8_near_duplicates, op9_media, op10_packing, op11_hard_negatives, op13_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_secret_scan, op4_source_mix, op5_license_scan, op6_quality, op7_pii, op8_near_duplicates, op9_media, op10_packing, op11_hard_negatives, op12_conversation_repair, op13_bpe)}
