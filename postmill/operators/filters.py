@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, text, urls
+from postmill.operators import languages
 from postmill.operators.dedup import first_by_title, first_by_url, users_of
 from postmill.values import DEAD_URLS, FEED_ROLE_WORDS, INTERN_BLOCKERS, LOCKED_PLACES, LOOKBACK_DAYS, ROLE_PATTERNS, SENIOR_CODES, SENIOR_WORDS, SIMILARITY_FLOOR, TERSE, anywhere, words
 
 SENIOR = r"\b(?:" + "|".join([*SENIOR_WORDS, *SENIOR_CODES]) + r")\b"
 CJK = "[\\u4e00-\\u9fff\\u3040-\\u30ff\\uac00-\\ud7af]"
-#: Frequent words by which the native language test decides.
-STOP_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "for", "with", "you", "we", "our", "is", "are"),
-    "de": ("der", "die", "das", "und", "mit", "für", "wir", "sie", "von", "ist", "den", "ein"),
-    "fr": ("le", "la", "les", "et", "des", "pour", "vous", "nous", "de", "une", "est", "dans"),
-    "es": ("el", "la", "los", "y", "para", "con", "de", "una", "en", "que", "del", "por"),
-}
-
 
 def low(column: str = "title") -> Column:
     return F.lower(F.coalesce(F.col(column), F.lit("")))
@@ -41,22 +34,16 @@ def cjk(title: Column) -> Column:
     return F.coalesce(title.rlike(CJK), F.lit(False))
 
 
-def language(body: Column, sample: int = 2000) -> Column:
-    """Language whose frequent words are most of the sample's; en if none is ahead of it."""
-    tokens = F.split(F.lower(F.substring(body, 1, sample)), r"[^\p{L}]+")
-    count = lambda lang: F.size(F.filter(tokens, lambda t: t.isin(*STOP_WORDS[lang])))
-    ranked = F.array_max(F.array(*[F.struct(count(k).alias("n"), F.lit(k == "en").alias("first"), F.lit(k).alias("lang")) for k in STOP_WORDS]))
-    return ranked["lang"]
-
-
 def english_title(title: Column) -> Column:
-    return (F.length(F.coalesce(title, F.lit(""))) < 30) | (language(title) == "en")
+    """A title of 30 characters and more in English; shorter ones are too short to tell."""
+    told = F.coalesce(title, F.lit(""))
+    return (F.length(text.strip(told)) < 30) | (languages.detect(told) == "en")
 
 
 def english_description(description: Column) -> Column:
-    body = text.squeeze(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]*>", " "))
+    body = text.squeeze(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " "))
     marked = F.regexp_count(F.substring(body, 1, 500), F.lit("[řůőŘŮŐ]")) >= 3
-    return (F.length(body) < TERSE) | (~marked & (language(body) == "en"))
+    return (F.length(body) < TERSE) | (~marked & (languages.detect(body) == "en"))
 
 
 def senior(title: Column) -> Column:
@@ -99,9 +86,10 @@ def filter_postings(jobs: DataFrame, seen: DataFrame | None = None, local: bool
     if local:
         return jobs.where(~cjk(F.col("title")))
     title = F.col("title")
-    jobs = jobs.where(~cjk(title) & english_title(title) & english_description(F.col("description")) & ~location_locked(title, F.col("location")))
+    jobs = jobs.where(~cjk(title) & ~location_locked(title, F.col("location")))
     jobs = jobs.where(wants_senior(F.lit(level) if isinstance(level, str) else level) | ~senior(title))
-    return jobs.where(tech_role(title) & ~blocked_intern(title))
+    # languages last: they cost most
+    return jobs.where(tech_role(title) & ~blocked_intern(title)).where(english_title(title) & english_description(F.col("description")))
 
 
 def above_floor(embedded: Column, similarity: Column, origin: Column, floor: float = SIMILARITY_FLOOR) -> Column:

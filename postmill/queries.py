@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postmill import values as V
 from postmill import views as W
 from postmill.functions import coerce, dates, hashing, text, urls, vectors, weights
-from postmill.operators import careers, dedup, filters, hooks, preferences, ranking, render, state, verdict, viability
+from postmill.operators import careers, dedup, filters, hooks, languages, preferences, ranking, render, state, verdict, viability
 from postmill.plans.run import tick as run_tick
 from postmill.session import shared_dir
 from postmill.sources import ats, feeds, files, local
@@ -90,10 +90,23 @@ def feed_recency(spark, sf_dir):
     return filters.filter_feed(jobs.withColumn("date_posted", raw), W.now(), 24 * 9000).select("ord")
 
 
+SLOTS_SQL = lambda u: f"list_transform(range(1, greatest(len({u}) - 1, 1)), lambda i: ({u}[i] * {languages.FIRST} + {u}[i + 1] * {languages.SECOND} + {u}[i + 2]) % {languages.SLOTS})"
+CODES_SQL = lambda t: f"list_transform(string_split({t}, ''), lambda x: unicode(x))"
+LETTERS_SQL = lambda c: f"concat(' ', trim(regexp_replace(lower({c}), '[^\\p{{L}}]+', ' ', 'g')), ' ')"
+# profiles counted from labelled texts: penalties of all slots, by language and its place
+PROFILE_SQL = f"""slotted AS (SELECT lang, place, unnest({SLOTS_SQL('u')}) AS slot FROM (SELECT lang, place, {CODES_SQL('t')} AS u FROM labelled)),
+profile AS (
+  SELECT g.lang, g.place, list(least({languages.WORST}, CAST(round(-{languages.SCALE} * ln((coalesce(n, 0) + {languages.SMOOTH}) / (total + {languages.SMOOTH} * {languages.SLOTS}))) AS INT)) ORDER BY g.slot) AS penalties
+  FROM (SELECT lang, place, unnest(range({languages.SLOTS})) AS slot, total FROM (SELECT lang, place, count(*) AS total FROM slotted GROUP BY 1, 2)) g
+  LEFT JOIN (SELECT lang, slot, count(*) AS n FROM slotted GROUP BY 1, 2) c ON c.lang = g.lang AND c.slot = g.slot GROUP BY 1, 2
+)"""
+OWN_SQL = f"labelled AS (SELECT lang, place, {LETTERS_SQL('t')} AS t FROM (VALUES {', '.join(f'({quoted(k)}, {i}, {quoted(t)})' for i, (k, t) in enumerate(languages.TEXTS.items()))}) x(lang, place, t)), {PROFILE_SQL}"
+
+
 def _language_sql(column: str) -> str:
-    tokens = f"regexp_split_to_array(lower(substr({column}, 1, 2000)), '[^\\p{{L}}]+')"
-    n = {k: f"len(list_filter({tokens}, lambda x: x IN ({', '.join(map(quoted, w))})))" for k, w in filters.STOP_WORDS.items()}
-    return f"CASE WHEN {n['en']} >= greatest({n['de']}, {n['fr']}, {n['es']}) THEN 'en' WHEN {n['fr']} >= greatest({n['de']}, {n['es']}) THEN 'fr' WHEN {n['es']} >= {n['de']} THEN 'es' ELSE 'de' END"
+    """Needs a table called profile."""
+    text = LETTERS_SQL(f"substr({column}, 1, {languages.SAMPLE})")
+    return f"(SELECT arg_min(lang, coalesce(list_sum(list_transform(slots, lambda s: penalties[s + 1])), 0) * 100 + place) FROM profile, (SELECT {SLOTS_SQL('u')} AS slots FROM (SELECT {CODES_SQL(text)} AS u)))"
 
 
 def _english_sql(body: str) -> str:
@@ -101,13 +114,28 @@ def _english_sql(body: str) -> str:
     return f"(length({body}) < {V.TERSE} OR (len(regexp_extract_all(substr({body}, 1, 500), '[řůőŘŮŐ]')) < 3 AND {_language_sql(body)} = 'en'))"
 
 
-BODY = lambda c: strip_sql(f"regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')")
+BODY = lambda c: strip_sql(f"regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')")
 
 
-@query(f"SELECT doc_id, {_english_sql('body')} AS english, {_language_sql("coalesce(text, '')")} AS guess FROM (SELECT *, {BODY('text')} AS body FROM documents)")
+@query(f"WITH {OWN_SQL} SELECT doc_id, {_english_sql('body')} AS english, {_language_sql("coalesce(text, '')")} AS guess FROM (SELECT *, {BODY('text')} AS body FROM documents)")
 def description_language(spark, sf_dir):
     docs = W.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return docs.select("doc_id", filters.english_description(F.col("text")).alias("english"), filters.language(F.col("text")).alias("guess"))
+    return docs.select("doc_id", filters.english_description(F.col("text")).alias("english"), languages.detect(F.coalesce("text", F.lit(""))).alias("guess"))
+
+
+# the rows whose language is known to the profiles
+LEARNT = "(doc_id % 5 <> 0 AND lang IS NOT NULL AND text IS NOT NULL)"
+
+
+@query(
+    f"WITH labelled AS (SELECT lang, dense_rank() OVER (ORDER BY lang) AS place, {LETTERS_SQL('text')} AS t FROM documents WHERE {LEARNT}), {PROFILE_SQL} "
+    f"SELECT doc_id, lang, {_language_sql('text')} AS guess FROM documents WHERE NOT {LEARNT} AND text IS NOT NULL"
+)
+def learnt_language(spark, sf_dir):
+    """Profiles counted from four fifths of the documents' own languages, applied to the others."""
+    docs = W.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+    known = languages.model(languages.profiles(docs.where(LEARNT)))
+    return docs.where(f"NOT {LEARNT} AND text IS NOT NULL").select("doc_id", "lang", languages.detect(F.col("text"), known).alias("guess"))
 
 
 FIRST_URL = "SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY user_id, job_url ORDER BY ord) = 1"
@@ -151,10 +179,10 @@ def seen_upsert_donothing(spark, sf_dir):
 
 
 FIRST_FLAGGED = f"first_url AS ({FIRST_URL.replace('FROM jobs', 'FROM flagged')}), kept AS (SELECT *, {BODY('description')} AS body FROM ({FIRST_TITLE}))"
-CHAIN = f"NOT {CJK} AND (length(coalesce(title, '')) < 30 OR {_language_sql('title')} = 'en') AND {_english_sql('body')} AND NOT ({LOCKED}) AND coalesce({ROLE}, false) AND NOT ({INTERN})"
+CHAIN = f"NOT {CJK} AND (length({strip_sql("coalesce(title, '')")}) < 30 OR {_language_sql('title')} = 'en') AND {_english_sql('body')} AND NOT ({LOCKED}) AND coalesce({ROLE}, false) AND NOT ({INTERN})"
 
 
-@query(f"WITH {W.FLAGGED_SQL}, {FIRST_FLAGGED} SELECT ord, title FROM kept WHERE {CHAIN} AND NOT coalesce({SENIOR}, false)")
+@query(f"WITH {OWN_SQL}, {W.FLAGGED_SQL}, {FIRST_FLAGGED} SELECT ord, title FROM kept WHERE {CHAIN} AND NOT coalesce({SENIOR}, false)")
 def filter_chain(spark, sf_dir):
     return filters.filter_postings(W.jobs(spark, sf_dir)).select("ord", "title")
 
@@ -164,7 +192,7 @@ def filter_chain_local(spark, sf_dir):
     return filters.filter_postings(W.jobs(spark, sf_dir), local=True).select("ord", "title")
 
 
-@query(f"{J} SELECT ord, length(coalesce(title, '')) < 30 OR {_language_sql('title')} = 'en' AS english FROM (SELECT ord, concat(coalesce(title, ''), ' ', description) AS title FROM jobs)")
+@query(f"WITH {OWN_SQL}, {W.JOBS_SQL} SELECT ord, length({strip_sql('title')}) < 30 OR {_language_sql('title')} = 'en' AS english FROM (SELECT ord, concat(coalesce(title, ''), ' ', description) AS title FROM jobs)")
 def title_language(spark, sf_dir):
     return W.jobs(spark, sf_dir).select("ord", filters.english_title(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "description")).alias("english"))
 
@@ -1100,7 +1128,7 @@ TICK_PATHS = f"CASE WHEN k % 4 = 0 THEN CASE WHEN {' OR '.join(matches("coalesce
 TICK_WEIGHT = f"CAST({REGION_WEIGHT} AS DOUBLE) * CAST({TRUST} AS DOUBLE) * CAST({TICK_PATHS} AS DOUBLE)"
 
 
-@query(f"""WITH {W.FLAGGED_SQL}, {SEEN_SQL}, vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings),
+@query(f"""WITH {OWN_SQL}, {W.FLAGGED_SQL}, {SEEN_SQL}, vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings),
 fresh AS (SELECT * EXCLUDE (origin), CASE WHEN coalesce(origin, 'global') = 'local' THEN 'local' ELSE 'global' END AS origin, CAST(substr(user_id, 2) AS BIGINT) AS k FROM flagged f WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = f.user_id AND s.job_url = f.job_url)),
 first_url AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY origin, user_id, job_url ORDER BY ord) = 1),
 kept AS (SELECT *, {BODY('description')} AS body FROM first_url QUALIFY row_number() OVER (PARTITION BY origin, user_id, {BARE('title')}, {BARE('company')} ORDER BY ord) = 1),
