@@ -30,3 +30,18 @@ def to_literal(v: Column) -> Column:
 
 def from_literal(text: Column) -> Column:
     return F.from_json(text, "array<double>")
+
+
+def units(lists):
+    """A matrix of the vectors of an Arrow array of lists of doubles, each with length 1, or 0 for zero and empty vectors and for nulls in
+    them; shorter vectors end in zeros, which is what a common prefix means. For use in tasks."""
+    import numpy as np
+
+    flat = lists.combine_chunks()
+    offsets = flat.offsets.to_numpy()
+    values = flat.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), max(1, sizes.max(initial=0))))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = np.nan_to_num(values)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1.0)

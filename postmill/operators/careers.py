@@ -29,23 +29,52 @@ def tiers(pages: DataFrame, rendered: DataFrame) -> DataFrame:
     return both.select("url", F.when(enough, "text").otherwise("rendered").alias("tier"), F.when(enough, F.col("own")).otherwise(F.coalesce("other", F.lit(""))).alias("text"))
 
 
-def matched_names(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """Rows of left and right of whose names one contains the other, by trimmed lower case. A name's first three characters
-    stand somewhere in a name that contains it, so those are the key and pairs are then looked at; shorter names use as many as
-    they have. An empty name is in any other, which tells nothing: such rows are left out."""
-    one, two = strip(F.lower(F.coalesce(F.col(a), F.lit("")))), strip(F.lower(F.coalesce(F.col(b), F.lit(""))))
-    left, right = left.withColumn("_a", one).where("_a <> ''"), right.withColumn("_b", two).where("_b <> ''")
+def same_company(company: Column, found: Column, empty_matches: bool = True) -> Column:
+    """Whether one of two names on a row contains the other, by lower case. An empty found name is in every name, so it matches
+    unless empty_matches says otherwise; a null one reads "none"."""
+    one, two = F.lower(F.coalesce(company, F.lit(""))), F.lower(F.coalesce(found, F.lit("none")))
+    match = F.contains(two, one) | F.contains(one, two)
+    return match if empty_matches else match & (two != "")
+
+
+def _grams(names: DataFrame, name: str, most: int = 3) -> DataFrame:
+    """name, n, gram: the distinct sequences of n characters of each name, n from 1 to most."""
+    chars = F.split(F.col(name), "")
+
+    def of(n: int) -> Column:
+        # arrays side by side, so that no character is looked up by place
+        parts = [F.slice(chars, F.lit(k + 1), F.greatest(F.length(name) - (n - 1), F.lit(0))) for k in range(n)]
+        grams = F.transform(F.arrays_zip(*[p.alias(f"c{k}") for k, p in enumerate(parts)]), lambda x: F.concat(*[x[f"c{k}"] for k in range(n)]))
+        return F.transform(F.array_distinct(grams), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
-    def grams(name: str):
-        places = F.sequence(F.lit(1), F.length(name))
-        each = F.transform(places, lambda i: F.array(*[F.substring(F.col(name), i, F.lit(n)) for n in (1, 2, 3)]))
-        return F.explode(F.array_distinct(F.flatten(each)))
+    return names.select(name, F.explode(F.flatten(F.array(*[of(n) for n in range(1, most + 1)]))).alias("_g")).select(name, "_g.n", "_g.gram")
 
-    def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
-        return short.withColumn("_key", F.substring(s, 1, 3)).join(long.withColumn("_key", grams(t)), "_key").where(F.contains(F.col(t), F.col(s))).drop("_key")
 
-    # equal names are found both ways: the second time they are left out
-    return inside(left, "_a", right, "_b").unionByName(inside(right, "_b", left, "_a").where("_a <> _b")).drop("_a", "_b")
+def containing(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+    """The distinct pairs (s, t) of names of short that stand in names of long; empty names take no part.
+
+    Each name of short is looked up under its rarest sequence of three characters among the names of long (a shorter name
+    under all of itself), so what names have in common, such as `the ` or ` inc`, is no key, and a name with a sequence that
+    no other has meets nothing.
+    """
+    inner, outer = (df.select(F.col(c).alias(k)).where(f"{k} <> ''").distinct() for df, c, k in ((short, s, "_s"), (long, t, "_t")))
+    lengths = inner.select(F.least(F.length("_s"), F.lit(3)).alias("n")).distinct()  # three rows at most
+    grams = _grams(outer, "_t").join(F.broadcast(lengths), "n", "left_semi")
+    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    own = _grams(inner, "_s").where("n = least(length(_s), 3)")
+    told = own.join(frequency, "gram", "left").select("_s", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram").alias("key"))
+    rarest = told.groupBy("_s").agg(F.min("key").alias("key")).where("key.df > 0").select("_s", F.col("key.gram").alias("gram"))
+    return rarest.join(grams.select("_t", "gram"), "gram").where(F.contains("_t", F.col("_s"))).select(F.col("_s").alias(s), F.col("_t").alias(t))
+
+
+def matched_names(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """Rows of left and right of whose names one contains the other, by trimmed lower case. Names are matched once each,
+    however many rows have them. An empty name would be in any other and match all rows with all: such rows are left out here;
+    same_company() has it for names that stand on one row."""
+    one, two = strip(F.lower(F.coalesce(F.col(a), F.lit("")))), strip(F.lower(F.coalesce(F.col(b), F.lit(""))))
+    left, right = left.withColumn("_a", one), right.withColumn("_b", two)
+    pairs = containing(left, "_a", right, "_b").unionByName(containing(right, "_b", left, "_a").where("_a <> _b"))
+    return left.join(pairs, "_a").join(right, "_b").drop("_a", "_b")
 
 
 def retryable(message: Column) -> Column:

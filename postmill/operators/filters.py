@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import dates, text, urls
 from postmill.operators import languages
+from postmill.operators.careers import containing
 from postmill.operators.dedup import first_by_title, first_by_url, users_of
 from postmill.values import DEAD_URLS, FEED_ROLE_WORDS, INTERN_BLOCKERS, LOCKED_PLACES, LOOKBACK_DAYS, ROLE_PATTERNS, SENIOR_CODES, SENIOR_WORDS, SIMILARITY_FLOOR, TERSE, anywhere, words
 
@@ -67,11 +68,27 @@ def location_locked(title: Column, location: Column) -> Column:
     return text.location_locked(title, location, LOCKED_PLACES)
 
 
-def flag_reputation(jobs: DataFrame, blacklist, trusted) -> DataFrame:
-    """Flags by patterns in the company's name; short lists are literals, so no join is needed."""
-    company = F.lower(F.coalesce(F.col("company"), F.lit("")))
-    found = lambda patterns: F.exists(F.array(*[F.lit(p.lower()) for p in patterns]), lambda p: F.contains(company, p)) if patterns else F.lit(False)
-    return jobs.withColumns({"pre_flagged_low_quality": found(blacklist), "pre_flagged_trusted": found(trusted)})
+def flag_reputation(jobs: DataFrame, blacklist, trusted, handles=()) -> DataFrame:
+    """Flags by patterns in the company's name, and of handles in the address; short lists are literals, so no join is needed."""
+    company, address = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("company", "job_url"))
+    found = lambda text, patterns: F.exists(F.array(*[F.lit(p.lower()) for p in patterns]), lambda p: F.contains(text, p)) if patterns else F.lit(False)
+    return jobs.withColumns({"pre_flagged_low_quality": found(company, blacklist) | found(address, handles), "pre_flagged_trusted": found(company, trusted)})
+
+
+def flag_by_patterns(jobs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The same flags from a table of any size: patterns (pattern, kind), kind blacklist, trusted (both looked for in the company's
+    name) or handle (in the address); null and empty patterns take no part. Each distinct name and address is looked up once."""
+    low = patterns.select(F.lower("pattern").alias("_pattern"), "kind")
+    named = jobs.withColumns({"_company": F.lower(F.coalesce(F.col("company"), F.lit(""))), "_address": F.lower(F.coalesce(F.col("job_url"), F.lit("")))})
+
+    def hits(column: str, *kinds: str) -> DataFrame:
+        own = low.where(F.col("kind").isin(*kinds))
+        found = containing(own, "_pattern", named, column).join(own, "_pattern")
+        return found.groupBy(column).agg(*[F.bool_or(F.col("kind") == k).alias(f"_{k}") for k in kinds])
+
+    told = named.join(hits("_company", "blacklist", "trusted"), "_company", "left").join(hits("_address", "handle"), "_address", "left")
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return told.withColumns({"pre_flagged_low_quality": is_("_blacklist") | is_("_handle"), "pre_flagged_trusted": is_("_trusted")}).drop("_company", "_address", "_blacklist", "_trusted", "_handle")
 
 
 def filter_postings(jobs: DataFrame, seen: DataFrame | None = None, local: bool = False, level: str | Column = "entry", blacklist=(), trusted=()) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postmill.functions import coerce
+from postmill.functions import coerce, vectors
 from postmill.functions.vectors import cosine
 from postmill.functions.weights import combined_weight
 from postmill.operators.dedup import ranked
@@ -79,9 +80,53 @@ def is_internship(title: Column, job_type: Column) -> Column:
     return F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit("intern")) | (F.lower(F.coalesce(job_type, F.lit(""))) == "internship")
 
 
-def relevant_feedback(jobs: DataFrame, feedback: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """The k entries of the same keys' feedback that are nearest to each posting. jobs: keys, ord, embedding; feedback:
-    keys, entry, embedding. A user's feedback is a bounded log; pairs meet only within a user."""
-    pairs = jobs.join(feedback.withColumnRenamed("embedding", "_entry_vector"), keys)
-    scored = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("_entry_vector"))).drop("_entry_vector")
-    return ranked(scored, [*keys, "ord"], [F.desc("similarity"), F.asc("entry")], k)
+def relevant_feedback(jobs: DataFrame, feedback: DataFrame, keys: list[str], k: int = 5, block: int = 2048) -> DataFrame:
+    """keys, ord, entry, similarity, rank: the k entries of the same keys' feedback that are nearest to each posting, by cosine to
+    nine places and then by entry. jobs: keys, ord, embedding; feedback: keys, entry, embedding; rows without a vector take
+    no part. entry: numbers or text.
+
+    Both sides of a key are dealt into blocks, however many rows it has; each two blocks are one matrix product, of which each
+    posting's k best come out, and a window over those puts the blocks together.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    side = lambda df, row: df.where(F.col("embedding").isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(row), F.col("embedding").cast("array<double>").alias("_v"))
+    left, right = side(jobs, "ord"), side(feedback, "entry")
+    blocks = lambda df, name: df.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    counts = blocks(left, "_n").join(blocks(right, "_m"), names)
+    every = lambda most: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(most) - 1))
+    deal = lambda row, most: F.pmod(F.xxhash64(row, "_v"), F.col(most))
+    met = [*names, "_a", "_b"]
+    one = left.join(counts, names).select(*names, "ord", "_v", deal("ord", "_n").alias("_a"), every("_m").alias("_b"))
+    two = right.join(counts, names).select(*names, "entry", "_v", every("_n").alias("_a"), deal("entry", "_m").alias("_b"))
+    found = T.StructType([*left.select(*names, "ord").schema.fields, *right.select("entry").schema.fields, T.StructField("similarity", T.DoubleType())])
+
+    def nearest(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        if not a.num_rows or not b.num_rows:
+            return pa.schema([*(a.schema.field(c) for c in names), a.schema.field("ord"), b.schema.field("entry"), ("similarity", pa.float64())]).empty_table()
+        b = b.sort_by("entry")  # of equal ones the first is the smaller entry
+        u, v = vectors.units(a.column("_v")), vectors.units(b.column("_v"))
+        width = min(u.shape[1], v.shape[1])
+        kept, rows = [], []
+        for at in range(0, len(u), 256):
+            near = np.round(u[at : at + 256, :width] @ v[:, :width].T, 9)
+            if near.shape[1] > k:
+                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+                row, place = np.nonzero(near >= least[:, None])
+                order = np.lexsort((place, -near[row, place], row))
+                row, place = row[order], place[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, place = row[first], place[first]
+            else:
+                row, place = (x.ravel() for x in np.indices(near.shape))
+            rows.append(row + at)
+            kept.append((place, near[row, place]))
+        row, place, score = np.concatenate(rows), np.concatenate([p for p, _ in kept]), np.concatenate([x for _, x in kept])
+        own = a.select([*names, "ord"]).take(pa.array(row))
+        return own.append_column("entry", b.column("entry").take(pa.array(place))).append_column("similarity", pa.array(score))
+
+    best = one.groupBy(*met).cogroup(two.groupBy(*met)).applyInArrow(nearest, found)
+    told = best.withColumnsRenamed(dict(zip(names, keys, strict=True)))
+    return ranked(told, [*keys, "ord"], [F.desc("similarity"), F.asc("entry")], k)

@@ -968,13 +968,38 @@ def description_backfill(spark, sf_dir):
     return local.described(jobs, pages).select("ord", "description")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE contains(lower(a.n_name), substr(lower(b.n_name), 1, 3)) OR contains(substr(lower(b.n_name), 1, 3), lower(a.n_name))")
+#: What a search may return as a customer's name: part of it, more than it, or a few characters that others have too.
+FOUND_NAME = "CASE c_custkey % 3 WHEN 0 THEN substr(c_name, 10) WHEN 1 THEN concat(upper(c_name), ' Inc') ELSE substr(c_name, 14, 5) END"
+
+
+@query(f"SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a, (SELECT c_custkey, lower({FOUND_NAME}) AS y FROM customer) b WHERE contains(lower(a.c_name), b.y) OR contains(b.y, lower(a.c_name))")
 def company_name_match(spark, sf_dir):
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    a, b = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), nation.select(F.col("n_nationkey").alias("b"), F.substring("n_name", 1, 3).alias("y"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    a, b = customer.select(F.col("c_custkey").alias("a"), F.col("c_name").alias("x")), customer.select(F.col("c_custkey").alias("b"), F.expr(FOUND_NAME).alias("y"))
     return careers.matched_names(a, "x", b, "y").select("a", "b")
 
 
+@query(f"{J} SELECT ord, contains(y, x) OR contains(x, y) AS same, y <> '' AND (contains(y, x) OR contains(x, y)) AS told FROM (SELECT ord, lower(company) AS x, lower(coalesce(substr(title, 1, 1 + CAST(ord % 4 AS INT)), 'none')) AS y FROM jobs)")
+def company_name_rows(spark, sf_dir):
+    """Names that stand on one row: an empty found name matches any."""
+    rows = W.jobs(spark, sf_dir).select("ord", "company", F.expr("substr(title, 1, 1 + CAST(ord % 4 AS INT))").alias("found"))
+    return rows.select("ord", careers.same_company(F.col("company"), F.col("found")).alias("same"), careers.same_company(F.col("company"), F.col("found"), False).alias("told"))
+
+
+#: Patterns of a large reputation table: some stand in many names, some in one, some in none.
+PATTERNS = "SELECT DISTINCT CASE WHEN s_suppkey % 5 = 0 THEN substr(s_name, 14) WHEN s_suppkey % 5 = 1 THEN upper(substr(s_name, 16, 3)) ELSE substr(s_name, 6) END AS pattern, CASE s_suppkey % 3 WHEN 0 THEN 'blacklist' WHEN 1 THEN 'trusted' ELSE 'handle' END AS kind FROM {}"
+NAMED = "SELECT c_custkey AS ord, CASE WHEN c_custkey % 50 > 0 THEN c_name END AS company, concat('https://jobs.example.com/', CAST(c_custkey * 7 AS STRING)) AS job_url FROM {}"
+
+
+@query(f"""WITH p AS ({PATTERNS.format('supplier')}), n AS ({NAMED.format('customer')})
+SELECT ord, EXISTS (SELECT 1 FROM p WHERE kind = 'blacklist' AND contains(lower(coalesce(company, '')), lower(pattern))) OR EXISTS (SELECT 1 FROM p WHERE kind = 'handle' AND contains(lower(job_url), lower(pattern))) AS pre_flagged_low_quality,
+  EXISTS (SELECT 1 FROM p WHERE kind = 'trusted' AND contains(lower(coalesce(company, '')), lower(pattern))) AS pre_flagged_trusted FROM n""")
+def reputation_patterns(spark, sf_dir):
+    supplier, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "customer"))
+    patterns = spark.sql(PATTERNS.format("{supplier}"), supplier=supplier)
+    return filters.flag_by_patterns(spark.sql(NAMED.format("{customer}"), customer=customer), patterns).select("ord", "pre_flagged_low_quality", "pre_flagged_trusted")
+
+
 @query(f"""WITH c AS (SELECT page_id, {HINT} AS hint, page_id % 3 = 0 AS cached, page_id % 6 = 0 AS miss, page_id % 9 = 0 AS old FROM pages)
 SELECT page_id, CASE WHEN cached AND NOT old AND miss THEN 'page' WHEN cached AND NOT old THEN 'fetch' WHEN page_id % 5 IN (0, 1, 2) THEN 'fetch' WHEN page_id % 5 = 3 THEN 'none' ELSE 'page' END AS route, NOT (cached AND NOT old) AS fresh FROM c""")
 def company_routes(spark, sf_dir):
