@@ -51,3 +51,10 @@ def test_stages_take_odd_rows(spark, sf, odd_docs, no_docs):
         assert stage(spark, no_docs, sf).count() == 0, name
     assert P.good_quality(spark, no_docs, sf).count() == 0
     assert P.good_quality(spark, odd_docs, sf).columns == list(P.DOCUMENTS)
+
+
+def test_ordinary_text_is_not_masked(spark):
+    text = "Read https://example.org/docs/api3/install/kernel/python3/linux first. Then call getUserAccountBalanceById3() twice, with id 123e4567-e89b-12d3-a456-426614174000."
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, text + " token = hunter2hunter2", "en", "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = {r["doc_id"]: r for r in P.without_secrets(spark, docs, "").collect()}
+    assert rows[1]["text"] == text and rows[1]["n_chars"] == len(text) and rows[2]["text"] == text + " [SECRET]"

@@ -164,3 +164,48 @@ def test_trees_find_planted_forms(spark):
     assert sum(any(k in pii.GENERATORS for k, *_ in got[i]) for i in decoys) <= 0.03 * len(decoys)
     assert [bool(got[9000 + i]) for i in range(len(hand))] == [bool(y) for _, y in hand]
     assert any(k in pii.GENERATORS for i in got for k, *_ in got[i])
+
+
+def test_precision_and_recall_of_candidates(spark):
+    """What people and machines write is left alone, random keys are found; words are those of a tokenizer's vocabulary."""
+    import base64
+    import hashlib
+    import json
+    import random
+    import string
+    import uuid
+
+    from postmill.llm.queries import tokenizer
+
+    with open(tokenizer()) as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = [k[:-4] for k, i in vocabulary.items() if i < 12_000 and re.fullmatch("[a-z]{2,12}</w>", k)]
+    draw = random.Random(11)
+    w, n = lambda: draw.choice(words), draw.randint
+    digit = lambda: str(n(0, 9)) * (draw.random() < 0.4)
+    plain = {
+        "path": lambda: "/".join(w() + digit() for _ in range(6)),
+        "camel": lambda: w() + "".join(w().capitalize() for _ in range(4)) + digit(),
+        "snake": lambda: "_".join(w() if draw.random() < 0.85 else str(n(0, 999)) for _ in range(6)),
+        "kebab": lambda: "-".join(w() if draw.random() < 0.8 else str(n(0, 2030)) for _ in range(6)),
+        "constant": lambda: "_".join(w().upper() for _ in range(5)) + digit(),
+        "uuid": lambda: str(uuid.UUID(int=draw.getrandbits(128), version=4)),
+        "resource": lambda: f"api/v{n(1, 3)}/{w()}/{uuid.UUID(int=draw.getrandbits(128), version=4)}",
+        "dated": lambda: f"{w()}/20{n(10, 24)}/{n(1, 12):02d}/{n(1, 28):02d}/{w()}-{w()}-{w()}",
+        "digest": lambda: "sha512-" + base64.b64encode(draw.randbytes(64)).decode(),
+        "slug": lambda: f"{w()}-{w()}-{w()}-{hashlib.md5(draw.randbytes(4)).hexdigest()[:7]}",
+    }
+    signs = string.ascii_letters + string.digits
+    random_ = lambda s, k: "".join(draw.choices(s, k=k))
+    keys = {
+        "mixed": lambda: random_(signs, draw.choice([24, 32, 40, 44, 64])), "padded": lambda: random_(signs + "+/", draw.choice([32, 40, 44])), "lower": lambda: random_(string.ascii_lowercase + string.digits, draw.choice([32, 40])),
+        "upper": lambda: random_(string.ascii_uppercase + string.digits, draw.choice([32, 40])), "prefixed": lambda: draw.choice(["ghp_", "sk_live_", "xoxb-"]) + random_(signs, 36), "in a path": lambda: f"api/{w()}/{w()}/{random_(signs, 32)}",
+    }
+    texts = [(f"{kind}{i}", f"see {make()} here") for made, count in ((plain, 100), (keys, 70)) for kind, make in made.items() for i in range(count)]
+    judged = ["https://example.org/docs/api3/install/kernel/python3/linux", "MyAbstractSingletonProxyFactoryBeanImpl2()", "getUserAccountBalanceById3()", "test_should_return_404_when_missing", "docs/api3/python3/linux2/install/kernel"]
+    texts += [(f"judged{i}", t) for i, t in enumerate(judged)]
+    found = {r["k"]: r["n"] for r in secrets.scan(spark.createDataFrame(texts, "k string, text string").repartition(8)).selectExpr("k", "size(filter(spans, s -> s.kind = 'entropy')) AS n").collect()}
+    marked = {kind: sum(found[k] > 0 for k in found if k.rstrip("0123456789") == kind) for kind in [*plain, *keys, "judged"]}
+    assert sum(marked[k] for k in plain) <= 0.02 * 100 * len(plain) and max(marked[k] for k in plain) <= 6, marked
+    assert sum(marked[k] for k in keys) >= 0.95 * 70 * len(keys) and min(marked[k] for k in keys) >= 0.9 * 70, marked
+    assert marked["judged"] == 0
