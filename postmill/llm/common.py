@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -18,7 +19,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 #: Matches of a text that are located in one walk.
 WALK = 64
 
-_scopes: list[str] = []
+#: Where stored() writes: each thread, and each call of scratch() in it, has its own.
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,18 +56,18 @@ def removed(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession):
     """Tables that stored() writes inside are deleted at its end. Results are lazy: write what is to be kept inside."""
     place = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    _scopes.append(place)
+    before = _scope.set(place)
     try:
         yield
     finally:
-        _scopes.remove(place)
+        _scope.reset(before)
         removed(spark, place)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs only its own tasks."""
     spark = df.sparkSession
-    place = _scopes[-1] if _scopes else shared_dir(spark).rstrip("/")
+    place = _scope.get() or shared_dir(spark).rstrip("/")
     path = f"{place}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
