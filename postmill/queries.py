@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -10,8 +11,9 @@ from postmill import values as V
 from postmill import views as W
 from postmill.functions import coerce, dates, hashing, text, urls, vectors, weights
 from postmill.operators import careers, dedup, filters, hooks, languages, preferences, ranking, render, state, verdict, viability
+from postmill.operators.tables import Claims, KeyedTable
 from postmill.plans.run import tick as run_tick
-from postmill.session import shared_dir
+from postmill.session import removed, shared_dir
 from postmill.sources import ats, feeds, files, local
 from postmill.streaming import state as streams
 
@@ -1092,15 +1094,34 @@ def feedback_drain(spark, sf_dir):
     return n("log", log).unionByName(n("seen", applied)).unionByName(n("blacklist", blocked))
 
 
-def _events(spark, sf_dir):
-    source = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").parquet(f"{sf_dir}/events*.parquet")
+def _events(spark, place):
+    source = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").parquet(place)
     return source.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("user_id"), (F.col("event_id") % 400).cast("string").alias("job_url"))
 
 
-def _streamed(spark, sf_dir, make, mode, schema):
-    """Runs a stream over all of events to its end, into files of the shared folder, and reads them."""
+#: Deliveries of a stream's input, in order of time.
+DELIVERIES = 3
+
+
+def _delivered(spark, sf_dir, run):
+    """events arrive in DELIVERIES, one after the other; after each, run(place, stream) starts the stream anew from its checkpoint,
+    so each reads what the last has left as state. Gives the folder; its input and checkpoint are removed at the end."""
     place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return spark.read.schema(schema).parquet(streams.written(make(_events(spark, sf_dir)), place, mode)).drop("batch")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first, last = events.select(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    number = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first or 0)) * DELIVERIES / F.lit((last or 0) - (first or 0) + 1))
+    for n in range(DELIVERIES):
+        events.where(F.coalesce(number, F.lit(0)) == n).write.mode("append").parquet(f"{place}/input")
+        run(place, _events(spark, f"{place}/input"))
+    for part in ("input", "checkpoint"):
+        removed(spark, f"{place}/{part}")
+    return place
+
+
+def _streamed(spark, sf_dir, make, mode, schema):
+    """Runs a stream over all of events into files of the shared folder, and reads them."""
+    place = _delivered(spark, sf_dir, lambda at, stream: streams.written(make(stream), at, mode))
+    return spark.read.schema(schema).parquet(f"{place}/rows").drop("batch")
 
 
 @query("SELECT DISTINCT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url FROM events")
@@ -1122,14 +1143,67 @@ def stream_cache_misses(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda c: streams.cache_misses(c, "user_id"), "append", "user_id string, seconds bigint")
 
 
-@query("SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url, count(*) AS n FROM events WHERE event_id % 400 < 200 GROUP BY 1, 2")
+@query("SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS evaluated_at FROM events WHERE event_id % 400 < 200 GROUP BY 1, 2")
 def stream_marks(spark, sf_dir):
-    """Micro-batches as ticks: what each evaluates enters the seen table."""
-    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    seen_path = f"{place}/seen"
-    own = _events(spark, sf_dir).withColumn("evaluated", F.col("job_url").cast("int") < 200)
-    streams.ticks(own, lambda batch, n: streams.mark_evaluated(batch, seen_path), f"{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(seen_path).groupBy("user_id", "job_url").agg(F.count(F.lit(1)).alias("n"))
+    """Micro-batches as ticks: what each evaluates enters the seen table, and each comes twice, as after a failure."""
+
+    def run(place, stream):
+        table = streams.seen_table(spark, f"{place}/seen")
+
+        def twice(batch, n):
+            streams.mark_evaluated(batch, n, table)
+            streams.mark_evaluated(batch, n, table)
+
+        streams.ticks(stream.withColumn("evaluated", F.col("job_url").cast("int") < 200), twice, f"{place}/checkpoint").awaitTermination()
+
+    place = _delivered(spark, sf_dir, run)
+    return streams.seen_table(spark, f"{place}/seen").read().select("user_id", "job_url", F.date_format("evaluated_at", "yyyy-MM-dd HH:mm:ss").alias("evaluated_at"))
+
+
+HISTORY = "user_id string, job_url string, ts timestamp"
+
+
+@query("""WITH e AS (SELECT concat('u', CAST(user_id % 40 AS STRING)) AS user_id, CAST(event_id % 400 AS STRING) AS job_url, ts,
+  floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 3.0::DOUBLE / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1)) AS delivery FROM events)
+SELECT user_id, job_url, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, count(*) FILTER (delivery > first) AS known, count(*) AS n
+FROM (SELECT *, min(delivery) OVER (PARTITION BY user_id, job_url) AS first FROM e) GROUP BY 1, 2""")
+def stream_history(spark, sf_dir):
+    """A rolling history kept by micro-batches: each row is told whether the history had its posting, then enters it. The table is
+    compacted after each second batch."""
+
+    def run(place, stream):
+        table = KeyedTable(spark, f"{place}/history", HISTORY, ["user_id", "job_url"], "last", "ts")
+        streams.ticks(stream, lambda batch, n: streams.rolling_history(batch, n, table, f"{place}/told", every=2), f"{place}/checkpoint").awaitTermination()
+
+    place = _delivered(spark, sf_dir, run)
+    latest = KeyedTable(spark, f"{place}/history", HISTORY, ["user_id", "job_url"], "last", "ts").read()
+    told = spark.read.schema(f"{HISTORY}, known boolean").parquet(f"{place}/told").groupBy("user_id", "job_url").agg(F.count_if("known").alias("known"), F.count(F.lit(1)).alias("n"))
+    return latest.join(told, ["user_id", "job_url"]).select("user_id", "job_url", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("latest"), "known", "n")
+
+
+@query(f"""{C} SELECT user_id, provider, model, CAST(count(*) AS BIGINT) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS most FROM calls GROUP BY 1, 2, 3""")
+def usage_table(spark, sf_dir):
+    """Usage in three batches, one of them written twice and two before a compaction: sums are those of one pass."""
+    place = f"{shared_dir(spark).rstrip('/')}/usage-{uuid.uuid4().hex}"
+    keys = ["user_id", "provider", "model"]
+    calls = W.calls(spark, sf_dir).select("ord", *keys, F.lit(1).cast("bigint").alias("requests"), F.col("tokens").cast("bigint").alias("tokens"), F.col("tokens").cast("bigint").alias("most"))
+    table = KeyedTable(spark, place, "user_id string, provider string, model string, requests bigint, tokens bigint, most bigint", keys, "sum", sums=("requests", "tokens"), tops=("most",))
+    for n in (0, 1, 1, 2):
+        table.write(calls.where(F.col("ord") % 3 == n), n)
+        if n == 1:
+            table.compact()
+    return table.read()
+
+
+@query(f"{U} SELECT user_id, 1::BIGINT AS claims FROM users WHERE is_active")
+def claimed_users(spark, sf_dir):
+    """Two ticks that start at once: each active user is claimed by one of them."""
+    place = f"{shared_dir(spark).rstrip('/')}/claims-{uuid.uuid4().hex}"
+    active = W.users(spark, sf_dir).where("is_active").select("user_id")
+    ticks = [Claims(spark, place, shares=32) for _ in range(2)]
+    with ThreadPoolExecutor(len(ticks)) as pool:
+        list(pool.map(lambda c: c.take(), ticks))
+    return ticks[0].mine(active).unionByName(ticks[1].mine(active)).groupBy("user_id").agg(F.count(F.lit(1)).alias("claims"))
 
 
 # all users of a tick in one plan

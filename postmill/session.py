@@ -31,3 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
         place = sc.getCheckpointDir()
     return place
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postmill.operators.tables import KeyedTable
 from postmill.values import LOOKBACK_DAYS
 
 
@@ -21,26 +22,42 @@ def calls_per_window(calls: DataFrame, keys: list[str], at: str = "ts", late: st
     return calls.withWatermark(at, late).groupBy(F.window(at, "60 seconds", "1 second").alias("w"), *keys).agg(F.count(F.lit(1)).alias("calls"))
 
 
-def peaks(calls: DataFrame, key: str, at: str = "ts") -> DataFrame:
-    """key, peak: the most calls of a key in any 60 seconds so far, exact. State is the last minute's times and the peak.
-    Calls of a micro-batch that are late by over a minute count in the windows they meet there."""
+def peaks(calls: DataFrame, key: str, at: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """key, peak: the most calls of a key in any 60 seconds, exact, with an update for each micro-batch that the key is in.
+
+    State is the peak and the calls per second that may still meet others: calls come late by up to late, and those count in the
+    windows of their own second. Later ones are left out. A key's state goes when the watermark is a minute past its last
+    call; its next update starts anew, so who keeps the updates keeps the largest (KeyedTable with tops does).
+    """
 
     def step(own: tuple, batches: Iterator, state: GroupState):
         import numpy as np
         import pandas as pd
 
-        recent, peak = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seconds, counts, peak = state.get if state.exists else ([], [], 0)
+        held = dict(zip(seconds, counts, strict=True))
         for batch in batches:
-            recent += batch["seconds"].tolist()
-        times = np.sort(np.array(recent, np.int64))
-        if len(times):
-            peak = max(peak, int((np.arange(len(times)) - np.searchsorted(times, times - 60) + 1).max()))
-            recent = times[times >= times[-1] - 60].tolist()
-        state.update((recent, peak))
+            for t, n in zip(*np.unique(batch["seconds"].to_numpy(), return_counts=True), strict=True):
+                held[int(t)] = held.get(int(t), 0) + int(n)
+        times = np.array(sorted(held), np.int64)
+        sums = np.concatenate([[0], np.cumsum([held[int(t)] for t in times])])
+        peak = max(peak, int((sums[1:] - sums[np.searchsorted(times, times - 60)]).max()))
+        passed = state.getCurrentWatermarkMs() // 1000
+        kept = [int(t) for t in times if t >= passed - 60]
+        end = (int(times[-1]) + 61) * 1000
+        if kept and end > state.getCurrentWatermarkMs():
+            state.update((kept, [held[t] for t in kept], peak))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({key: [own[0]], "peak": [peak]})
 
-    seconds = calls.select(F.col(key).cast("string").alias(key), F.unix_timestamp(F.col(at).cast("timestamp")).alias("seconds"))
-    return seconds.groupBy(key).applyInPandasWithState(step, f"{key} string, peak bigint", "recent array<bigint>, peak bigint", "update", GroupStateTimeout.NoTimeout)
+    marked = calls.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    seconds = marked.select(F.col(key).cast("string").alias(key), at, F.unix_timestamp(F.col(at)).alias("seconds"))
+    return seconds.groupBy(key).applyInPandasWithState(step, f"{key} string, peak bigint", "seconds array<bigint>, counts array<bigint>, peak bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def cache_misses(requests: DataFrame, key: str, at: str = "ts", ttl_seconds: int = 18 * 3600) -> DataFrame:
@@ -87,6 +104,24 @@ def ticks(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def mark_evaluated(batch: DataFrame, path: str) -> None:
-    """Only evaluated rows enter the seen table, so the others come again."""
-    batch.where("evaluated").select("user_id", "job_url", F.col("ts").alias("evaluated_at")).write.mode("append").parquet(path)
+def seen_table(spark: SparkSession, path: str) -> KeyedTable:
+    """user_id, job_url and when it was evaluated first."""
+    return KeyedTable(spark, path, "user_id string, job_url string, evaluated_at timestamp", ["user_id", "job_url"], "first", "evaluated_at")
+
+
+def mark_evaluated(batch: DataFrame, number: int, table: KeyedTable) -> None:
+    """Only evaluated rows enter the seen table, so the others come again. A batch that is run again changes nothing."""
+    table.write(batch.where("evaluated").select("user_id", "job_url", F.col("ts").alias("evaluated_at")), number)
+
+
+def rolling_history(batch: DataFrame, number: int, table: KeyedTable, place: str, every: int = 20, keep: Column | None = None) -> None:
+    """Upserts a micro-batch into a history, and writes its rows with known, whether the history had their key before, to a folder of
+    the batch's number below place. The table is compacted, and what keep does not hold for goes, each so many batches."""
+    past = table.read(before=number).select(*table.keys, F.lit(True).alias("known"))
+    told = batch.join(past, table.keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    # a batch that the base has was written whole before, and its rows told
+    if number > table.upto():
+        told.write.mode("overwrite").parquet(f"{place}/batch={number}")
+        table.write(batch, number)
+        if number % every == every - 1:
+            table.compact(keep)

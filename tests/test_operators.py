@@ -177,7 +177,7 @@ def test_streams(spark, tmp_path):
     assert {r["user_id"]: r["count"] for r in spark.table("misses").groupBy("user_id").count().collect()} == {"u1": 1, "u2": 2}
     _run(streams.calls_per_window(source(), ["user_id"]), "windows", "append")
     assert spark.table("windows").agg(F.max("calls")).first()[0] == 9
-    done = str(tmp_path / "seen")
-    q = streams.ticks(source().withColumn("evaluated", F.col("job_url") != "p3"), lambda df, n: streams.mark_evaluated(df, done), str(tmp_path / "cp"))
+    done = streams.seen_table(spark, str(tmp_path / "seen"))
+    q = streams.ticks(source().withColumn("evaluated", F.col("job_url") != "p3"), lambda df, n: streams.mark_evaluated(df, n, done), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    assert spark.read.parquet(done).where("job_url = 'p3'").count() == 0 and spark.read.parquet(done).count() == 17
+    assert done.read().where("job_url = 'p3'").count() == 0 and done.read().count() == 4
