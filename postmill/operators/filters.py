@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, text, urls
+from postmill.functions.dictionary import bound
 from postmill.operators import languages
 from postmill.operators.careers import containing
 from postmill.operators.dedup import first_by_title, first_by_url, users_of
@@ -42,9 +43,11 @@ def english_title(title: Column) -> Column:
 
 
 def english_description(description: Column) -> Column:
-    body = text.squeeze(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " "))
-    marked = F.regexp_count(F.substring(body, 1, 500), F.lit("[řůőŘŮŐ]")) >= 3
-    return (F.length(body) < TERSE) | (~marked & (languages.detect(body) == "en"))
+    def judged(body: Column) -> Column:
+        marked = F.regexp_count(F.substring(body, 1, 500), F.lit("[řůőŘŮŐ]")) >= 3
+        return (F.length(body) < TERSE) | (~marked & (languages.detect(body) == "en"))
+
+    return bound(text.squeeze(F.regexp_replace(F.coalesce(description, F.lit("")), "<[^>]+>", " ")), judged)
 
 
 def senior(title: Column) -> Column:

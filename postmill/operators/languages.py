@@ -16,11 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.dictionary import bound
 from postmill.language_texts import TEXTS
 
 SLOTS, SMOOTH, SCALE, WORST = 2039, 0.1, 20, 255
-#: Characters of a text that are looked at; WORST times these fits in BITS.
-SAMPLE, BITS = 2000, 21
+#: A text's first SAMPLE characters tell; of more than three times STRETCH, their first, middle and last STRETCH do. WORST times these
+#: fits in BITS.
+SAMPLE, STRETCH, BITS = 2000, 200, 21
 FIRST, SECOND = 961, 31
 
 
@@ -29,13 +31,25 @@ def letters(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
+def sample(text: Column) -> Column:
+    def of(some: Column) -> Column:
+        n = F.length(some)
+        three = F.concat_ws(" ", F.substring(some, 1, STRETCH), F.substring(some, F.floor((n - STRETCH) / 2).cast("int") + 1, F.lit(STRETCH)), F.substring(some, n - STRETCH + 1, F.lit(STRETCH)))
+        return F.when(n > 3 * STRETCH, three).otherwise(some)
+
+    return bound(F.substring(text, 1, SAMPLE), of)
+
+
 def slots(text: Column) -> Column:
     """array<int>: the slot of each three characters in a row, from 0."""
-    codes = F.transform(F.split(letters(text), ""), F.ascii)
-    n = F.greatest(F.size(codes) - 2, F.lit(0))
-    # arrays of equal length, so that none is looked up by place
-    pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * FIRST + b * SECOND)
-    return F.zip_with(pairs, F.slice(codes, F.lit(3), n), lambda ab, c: F.pmod(ab + c, F.lit(SLOTS)))
+
+    def of(codes: Column) -> Column:
+        n = F.greatest(F.size(codes) - 2, F.lit(0))
+        # arrays of equal length, so that none is looked up by place
+        pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * FIRST + b * SECOND)
+        return F.zip_with(pairs, F.slice(codes, F.lit(3), n), lambda ab, c: F.pmod(ab + c, F.lit(SLOTS)))
+
+    return bound(F.transform(F.split(letters(text), ""), F.ascii), of)
 
 
 def profiles(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -78,7 +92,7 @@ def own_profiles() -> dict[str, list[int]]:
 
 
 def detect(text: Column, known: dict[str, list[int]] | None = None) -> Column:
-    """The language of the first SAMPLE characters; of equal ones, and where there is no letter, the first of known (English, if
+    """The language of a text by its sample; of equal ones, and where there is no letter, the first of known (English, if
     none is given). Null text: null."""
     known = own_profiles() if known is None else known
     names = list(known)
@@ -97,6 +111,5 @@ def detect(text: Column, known: dict[str, list[int]] | None = None) -> Column:
         each = [F.struct(F.shiftright(packed[i // 3], BITS * (i % 3)).bitwiseAND(F.lit(mask)).alias("penalty"), F.lit(i).alias("place"), F.lit(n).alias("lang")) for i, n in enumerate(names)]
         return F.array_min(F.array(*each))["lang"]
 
-    # each step is bound once: what stands in a function is computed anew wherever it is used
-    bound = lambda value, f: F.transform(F.array(value), f)[0]
-    return F.when(text.isNotNull(), bound(slots(F.substring(text, 1, SAMPLE)), lambda own: bound(sums(own), least)))
+    judged = lambda t: bound(slots(sample(t)), lambda own: bound(sums(own), least))
+    return bound(text, lambda t: F.when(t.isNotNull(), judged(t)))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.dictionary import first_words, some_of
 from postmill.functions.text import has_any, strip
 from postmill.operators.filters import wants_senior
-from postmill.values import GEO_PLACES, MISSING, NON_TECH_SIGNALS, SHORT, WEB_AMBIGUOUS, WEB_GLOBAL, WEB_TRIGGERS, literal
+from postmill.values import GEO_PLACES, MISSING, NON_TECH_SIGNALS, SHORT, WEB_AMBIGUOUS, WEB_GLOBAL, WEB_TRIGGERS, grouped
 
+# Numbers of years, phrasings of requirements in the order in which they are tried, other tellings of years,
+# disqualifying phrases with their reasons, places and the phrasings that lock a posting to one.
 YEARS = r"(?:[5-9]|1[0-9]|[2-9]\d)"
-GEO = "(?:" + literal(GEO_PLACES).replace(r"\ ", " ").replace(r"\-", "-") + ")"
+GEO = "(?:" + grouped(GEO_PLACES) + ")"
 WHO = "(?:candidates?|applicants?|workers?|hires?|employees?)"
-# Phrasings of requirements, in the order in which they are tried.
 REQUIRED_YEARS = (
     rf"\b{YEARS}\+?\s*years?['’\s]*(?:of\s+)?(?:experience|exp)\b",
     rf"\b(?:minimum|min\.?|at\s+least|at\s+minimum|no\s+less\s+than)\s+(?:of\s+)?{YEARS}\+?\s*years?\b",
@@ -65,15 +67,29 @@ PLACE_LOCK = rf"(?iU)\bremote\s+(?:in|from|[-–—])\s+(?:the\s+)?{GEO}\b"
 PLACE_REMOTE = rf"(?iU)\b{GEO}\b.{{0,30}}\(remote\)"
 
 
+#: A word or two of which each phrasing above has one: patterns are tried only on texts that have it.
+YEAR_HINTS, SENIOR_HINTS = ("year",), ("senior-level", "staff", "principal")
+DISQUALIFIER_HINTS = ("citizens", "citizen", "reside", "based", "only", "remote", "authorized", "authorization", "sponsorship", "sponsor", "clearance", "clearance", "sci", "clearance", "clearance")
+GEO_HINTS = ("only", "must", "open", "available", "authorization", "remote")
+
+
+def _has(text: Column, hints) -> Column:
+    out = F.contains(text, F.lit(hints[0]))
+    for h in hints[1:]:
+        out = out | F.contains(text, F.lit(h))
+    return out
+
+
 def _window_is_other(text: Column, at: Column, length: Column) -> Column:
     """Whether the match, with 14 characters before and 12 after, tells of other years than required ones."""
     first = F.greatest(at - 14, F.lit(1))
     return F.substring(text, first, at + length + 12 - first).rlike(OTHER_YEARS)
 
 
-def senior_requirement(text: Column) -> Column:
-    """The phrase by which a text asks for five years or more, or for a senior title; null if it doesn't."""
-    t = F.lower(text)
+def senior_requirement(text: Column, lower: bool = False) -> Column:
+    """The phrase by which a text asks for five years or more, or for a senior title; null if it doesn't. lower: the text is in
+    lower case already."""
+    t = text if lower else F.lower(text)
     ranges = F.regexp_extract_all(t, F.lit(YEARS_RANGE), F.lit(0))
 
     # positions of all ranges: each is sought in what follows the one before
@@ -85,19 +101,28 @@ def senior_requirement(text: Column) -> Column:
         return F.struct((place + F.length(m)).alias("at"), F.when(hit, m).otherwise(s["found"]).alias("found"))
 
     ranged = F.aggregate(ranges, F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("found")), walk, lambda s: s["found"])
-    found = [F.when(F.size(ranges) > 0, ranged)]
+    some = F.regexp_substr(t, F.lit(YEARS_RANGE)).isNotNull()
+    found = [F.when(some, ranged)]
     for pattern in REQUIRED_YEARS:
-        match, at = F.regexp_substr(t, F.lit(pattern)), F.regexp_instr(t, F.lit(pattern))
-        found.append(F.when((at > 0) & ~_window_is_other(t, at, F.length(match)), match))
-    found += [F.regexp_substr(t, F.lit(p)) for p in SENIOR_TITLES]
-    return strip(F.coalesce(*found))
+        match = F.regexp_substr(t, F.lit(pattern))
+        # where it stands is asked only of what matches
+        found.append(F.when(match.isNotNull(), F.when(~_window_is_other(t, F.regexp_instr(t, F.lit(pattern)), F.length(match)), match)))
+    titles = [F.regexp_substr(t, F.lit(p)) for p in SENIOR_TITLES]
+    return strip(F.coalesce(F.when(_has(t, YEAR_HINTS), F.coalesce(*found)), F.when(_has(t, SENIOR_HINTS), F.coalesce(*titles))))
 
 
-def skip_reason(level: Column | None = None) -> Column:
-    """Reason why a posting is not worth a call; null if it is. Uses title, description, location, source, origin and pre_flagged_low_quality."""
+#: What the rules read of a posting, each computed once.
+PREPARED = ("_title", "_description", "_body", "_source", "_origin", "_place")
+
+
+def _prepared() -> dict[str, Column]:
     low = lambda n: F.lower(F.coalesce(F.col(n), F.lit("")))
-    title, description, source, origin = low("title"), low("description"), strip(low("source")), strip(low("origin"))
-    body = strip(description)
+    values = (low("title"), low("description"), strip(low("description")), strip(low("source")), strip(low("origin")), strip(F.coalesce(F.col("location"), F.lit(""))))
+    return dict(zip(PREPARED, values, strict=True))
+
+
+def _reason(level: Column | None) -> Column:
+    title, description, body, source, origin, place = map(F.col, PREPARED)
     missing = body.isin("", "nan", "none", "null") | (F.length(body) < MISSING)
     local = source.startswith("ddg_") | source.isin("telegram", "jobs_ps") | (origin == "local") | title.startswith("linkedin post:")
     cut = F.contains(description, F.lit("[no description")) | F.contains(description, F.lit("[description truncated"))
@@ -105,18 +130,24 @@ def skip_reason(level: Column | None = None) -> Column:
     for signal in NON_TECH_SIGNALS:
         out = out.when(F.contains(title, F.lit(signal)), f"non-tech role signal in title ({signal.strip()})")
     out = out.when(~(missing | local | cut) & (F.length(body) < SHORT), F.concat(F.lit("description too short ("), F.length(body).cast("string"), F.lit(" chars)")))
-    phrase = senior_requirement(description)
     wants = F.lit(False) if level is None else wants_senior(level)
-    out = out.when(~wants & phrase.isNotNull(), F.concat(F.lit("senior experience requirement in description ("), phrase, F.lit(")")))
-    for pattern, reason in DISQUALIFIERS:
-        out = out.when(description.rlike(pattern), f"hard disqualifier: {reason}")
-    out = out.when(description.rlike(GEO_LOCK), F.concat(F.lit("hard disqualifier: geo-locked ("), strip(F.substring(F.regexp_substr(description, F.lit(GEO_LOCK)), 1, 60)), F.lit(")")))
-    place = strip(F.coalesce(F.col("location"), F.lit("")))
+    out = out.when(~wants & F.col("_phrase").isNotNull(), F.concat(F.lit("senior experience requirement in description ("), F.col("_phrase"), F.lit(")")))
+    for (pattern, reason), hint in zip(DISQUALIFIERS, DISQUALIFIER_HINTS, strict=True):
+        out = out.when(F.contains(description, F.lit(hint)) & description.rlike(pattern), f"hard disqualifier: {reason}")
+    out = out.when(F.col("_lock").isNotNull(), F.concat(F.lit("hard disqualifier: geo-locked ("), strip(F.substring(F.col("_lock"), 1, 60)), F.lit(")")))
     return out.when(place.rlike(PLACE_LOCK) | place.rlike(PLACE_REMOTE), F.concat(F.lit("location geo-locked ("), strip(F.substring(place, 1, 60)), F.lit(")")))
 
 
 def gate(jobs: DataFrame, level: Column | None = None) -> DataFrame:
-    return jobs.withColumn("skip_reason", skip_reason(level)).withColumn("viable", F.col("skip_reason").isNull())
+    """jobs with skip_reason, why a posting is not worth a call (null if it is), and viable. Uses title, description, location, source,
+    origin and pre_flagged_low_quality."""
+    text = F.col("_description")
+    phrase = senior_requirement(text, lower=True)
+    # a lock names a place, so a text without the first word of any has none
+    place = F.size(some_of(text, first_words(GEO_PLACES))) > 0
+    lock = F.when(_has(text, GEO_HINTS), F.when(place, F.regexp_substr(text, F.lit(GEO_LOCK))))
+    told = jobs.withColumns(_prepared()).withColumns({"_phrase": phrase, "_lock": lock}).withColumn("skip_reason", _reason(level))
+    return told.drop(*PREPARED, "_phrase", "_lock").withColumn("viable", F.col("skip_reason").isNull())
 
 
 def wants_web_search(text: Column) -> Column:

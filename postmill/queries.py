@@ -107,7 +107,9 @@ OWN_SQL = f"labelled AS (SELECT lang, place, {LETTERS_SQL('t')} AS t FROM (VALUE
 
 def _language_sql(column: str) -> str:
     """Needs a table called profile."""
-    text = LETTERS_SQL(f"substr({column}, 1, {languages.SAMPLE})")
+    some, k = f"substr({column}, 1, {languages.SAMPLE})", languages.STRETCH
+    three = f"concat_ws(' ', substr({some}, 1, {k}), substr({some}, CAST(floor((length({some}) - {k}) / 2) AS INT) + 1, {k}), substr({some}, length({some}) - {k} + 1, {k}))"
+    text = LETTERS_SQL(f"CASE WHEN length({some}) > {3 * k} THEN {three} ELSE {some} END")
     return f"(SELECT arg_min(lang, coalesce(list_sum(list_transform(slots, lambda s: penalties[s + 1])), 0) * 100 + place) FROM profile, (SELECT {SLOTS_SQL('u')} AS slots FROM (SELECT {CODES_SQL(text)} AS u)))"
 
 
