@@ -605,6 +605,19 @@ def similarity_summary(spark, sf_dir):
     return state.similarity_summary(W.jobs(spark, sf_dir).withColumn("similarity", F.col("similarity").cast("double")), ["user_id"]).withColumn("middle", F.round("middle", 6))
 
 
+@query(f"{J} SELECT user_id, count(similarity) AS n, CAST(min(similarity) AS DOUBLE) AS least, CAST(max(similarity) AS DOUBLE) AS most, true AS within FROM jobs GROUP BY 1 HAVING count(similarity) > 0")
+def similarity_sketch(spark, sf_dir):
+    """Sketches of three runs, merged: the share of a user's rows below the sketch's middle is a half, but for the stated error."""
+    jobs = W.jobs(spark, sf_dir).withColumn("similarity", F.col("similarity").cast("double"))
+    runs = [state.similarity_sketches(jobs.where(F.col("ord") % 3 == n), ["user_id"]) for n in range(3)]
+    merged = state.merged_sketches(runs[0].unionByName(runs[1]).unionByName(runs[2]), ["user_id"])
+    told = state.summary_of(merged, ["user_id"])
+    below = jobs.join(told, "user_id").groupBy("user_id").agg(F.count_if(F.col("similarity") < F.col("middle")).alias("below"), F.count_if(F.col("similarity") <= F.col("middle")).alias("upto"))
+    # each merge of runs may add the bound once more
+    slack = F.ceil(F.col("n") * 3 * state.SKETCH_ERROR) + 1
+    return merged.join(below, "user_id").select("user_id", "n", "least", "most", ((F.col("below") <= F.col("n") / 2 + slack) & (F.col("upto") >= F.col("n") / 2 - slack)).alias("within"))
+
+
 @query(f"{J} SELECT source, count(*) AS n FROM jobs GROUP BY 1")
 def source_counts(spark, sf_dir):
     return local.source_counts(W.jobs(spark, sf_dir))
@@ -680,6 +693,48 @@ def model_scoring(spark, sf_dir):
     return verdict.evaluate(gated, model, verdict.prompt(F.lit("profile"))).select("ord", "verdict.match_percentage", "verdict.verdict")
 
 
+TURNS = """WITH t AS (SELECT o_orderkey AS ord, o_orderkey % 4 AS p, o_orderkey % 3 AS s FROM orders),
+tried AS (SELECT *, p IN (1, 2) AS second_, p IN (1, 2) AND s <> 2 AS third_, p = 1 AND s = 1 AS fourth_ FROM t)"""
+
+
+def _asked(spark, sf_dir):
+    """Two models that fail by rule: the first is down for some prompts, at the first attempt for others; the second cannot take some
+    prompts at all and stumbles once over others."""
+
+    def first(prompts, attempt):
+        numbers = [int(p.rsplit(" ", 1)[1]) for p in prompts]
+        return [hooks.ModelError("503 UNAVAILABLE") if n % 4 == 1 else hooks.ModelError("429 slow down") if n % 4 == 2 and attempt == 0 else f"first {n}" for n in numbers]
+
+    def second(prompts, attempt):
+        numbers = [int(p.rsplit(" ", 1)[1]) for p in prompts]
+        return [hooks.ModelError("413 Request too large") if n % 3 == 0 else hooks.ModelError("boom") if n % 3 == 1 and attempt == 1 else f"second {n}" for n in numbers]
+
+    orders = W.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord")))
+    models = [hooks.Model("first", first), hooks.Model("second", second, size_is_final=True)]
+    return hooks.ask_in_turn(orders, F.concat(F.lit("prompt "), F.col("ord").cast("string")), models)
+
+
+@query(f"""{TURNS} SELECT ord, CASE WHEN p IN (0, 3) THEN concat('first ', ord) WHEN s = 2 THEN concat('second ', ord) WHEN p = 2 THEN concat('first ', ord) WHEN s = 1 THEN concat('second ', ord) END AS answer,
+  CASE WHEN p IN (0, 3) THEN 'first' WHEN s = 2 THEN 'second' WHEN p = 2 THEN 'first' WHEN s = 1 THEN 'second' END AS answer_model FROM tried""")
+def model_answers(spark, sf_dir):
+    return _asked(spark, sf_dir).select("ord", "answer", "answer_model")
+
+
+@query(f"""{TURNS} SELECT ord, 0 AS number, 'first' AS model, CASE WHEN second_ THEN 'retryable' ELSE 'ok' END AS kind FROM tried
+UNION ALL SELECT ord, 1, 'second', CASE s WHEN 0 THEN 'too_large' WHEN 1 THEN 'other' ELSE 'ok' END FROM tried WHERE second_
+UNION ALL SELECT ord, 2, 'first', CASE p WHEN 1 THEN 'retryable' ELSE 'ok' END FROM tried WHERE third_
+UNION ALL SELECT ord, 3, 'second', 'ok' FROM tried WHERE fourth_""")
+def model_attempts(spark, sf_dir):
+    return hooks.attempt_rows(_asked(spark, sf_dir), ["ord"]).select("ord", "number", "model", "kind")
+
+
+@query(f"{J} SELECT ord, CASE WHEN contains(title, 'Staff') THEN NULL ELSE concat(title, ' a ', title, ' b') END AS snippets, CASE WHEN contains(title, 'Staff') THEN 'quota' END AS error FROM jobs WHERE title IS NOT NULL UNION ALL SELECT ord, NULL, NULL FROM jobs WHERE title IS NULL")
+def snippet_hook(spark, sf_dir):
+    provider = lambda queries: [hooks.ModelError("quota") if "Staff" in q else [f"{q} a", f"{q} b", "c"] for q in queries]
+    jobs = hooks.with_snippets(W.jobs(spark, sf_dir), F.col("title"), provider, most=2)
+    return jobs.select("ord", F.nullif("snippets", F.lit("")).alias("snippets"), F.col("snippets_error").alias("error"))
+
+
 @query(f"{J} SELECT ord, {W.any_of("lower(concat(coalesce(location, ''), ' ', coalesce(company, '')))", V.INDIA_SIGNALS)} AS india, false AS scam FROM jobs")
 def india_scam_signals(spark, sf_dir):
     jobs = W.jobs(spark, sf_dir)
@@ -1359,7 +1414,15 @@ def company_lists(spark, sf_dir):
 
 @query(rf"""WITH w AS (SELECT ord, list_filter(regexp_split_to_array(lower(coalesce(description, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM ({W.select_sql(W.JOB, 'orders')}))
 SELECT ord, CASE WHEN len(w) > 0 THEN CAST(len(w) AS DOUBLE) END AS words FROM w""")
-def embedding_hook(spark, sf_dir):
+def hashed_words(spark, sf_dir):
     """The offline stand-in for a model; its counts add up to the words."""
     jobs = W.jobs(spark, sf_dir).select("ord", hooks.hashed_words(F.col("description")).alias("v"))
     return jobs.select("ord", F.when(F.col("v").isNotNull(), F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("words"))
+
+
+@query(f"{J} SELECT ord, CASE WHEN length(trim(description)) > 0 AND NOT contains(description, 'Short') THEN CAST(length(description) AS DOUBLE) END AS first, CASE WHEN contains(description, 'Short') THEN 'overloaded' END AS error FROM jobs")
+def embedding_hook(spark, sf_dir):
+    """A model in Arrow batches that fails for some texts."""
+    model = lambda texts: [hooks.ModelError("overloaded") if "Short" in t else [len(t), 1.0] for t in texts]
+    made = hooks.embedded(W.jobs(spark, sf_dir), F.col("description"), model)
+    return made.select("ord", F.col("embedding")[0].alias("first"), F.col("embedding_error").alias("error"))
