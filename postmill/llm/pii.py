@@ -6,7 +6,7 @@ context, all small integers; boosted trees score it, and each generator has a th
 
 The tables have no labelled spans, so the trees learn from LABELLED generated candidates: written forms that are personal
 data (addresses spelt with [at] and dot, phones without a plus or in national writing, card numbers in other
-groupings, addresses of machines with a port) and decoys (versions, dates, times, serial and order numbers, sums of money, card-like numbers
+groupings, addresses of machines with a port, social-security numbers) and decoys (versions, dates, times, serial and order numbers, sums of money, card-like numbers
 that fail Luhn's test, handles, file names), each behind words of its own or neutral ones. No base rule's verdict is a label. A
 candidate's part is drawn by hash of its number: LEARN of FOLDS parts grow the trees, the others calibrate the thresholds: the least score from which
 the share of personal data is at least precision.
@@ -21,8 +21,11 @@ or spans are replaced). Ties in score share a side of the threshold.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,9 @@ ROUNDS, DEPTH, RATE = 40, 4, 0.3
 #: A split needs so many candidates on each side.
 LEAST_SIDE = 20
 PRECISION = 0.98
+#: Trees and thresholds, learnt from the generated forms and kept beside this module.
+TREES = Path(__file__).with_name("pii_trees.json")
+_learnt: dict = {}
 
 
 def luhn(digits: Column) -> Column:
@@ -129,8 +135,9 @@ def features(m: Column, before: Column, kind: int) -> Column:
     return F.array(*[values[k].cast("int") for k in FEATURES])
 
 
-def generated(rows: int = LABELLED, seed: int = 7) -> list[tuple[int, str, int, int, int, int]]:
-    """id, text, start and size of a written form in it, the generator it is for, and 1 if it is personal data."""
+def generated(rows: int = LABELLED, seed: int = 7, left_out: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> list[tuple[int, str, int, int, int, int]]:
+    """id, text, start and size of a written form in it, the generator it is for, and 1 if it is personal data. left_out and only:
+    places of forms that are not, or alone, drawn from, to hold out whole forms."""
     r = random.Random(seed)
     number = lambda size, least=0: str(r.randrange(least, 10**size)).zfill(size)
     byte = lambda: str(r.randrange(256))
@@ -165,6 +172,8 @@ def generated(rows: int = LABELLED, seed: int = 7) -> list[tuple[int, str, int,
         (plain, lambda: r.choice(("look", "meet", "stop", "arrive")) + " at " + r.choice(("the", "page", "point", "noon")) + r.choice((".", " dot ")) + r.choice(("then", "figure", "we", "matrix", "plot")), 1, 0),
         (phones + plain, lambda: "({}) {}-{}".format(*area()), 0, 1),
         (phones + plain, lambda: "-".join(area()), 0, 1),
+        (("ssn ", "social security number ", "my ssn is ") + plain, lambda: f"{number(3, 100)}-{number(2, 10)}-{number(4, 1000)}", 0, 1),
+        (others, lambda: f"{number(3, 100)}-{number(2, 10)}-{number(4, 1000)}", 0, 0),
         (phones + plain, lambda: ".".join(area()), 0, 1),
         (phones, lambda: f"1 ({number(3, 200)}) {number(3, 200)}-{number(4)}", 0, 1),
         (phones, lambda: f"0{number(2, 20)} {number(3, 100)} {number(4)}", 0, 1),
@@ -186,6 +195,7 @@ def generated(rows: int = LABELLED, seed: int = 7) -> list[tuple[int, str, int,
         (others, lambda: f"978-{r.randrange(10)}-{number(4)}-{number(4)}-{r.randrange(10)}", 0, 0),
         (plain, lambda: " ".join(str(r.randrange(100)) for _ in range(8)), 0, 0),
     ]
+    forms = [x for i, x in enumerate(forms) if i not in left_out and (not only or i in only)]
     out = []
     for n in range(rows):
         cues, form, kind, personal = r.choice(forms)
@@ -194,9 +204,9 @@ def generated(rows: int = LABELLED, seed: int = 7) -> list[tuple[int, str, int,
     return out
 
 
-def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
+def labelled(spark: SparkSession, rows: int = LABELLED, left_out: tuple[int, ...] = ()) -> DataFrame:
     """kind, x, y, part of generated candidates: y is 1 for personal data. Equal on every run."""
-    texts = spark.createDataFrame(generated(rows), "id int, t string, own int, size int, kind int, y int")
+    texts = spark.createDataFrame(generated(rows, left_out=left_out), "id int, t string, own int, size int, kind int, y int")
     found = _candidates(texts.select(F.struct("id", "own", "size", "kind", "y").alias("row"), "t"))
     each = found.select("row", F.explode("candidates").alias("c"))
     # candidates of the generator that the form is for, which cover most of it
@@ -300,6 +310,26 @@ def learn(candidates: DataFrame, precision: float = PRECISION, rounds: int = ROU
     return trees, cuts
 
 
+def _key(precision: float) -> str:
+    """Names all that the trees depend on but for the code of the features: the generated texts, sizes and settings."""
+    told = [generated(), FEATURES, CUES, TOP_DOMAINS, CONTEXT, MAIL_LIKE, DIGITS, LABELLED, FOLDS, LEARN, ROUNDS, DEPTH, RATE, LEAST_SIDE, precision]
+    return hashlib.sha256(json.dumps(told).encode()).hexdigest()
+
+
+def learnt(spark: SparkSession, precision: float = PRECISION) -> tuple[list, dict[str, float]]:
+    """What learn() gives for labelled(): read from TREES if that was written for the same forms and settings, else learnt now, once
+    for each driver. `python -m postmill.llm.pii` writes TREES anew; a test holds it against learn()."""
+    key = _key(precision)
+    if key not in _learnt:
+        kept = json.loads(TREES.read_text()) if TREES.exists() else {}
+        if kept.get("key") == key:
+            tree = lambda x: (x[0], x[1], tree(x[2]), tree(x[3])) if isinstance(x, list) else x
+            _learnt[key] = [tree(x) for x in kept["trees"]], kept["cuts"]
+        else:
+            _learnt[key] = learn(labelled(spark), precision)
+    return _learnt[key]
+
+
 def score(x: Column, trees: list) -> Column:
     def expression(tree) -> Column:
         if not isinstance(tree, tuple):
@@ -317,7 +347,7 @@ def scan(docs: DataFrame, precision: float = PRECISION, keep: list[str] | None =
     """docs (or its columns named in keep) with base and spans: array<struct<start,ord,end,kind,match>>, spans with the
     method's kinds mail and digits."""
     rest = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
-    trees, cuts = learn(labelled(docs.sparkSession), precision)
+    trees, cuts = learnt(docs.sparkSession, precision)
     found = proposals(docs, rest)
 
     def over(a: Column, b: Column) -> Column:
@@ -339,3 +369,10 @@ def digest(found: DataFrame) -> DataFrame:
     """doc_id, count of each base kind, sha256 of the base spans, all spans as text and their number."""
     counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
+
+
+if __name__ == "__main__":
+    own = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
+    grown, limits = learn(labelled(own))
+    TREES.write_text(json.dumps({"key": _key(PRECISION), "cuts": limits, "trees": grown}, indent=None, separators=(",", ":")) + "\n")
+    own.stop()
