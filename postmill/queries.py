@@ -284,12 +284,17 @@ def combined_weight(spark, sf_dir):
     return W.flagged(spark, sf_dir).select("ord", F.round(weights.combined_weight(F.col("title"), F.col("pre_flagged_trusted")), 6).alias("weight"))
 
 
-@query("SELECT n_nationkey, 'Data Science, AI/ML, Odd Path' AS labels, 'data_science,devops' AS known FROM nation")
+PATH_KEYS, LABELS = list(V.PATH_LABELS), ", ".join(quoted(v) for v in V.PATH_LABELS.values())
+KEYS = ", ".join(map(quoted, PATH_KEYS))
+
+
+@query(f"""SELECT c_custkey, concat([{LABELS}][c_custkey % 13 + 1], ', ', [{LABELS}][c_custkey * 5 % 13 + 1], ', Odd Path') AS labels,
+CASE WHEN c_custkey % 13 = c_custkey * 5 % 13 THEN [{KEYS}][c_custkey % 13 + 1] ELSE concat([{KEYS}][c_custkey % 13 + 1], ',', [{KEYS}][c_custkey * 5 % 13 + 1]) END AS known FROM customer""")
 def path_labels(spark, sf_dir):
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    paths = F.array(*map(F.lit, ("data_science", "ai_ml", "odd_path")))
-    odd = F.array(*map(F.lit, ("data_science", "nothing", "data_science", "devops")))
-    return nation.select("n_nationkey", weights.path_labels(paths).alias("labels"), F.array_join(weights.known_paths(odd), ",").alias("known"))
+    customer, own = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.array(*map(F.lit, PATH_KEYS))
+    key = lambda n: F.get(own, (F.col("c_custkey") * n % len(PATH_KEYS)).cast("int"))
+    paths = F.array(key(1), key(5), F.lit("odd_path"))
+    return customer.select("c_custkey", weights.path_labels(paths).alias("labels"), F.array_join(weights.known_paths(F.array(key(1), F.lit("nothing"), key(1), key(5))), ",").alias("known"))
 
 
 VECTOR_SQL = "vectors AS (SELECT vec_id, embedding::DOUBLE[] AS e, count(*) OVER () AS n FROM embeddings), cv AS (SELECT e AS c FROM vectors WHERE vec_id = 0)"
@@ -668,12 +673,16 @@ def verdict_caps(spark, sf_dir):
     return verdict.judged(_verdicts(spark, sf_dir), F.col("answer")).select("ord", F.col("verdict").alias("v")).select("ord", F.col("v.match_percentage").alias("match"), "v.verdict", "v.suspicious", "v.is_valid", "v.tech_fit")
 
 
-NESTED = '{"a": "}{\\\\\\" x", "b": {"c": 1}}'
+NESTED = """concat('{"a": "}{\\" ', ord, ' ]", "b": {"c": "', company, '", "d": {"e": ', ord, '}}}')"""
 
 
-@query(f"{J} SELECT ord, {quoted(NESTED)} AS found FROM jobs")
+@query(f"{J} SELECT ord, CASE WHEN ord % 5 > 0 THEN {NESTED} END AS found FROM jobs")
 def balanced_json(spark, sf_dir):
-    return W.jobs(spark, sf_dir).select("ord", verdict.balanced_object(F.concat(F.lit("noise ] "), F.lit(NESTED), F.lit(" tail } {"), F.col("ord").cast("string"))).alias("found"))
+    """An object with braces in its strings, between noise of the row's own; each fifth row's object never ends."""
+    jobs = W.jobs(spark, sf_dir)
+    own = F.concat(F.lit('{"a": "}{\\" '), F.col("ord").cast("string"), F.lit(' ]", "b": {"c": "'), "company", F.lit('", "d": {"e": '), F.col("ord").cast("string"), F.lit("}}}"))
+    cut = F.when(F.col("ord") % 5 > 0, F.concat(own, F.lit(" tail } {"))).otherwise(F.substring(own, F.lit(1), F.length(own) - 1))
+    return jobs.select("ord", verdict.balanced_object(F.concat(F.lit("noise ] "), F.coalesce("title", F.lit("")), F.lit(" "), cut)).alias("found"))
 
 
 @query(f"{J} SELECT ord, CAST(round(tech_fit * 0.5 + 10 * 0.3 + 20 * 0.2, 6) AS DOUBLE) AS composite FROM jobs")
@@ -735,10 +744,14 @@ def snippet_hook(spark, sf_dir):
     return jobs.select("ord", F.nullif("snippets", F.lit("")).alias("snippets"), F.col("snippets_error").alias("error"))
 
 
-@query(f"{J} SELECT ord, {W.any_of("lower(concat(coalesce(location, ''), ' ', coalesce(company, '')))", V.INDIA_SIGNALS)} AS india, false AS scam FROM jobs")
+#: What a search may say of a company: two of the words, one, one that holds another, or none.
+REPORTS = "CASE ord % 4 WHEN 0 THEN 'they did not pay, a SCAM' WHEN 1 THEN 'fraud, it is said' WHEN 2 THEN 'a fraudulent posting' ELSE description END"
+
+
+@query(f"{J} SELECT ord, {W.any_of("lower(concat(coalesce(location, ''), ' ', coalesce(company, '')))", V.INDIA_SIGNALS)} AS india, ord % 4 IN (0, 2) AS scam FROM jobs")
 def india_scam_signals(spark, sf_dir):
-    jobs = W.jobs(spark, sf_dir)
-    return jobs.select("ord", text.has_any(F.concat_ws(" ", F.coalesce("location", F.lit("")), F.coalesce("company", F.lit(""))), V.INDIA_SIGNALS).alias("india"), (text.scam_hits(F.col("description"), V.SCAM_WORDS) >= 2).alias("scam"))
+    jobs = W.jobs(spark, sf_dir).withColumn("told", F.expr(REPORTS))
+    return jobs.select("ord", text.has_any(F.concat_ws(" ", F.coalesce("location", F.lit("")), F.coalesce("company", F.lit(""))), V.INDIA_SIGNALS).alias("india"), (text.scam_hits(F.col("told"), V.SCAM_WORDS) >= 2).alias("scam"))
 
 
 # text, addresses, hashes
@@ -801,16 +814,20 @@ def token_hash(spark, sf_dir):
     return W.users(spark, sf_dir).select("user_id", hashing.token_hash(F.col("user_id")).alias("hash"), hashing.cv_key(F.col("cv_text")).alias("cv_key"))
 
 
-@query("SELECT r_regionkey, 'b,e' AS own, 'a,b' AS keys FROM region")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat('b', c_custkey, ',e', c_custkey) WHEN 1 THEN concat('b', c_custkey) ELSE concat('a', c_custkey) END AS own, CASE WHEN c_custkey % 4 = 1 THEN 'k1' ELSE concat('k', c_custkey % 4, ',k1') END AS keys FROM customer")
 def shard_slice(spark, sf_dir):
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return region.select("r_regionkey", F.array_join(hashing.strided(F.lit("a, b,c ,d,e,"), 1, 3), ",").alias("own"), F.array_join(hashing.key_list(F.lit("a,b, a,,b")), ",").alias("keys"))
+    k = F.col("c_custkey").cast("string")
+    entry = lambda *names: F.concat(*[x for n in names for x in (F.lit(n), k, F.lit(","))])
+    csv = F.when(F.col("c_custkey") % 3 == 0, entry(" a", "b", "c", " d", "e")).when(F.col("c_custkey") % 3 == 1, entry("a", " b")).otherwise(entry(" ,a"))
+    again = F.concat(F.lit("k"), (F.col("c_custkey") % 4).cast("string"), F.lit(",k1, k"), (F.col("c_custkey") % 4).cast("string"), F.lit(",, k1"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array_join(hashing.strided(csv, 1, 3), ",").alias("own"), F.array_join(hashing.key_list(again), ",").alias("keys"))
 
 
-@query(f"{U} SELECT user_id, concat(substr(user_id, 1, 1), '***', CASE WHEN length(user_id) > 2 THEN right(user_id, 1) ELSE '' END, '@example.com') AS email, 'owner/name' AS repo FROM users")
+@query(f"{U} SELECT user_id, concat(substr(user_id, 1, 1), '***', CASE WHEN length(user_id) > 2 THEN right(user_id, 1) ELSE '' END, '@example.com') AS email, concat(user_id, '/name', length(user_id)) AS repo FROM users")
 def redaction(spark, sf_dir):
     u = W.users(spark, sf_dir)
-    return u.select("user_id", text.redact_email(F.concat("user_id", F.lit("@example.com"))).alias("email"), text.normalize_repo(F.lit(" https://github.com/owner/name.git ")).alias("repo"))
+    address = F.concat(F.lit(" https://github.com/"), "user_id", F.lit("/name"), F.length("user_id").cast("string"), F.lit(".git "))
+    return u.select("user_id", text.redact_email(F.concat("user_id", F.lit("@example.com"))).alias("email"), text.normalize_repo(address).alias("repo"))
 
 
 # digests
@@ -847,6 +864,31 @@ def digest_text(spark, sf_dir):
     return render.digest(_digest_rows(spark, sf_dir), ["user_id"], "text").select("user_id", F.md5("document").alias("document"))
 
 
+def _section_sql(name: str, optional: bool, title: str) -> str:
+    rows = f"string_agg({HTML}, '' ORDER BY rank) FILTER (section = '{name}')"
+    n = f"count(*) FILTER (section = '{name}')"
+    table = f"concat({quoted(render.FORMATS['html'][1])}, {rows}, '</table>')"
+    body = f"concat('<h2>{title} (', {n}, ')</h2>', CASE WHEN {n} > 0 THEN {table} ELSE '<p>{render.NOTHING}</p>' END)"
+    return f"CASE WHEN {n} > 0 THEN {body} ELSE '' END" if optional else body
+
+
+ASKED = "CASE WHEN substr(user_id, 2)::INT % 3 > 0 THEN concat('<p><a href=\"https://example.com/f?a=1&amp;u=', user_id, '\">" + render.ASK + "</a></p>') ELSE '' END"
+
+
+@query(f"""{FL}, r AS (SELECT *, CASE WHEN contains(lower(coalesce(title, '')), 'intern') OR job_type = 'internship' THEN 'internship' WHEN ord % 4 = 0 AND substr(user_id, 2)::INT % 2 = 0 THEN 'lower' ELSE 'job' END AS section,
+  row_number() OVER (PARTITION BY user_id ORDER BY ord) AS rank FROM flagged QUALIFY rank <= 12), s AS (SELECT user_id, count(*) AS scraped, count(*) FILTER (ord % 2 = 0) AS filtered FROM jobs GROUP BY 1)
+SELECT user_id, CAST(count(*) FILTER (section <> 'lower') AS INT) AS n, md5(concat({quoted(render.FRAMES['html'][0])}, '<p>Scraped: ', any_value(scraped), ', filtered to: ', any_value(filtered), ', shown: ', count(*) FILTER (section <> 'lower'), '</p>', {ASKED},
+  {', '.join(_section_sql(name, optional, title) for name, title, optional in render.SECTIONS)}, {ASKED}, '</body></html>')) AS document FROM r JOIN s USING (user_id) GROUP BY user_id""")
+def digest_document(spark, sf_dir):
+    """Whole digests: run counts, feedback links, internships, jobs and what was found below the cut."""
+    rows = _digest_rows(spark, sf_dir)
+    lower = (F.col("ord") % 4 == 0) & (F.substring("user_id", 2, 9).cast("int") % 2 == 0)
+    rows = rows.withColumn("section", F.when(ranking.is_internship(F.col("title"), F.col("job_type")), "internship").when(lower, "lower").otherwise("job"))
+    stats = W.jobs(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("scraped"), F.count_if(F.col("ord") % 2 == 0).alias("filtered"))
+    link = F.when(F.substring("user_id", 2, 9).cast("int") % 3 > 0, F.concat(F.lit("https://example.com/f?a=1&u="), "user_id"))
+    return render.document(rows, stats, ["user_id"], "html", link).select("user_id", "n", F.md5("document").alias("document"))
+
+
 @query("SELECT n_nationkey, concat(CASE n_nationkey WHEN 0 THEN 'No strong matches today' WHEN 1 THEN '1 job matches your CV' ELSE concat(n_nationkey, ' jobs match your CV') END, ' (Jan 20)') AS subject FROM nation")
 def email_subject(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -1101,11 +1143,17 @@ def feedback_tokens(spark, sf_dir):
     return preferences.valid_tokens(made, W.now()).select("user_id", "token_hash")
 
 
-@query(f"{J} SELECT ord, lower(origin) AS origin, CASE WHEN length(trim(coalesce(title, ''))) > 0 THEN trim(title) END AS title, CAST(least(100, tech_fit) AS INT) AS tech_fit, NULL::STRING AS ai_verdict, false AS ai_evaluated FROM jobs")
+RESULT_SQL = "lower(origin) AS origin, CASE WHEN length(trim(coalesce(title, ''))) > 0 THEN trim(title) END AS title, CAST(least(100, tech_fit) AS INT) AS tech_fit"
+
+
+@query(f"""{J} SELECT ord, {RESULT_SQL}, concat('told ', ord) AS ai_verdict, ord % 3 = 0 AS is_valid, true AS ai_evaluated FROM jobs WHERE ord % 2 = 0
+UNION ALL SELECT ord, {RESULT_SQL}, NULL, NULL, false FROM jobs WHERE ord % 2 = 1""")
 def result_rows(spark, sf_dir):
-    v = F.struct(*[F.col("tech_fit").alias(n) for n in ("tech_fit", "experience_fit", "logistics_fit", "match_percentage")], F.lit("ok").alias("verdict"), F.lit(True).alias("is_valid"), F.lit("high").alias("effort"))
+    """Evaluated and lower-ranked postings of a run."""
+    v = F.struct(*[F.col("tech_fit").alias(n) for n in ("tech_fit", "experience_fit", "logistics_fit", "match_percentage")], F.concat(F.lit("told "), F.col("ord").cast("string")).alias("verdict"), (F.col("ord") % 3 == 0).alias("is_valid"), F.lit("high").alias("effort"))
     jobs = W.jobs(spark, sf_dir).withColumns({"verdict": v, "run_id": F.lit("r"), "job_url": F.col("ord").cast("string")})
-    return state.result_rows(jobs, "r", False).select(F.col("job_url").cast("bigint").alias("ord"), "origin", "title", "tech_fit", "ai_verdict", "ai_evaluated")
+    rows = state.result_rows(jobs.where("ord % 2 = 0"), "r", True).unionByName(state.result_rows(jobs.where("ord % 2 = 1"), "r", False))
+    return rows.select(F.col("job_url").cast("bigint").alias("ord"), "origin", "title", "tech_fit", "ai_verdict", "is_valid", "ai_evaluated")
 
 
 @query(f"{J} SELECT user_id, count(*) AS shown FROM jobs WHERE {NUMBER} IS NULL OR {NUMBER} < 0 OR {NUMBER} >= 55 GROUP BY user_id")
