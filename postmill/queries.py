@@ -920,105 +920,142 @@ def keyed_overwrite(spark, sf_dir):
 # payloads: rows become a payload, and parsing it gives the rows again
 
 
-def _payloads(spark, sf_dir, item, field=None, extra=()):
-    rows = W.jobs(spark, sf_dir).where("title is not null")
+def _payloads(spark, sf_dir, item, field=None, extra=(), where="true"):
+    """Rows in lists of up to a 97th, each list a payload; null fields are missing there."""
+    rows = W.jobs(spark, sf_dir).where(where)
     body = F.collect_list(item)
     return rows.groupBy((F.col("ord") % 97).alias("g"), *extra).agg(F.to_json(F.struct(body.alias(field)) if field else body).alias("payload"))
 
 
-NAMES = "title, company, location, job_url"
-ROWS = f"{J} SELECT coalesce(title, '') AS title, coalesce(company, '') AS company, {{place}} AS location, job_url FROM jobs WHERE title IS NOT NULL"
-PLAIN, REMOTE = ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote/Unspecified' ELSE location END"), ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' ELSE location END")
+#: A day and a text of each row, in both languages.
+DAY, ABOUT = "concat('2024-01-', lpad(CAST(ord % 28 + 1 AS STRING), 2, '0'))", "concat('About ', ord, ' & more')"
+SEVEN = "title, company, location, job_url, description, job_type, date_posted".split(", ")
 
 
-def _four(df):
-    return df.select("title", "company", "location", "job_url")
+def _rows_sql(place: str, url: str = "job_url", about: str = "coalesce(description, '')", kind: str = "''", day: str = DAY, where: str = "true", company: str = "coalesce(company, '')") -> str:
+    return f"{J} SELECT coalesce(title, '') AS title, {company} AS company, {place} AS location, {url} AS job_url, {about} AS description, {kind} AS job_type, {day} AS date_posted FROM jobs WHERE {where}"
+
+
+UNSPECIFIED = "CASE WHEN coalesce(location, '') = '' THEN 'Remote/Unspecified' ELSE location END"
+FULL = {"kind": "'fulltime'", "about": ABOUT}
+
+
+def _seven(df):
+    return df.select(*SEVEN)
 
 
 def _s(**names):
     return F.struct(*[c.alias(n) for n, c in names.items()])
 
 
-@query(ROWS.format(place="coalesce(location, 'Remote')"))
+@query(_rows_sql("coalesce(location, 'Remote')"))
 def parse_remotive(spark, sf_dir):
-    item = _s(title=F.col("title"), company_name=F.col("company"), candidate_required_location=F.col("location"), url=F.col("job_url"))
-    return _four(feeds.remotive(_payloads(spark, sf_dir, item, "jobs")))
+    item = _s(title=F.col("title"), company_name=F.col("company"), candidate_required_location=F.col("location"), url=F.col("job_url"), description=F.col("description"), publication_date=F.expr(DAY))
+    return _seven(feeds.remotive(_payloads(spark, sf_dir, item, "jobs")))
 
 
-@query(ROWS.format(place="'Remote'") + " AND ord % 3 = 0")
+@query(_rows_sql("'Remote'", day="CAST(1700000000 + ord AS STRING)", where="ord % 3 = 0"))
 def parse_arbeitnow(spark, sf_dir):
-    item = _s(title=F.col("title"), company_name=F.col("company"), remote=F.col("ord") % 3 == 0, url=F.col("job_url"), created_at=F.col("ord"))
-    return _four(feeds.arbeitnow(_payloads(spark, sf_dir, item, "data")))
+    item = _s(title=F.col("title"), company_name=F.col("company"), remote=F.when(F.col("ord") % 3 == 0, True).when(F.col("ord") % 3 == 1, False), url=F.col("job_url"), description=F.col("description"), created_at=F.col("ord") + 1700000000)
+    return _seven(feeds.arbeitnow(_payloads(spark, sf_dir, item, "data")))
 
 
-@query(ROWS.format(place="coalesce(location, 'Remote')") + " AND ord % 3 <> 1")
+@query(_rows_sql("coalesce(location, 'Remote')", where="ord % 4 <> 1"))
 def parse_jobicy(spark, sf_dir):
-    industry = F.when(F.col("ord") % 3 == 0, F.array(F.lit("Software"))).when(F.col("ord") % 3 == 1, F.array(F.lit("Hotels"))).otherwise(F.array().cast("array<string>"))
-    item = _s(jobTitle=F.col("title"), companyName=F.col("company"), jobGeo=F.col("location"), url=F.col("job_url"), jobIndustry=industry)
-    return _four(feeds.jobicy(_payloads(spark, sf_dir, item, "jobs")))
+    k = F.col("ord") % 4
+    industry = F.when(k == 0, F.array(F.lit("Hotels"), F.lit("Software"))).when(k == 1, F.array(F.lit("Hotels"))).when(k == 2, F.array().cast("array<string>"))
+    item = _s(jobTitle=F.col("title"), companyName=F.col("company"), jobGeo=F.col("location"), url=F.col("job_url"), jobIndustry=industry, jobDescription=F.col("description"), pubDate=F.expr(DAY))
+    return _seven(feeds.jobicy(_payloads(spark, sf_dir, item, "jobs")))
 
 
-@query(ROWS.format(place="coalesce(location, 'Remote')") + " AND ord % 3 <> 0")
+@query(_rows_sql("coalesce(location, 'Remote')", where="ord % 3 <> 0"))
 def parse_remoteok(spark, sf_dir):
-    item = _s(position=F.col("title"), company=F.col("company"), location=F.col("location"), url=F.col("job_url"), legal=F.when(F.col("ord") % 3 == 0, "terms"))
-    return _four(feeds.remoteok(_payloads(spark, sf_dir, item)))
+    item = _s(position=F.col("title"), company=F.col("company"), location=F.col("location"), url=F.col("job_url"), legal=F.when(F.col("ord") % 3 == 0, "terms"), description=F.col("description"), date=F.expr(DAY))
+    return _seven(feeds.remoteok(_payloads(spark, sf_dir, item)))
 
 
-@query(ROWS.format(place="CASE WHEN coalesce(location, '') = '' THEN 'Remote' WHEN ord % 8 = 0 THEN concat(location, ', EU') ELSE location END"))
+@query(_rows_sql("CASE WHEN coalesce(location, '') = '' THEN 'Remote' WHEN ord % 8 = 0 THEN concat(location, ', EU') ELSE location END", about="CASE WHEN ord % 3 = 0 THEN concat('Excerpt ', ord) ELSE coalesce(description, '') END"))
 def parse_himalayas(spark, sf_dir):
-    rows = W.jobs(spark, sf_dir).where("title is not null")
-    item = lambda place: F.to_json(_s(title=F.col("title"), companyName=F.col("company"), locationRestrictions=place, guid=F.col("job_url"), applicationLink=F.lit("")))
+    excerpt, third = F.concat(F.lit("Excerpt "), F.col("ord").cast("string")), F.col("ord") % 3 == 0
+    texts = {"description": F.when(~third, F.coalesce("description", F.lit(""))).otherwise(""), "excerpt": F.when(third, excerpt).otherwise("")}
+    item = lambda place: F.to_json(_s(title=F.col("title"), companyName=F.col("company"), locationRestrictions=place, guid=F.col("job_url"), applicationLink=F.lit(""), pubDate=F.expr(DAY), **texts))
     some = F.coalesce("location", F.lit("")) != ""
     one = F.when((F.col("ord") % 8 == 0) & some, item(F.array(F.col("location"), F.lit("EU")))).otherwise(item(F.col("location")))
-    payloads = rows.groupBy(F.col("ord") % 97).agg(F.concat(F.lit('{"jobs": ['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("payload"))
-    return _four(feeds.himalayas(payloads))
+    payloads = W.jobs(spark, sf_dir).groupBy(F.col("ord") % 97).agg(F.concat(F.lit('{"jobs": ['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("payload"))
+    return _seven(feeds.himalayas(payloads))
 
 
-@query(PLAIN)
+@query(_rows_sql(UNSPECIFIED))
 def parse_themuse(spark, sf_dir):
-    item = _s(name=F.col("title"), company=_s(name=F.col("company")), locations=F.array(_s(name=F.col("location"))), refs=_s(landing_page=F.col("job_url")))
-    return _four(feeds.themuse(_payloads(spark, sf_dir, item, "results")))
+    item = _s(name=F.col("title"), company=_s(name=F.col("company")), locations=F.array(_s(name=F.col("location"))), refs=_s(landing_page=F.col("job_url")), contents=F.col("description"), publication_date=F.expr(DAY))
+    return _seven(feeds.themuse(_payloads(spark, sf_dir, item, "results")))
+
 
+TITLED = "coalesce(CASE WHEN ord % 7 = 0 THEN title ELSE company || ': ' || title END, '')"
 
-@query(ROWS.format(place="'Remote'").replace("coalesce(title, '') AS title", "CASE WHEN contains(title, ': ') AND ord % 8 = 0 THEN title ELSE title END AS title").replace("coalesce(company, '') AS company", "trim(company) AS company"))
+
+@query(f"{J} SELECT CASE WHEN at > 0 THEN trim(substr(raw, at + 1)) ELSE trim(raw) END AS title, CASE WHEN at > 0 THEN trim(substr(raw, 1, at - 1)) ELSE '' END AS company, 'Remote' AS location, job_url, coalesce(description, '') AS description, '' AS job_type, {DAY} AS date_posted FROM (SELECT *, {TITLED} AS raw, instr({TITLED}, ':') AS at FROM jobs)")
 def parse_weworkremotely(spark, sf_dir):
-    rows = W.jobs(spark, sf_dir).where("title is not null")
-    return _four(feeds.weworkremotely(rows.select(F.concat("company", F.lit(": "), "title").alias("title"), F.col("job_url").alias("link"))))
+    """Titles with a company before them, and some without."""
+    titled = F.when(F.col("ord") % 7 == 0, F.col("title")).otherwise(F.concat("company", F.lit(": "), "title"))
+    rows = W.jobs(spark, sf_dir).select(titled.alias("title"), F.col("job_url").alias("link"), F.when(F.col("ord") % 2 == 0, F.col("description")).alias("summary"), F.when(F.col("ord") % 2 == 1, F.col("description")).alias("description"), F.expr(DAY).alias("pubDate"))
+    return _seven(feeds.weworkremotely(rows))
+
 
+def _ats(spark, sf_dir, system, item, field=None, token="", where="true"):
+    p = _payloads(spark, sf_dir, item, field, ["company"], where).withColumns({"token": F.lit(token), "system": F.lit(system)})
+    return _seven(ats.dispatch(p))
 
-def _ats(spark, sf_dir, system, item, field=None, token=""):
-    p = _payloads(spark, sf_dir, item, field, ["company"]).withColumns({"token": F.lit(token), "system": F.lit(system)})
-    return _four(ats.dispatch(p))
 
+def _either(name_a, name_b, value):
+    """The value under the first name for even rows, under the second for odd ones."""
+    even = F.col("ord") % 2 == 0
+    return {name_a: F.when(even, value), name_b: F.when(~even, value)}
 
-@query(PLAIN)
+
+@query(_rows_sql(UNSPECIFIED, **FULL))
 def parse_greenhouse(spark, sf_dir):
-    return _ats(spark, sf_dir, "greenhouse", _s(title=F.col("title"), absolute_url=F.col("job_url"), location=_s(name=F.col("location")), content=F.lit("&lt;p&gt;x")), "jobs")
+    content = F.concat(F.lit("&lt;p&gt;About "), F.col("ord").cast("string"), F.lit(" &amp;amp; more&lt;/p&gt;&lt;script&gt;x&lt;/script&gt;"))
+    return _ats(spark, sf_dir, "greenhouse", _s(title=F.col("title"), absolute_url=F.col("job_url"), location=_s(name=F.col("location")), content=content, **_either("updated_at", "first_published", F.expr(DAY))), "jobs")
 
 
-@query(PLAIN)
+@query(_rows_sql(UNSPECIFIED, day="strftime(make_timestamp((1700000000 + ord) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')", **FULL))
 def parse_lever(spark, sf_dir):
-    return _ats(spark, sf_dir, "lever", _s(text=F.col("title"), hostedUrl=F.col("job_url"), categories=_s(location=F.col("location")), createdAt=F.lit(1700000000000)))
+    item = _s(text=F.col("title"), hostedUrl=F.col("job_url"), categories=_s(location=F.col("location")), createdAt=(F.col("ord") + 1700000000) * 1000, **_either("descriptionPlain", "description", F.expr(ABOUT)))
+    return _ats(spark, sf_dir, "lever", item)
 
 
-@query(ROWS.format(place="concat_ws(', ', nullif(location, ''), 'Earth')").replace("job_url FROM", "concat('https://apply.workable.com/acme/j/', ord, '/') AS job_url FROM"))
+@query(_rows_sql("concat_ws(', ', nullif(location, ''), 'Earth')", "concat('https://apply.workable.com/acme/j/', ord, '/')", **FULL))
 def parse_workable(spark, sf_dir):
-    return _ats(spark, sf_dir, "workable", _s(title=F.col("title"), shortcode=F.col("ord").cast("string"), city=F.col("location"), location=_s(city=F.col("location"), country=F.lit("Earth"))), "jobs", "acme")
+    item = _s(title=F.col("title"), location=_s(city=F.col("location"), country=F.lit("Earth")), description=F.expr(ABOUT), **_either("shortcode", "id", F.col("ord").cast("string")), **_either("published_on", "created_at", F.expr(DAY)))
+    return _ats(spark, sf_dir, "workable", item, "jobs", "acme")
 
 
-@query(PLAIN)
+@query(_rows_sql(UNSPECIFIED, about=ABOUT, kind="CASE WHEN ord % 3 = 0 THEN 'internship' ELSE 'fulltime' END"))
 def parse_ashby(spark, sf_dir):
-    return _ats(spark, sf_dir, "ashby", _s(title=F.col("title"), jobUrl=F.col("job_url"), location=F.col("location"), employmentType=F.lit("Intern")), "jobs")
+    kind = F.when(F.col("ord") % 3 == 0, "Intern").when(F.col("ord") % 3 == 1, "FullTime")
+    item = _s(title=F.col("title"), location=F.col("location"), employmentType=kind, **_either("jobUrl", "applyUrl", F.col("job_url")), **_either("descriptionPlain", "descriptionHtml", F.expr(ABOUT)), **_either("publishedAt", "updatedAt", F.expr(DAY)))
+    return _ats(spark, sf_dir, "ashby", item, "jobs")
 
 
-@query(PLAIN.replace("job_url FROM", "concat('https://t.wd5.myworkdayjobs.com/site/job/', ord) AS job_url FROM"))
+@query(_rows_sql(UNSPECIFIED, "concat('https://t.wd5.myworkdayjobs.com/site/job/', ord)", "''", "'fulltime'"))
 def parse_workday(spark, sf_dir):
-    return _ats(spark, sf_dir, "workday", _s(title=F.col("title"), externalPath=F.concat(F.lit("/job/"), F.col("ord").cast("string")), locationsText=F.col("location")), "jobPostings", "t|wd5|site")
+    item = _s(title=F.col("title"), externalPath=F.concat(F.lit("/job/"), F.col("ord").cast("string")), locationsText=F.col("location"), postedOn=F.expr(DAY))
+    return _ats(spark, sf_dir, "workday", item, "jobPostings", "t|wd5|site")
 
 
-@query(PLAIN)
+@query(_rows_sql("CASE WHEN coalesce(location, '') = '' THEN 'Remote/Unspecified' WHEN ord % 97 % 3 = 1 THEN concat(location, ', EU') ELSE location END", about=ABOUT, kind="CASE WHEN ord % 5 = 0 THEN 'internship' ELSE 'fulltime' END"))
 def parse_factorialhr(spark, sf_dir):
-    return _ats(spark, sf_dir, "factorialhr", _s(title=F.col("title"), url=F.col("job_url"), location=F.col("location")), "data", "acme")
+    """The three shapes of a payload, each with its own shape of places: a text, a list of objects, an object."""
+    kind = F.when(F.col("ord") % 5 == 0, "Internship contract")
+    some = F.coalesce("location", F.lit("")) != ""
+    shapes = ((None, {"location": F.col("location")}), ("jobs", {"locations": F.when(some, F.array(_s(name=F.col("location"), city=F.lit("x")), _s(name=F.lit(None).cast("string"), city=F.lit("EU"))))}), ("data", {"city": F.when(some, _s(name=F.col("location")))}))
+    out = None
+    for n, (field, place) in enumerate(shapes):
+        item = _s(url=F.col("job_url"), **place, **_either("title", "name", F.col("title")), **_either("description", "description_plain", F.expr(ABOUT)), **_either("published_at", "created_at", F.expr(DAY)), **_either("employment_type", "contract_type", kind))
+        own = _ats(spark, sf_dir, "factorialhr", item, field, "acme", f"ord % 97 % 3 = {n}")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 HINT = "CASE page_id % 5 WHEN 0 THEN 'https://boards.greenhouse.io/acme' WHEN 1 THEN 'https://Acme.WD5.myworkdayjobs.com/en-US/Careers' WHEN 2 THEN 'https://jobs.lever.co/acme-co' WHEN 3 THEN 'https://acme.bamboohr.com/x' ELSE '' END"
@@ -1050,10 +1087,14 @@ def parse_telegram(spark, sf_dir):
     return rows.select(F.col("company").cast("bigint").alias("page_id"), "title", "job_url")
 
 
-@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*/[^\"]+)\"', 1))) AS INT) AS links FROM pages")
+@query(f"""WITH own AS (SELECT page_id, concat(html, list_reduce(list_transform(range(page_id % 60), lambda k: concat('<a href="https://x.example/jobs/', k % 50, '">')), lambda a, b: concat(a, b), '')) AS html FROM pages)
+SELECT page_id, CAST(least({local.MOST_LINKS}, len(list_distinct(regexp_extract_all(html, 'href="([^"]*/jobs?/[^"]+)"', 1)))) AS INT) AS links FROM own""")
 def detail_links(spark, sf_dir):
+    """Listings of up to 59 postings, some of them named twice."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select("page_id", F.size(local.detail_links(F.col("html"), r'href="([^"]*/[^"]+)"', 1000)).alias("links"))
+    n = (F.col("page_id") % 60).cast("int")
+    listed = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.concat(F.lit('<a href="https://x.example/jobs/'), (k % 50).cast("string"), F.lit('">')))
+    return p.select("page_id", F.size(local.detail_links(F.concat("html", F.array_join(listed, "")))).alias("links"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'first' ELSE 'second' END AS provider FROM nation")
@@ -1438,7 +1479,7 @@ def parse_extracted(spark, sf_dir):
     rows = W.jobs(spark, sf_dir)
     item = _s(title=F.col("title"), location=F.col("location"), url=F.col("job_url"), description=F.lit("d"))
     answers = rows.groupBy(F.trim("company").alias("company"), (F.col("ord") % 97).alias("g")).agg(F.concat(F.lit("Sure!\n```json\n"), F.to_json(F.struct(F.collect_list(item).alias("jobs"))), F.lit("\n```")).alias("payload"))
-    return _four(feeds.extracted(answers))
+    return feeds.extracted(answers).select("title", "company", "location", "job_url")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ddg_linkedin' ELSE 'ddg_website' END AS source FROM pages WHERE page_id % 2 = 1 OR page_id % 4 = 0")
