@@ -994,7 +994,7 @@ def parse_themuse(spark, sf_dir):
 TITLED = "coalesce(CASE WHEN ord % 7 = 0 THEN title ELSE company || ': ' || title END, '')"
 
 
-@query(f"{J} SELECT CASE WHEN at > 0 THEN trim(substr(raw, at + 1)) ELSE trim(raw) END AS title, CASE WHEN at > 0 THEN trim(substr(raw, 1, at - 1)) ELSE '' END AS company, 'Remote' AS location, job_url, coalesce(description, '') AS description, '' AS job_type, {DAY} AS date_posted FROM (SELECT *, {TITLED} AS raw, instr({TITLED}, ':') AS at FROM jobs)")
+@query(f"{J} SELECT CASE WHEN colon > 0 THEN trim(substr(raw, colon + 1)) ELSE trim(raw) END AS title, CASE WHEN colon > 0 THEN trim(substr(raw, 1, colon - 1)) ELSE '' END AS company, 'Remote' AS location, job_url, coalesce(description, '') AS description, '' AS job_type, {DAY} AS date_posted FROM (SELECT *, {TITLED} AS raw, instr({TITLED}, ':') AS colon FROM jobs)")
 def parse_weworkremotely(spark, sf_dir):
     """Titles with a company before them, and some without."""
     titled = F.when(F.col("ord") % 7 == 0, F.col("title")).otherwise(F.concat("company", F.lit(": "), "title"))
