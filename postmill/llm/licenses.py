@@ -26,7 +26,14 @@ from postmill.llm.common import lower_ascii, stored, whole_text
 #: The base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: label, mandatory key phrase, notice.
+#: Label and words of each licence's short identifier, which files give behind `SPDX-License-Identifier`.
+IDENTIFIERS = (("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("bsd", "bsd"), ("mpl-2.0", "mpl 2 0"), ("cc-by", "cc by"), ("cc0", "cc0"), ("isc", "isc"), ("unlicense", "unlicense"))
+#: Label and heading of a licence's own text.
+HEADINGS = (
+    ("mit", "mit license"), ("apache-2.0", "apache license version 2 0"), ("gpl", "gnu general public license"), ("lgpl", "gnu lesser general public license"), ("agpl", "gnu affero general public license"),
+    ("bsd", "bsd 2 clause license"), ("bsd", "bsd 3 clause license"), ("mpl-2.0", "mozilla public license version 2 0"), ("cc-by", "creative commons attribution 4 0 international"), ("cc0", "cc0 1 0 universal"), ("isc", "isc license"), ("unlicense", "the unlicense"),
+)
+#: label, mandatory key phrase, notice: one-sentence notices, then headings and identifiers, which are their own key.
 TEMPLATES = (
     ("mit", "mit license", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -45,6 +52,8 @@ TEMPLATES = (
     ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose"),
     ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved", "copyright all rights reserved"),
+    *((label, heading, heading) for label, heading in HEADINGS),
+    *((label, f"spdx license identifier {words}", f"spdx license identifier {words}") for label, words in IDENTIFIERS),
 )
 #: Words of the templates that any text has; they are not indexed.
 COMMON = frozenset("the is of to a any and this with you may not for as by it or under at in an on use be must above list following free file files charge person work terms into no 0 1 2 3 4 v".split())
