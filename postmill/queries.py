@@ -691,7 +691,13 @@ def composite_score(spark, sf_dir):
     return W.jobs(spark, sf_dir).select("ord", F.round(verdict.composite(v).cast("double"), 6).alias("composite"))
 
 
-@query()
+PROMPTED = "length(concat('Rate how the candidate fits the posting.', chr(10), 'Candidate:', chr(10), 'profile', chr(10), 'Posting: ', coalesce(title, ''), ' at ', coalesce(company, ''), ', ', coalesce(location, ''), chr(10), substr(coalesce(description, ''), 1, 5000))) % 100"
+
+
+@query(f"""{FL}, parts AS (SELECT ord, low, title, company, location, description, lower(coalesce(title, '')) AS t, lower(coalesce(description, '')) AS d, trim(lower(coalesce(description, ''))) AS b, lower(coalesce(source, '')) AS s, lower(coalesce(origin, '')) AS o, trim(coalesce(location, '')) AS place FROM flagged),
+needs AS (SELECT *, trim({_requirement_sql()}) AS need FROM parts), g AS (SELECT *, {REASON} AS reason, {PROMPTED} AS told FROM needs)
+SELECT ord, CAST(CASE WHEN reason IS NOT NULL THEN 0 WHEN coalesce(low, false) THEN least(55, told) ELSE told END AS INT) AS match_percentage,
+  CASE WHEN reason IS NOT NULL THEN concat('Pre-screen skipped: ', reason) WHEN coalesce(low, false) THEN '[BLACKLISTED] ok' ELSE 'ok' END AS verdict FROM g""")
 def model_scoring(spark, sf_dir):
     def model(prompts):
         import pandas as pd
