@@ -69,26 +69,22 @@ def digest(jobs: DataFrame, keys: list[str], kind: str, rank: str = "rank") -> D
 #: Parts of a full digest in order: name, heading, and whether it is left out when empty.
 SECTIONS = (("internship", "Internships", False), ("job", "Jobs", False), ("lower", "Also found", True))
 NOTHING, ASK = "Nothing new today.", "Tell us which of these fit"
-#: Of each format: what goes round the document, headings, lines and links.
+#: Of each format: what the document begins and ends with, and what stands before and after a heading and a line.
 FRAMES = {
-    "html": ('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>', "</body></html>", "<h2>{}</h2>", "<p>{}</p>", '<a href="{}">{}</a>'),
-    "markdown": ("", "", "### {}\n\n", "{}\n\n", "[{1}]({0})"),
-    "text": ("", "", "{}\n", "{}\n", "{1}: {0}"),
+    "html": ('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>', "</body></html>", ("<h2>", "</h2>"), ("<p>", "</p>")),
+    "markdown": ("", "", ("### ", "\n\n"), ("", "\n\n")),
+    "text": ("", "", ("", "\n"), ("", "\n")),
 }
 
 
-def _framed(pattern: str, *values: Column) -> Column:
-    """The pattern with values in place of {} or {n}."""
-    parts, n = [], 0
-    for i, piece in enumerate(pattern.replace("{0}", "{").replace("{1}", "{}").split("{") if "{1}" in pattern else pattern.split("{")):
-        if i and "{1}" in pattern:
-            # the second value stands first
-            parts.append(values[1] if piece.startswith("}") else values[0])
-        elif i:
-            parts.append(values[n])
-            n += 1
-        parts.append(F.lit(piece.removeprefix("}")))
-    return F.concat(*parts)
+def _within(ends: tuple[str, str], value: Column) -> Column:
+    return F.concat(F.lit(ends[0]), value, F.lit(ends[1]))
+
+
+def _link(kind: str, address: Column, words: str) -> Column:
+    if kind == "html":
+        return F.concat(F.lit('<a href="'), escaped(address), F.lit(f'">{words}</a>'))
+    return F.concat(F.lit(f"[{words}]("), address, F.lit(")")) if kind == "markdown" else F.concat(F.lit(f"{words}: "), address)
 
 
 def document(jobs: DataFrame, stats: DataFrame, keys: list[str], kind: str, feedback: Column | None = None, rank: str = "rank") -> DataFrame:
@@ -96,19 +92,19 @@ def document(jobs: DataFrame, stats: DataFrame, keys: list[str], kind: str, feed
     sections with their rows in order of rank, and the link once more. jobs have a section: internship, job or lower (rows
     below the cut, left out where there are none). n counts the first two. A digest has a few dozen rows, chosen before."""
     row, head, between, tail = FORMATS[kind]
-    start, end, heading, line, link = FRAMES[kind]
+    start, end, heading, line = FRAMES[kind]
     lines = F.sort_array(F.collect_list(F.struct(F.col("section"), F.col(rank).alias("r"), row().alias("line"))))
     per = jobs.groupBy(*keys).agg(lines.alias("lines"))
     whole = stats.join(per, keys, "left").withColumn("lines", F.coalesce("lines", F.array().cast(per.schema["lines"].dataType)))
     of = lambda name: F.transform(F.filter("lines", lambda x: x["section"] == name), lambda x: x["line"])
     shown = F.size(of("internship")) + F.size(of("job"))
     told = lambda c: F.coalesce(c.cast("string"), F.lit("0"))
-    ask = F.lit("") if feedback is None else F.when(feedback.isNull(), "").otherwise(_framed(line, _framed(link, escaped(feedback) if kind == "html" else feedback, F.lit(ASK))))
-    parts = [F.lit(start), _framed(line, F.concat(F.lit("Scraped: "), told(F.col("scraped")), F.lit(", filtered to: "), told(F.col("filtered")), F.lit(", shown: "), shown.cast("string"))), ask]
+    ask = F.lit("") if feedback is None else F.when(feedback.isNull(), "").otherwise(_within(line, _link(kind, feedback, ASK)))
+    parts = [F.lit(start), _within(line, F.concat(F.lit("Scraped: "), told(F.col("scraped")), F.lit(", filtered to: "), told(F.col("filtered")), F.lit(", shown: "), shown.cast("string"))), ask]
     for name, title, optional in SECTIONS:
         own = of(name)
         table = F.concat(F.lit(head), F.array_join(own, between), F.lit(tail))
-        body = F.concat(_framed(heading, F.concat(F.lit(f"{title} ("), F.size(own).cast("string"), F.lit(")"))), F.when(F.size(own) > 0, table).otherwise(_framed(line, F.lit(NOTHING))))
+        body = F.concat(_within(heading, F.concat(F.lit(f"{title} ("), F.size(own).cast("string"), F.lit(")"))), F.when(F.size(own) > 0, table).otherwise(_within(line, F.lit(NOTHING))))
         parts.append(F.when(F.size(own) > 0, body).otherwise("") if optional else body)
     return whole.select(*keys, shown.alias("n"), F.concat(*parts, ask, F.lit(end)).alias("document"))
 
