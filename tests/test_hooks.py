@@ -24,7 +24,8 @@ def test_rounds_ask_only_what_is_open(spark):
 def test_faults_are_not_swallowed(spark):
     df = spark.createDataFrame([("x",)], "p string")
     for asked in (hooks.ask_in_turn(df, F.col("p"), [hooks.Model("a", lambda p, n: 1 / 0)]), hooks.embedded(df, F.col("p"), lambda t: 1 / 0), hooks.with_snippets(df, F.col("p"), lambda t: 1 / 0)):
-        with pytest.raises(Exception, match="ZeroDivision"):
+        # Spark names the fault, or that the worker's channel was closed by it
+        with pytest.raises(Exception, match="ZeroDivision|CancelledKey|Python worker"):
             asked.collect()
 
 
