@@ -37,6 +37,11 @@ def same_company(company: Column, found: Column, empty_matches: bool = True) ->
     return match if empty_matches else match & (two != "")
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df, for a join that sorts both sides and never collects one on the driver."""
+    return df.hint("merge")
+
+
 def _grams(names: DataFrame, name: str, most: int = 3) -> DataFrame:
     """name, n, gram: the distinct sequences of n characters of each name, n from 1 to most."""
     chars = F.split(F.col(name), "")
@@ -56,15 +61,18 @@ def containing(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
     Each name of short is looked up under its rarest sequence of three characters among the names of long (a shorter name
     under all of itself), so what names have in common, such as `the ` or ` inc`, is no key, and a name with a sequence that
     no other has meets nothing.
+
+    A name has many sequences, and Spark plans with the size of the names' file, so it would take tables of sequences for
+    small ones and collect them on the driver: joins are by shuffle, except with the lengths.
     """
     inner, outer = (df.select(F.col(c).alias(k)).where(f"{k} <> ''").distinct() for df, c, k in ((short, s, "_s"), (long, t, "_t")))
     lengths = inner.select(F.least(F.length("_s"), F.lit(3)).alias("n")).distinct()  # three rows at most
     grams = _grams(outer, "_t").join(F.broadcast(lengths), "n", "left_semi")
     frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     own = _grams(inner, "_s").where("n = least(length(_s), 3)")
-    told = own.join(frequency, "gram", "left").select("_s", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram").alias("key"))
+    told = own.join(_shuffled(frequency), "gram", "left").select("_s", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram").alias("key"))
     rarest = told.groupBy("_s").agg(F.min("key").alias("key")).where("key.df > 0").select("_s", F.col("key.gram").alias("gram"))
-    return rarest.join(grams.select("_t", "gram"), "gram").where(F.contains("_t", F.col("_s"))).select(F.col("_s").alias(s), F.col("_t").alias(t))
+    return rarest.join(_shuffled(grams.select("_t", "gram")), "gram").where(F.contains("_t", F.col("_s"))).select(F.col("_s").alias(s), F.col("_t").alias(t))
 
 
 def matched_names(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
@@ -74,7 +82,7 @@ def matched_names(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFram
     one, two = strip(F.lower(F.coalesce(F.col(a), F.lit("")))), strip(F.lower(F.coalesce(F.col(b), F.lit(""))))
     left, right = left.withColumn("_a", one), right.withColumn("_b", two)
     pairs = containing(left, "_a", right, "_b").unionByName(containing(right, "_b", left, "_a").where("_a <> _b"))
-    return left.join(pairs, "_a").join(right, "_b").drop("_a", "_b")
+    return left.join(_shuffled(pairs), "_a").join(_shuffled(right), "_b").drop("_a", "_b")
 
 
 def retryable(message: Column) -> Column:

@@ -35,6 +35,14 @@ def test_common_beginnings_are_no_key(spark):
     assert rarest < 4000 * 40 < 4000 * 4000 / 10
 
 
+def test_names_are_not_collected(spark):
+    """Only the lengths go through the driver, also where the names' file is small: each name has many sequences."""
+    rows = spark.range(50).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("x"))
+    plan = careers.matched_names(rows, "x", rows.withColumnRenamed("x", "y"), "y")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert joins and all("LeftSemi" in line for line in joins) and "SortMergeJoin" in plan
+
+
 def test_many_patterns(spark):
     jobs = spark.range(2000).select(F.col("id").alias("ord"), F.concat(F.lit("Company "), F.col("id").cast("string"), F.lit(" GmbH")).alias("company"), F.concat(F.lit("https://x.example/"), F.col("id").cast("string")).alias("job_url"))
     patterns = spark.range(100_000).select(F.concat(F.lit("company "), (F.col("id") * 7).cast("string"), F.lit(" ")).alias("pattern"), F.when(F.col("id") % 2 == 0, "blacklist").otherwise("trusted").alias("kind"))
