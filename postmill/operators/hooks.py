@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.dictionary import bound
 from postmill.values import RETRYABLE, TOO_LARGE
 
 WIDTH = 64
@@ -64,11 +65,22 @@ def embedded(df: DataFrame, text: Column, model: Callable[[pd.Series], Sequence]
 
 
 def hashed_words(text: Column, width: int = WIDTH) -> Column:
-    """An offline stand-in for a model, all in the JVM: counts of words by hash. Null for texts without words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return F.when(F.size(words) > 0, vector)
+    """An offline stand-in for a model, all in the JVM: counts of words by hash. Null for texts without words. Words are hashed
+    once each; their places are sorted with one more of every place, and a count is how far a place's run reaches, less that one."""
+
+    def ends(places: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(places)), lambda i: ~F.get(places, i).eqNullSafe(F.get(places, i - 1)))
+
+    def counts(ends: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.slice(ends, 1, width - 1))
+        return F.zip_with(ends, begins, lambda end, begin: (end - begin - 1).cast("double"))
+
+    def vector(words: Column) -> Column:
+        places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+        every = F.sort_array(F.concat(places, F.sequence(F.lit(0), F.lit(width - 1))))
+        return F.when(F.size(words) > 0, bound(every, lambda p: bound(ends(p), counts)))
+
+    return bound(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), vector)
 
 
 def with_snippets(df: DataFrame, query: Column, provider: Callable[[pd.Series], Sequence], most: int = 5, name: str = "snippets") -> DataFrame:

@@ -51,3 +51,17 @@ def test_sketch_of_a_hot_key(spark):
     for k in ("hot", "cold"):
         share = jobs.where((F.col("user_id") == k) & (F.col("similarity") <= rows[k]["middle"])).count() / jobs.where(F.col("user_id") == k).count()
         assert abs(share - 0.5) <= state.SKETCH_ERROR and rows[k]["least"] == exact[k]["least"] and rows[k]["most"] == exact[k]["most"]
+
+
+def test_words_are_hashed_once(spark):
+    """Counts of words by hash against a plain count, and words are split in one place of the plan, in no step over places."""
+    texts = [None, "", " .,", "one", "One two, ONE", " ".join(f"w{i % 700}" for i in range(5000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    words = df.select("i", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''").select("i", F.pmod(F.xxhash64("w"), F.lit(64)).alias("p"))
+    want: dict = {}
+    for r in words.collect():
+        want.setdefault(r["i"], [0.0] * 64)[r["p"]] += 1
+    vectors = df.select("i", hooks.hashed_words(F.col("t")).alias("v"))
+    assert {r["i"]: r["v"] for r in vectors.collect() if r["v"] is not None} == want and len(want) == 3
+    own = spark.range(3).select(hooks.hashed_words(F.concat_ws(" ", "id", F.col("id") + 1)).alias("v"))
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
