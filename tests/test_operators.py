@@ -1,8 +1,10 @@
 """Operators on small frames: the filter chain, similar postings, state, parsers with odd payloads, and streams."""
 
 import json
+import tracemalloc
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,41 @@ def test_similar_postings(spark):
         assert f(jobs, past.limit(0)).count() == 4
 
 
+def test_similar_in_blocks_against_all_pairs(spark):
+    draw = np.random.default_rng(3)
+    rows = [(f"u{i % 2}", f"p{i:02d}" if i % 9 else None, None if i % 13 == 0 else [*map(float, v)][: 4 + i % 3]) for i, v in enumerate(draw.integers(-2, 3, (60, 6)))]
+    jobs = spark.createDataFrame(rows, "u string, job_url string, embedding array<double>").repartition(3)
+    past = jobs.where("job_url is null or job_url < 'p30'").withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+    def near(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return n > 0 and sum(x * y for x, y in zip(a, b, strict=False)) / n >= 0.7 - 1e-12
+
+    for within in ((), ("u",)):
+        old = [(u, k, v) for u, k, v in rows if v is not None and (k is None or k < "p30")]
+        hit = lambda u, k, v, old=old, within=within: k is not None and v is not None and any(j != k and (not within or t == u) and near(v, w) for t, j, w in old)
+        want = sorted((k or "", u) for u, k, v in rows if not hit(u, k, v))
+        got = sorted((r["job_url"] or "", r["u"]) for r in dedup.drop_similar(jobs, past, 0.7, block=7, within=within).collect())
+        assert got == want and 10 < len(got) < 55
+
+
+def test_products_of_large_blocks_are_bounded():
+    """Two blocks of 20,000 have 3.2 GB of products in double; which rows are near is told from few of them at once, as in double."""
+    draw = np.random.default_rng(5)
+    a = draw.normal(size=(20_000, 8))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = np.roll(a, 1, axis=0)
+    tracemalloc.start()
+    near = dedup._near(a, b, np.arange(20_000, dtype=np.int32), np.roll(np.arange(20_000, dtype=np.int32), 1), 0.97)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    some = a[:300] @ b.T >= 0.97 - 1e-12
+    some[np.arange(300), np.arange(1, 301)] = False
+    assert near[:300].tolist() == some.any(axis=1).tolist() and 0 < near.mean() < 1
+    edge = np.array([[0.6, 0.8], [1.0, 0.0]])
+    assert dedup._near(edge, edge, np.arange(2), np.arange(2), 0.6).tolist() == [True, True] and not dedup._near(edge, edge, np.arange(2), np.arange(2), 0.6 + 1e-9).any()
+
+
 def test_first_and_latest_with_a_hot_key(spark):
     df = spark.range(10_000).select(F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(None).cast("bigint")).alias("k"))
     assert dedup.first_by(df, [F.col("k")]).count() == 3334 + 1
