@@ -1,5 +1,7 @@
 """Language profiles on texts that they were not counted from."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,18 @@ def test_descriptions(spark):
 def test_profiles_from_a_table_are_those_of_python(spark):
     table = spark.createDataFrame([(k, t) for k, t in languages.TEXTS.items()] + [(None, "x"), ("en", None)], "lang string, text string").repartition(4)
     assert languages.model(languages.profiles(table)) == dict(sorted(languages.own_profiles().items()))
+
+
+def test_sequences_are_counted_in_tasks(spark):
+    """Profiles against a plain count of slots(), with texts that meet in one lot, long and short ones; a task's sums are shuffled, not its sequences."""
+    texts = ["", "a", "é1ß", "😀𝒜𝒷 文字列", "x" * 999, "Ab, cd", " ", "42"] * 80
+    table = spark.createDataFrame([(i, f"l{i % 3}", t) for i, t in enumerate(texts)] + [(-1, "none", "42")], "i int, lang string, text string").coalesce(2)
+    plain = table.select("lang", F.explode(languages.slots(F.col("text"))).alias("slot")).groupBy("lang", "slot").count().collect()
+    totals: dict = {}
+    for r in plain:
+        totals[r["lang"]] = totals.get(r["lang"], 0) + r["count"]
+    penalty = lambda n, total: min(languages.WORST, round(-languages.SCALE * math.log((n + languages.SMOOTH) / (total + languages.SMOOTH * languages.SLOTS))))
+    want = sorted([(r["lang"], r["slot"], penalty(r["count"], totals[r["lang"]])) for r in plain] + [(k, -1, penalty(0, n)) for k, n in totals.items()])
+    found = languages.profiles(table)
+    assert sorted((r["lang"], -1 if r["slot"] is None else r["slot"], r["penalty"]) for r in found.collect()) == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
