@@ -9,8 +9,8 @@
    collisions), those clearly below the limit go, and the others, best first, are verified on their full sets
    unless they are connected already; only links that connect something are emitted.
 4. Connected components of these links. In a bucket that still holds several components, the largest one is done with
-   itself: a pair that is left has at least one node outside it. Those outside nodes are dealt into blocks, each of which
-   meets, block by block, the nodes that share such a bucket with it, and step 3 is done across; then components again.
+   itself: a pair that is left has at least one node outside it. Those outside nodes are dealt into blocks. Two blocks meet
+   with those of their nodes that stand in a bucket that both have, and step 3 is done across; then components again.
 
 So no group is ever expanded into pairs of rows: a task holds two blocks at most, bounded in bytes unless one text alone
 is larger, and emits fewer links than it has nodes; copies cost one row each, and what a large group costs beyond one pass
@@ -193,6 +193,20 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     return rows.join(sizes, "label").withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(1)), "parts")))
 
 
+def _meeting(still: DataFrame, asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rest, block, node, component, side of the nodes outside (asks: key, node, own, rest) and of those they meet (still: key, node,
+    block, component): of two blocks that share a bucket, only the nodes in such a bucket come, each once.
+
+    The blocks of a bucket are one list, so a bucket's nodes are never joined with its blocks row by row.
+    """
+    blocks = still.groupBy("key").agg(F.collect_set("block").alias("others"))
+    rests = asks.groupBy("key").agg(F.collect_set("rest").alias("others"))
+    other = F.explode(F.array_distinct(F.flatten(F.collect_list("others"))))
+    ours = asks.join(blocks, "key").groupBy("rest", "node", F.col("own").alias("component")).agg(other.alias("block")).withColumn("side", F.lit(0))
+    theirs = still.join(rests, "key").groupBy("block", "node", "component").agg(other.alias("rest")).withColumn("side", F.lit(1))
+    return ours, theirs
+
+
 def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool) -> DataFrame:
     """near_duplicates(); with_key: also row_key, and root: the least node of the row's component, or the row's key if it has no shingles."""
     signed = stored(_signed(docs, size, False, with_key), "dup-signed")
@@ -228,11 +242,8 @@ def _judged(docs: DataFrame, size: int, limit: float, block: int, with_key: bool
     if not still.isEmpty():
         outer = still.where("outside").select("node", "label", "component").distinct().join(nodes.select("node", "n"), "node")
         outer = stored(_dealt(outer, block).select("node", "component", F.col("block").alias("rest")), "dup-outside")
-        asks = still.where("outside").select("key", "node").join(outer.select("node", "rest"), "node").select("key", "rest").distinct()
-        # which blocks meet is told by their bucket keys, a row per block; only then come their nodes
-        meets = stored(asks.join(still.select("key", "block").distinct(), "key").select("rest", "block").distinct(), "dup-meets")
-        ours = meets.join(outer, "rest").select("rest", "block", "node", "component", F.lit(0).alias("side"))
-        theirs = meets.join(still.select("block", "node", "component").distinct(), "block").select("rest", "block", "node", "component", F.lit(1).alias("side"))
+        asks = stored(still.where("outside").select("key", "node").join(outer.withColumnsRenamed({"component": "own"}), "node").select("key", "node", "own", "rest"), "dup-asks")
+        ours, theirs = _meeting(still, asks)
         full = ours.unionByName(theirs).join(sets, "node").select("rest", "block", "side", "node", "component", "n", "registers", "hashes")
         second = stored(full.groupBy("rest", "block").applyInArrow(lambda t: links_of(t, limit), schema), "dup-links")
         if not second.isEmpty():

@@ -108,3 +108,16 @@ def test_quality_weights_are_the_best_of_their_pairs(spark, sf):
     # all pairs against the drawn ones: no step along an axis gains more than their difference can explain
     steps = [loss(w + s * e) - loss(w) for e in np.eye(len(w)) for s in (-1.0, 1.0)]
     assert min(steps) > -0.005
+
+
+def test_only_nodes_of_shared_buckets_meet(spark):
+    """A block of 100 outside nodes that shares a bucket with each of 50 small blocks by one node sends them that node only."""
+    from postmill.llm import neardup
+
+    hot = [(0, n, 1, n, n > 0) for n in range(101)]
+    small = [(k, n, 100 + k, n, out) for k in range(1, 51) for n, out in ((k, True), (1000 + k, False))]
+    still = spark.createDataFrame([(k, n, b if n >= 1000 else 1, c, o) for k, n, b, c, o in hot + small], "key long, node long, block long, component long, outside boolean")
+    asks = still.where("outside").selectExpr("key", "node", "component AS own", "7L AS rest")
+    ours, theirs = (sorted((r["rest"], r["block"], r["node"], r["component"], r["side"]) for r in x.collect()) for x in neardup._meeting(still, asks))
+    assert ours == sorted([(7, 1, n, n, 0) for n in range(1, 101)] + [(7, 100 + k, k, k, 0) for k in range(1, 51)])
+    assert theirs == sorted([(7, 1, n, n, 1) for n in range(101)] + [(7, 100 + k, 1000 + k, 1000 + k, 1) for k in range(1, 51)])
